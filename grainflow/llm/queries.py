@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainflow.llm.common import read
+from grainflow.llm.common import read, workspace
 from grainflow.llm.exact_dedup import exact_dedup
+from grainflow.llm.simhash_dedup import simhash_components
+from grainflow.llm.token_output import read_tokens, write_tokens
+
+
+def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = workspace(spark, "op1_token_planes")
+    write_tokens(read(spark, sf_dir, "documents"), folder, "word_bpe_49k.json", end_id=2)
+    return read_tokens(spark, folder)
+
+
+def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
+QUERIES = {
+    "op1_token_planes": op1_token_planes,
+    "op2_simhash_trie": op2_simhash_trie,
+    "op5_exact_dedup": op5_exact_dedup,
+}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
