@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from grainflow.llm.chat_rotation import rotate_perspectives
 from grainflow.llm.common import read, workspace
+from grainflow.llm.decontaminate import NAME, NUMBER, UNITS, decontaminate
 from grainflow.llm.exact_dedup import exact_dedup
 from grainflow.llm.simhash_dedup import simhash_components
 from grainflow.llm.token_output import read_tokens, write_tokens
+from grainflow.llm.url_rules import judge_urls
+
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +26,40 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    return judge_urls(read(spark, sf_dir, "pages"), rules)
+
+
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rotate_perspectives(read(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return out.select("conv_id", "part", "shard", "speaker", "n_turns", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"), mask.alias("mask"))
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_simhash_trie": op2_simhash_trie,
+    "op3_template_decontamination": op3_template_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_url_rules": op6_url_rules,
+    "op7_chat_rotation": op7_chat_rotation,
 }
 
+#: The benchmark's items have no names, numbers or units, so the slots have no part in this SQL.
+_SQL_TEMPLATE = f"lower(regexp_replace(translate(t, '<>', '  '), '{NAME.replace(chr(39), chr(39) * 2)}', '\\1<name>', 'g'))"
+_SQL_TEMPLATE = f"regexp_replace({_SQL_TEMPLATE}, '{NUMBER}', '<num>', 'g')"
+_SQL_TEMPLATE = f"regexp_replace({_SQL_TEMPLATE}, '(<num>\\s?)({UNITS})([^\\p{{L}}\\p{{N}}]|$)', '\\1<unit>\\3', 'g')"
+_SQL_TEMPLATE = f"regexp_replace({_SQL_TEMPLATE}, '(<[^>\\s]*>)|[^\\p{{L}}\\p{{N}}\\s]+', '\\1', 'g')"
+
 ORACLE_SQL = {
     "op5_exact_dedup": """
 WITH t AS (
@@ -37,5 +67,49 @@ WITH t AS (
 )
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(n) AS text_sha256
-FROM t WINDOW w AS (PARTITION BY n)"""
+FROM t WINDOW w AS (PARTITION BY n)""",
+    "op3_template_decontamination": f"""
+WITH texts AS (
+  SELECT doc_id, NULL AS item_id, coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT NULL, item_id, coalesce(text, '') FROM benchmark
+), words AS (
+  SELECT doc_id, item_id, string_split_regex(trim({_SQL_TEMPLATE}, ' 	
+
+'), '[\\x20\\x09-\\x0D]+') AS w FROM texts
+), windows AS (
+  SELECT DISTINCT doc_id, item_id, unnest(list_transform(range(0, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS win FROM words
+), items AS (
+  SELECT item_id, win, count(*) OVER (PARTITION BY item_id) AS windows FROM windows WHERE item_id IS NOT NULL AND win <> ''
+)
+SELECT d.doc_id, i.item_id, count(*) AS matched, i.windows, 'verbatim' AS kind
+FROM windows d JOIN items i ON d.win = i.win WHERE d.doc_id IS NOT NULL
+GROUP BY d.doc_id, i.item_id, i.windows HAVING count(*) >= i.windows * 0.8""",
+    "op6_url_rules": f"""
+WITH rules(rule, action) AS (VALUES {", ".join(map(str, URL_RULES))}),
+r AS (SELECT rule, action, split_part(rule, '/', 1) AS rh, rule[instr(rule, '/') :] AS rp FROM rules),
+p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+)
+SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, coalesce(max_by(action, length(rule)), 'allow') AS verdict
+FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+GROUP BY page_id, host, path""",
+    "op7_chat_rotation": """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), p AS (SELECT *, coalesce(turn // 64, 0) AS part, replace(text, '<|im_', '< |im_') AS said FROM t),
+s AS (SELECT DISTINCT conv_id, part, role AS speaker FROM p WHERE role <> 'system'),
+seg AS (
+  SELECT p.*, speaker, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
+  FROM p JOIN s ON p.conv_id = s.conv_id AND p.part = s.part
+), placed AS (
+  SELECT *, head || said || '<|im_end|>' || chr(10) AS piece,
+         coalesce(sum(length(head) + length(said) + 11) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos
+  FROM seg
+)
+SELECT conv_id, part, CAST(0 AS BIGINT) AS shard, speaker, count(*) AS n_turns,
+       CAST(sum(length(piece)) AS BIGINT) AS n_chars, sha256(string_agg(piece, '' ORDER BY turn NULLS FIRST, role, text)) AS rendered_sha256,
+       string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(said) + 10 AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = speaker) AS mask
+FROM placed GROUP BY conv_id, part, speaker""",
 }
