@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import public_tokenizers
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 SPACE = " \t\n\x0b\x0c\r"
 _SPLIT = re.compile(f"[{SPACE}]+")
@@ -35,11 +36,33 @@ def slices(text: str, size: int = 1 << 20):
     yield text[at:] if at else text
 
 
+class _Pieces(dict):
+    """The ids of pieces met so far. When there are more than ``most``, the later half, rarer pieces, is forgotten."""
+
+    def __init__(self, tokenizer: Tokenizer, most: int):
+        super().__init__()
+        self.tokenizer, self.most = tokenizer, most
+        self.letters, self.alphabet = tokenizer.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, piece) -> bytes:
+        if len(self) >= self.most:
+            for p in list(self)[self.most // 2 :]:
+                del self[p]
+        text = piece.decode("latin-1") if isinstance(piece, bytes) else piece
+        if isinstance(piece, bytes) and text.isalpha():  # one run of lower-case letters is one word for the model
+            word = text if text.isascii() else self.alphabet.pre_tokenize_str(text)[0][0]
+            ids = [t.id for t in self.letters(word)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self[piece] = found = array.array("I", ids).tobytes()
+        return found
+
+
 class Encoder:
-    """``most``: pieces that a worker keeps; when there are more it starts anew."""
+    """``most``: pieces that a worker keeps, about 200 bytes each."""
 
     def __init__(self, name: str, most: int = 1_000_000):
-        self.tokenizer, self.kept, self.most = Tokenizer.from_file(public_tokenizers.path(name)), {}, most
+        self.kept = _Pieces(Tokenizer.from_file(public_tokenizers.path(name)), most)
 
     @staticmethod
     def pieces(text: str) -> list:
@@ -50,25 +73,9 @@ class Encoder:
             pass
         return [w for w in _SPLIT.split(text) if w]
 
-    def _learn(self, pieces: list) -> None:
-        new = list({p for p in pieces if p not in self.kept})
-        if len(self.kept) + len(new) > self.most:
-            self.kept.clear()
-            new = list(set(pieces))
-        texts = [p.decode("latin-1") if isinstance(p, bytes) else p for p in new]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.kept[p] = array.array("I", e.ids).tobytes()
-
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for part in slices(text):
-            pieces = self.pieces(part)
-            ids = list(map(self.kept.get, pieces))
-            if None in ids:
-                self._learn(pieces)
-                ids = map(self.kept.__getitem__, pieces)
-            out.append(b"".join(ids))
+        out = [b"".join(map(self.kept.__getitem__, self.pieces(part))) for part in slices(text)]
         return out[0] if len(out) == 1 else b"".join(out)
 
     def count(self, text: str) -> int:
