@@ -45,3 +45,11 @@ def ascii_lower(text: Column) -> Column:
 
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores if a column of ``df`` has it (names are compared as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -91,3 +91,9 @@ def _with_slots(docs: DataFrame, tagged: DataFrame, pairs: DataFrame, hinted) ->
     out = pairs.join(judged, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left")
     kind = F.when(F.coalesce("same", F.lit(True)), "verbatim").when(F.col("consistent") >= SHARE, "reparameterised")
     return out.withColumn("kind", kind).filter("kind IS NOT NULL").select("doc_id", "item_id", "matched", "windows", "kind")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that leak no item of the benchmark. Rows with the same doc_id are one document."""
+    leaks = decontaminate(docs, benchmark).select("doc_id").distinct().alias("leaks")
+    return docs.alias("docs").join(leaks, F.col("docs.doc_id").eqNullSafe(F.col("leaks.doc_id")), "left_anti")

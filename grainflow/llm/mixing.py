@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import text_or_empty, workspace, written
+from grainflow.llm.common import text_or_empty, unused, workspace, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: The weights of the sources in order of their names, again and again; the most that a source gives, times its size.
@@ -212,11 +212,12 @@ class Mix:
         mine = self.pieces(*keys).join(self.slots.select("source_no", "block", "round"), ["source_no", "block"])
         spans = mine.groupBy(*keys, "round").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("gf_spans"))
         names = [f.name for f in docs.schema.fields]
-        keyed = docs.select("*", F.col("doc_id").cast("long").alias("gf_id"), F.xxhash64(text_or_empty()).alias("gf_tie"), F.col("source").cast("string").alias("gf_source"))
+        own_id, own_tie, own_source = (unused(docs, f"gf_{n}") for n in ("id", "tie", "source"))
+        keyed = docs.select("*", F.col("doc_id").cast("long").alias(own_id), F.xxhash64(text_or_empty()).alias(own_tie), F.col("source").cast("string").alias(own_source))
         if not self.spans.groupBy("doc_id", "tie", "source").count().filter("count > 1").isEmpty():
-            keyed = keyed.dropDuplicates(["gf_id", "gf_tie", "gf_source"])  # each repetition has a span of its own
+            keyed = keyed.dropDuplicates([own_id, own_tie, own_source])  # each repetition has a span of its own
         same = F.lit(True)
-        for ours, theirs in (("gf_id", "doc_id"), ("gf_tie", "tie"), ("gf_source", "source")):
+        for ours, theirs in ((own_id, "doc_id"), (own_tie, "tie"), (own_source, "source")):
             same = same & F.col(f"k.{ours}").eqNullSafe(F.col(f"p.{theirs}"))
         at = keyed.alias("k").join(spans.alias("p"), same).select(*(F.col(f"k.`{n}`") for n in names), "p.gf_spans")
 
@@ -231,8 +232,6 @@ class Mix:
 
 def cut_words(text: str, spans: list[dict]) -> str:
     """The words [from_word, from_word + n_words) of each span; spans that touch are cut as one."""
-
-
     at = [m.span() for m in re.finditer(WORDS, text)]
     merged: list[list[int]] = []
     for s in spans:

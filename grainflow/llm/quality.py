@@ -131,20 +131,24 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def features_of(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+    """A row for each text: the mean of its terms' vectors, and the logarithm of their number."""
+    if not texts:
+        return np.zeros((0, DIMS + 1), np.float32)
+    ids, sizes = terms_of(texts)
+    at = np.cumsum(sizes + REACH) - sizes - REACH  # PAD's vector is zero, and each text ends with it
+    sums = np.add.reduceat(vectors[ids], at, axis=0, dtype=np.float64)
+    return np.column_stack([sums / np.maximum(sizes, 1)[:, None], np.log1p(sizes)]).astype(np.float32)
+
+
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """doc_id and features of each row of docs (doc_id, text)."""
 
     def pool(batches):
         for batch in batches:
-            rows = []
-            for part in _batches(batch.column(1)):
-                ids, sizes = terms_of(part)
-                at = np.cumsum(sizes + REACH) - sizes - REACH  # PAD's vector is zero, and each text ends with it
-                sums = np.add.reduceat(vectors[ids], at, axis=0, dtype=np.float64)
-                rows.append(np.column_stack([sums / np.maximum(sizes, 1)[:, None], np.log1p(sizes)]))
+            rows = [features_of(part, vectors) for part in _batches(batch.column(1))]
             if rows:
-                rows = np.concatenate(rows)
-                features = pa.FixedSizeListArray.from_arrays(pa.array(rows.astype(np.float32).ravel()), DIMS + 1).cast(pa.list_(pa.float32()))
+                features = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(rows).ravel()), DIMS + 1).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), features], ["doc_id", "features"])
 
     return docs.mapInArrow(pool, "doc_id long, features array<float>")
@@ -192,27 +196,55 @@ def fold(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, held_out, score, predicted.
+class Classifier:
+    """Word vectors and network, fitted from docs (doc_id, text) and labels (doc_id, quality).
 
-    held_out: crc32 of the id as text, modulo 5, is 0; those rows' labels aren't used. Of the others, remainder 1 fits the
-    temperature, the rest the weights. labels: doc_id, quality; rows without either are left out, repeated rows
-    count once each. Nulls count as empty texts, which get the score of a document without terms. held_out is null for a null
-    doc_id. Other columns are ignored. Without labels the network scores as it starts; no documents give no rows.
+    Vectors come from every text. Of labelled rows, those whose crc32 of the id as text is 0 modulo 5 aren't used, remainder 1 fits the
+    temperature, the rest the weights. Labels without id or quality are left out, repeated ones count once each. Without
+    labels the network scores as it starts.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    features = written(pooled(rows, word_vectors(rows.select("text"))), f"{workspace(docs.sparkSession, 'quality')}/features")
-    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(fold() != 0).distinct()
-    learnt = features.join(marked, "doc_id").select("doc_id", "features", "quality", fold().alias("fold"))
-    sample = learnt.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features").limit(most_labelled).collect()
-    x, y = np.array([r.features for r in sample], np.float64), np.array([r.quality for r in sample], np.int64)
-    network = Network(x, y, np.array([r.fold == 1 for r in sample], bool))
-
-    def score(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy().reshape(-1, DIMS + 1).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.score(x))], ["doc_id", "score"])
 
-    scored = features.mapInArrow(score, "doc_id long, score double")
+    def __init__(self, docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+        self.vectors = word_vectors(rows.select("text"))
+        self.features = written(pooled(rows, self.vectors), f"{workspace(docs.sparkSession, 'quality')}/features")
+        marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(fold() != 0).distinct()
+        learnt = self.features.join(marked, "doc_id").select("doc_id", "features", "quality", fold().alias("fold"))
+        sample = learnt.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features").limit(most_labelled).collect()
+        x, y = np.array([r.features for r in sample], np.float64), np.array([r.quality for r in sample], np.int64)
+        self.network = Network(x, y, np.array([r.fold == 1 for r in sample], bool))
+
+    def scores(self) -> DataFrame:
+        """doc_id and score of each row that the classifier was fitted with."""
+        network = self.network
+
+        def score(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(1).flatten().to_numpy().reshape(-1, DIMS + 1).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.score(x))], ["doc_id", "score"])
+
+        return self.features.mapInArrow(score, "doc_id long, score double")
+
+    def kept(self, docs: DataFrame, threshold: float = 0.3) -> DataFrame:
+        """The rows of docs, all columns, whose text scores ``threshold`` or more. Texts are read where they are: nothing is shuffled."""
+        network, vectors, names = self.network, self.vectors, docs.columns
+
+        def keep(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    x = features_of([(t.as_py() or "").encode() for t in part.column(names.index("text"))], vectors)
+                    yield part.filter(pa.array(network.score(x.astype(np.float64)) >= threshold))
+
+        return docs.mapInArrow(keep, docs.schema)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, held_out (its label isn't used), score, predicted.
+
+    See ``Classifier``. Nulls count as empty texts, which get the score of a document without terms. held_out is null for a null
+    doc_id. Other columns are ignored. No documents give no rows.
+    """
+    scored = Classifier(docs, labels, most_labelled).scores()
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

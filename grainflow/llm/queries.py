@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from grainflow.llm.chat_rotation import rotate_perspectives
 from grainflow.llm.common import read, workspace
 from grainflow.llm.decontaminate import NAME, NUMBER, UNITS, decontaminate
+from grainflow.llm.edit_counts import edited_counts, standard_edits, with_trees
 from grainflow.llm.exact_dedup import exact_dedup
+from grainflow.llm.mixing import Mix
+from grainflow.llm.pii import digest, find_personal_data, fit
+from grainflow.llm.quality import quality_scores
 from grainflow.llm.simhash_dedup import simhash_components
 from grainflow.llm.token_output import read_tokens, write_tokens
 from grainflow.llm.url_rules import judge_urls
@@ -16,9 +20,12 @@ from grainflow.llm.url_rules import judge_urls
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(spark, "op1_token_planes")
-    write_tokens(read(spark, sf_dir, "documents"), folder, "word_bpe_49k.json", end_id=2)
+    write_tokens(read(spark, sf_dir, "documents"), folder, TOKENIZER, end_id=2)
     return read_tokens(spark, folder)
 
 
@@ -30,6 +37,10 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_personal_data(read(spark, sf_dir, "documents"), fit(spark)))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -45,13 +56,31 @@ def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "part", "shard", "speaker", "n_turns", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"), mask.alias("mask"))
 
 
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_trees(read(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    out = edited_counts(docs.withColumn("edits", standard_edits()), TOKENIZER)
+    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_chars", "reencoded_chars")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(read(spark, sf_dir, "documents")).taken()
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_simhash_trie": op2_simhash_trie,
     "op3_template_decontamination": op3_template_decontamination,
+    "op4_pii_boosting": op4_pii_boosting,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_rules": op6_url_rules,
     "op7_chat_rotation": op7_chat_rotation,
+    "op8_edit_counts": op8_edit_counts,
+    "op9_quality": op9_quality,
+    "op10_mixing": op10_mixing,
 }
 
 #: The benchmark's items have no names, numbers or units, so the slots have no part in this SQL.

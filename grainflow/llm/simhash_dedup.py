@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import workspace, written
+from grainflow.llm.common import text_or_empty, unused, workspace, written
 from grainflow.llm.components import components
 from grainflow.llm.simhash_fingerprint import fingerprints, hex16
 from grainflow.llm.trie_join import near_edges
@@ -26,3 +26,24 @@ def simhash_components(docs: DataFrame, budget: int = 4, most: int = 50_000) ->
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("component_size"))
     named = rooted.select("fp", "root").join(whole, "root").drop("root")
     return marked.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
+
+
+def near_distinct(docs: DataFrame, budget: int = 4, most: int = 50_000) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) that stay when one row of each component of ``simhash_components`` does.
+
+    The row with the smallest doc_id stays, null ids last, of equal ids that with the least hash of the text, of equal texts any one.
+    """
+    tie = F.xxhash64(text_or_empty())
+    id_ = F.col("doc_id").cast("long")
+    folder = workspace(docs.sparkSession, "near_distinct")
+    marked = written(fingerprints(docs.withColumn("doc_id", id_), tie=True), f"{folder}/fingerprints")
+    different = written(marked.select("fp").distinct(), f"{folder}/different")
+    stars = components(near_edges(different, budget, most), folder)
+    rooted = marked.join(stars, marked.fp == stars.node, "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "tie")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tie").alias("tie"))).alias("first"))
+    first = first.select(F.col("first.id").alias("id"), F.col("first.tie").alias("tie")).distinct().alias("first")
+    own, text, n = (unused(docs, f"gf_{x}") for x in ("id", "text", "n"))
+    keyed = docs.select("*", id_.alias(own), tie.alias(text)).alias("all")
+    kept = keyed.join(first, F.col(f"all.{own}").eqNullSafe(F.col("first.id")) & (F.col(f"all.{text}") == F.col("first.tie")), "left_semi")
+    one = F.row_number().over(Window.partitionBy(own, text).orderBy(F.lit(1)))
+    return kept.withColumn(n, one).filter(F.col(n) == 1).drop(own, text, n)

@@ -32,14 +32,17 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (long) for each row of docs (doc_id, text); null texts are empty ones."""
+def fingerprints(docs: DataFrame, tie: bool = False) -> DataFrame:
+    """doc_id and fp (long) for each row of docs (doc_id, text); null texts are empty ones. ``tie`` adds the text's hash."""
+    more = [F.xxhash64(text_or_empty()).alias("tie")] if tie else []
 
     def scan(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())], ["doc_id", "fp"])
+            fp = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, *batch.columns[2:]], ["doc_id", "fp", *["tie"] * tie])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *more)
+    return rows.mapInArrow(scan, "doc_id long, fp long" + ", tie long" * tie)
 
 
 def hex16(fp: Column) -> Column:
