@@ -7,9 +7,9 @@ ORACLE_SQL: dict = {}
 
 
 def _gather() -> None:
-    from grainflow.plans import population
+    from grainflow.plans import distributions, frames, population, sequences
 
-    for module in (population,):
+    for module in (population, sequences, distributions, frames):
         QUERIES.update(module.QUERIES)
         ORACLE_SQL.update(module.ORACLE_SQL)
 
