@@ -78,7 +78,8 @@ def event_train(df: DataFrame, run: str, order: str, n: str, least: float = 1.3,
     override: run, event. A run that it has gets its event, null too.
     """
     w = Window.partitionBy(run).orderBy(order)
-    rated = df.select(run, order, (F.col(n) / F.greatest(F.lag(n).over(w), F.lit(1))).alias("q"))
+    last = F.lag(n).over(w)
+    rated = df.select(run, order, F.when(last.isNotNull(), F.col(n) / F.greatest(last, F.lit(1))).alias("q"))  # greatest skips nulls
     best = rated.groupBy(run).agg(F.max(F.when(F.col("q").isNotNull(), F.struct("q", (-F.col(order)).alias("minus")))).alias("b"))
     found = best.select(run, F.when(F.col("b.q") >= least, -F.col("b.minus")).alias("event"), F.col("b.q").alias("event_ratio"))
     if override is None:

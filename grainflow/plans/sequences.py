@@ -95,7 +95,7 @@ _STEPS = """steps AS (
 )"""
 _EVENTS = """events_ AS (
   SELECT run, CASE WHEN max(q) >= 1.3 THEN arg_max(train, (q, -train)) END AS event
-  FROM (SELECT run, train, n / greatest(lag(n) OVER (PARTITION BY run ORDER BY train), 1) AS q FROM trains) WHERE q IS NOT NULL GROUP BY run
+  FROM (SELECT run, train, lag(n) OVER (PARTITION BY run ORDER BY train) AS p, n / greatest(p, 1) AS q FROM trains) WHERE p IS NOT NULL GROUP BY run
 )"""
 _LINE = f"""runs AS (
   SELECT run, max(train) + 1 AS k, row_number() OVER (ORDER BY run) - 1 AS run_pos FROM trains GROUP BY run
