@@ -22,7 +22,7 @@ from grainflow.llm.common import text_or_empty, workspace, written
 TERMS, DIMS, ONES, REACH, SEED = 1 << 13, 32, 4, 2, 20
 PAD, CAPITALS, DIGITS, SAME, FIRST = 0, 1, 2, 3, 4
 HIDDEN, STEPS, RATE, DECAY = 16, 600, 0.02, 1e-3
-#: Labelled rows that the network learns from at most, taken in the order of their ids' hashes.
+#: Labelled rows that the network learns from at most: those whose ids' hashes are below a cut.
 MOST_LABELLED = 20_000
 _PARTS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 _WORDS_KEPT = 500_000
@@ -210,7 +210,10 @@ class Classifier:
         self.features = written(pooled(rows, self.vectors), f"{workspace(docs.sparkSession, 'quality')}/features")
         marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(fold() != 0).distinct()
         learnt = self.features.join(marked, "doc_id").select("doc_id", "features", "quality", fold().alias("fold"))
-        sample = learnt.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features").limit(most_labelled).collect()
+        # Hashes below a cut keep about most_labelled rows; a sort with a limit would send as many from every task.
+        place, n = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), learnt.count()
+        near = learnt.withColumn("place", place).filter(F.col("place") < int(min(1.0, most_labelled / max(n, 1)) * (1 << 40)))
+        sample = sorted(near.collect(), key=lambda r: (r.place, r.doc_id, r.quality, r.features))[:most_labelled]
         x, y = np.array([r.features for r in sample], np.float64), np.array([r.quality for r in sample], np.int64)
         self.network = Network(x, y, np.array([r.fold == 1 for r in sample], bool))
 
