@@ -100,42 +100,38 @@ def box_overlaps(boxes: DataFrame, by: list[str], key: str, box: tuple[str, str,
 def suppress(detections: DataFrame, overlaps: DataFrame, by: list[str], key: str, score: str, most: float) -> DataFrame:
     """Greedy non-maximum suppression within each group: by score, then key; kept if its IoU with all kept ones is at most ``most``.
 
-    A greedy choice is sequential, so a frame is one task; only the overlapping pairs above ``most`` reach it, as arrays.
+    A greedy choice is sequential, so it is a fold over a frame's detections in order; only those that overlap another above ``most`` are in it.
     """
     bad = overlaps.filter(F.col("iou") > most)
     both = bad.select(*by, F.col("a").alias("k"), F.col("b").alias("o")).unionByName(bad.select(*by, F.col("b").alias("k"), F.col("a").alias("o")))
     foes = both.groupBy(*by, "k").agg(F.collect_set("o").alias("foes")).withColumnRenamed("k", key)
     rows = detections.select(*by, key, score).join(foes, [*by, key], "left")
     clear = rows.filter("foes IS NULL").select(*by, key)
+    kind = detections.schema[key].dataType.simpleString()
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), "foes")))
+    chosen = rows.filter("foes IS NOT NULL").groupBy(*by).agg(ordered.alias("d")).select(*by, F.explode(_fold_kept(kind)).alias(key))
+    return clear.unionByName(chosen)
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([score, key], ascending=[False, True])
-        kept: set = set()
-        for k, foes_ in zip(frame[key], frame["foes"]):
-            if kept.isdisjoint(foes_):
-                kept.add(k)
-        return frame[frame[key].isin(kept)][[*by, key]]
 
-    schema = ", ".join(f"`{c}` {detections.schema[c].dataType.simpleString()}" for c in [*by, key])
-    return clear.unionByName(rows.filter("foes IS NOT NULL").groupBy(*by).applyInPandas(choose, schema))
+def _fold_kept(kind: str) -> Column:
+    """The keys that stay of a column d of (score, key, foes) in order."""
+    free = lambda kept, d: ~F.arrays_overlap(kept, d["foes"])
+    return F.aggregate("d", F.array().cast(f"array<{kind}>"), lambda kept, d: F.when(free(kept, d), F.concat(kept, F.array(d["k"]))).otherwise(kept))
 
 
 def match_greedy(pairs: DataFrame, by: list[str], prediction: str, truth: str, score: str, iou: str, least: float = 0.5) -> DataFrame:
-    """One-to-one matches in each group: predictions by score take the free truth with the highest IoU of ``least`` or more."""
-    rows = pairs.filter(F.col(iou) >= least)
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([score, prediction, iou, truth], ascending=[False, True, False, True])
-        used_p, used_t, out = set(), set(), []
-        for i, (p, t) in enumerate(zip(frame[prediction], frame[truth])):
-            if p not in used_p and t not in used_t:
-                used_p.add(p)
-                used_t.add(t)
-                out.append(i)
-        return frame.iloc[out][[*by, prediction, truth, iou]]
-
-    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in [*by, prediction, truth, iou])
-    return rows.select(*by, prediction, truth, score, iou).groupBy(*by).applyInPandas(match, schema)
+    """One-to-one matches in each group: predictions by score take the free truth with the highest IoU of ``least`` or more. A fold over a frame's pairs in order."""
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in (prediction, truth, iou)}
+    pair = F.struct((-F.col(score)).alias("s"), F.col(prediction).alias("p"), (-F.col(iou)).alias("i"), F.col(truth).alias("t"))
+    grouped = pairs.filter(F.col(iou) >= least).groupBy(*by).agg(F.array_sort(F.collect_list(pair)).alias("d"))
+    zero = F.array().cast(f"array<struct<p:{kinds[prediction]},t:{kinds[truth]},iou:{kinds[iou]}>>")
+
+    def step(out: Column, d: Column) -> Column:
+        used = F.exists(out, lambda m: (m["p"] == d["p"]) | (m["t"] == d["t"]))
+        return F.when(used, out).otherwise(F.concat(out, F.array(F.struct(d["p"].alias("p"), d["t"].alias("t"), (-d["i"]).alias("iou")))))
+
+    matched = grouped.select(*by, F.explode(F.aggregate("d", zero, step)).alias("m"))
+    return matched.select(*by, F.col("m.p").alias(prediction), F.col("m.t").alias(truth), F.col("m.iou").alias(iou))
 
 
 def match_scores(matches: DataFrame, predictions: DataFrame, truths: DataFrame, by: list[str]) -> DataFrame:

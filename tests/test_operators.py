@@ -114,3 +114,9 @@ def test_labels_and_bins(spark):
     ).first()
     assert (row.a, row.b, row.p, row.g) == ("r562 t5 to r563 t3", "r1 train 2", "2.0e-05", -90)
     assert row.e == pytest.approx([1, 10, 100]) and row.m == pytest.approx([10**0.5, 10**1.5])
+
+
+def test_greedy_matching(spark):
+    pairs = spark.createDataFrame([(1, 1, 7, 0.9, 0.6), (1, 1, 8, 0.9, 0.8), (1, 2, 8, 0.8, 0.9), (1, 2, 7, 0.8, 0.55), (1, 3, 7, 0.7, 0.99), (1, 3, 9, 0.7, 0.2)], "f int, p int, t int, s double, iou double")
+    got = {(r.p, r.t) for r in geometry.match_greedy(pairs, ["f"], "p", "t", "s", "iou").collect()}
+    assert got == {(1, 8), (2, 7)}
