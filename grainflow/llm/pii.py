@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainflow.llm.common import text_or_empty
-from grainflow.llm.pii_spans import KINDS, SPAN, base_spans, candidate_spans, features, shown
+from grainflow.llm.pii_spans import KINDS, SPAN, base_spans, candidate_spans, features, let, run_of, runs_of, shown
 
 #: Made-up sentences; a quarter of them calibrate the thresholds.
 TRAINING, TREES, DEPTH, PRECISION = 8000, 16, 4, 0.98
@@ -171,19 +171,27 @@ def fit(spark: SparkSession, rows: int = TRAINING, trees: int = TREES, depth: in
 
 def _chosen(spans: Column) -> Column:
     """Of spans by start, each with a score (null: a base span), those that overlap no base span and, of two that overlap, the one
-    with the higher score, then the first. One pass: chosen spans don't overlap, so a new span meets the last one at most."""
-    zero = F.struct(F.array().cast(f"array<struct<span:{SPAN},score:double>>").alias("chosen"), F.lit(0).alias("taken"))
+    with the higher score, then the first. One pass, in runs: chosen spans don't overlap, so a new span meets the last one at most."""
+    rated = f"struct<span:{SPAN},score:double>"
+    none, nothing = F.array().cast(f"array<{rated}>"), F.lit(None).cast(rated)
+
+    def state(chosen: Column, last: Column, taken: Column) -> Column:
+        return F.struct(chosen.alias("chosen"), last.alias("last"), taken.alias("taken"))
 
     def step(done: Column, s: Column) -> Column:
-        chosen, span, base = done["chosen"], s["span"], s["score"].isNull()
-        last = F.get(chosen, F.size(chosen) - 1)
+        last, span, base = done["last"], s["span"], s["score"].isNull()
         apart = last.isNull() | (last["span"]["end"] <= span["start"])
-        others = F.slice(chosen, F.lit(1), F.size(chosen) - 1)
         worse = ~base & ((span["start"] < done["taken"]) | (~apart & (s["score"] <= last["score"])))
-        new = F.when(worse, chosen).when(base, F.when(apart, chosen).otherwise(others)).when(apart, F.concat(chosen, F.array(s))).otherwise(F.concat(others, F.array(s)))
-        return F.struct(new.alias("chosen"), F.when(base, F.greatest(done["taken"], span["end"])).otherwise(done["taken"]).alias("taken"))
+        chosen = F.when(apart & last.isNotNull() & ~worse & ~base, F.concat(done["chosen"], F.array(last))).otherwise(done["chosen"])
+        pending = F.when(base, F.when(apart, last)).when(worse, last).otherwise(s)
+        return state(chosen, pending, F.when(base, F.greatest(done["taken"], span["end"])).otherwise(done["taken"]))
+
+    def of_run(spans: Column, done: Column, k: Column) -> Column:
+        run = F.aggregate(run_of(spans, k), state(none, done["last"], done["taken"]), step)
+        return let(run, lambda r: state(F.concat(done["chosen"], r["chosen"]), r["last"], r["taken"]))
 
-    return F.aggregate(spans, zero, step, lambda done: done["chosen"])
+    whole = lambda spans: F.aggregate(runs_of(spans), state(none, nothing, F.lit(0)), lambda done, k: of_run(spans, done, k), lambda done: F.array_compact(F.concat(done["chosen"], F.array(done["last"]))))
+    return let(spans, whole)
 
 
 def find_personal_data(docs: DataFrame, model: Model) -> DataFrame:

@@ -33,13 +33,16 @@ GENERATORS = {
 }
 GENERATOR_NEEDS = {"email": r"@|[ (\[]at[ )\]]", "ip": r"[0-9] ?[.,:] ?[0-9]", "card": r"[0-9][\x20./_-]{0,2}[0-9]", "phone": r"[0-9][\x20()./-]{0,3}[0-9]"}
 CONTEXT = 24
+#: Matches whose spans one array gathers before the arrays are joined: appending copies an array, so a text with very many matches
+#: is taken in runs, and its time stays near the number of matches.
+RUN = 128
 
 
 def matches(text: Column, pattern: str, needs: str, kind: str) -> Column:
     """The matches of ``pattern`` as an array of SPAN; places are code points, the end is exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(done: Column, pair: Column) -> Column:
         start = done["at"] + F.length(pair["gap"])
@@ -54,10 +57,33 @@ def matches(text: Column, pattern: str, needs: str, kind: str) -> Column:
         )
         return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
+    def of_run(pairs: Column, lengths: Column, k: Column) -> Column:
+        at = F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(0), lambda n, m: n + m)
+        return F.aggregate(run_of(pairs, k), F.struct(at.alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+
+    def spans(pairs: Column) -> Column:
+        runs = runs_of(pairs)
+        length = lambda k: F.aggregate(run_of(pairs, k), F.lit(0), lambda n, p: n + F.length(p["gap"]) + F.length(p["value"]))
+        of_runs = let(F.transform(runs, length), lambda lengths: F.transform(runs, lambda k: of_run(pairs, lengths, k)))
+        return F.flatten(of_runs)
+
     behind = F.slice(gaps, F.lit(2), F.size(found))
     pairs = F.filter(F.arrays_zip(found.alias("value"), gaps.alias("gap"), behind.alias("next")), lambda p: p["value"].isNotNull())
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(text.rlike(needs), F.aggregate(pairs, zero, step, lambda done: done["spans"])).otherwise(none)
+    return F.when(text.rlike(needs), let(pairs, spans)).otherwise(none)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def runs_of(array: Column) -> Column:
+    """The numbers of the runs of an array; an empty one has one run without elements."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(array) - 1) / RUN).cast("int")))
+
+
+def run_of(array: Column, k: Column) -> Column:
+    return F.slice(array, k * RUN + 1, F.lit(RUN))
 
 
 def digits_of(value: Column) -> Column:

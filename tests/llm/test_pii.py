@@ -76,3 +76,12 @@ def test_precision_and_recall_on_new_sentences(spark):
     rated = new.select("kind", "y", F.get(F.transform(F.array("f"), lambda f: scored(model, f)), F.lit(0)).alias("score"))
     for r in rated.groupBy("kind").agg(F.sum((F.col("score") >= least[F.col("kind")]).cast("int") * F.col("y")).alias("hit"), F.sum("y").alias("all"), F.sum((F.col("score") >= least[F.col("kind")]).cast("int")).alias("said")).collect():
         assert r.hit / r.said > 0.9 and r.hit / r.all > 0.8, r
+
+
+def test_a_text_with_very_many_spans(spark):
+    """Runs of spans join as one list does: every address is found where it is, and the overlapping ones at the runs' ends too."""
+    text = "".join(f"mail a{k}@b.c, 10.0.{k % 250}.7 call 0{k % 900 + 100} 555 {k % 9000 + 1000} " for k in range(20_000))
+    found = find_personal_data(docs_frame(spark, [(1, text)]), fit(spark))
+    check(digest(found).collect(), {1: text})
+    spans = sorted((s.start, s.end, s.kind) for s in found.first().spans)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and all(text[a:b] == s.value for s in found.first().spans for a, b in [(s.start, s.end)])
