@@ -63,3 +63,48 @@ def hold_out(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
 def fingerprint(*columns: str) -> Column:
     """16 hex digits of a row's content."""
     return F.substring(F.sha1(F.to_json(F.struct(*columns))), 1, 16)
+
+
+def draft_status(wanted: DataFrame, documents: DataFrame, elsewhere: DataFrame, key: str, overwrite: bool = False) -> DataFrame:
+    """What drafting does with each wanted frame: skip what exists, copy what was reviewed elsewhere, predict the rest.
+
+    documents: key, reviewed, edited (nulls are false). With ``overwrite``, a document that nobody reviewed or edited is drafted anew.
+    """
+    d = documents.groupBy(F.col(key).alias("_k")).agg(F.bool_or(F.coalesce("reviewed", F.lit(False))).alias("_r"), F.bool_or(F.coalesce("edited", F.lit(False))).alias("_e"))
+    e = elsewhere.select(F.col(key).alias("_x")).distinct()
+    joined = wanted.join(d, F.col(key) == F.col("_k"), "left").join(e, F.col(key) == F.col("_x"), "left")
+    status = (
+        F.when(F.col("_r"), "skipped (exists, reviewed)")
+        .when(F.col("_e"), "skipped (exists, corrected)")
+        .when(F.col("_k").isNotNull() & F.lit(not overwrite), "skipped (exists)")
+        .when(F.col("_x").isNotNull(), "copied (reviewed elsewhere)")
+        .otherwise("predict")
+    )
+    return joined.select(*wanted.columns, status.alias("status"))
+
+
+def to_stage(candidates: DataFrame, stage: DataFrame, key: str) -> DataFrame:
+    """Candidates that the stage doesn't hold yet, each key once; what is staged is never overwritten."""
+    return candidates.join(stage.select(key), key, "left_anti").dropDuplicates([key])
+
+
+def next_work(documents: DataFrame, folder: str, name: str) -> DataFrame:
+    """The document to open next in each folder: folder, mode, next, n_open.
+
+    A folder with drafts is a results folder: the first unreviewed document is next. Else it holds training frames: the first without bubbles,
+    or with an uncorrected draft, is. Where nothing is open, the first document is.
+    documents: reviewed, drafted_at, n_bubbles, draft, n_rois.
+    """
+    no = F.lit(False)
+    touched = F.coalesce("reviewed", no) | (F.coalesce("n_rois", F.lit(0)) > 0)
+    unreviewed, unfinished = ~F.coalesce("reviewed", no), (F.coalesce("n_bubbles", F.lit(0)) == 0) | (F.coalesce("draft", no) & ~touched)
+    per = documents.groupBy(folder).agg(
+        F.bool_or(F.col("drafted_at").isNotNull()).alias("results"),
+        F.min(name).alias("first"),
+        F.min(F.when(unreviewed, F.col(name))).alias("r"),
+        F.min(F.when(unfinished, F.col(name))).alias("t"),
+        F.count_if(unreviewed).alias("nr"),
+        F.count_if(unfinished).alias("nt"),
+    )
+    results = F.col("results")
+    return per.select(folder, F.when(results, "results").otherwise("training").alias("mode"), F.coalesce(F.when(results, F.col("r")).otherwise(F.col("t")), F.col("first")).alias("next"), F.when(results, F.col("nr")).otherwise(F.col("nt")).alias("n_open"))

@@ -7,9 +7,9 @@ ORACLE_SQL: dict = {}
 
 
 def _gather() -> None:
-    from grainflow.plans import distributions, frames, population, populations, sequences
+    from grainflow.plans import comparisons, distributions, frames, population, populations, sequences
 
-    for module in (population, sequences, distributions, frames, populations):
+    for module in (population, sequences, distributions, frames, populations, comparisons):
         QUERIES.update(module.QUERIES)
         ORACLE_SQL.update(module.ORACLE_SQL)
 

@@ -103,3 +103,36 @@ def to_json_documents(bubbles: DataFrame, key: list[str]) -> DataFrame:
     """One JSON text for each frame, its shapes in the order of bubble_id. A frame's shapes are one document, as the format asks."""
     shapes = F.array_sort(F.collect_list(F.struct("bubble_id", "shape")))
     return bubbles.groupBy(*key).agg(F.to_json(F.struct(F.transform(shapes, lambda s: s["shape"]).alias("bubbles"))).alias("document"))
+
+
+def frames_numbered(index: DataFrame, number: int, runs: list[str] | None = None) -> DataFrame:
+    """One frame number of every train: the rows of an index with that frame_idx, in run order."""
+    hit = index.filter(F.col("frame_idx") == number)
+    return (hit.filter(F.col("run").isin(runs)) if runs else hit).orderBy(*run_order(F.col("run")), "train")
+
+
+def run_order(run: Column) -> list[Column]:
+    """Sort keys of run names: by the number in the name, then by the name."""
+    return [_or_null(F.regexp_replace(run, r"\D", "")).cast("long").asc(), run.asc()]
+
+
+def ordered_runs(members: DataFrame) -> DataFrame:
+    """set, runs: the runs of each set (set, run), each once, in the order of ``run_order``."""
+    number = F.coalesce(_or_null(F.regexp_replace("run", r"\D", "")).cast("long"), F.lit(-1))
+    return members.groupBy("set").agg(F.array_sort(F.collect_set(F.struct(number.alias("number"), "run"))).alias("runs")).select("set", F.col("runs.run").alias("runs"))
+
+
+def resolve_images(frames: DataFrame, files: DataFrame) -> DataFrame:
+    """frames (frame, run, frame_path) with image: the first that is among files (path) of the frame's TIF, frame_path and raw/jpg_<run>/<frame>.jpg; else null."""
+    name = F.element_at(F.split("path", "/"), -1)
+    tifs = files.filter(name.rlike(r"(?i)\.tiff?$")).groupBy(stem(F.col("path")).alias("_t")).agg(F.min("path").alias("_tif"))
+    own = files.select(F.col("path").alias("_own")).distinct()
+    raw = files.groupBy(F.substring_index("path", "/", -2).alias("_r")).agg(F.min("path").alias("_raw"))
+    wanted = F.concat(F.lit("jpg_"), F.col("run"), F.lit("/"), F.col("frame"), F.lit(".jpg"))
+    found = frames.join(tifs, F.col("frame") == F.col("_t"), "left").join(own, F.col("frame_path") == F.col("_own"), "left").join(raw, wanted == F.col("_r"), "left")
+    return found.select(*frames.columns, F.coalesce("_tif", "_own", "_raw").alias("image"))
+
+
+def latest_run_info(log: DataFrame, key: list[str]) -> DataFrame:
+    """The newest entry of an append-only run log (key, at, info, selection) and the selections of all entries, oldest first."""
+    return log.groupBy(*key).agg(F.max("at").alias("at"), F.max_by("info", "at").alias("info"), F.transform(F.array_sort(F.collect_list(F.struct("at", "selection"))), lambda e: e["selection"]).alias("selections"))
