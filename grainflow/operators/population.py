@@ -76,8 +76,20 @@ def interpolated(points: DataFrame, by: list[str], x: str, y: str, asked: DataFr
     return a.join(seg, by).filter(hit).select(*by, at, value.alias(y))
 
 
+#: Rows up to which the signed-rank test counts sign patterns; 2 ** 50 is exact as a double.
+EXACT = 50
+
+
+def signed_rank_tail(n: Column, w: Column) -> Column:
+    """The share of the 2 ** n sign patterns of the ranks 1 to n whose positive ranks sum to at most w."""
+    added = lambda ways, i: F.zip_with(F.concat(ways, F.array_repeat(F.lit(0.0), i)), F.concat(F.array_repeat(F.lit(0.0), i), ways), lambda a, b: a + b)
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), added)
+    return F.aggregate(F.slice(ways, F.lit(1), F.floor(w).cast("int") + 1), F.lit(0.0), lambda a, v: a + v) / F.pow(F.lit(2.0), n)
+
+
 def wilcoxon(df: DataFrame, by: list[str], value: Column, least: int = 6) -> DataFrame:
-    """Signed ranks of ``value`` against 0: n (zeros left out), w_plus, w_minus, two-sided p of the normal form with tie correction."""
+    """Signed ranks of ``value`` against 0: n (zeros left out), w_plus, w_minus, two-sided p. It is exact for up to ``EXACT`` rows without ties, else
+    that of the normal form with tie correction."""
     from grainflow.operators.distribution import normal_sf
 
     rows = df.select(*by, value.cast("double").alias("v")).filter("v IS NOT NULL AND v <> 0")
@@ -88,4 +100,6 @@ def wilcoxon(df: DataFrame, by: list[str], value: Column, least: int = 6) -> Dat
     out = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("w_minus"), F.sum(t * t * t - t).alias("ties")).filter(F.col("n") >= least)
     n = F.col("n").cast("double")
     z = (F.greatest("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return out.select(*by, "n", "w_plus", "w_minus", F.least(F.lit(1.0), normal_sf(z) * 2).alias("p"))
+    exact = (F.col("n") <= EXACT) & (F.col("ties") == 0)
+    p = F.when(exact, signed_rank_tail(F.col("n"), F.least("w_plus", "w_minus"))).otherwise(normal_sf(z)) * 2
+    return out.select(*by, "n", "w_plus", "w_minus", F.least(F.lit(1.0), p).alias("p"))

@@ -29,6 +29,16 @@ def _log_lognormal_pdf(x, p):
     return -np.log(x * sigma * math.sqrt(2 * math.pi)) - (np.log(x) - mu) ** 2 / (2 * sigma * sigma)
 
 
+def _log_generalised_gamma_pdf(x, p):
+    a, c, s = np.exp(p)
+    return np.log(c) - np.log(s) + (c * a - 1) * np.log(x / s) - (x / s) ** c - math.lgamma(a)
+
+
+def _log_mixture_pdf(x, p):
+    """Two lognormals; p[0] is the logit of the first one's share."""
+    return np.logaddexp(-np.logaddexp(0, -p[0]) + _log_lognormal_pdf(x, p[1:3]), -np.logaddexp(0, p[0]) + _log_lognormal_pdf(x, p[3:5]))
+
+
 def _mean_sd(x, w):
     m = (w * x).sum() / w.sum()
     return m, math.sqrt(max(1e-12, (w * (x - m) ** 2).sum() / w.sum()))
@@ -49,8 +59,20 @@ def _start_lognormal(x, w):
     return np.array([m, math.log(max(s, 1e-6))])
 
 
+def _start_generalised_gamma(x, w):
+    return np.array([0.0, *_start_weibull(x, w)])
+
+
+def _start_mixture(x, w):
+    m, s = _mean_sd(np.log(x), w)
+    spread = math.log(max(0.6 * s, 1e-6))
+    return np.array([0.0, m - 0.8 * s, spread, m + 0.8 * s, spread])
+
+
 #: name -> (log density, start). Add a family by adding an entry.
-MODELS: dict[str, tuple[Callable, Callable]] = {"lognormal": (_log_lognormal_pdf, _start_lognormal), "gamma": (_log_gamma_pdf, _start_gamma), "weibull": (_log_weibull_pdf, _start_weibull)}
+MODELS: dict[str, tuple[Callable, Callable]] = {
+    "lognormal": (_log_lognormal_pdf, _start_lognormal), "gamma": (_log_gamma_pdf, _start_gamma), "weibull": (_log_weibull_pdf, _start_weibull), "generalised_gamma": (_log_generalised_gamma_pdf, _start_generalised_gamma), "mixture": (_log_mixture_pdf, _start_mixture),
+}
 
 
 def fit_model(name: str, x: np.ndarray, w: np.ndarray, least: float) -> tuple[np.ndarray, float] | None:
@@ -72,7 +94,7 @@ def fit_model(name: str, x: np.ndarray, w: np.ndarray, least: float) -> tuple[np
     best = np.array(start(x, w), float)
     simplex = [best, *(best + step for step in np.eye(len(best)) * 0.3)]
     values = [nll(p) for p in simplex]
-    for _ in range(400):
+    for _ in range(200 * len(best)):
         order = np.argsort(values, kind="stable")
         simplex, values = [simplex[i] for i in order], [values[i] for i in order]
         if values[-1] - values[0] <= 1e-10 * abs(values[0]) + 1e-10:
@@ -98,27 +120,40 @@ def fit_model(name: str, x: np.ndarray, w: np.ndarray, least: float) -> tuple[np
     return simplex[k], values[k]
 
 
+def moments(name: str, p: np.ndarray, x: np.ndarray) -> tuple[float, float, float]:
+    """Mode, mean and skewness of a family that isn't cut off, by quadrature on a grid around the values ``x``."""
+    grid = np.exp(np.linspace(math.log(x.min() * 1e-3), math.log(x.max() * 20), 8001))
+    with np.errstate(all="ignore"):
+        f = np.nan_to_num(np.exp(MODELS[name][0](grid, p)))
+    integral = lambda y: float(((y[1:] + y[:-1]) / 2 * np.diff(grid)).sum())
+    mass = max(integral(f), 1e-300)
+    mean = integral(grid * f) / mass
+    second, third = (integral((grid - mean) ** k * f) / mass for k in (2, 3))
+    return float(grid[int(np.argmax(f))]), mean, third / max(second, 1e-300) ** 1.5
+
+
 def model_table(df: DataFrame, by: list[str], value: str, least: float, weight: str | None = None) -> DataFrame:
-    """by, model, p1, p2, nll, aic, daic (to the group's best) and rank, for each family. Each (group, family) is a task's work of its own."""
+    """by, model, params, nll, mode, mean, skewness, aic, daic (to the group's best) and rank, for each family. Each (group, family) is a task's work of its own."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(*by, F.col(value).cast("double").alias("v"), w.alias("w")).filter((F.col("v") >= least) & (F.col("v") > 0)).groupBy(*by, "v").agg(F.sum("w").alias("w"))
     rows = rows.withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
 
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("v")
-        found = fit_model(key[-1], frame["v"].to_numpy(float), frame["w"].to_numpy(float), least)
-        p, nll = found if found else ((None, None), None)
-        return pd.DataFrame([[*key, p[0], p[1], nll]], columns=[*by, "model", "p1", "p2", "nll"])
+        x = frame["v"].to_numpy(float)
+        found = fit_model(key[-1], x, frame["w"].to_numpy(float), least)
+        row = [list(found[0]), found[1], *moments(key[-1], found[0], x)] if found else [None] * 5
+        return pd.DataFrame([[*key, *row]], columns=[*by, "model", "params", "nll", "mode", "mean", "skewness"])
 
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
-    fits = rows.groupBy(*by, "model").applyInPandas(fit, f"{kinds}model string, p1 double, p2 double, nll double")
+    fits = rows.groupBy(*by, "model").applyInPandas(fit, f"{kinds}model string, params array<double>, nll double, mode double, mean double, skewness double")
     own = Window.partitionBy(*by)
-    fits = fits.withColumn("aic", 2 * F.col("nll") + 4)
+    fits = fits.withColumn("aic", 2 * F.col("nll") + 2 * F.size("params"))
     return fits.select("*", (F.col("aic") - F.min("aic").over(own)).alias("daic"), F.row_number().over(own.orderBy(F.col("aic").asc_nulls_last(), "model")).alias("rank"))
 
 
 def bootstrap_runs(df: DataFrame, run: str, value: str, least: float, resamples: int = 100, seed: int = 0, model: str = "lognormal") -> DataFrame:
-    """resample, p1, p2: refits to whole runs drawn with replacement. Draws are made from the few run names; values are counted per run before."""
+    """resample, params: refits to whole runs drawn with replacement. Draws are made from the few run names; values are counted per run before."""
     counts = df.select(run, F.col(value).cast("double").alias("v")).filter((F.col("v") >= least) & (F.col("v") > 0)).groupBy(run, "v").agg(F.count(F.lit(1)).alias("c"))
     runs = [r[0] for r in counts.select(run).distinct().orderBy(run).collect()]
     rng = np.random.default_rng(seed)
@@ -129,6 +164,6 @@ def bootstrap_runs(df: DataFrame, run: str, value: str, least: float, resamples:
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("v")
         found = fit_model(model, frame["v"].to_numpy(float), frame["w"].to_numpy(float), least)
-        return pd.DataFrame([[key[0], *(found[0] if found else (None, None))]], columns=["resample", "p1", "p2"])
+        return pd.DataFrame({"resample": [key[0]], "params": [list(found[0]) if found else None]})
 
-    return rows.groupBy("resample").applyInPandas(fit, "resample int, p1 double, p2 double")
+    return rows.groupBy("resample").applyInPandas(fit, "resample int, params array<double>")

@@ -51,11 +51,12 @@ def signed_ranks(spark, sf_dir):
 
 
 def size_model_table(spark, sf_dir):
-    return rounded(size_models.model_table(bubbles(spark, sf_dir), ["run"], "r", 5.0).drop("p1", "p2"), 2)
+    return rounded(size_models.model_table(bubbles(spark, sf_dir), ["run"], "r", 5.0).drop("params"), 2)
 
 
 def bootstrap(spark, sf_dir):
-    return rounded(size_models.bootstrap_runs(bubbles(spark, sf_dir), "run", "r", 5.0, resamples=20), 4)
+    fits = size_models.bootstrap_runs(bubbles(spark, sf_dir), "run", "r", 5.0, resamples=20)
+    return rounded(fits.select("resample", F.get("params", F.lit(0)).alias("mu"), F.get("params", F.lit(1)).alias("log_sigma")), 4)
 
 
 QUERIES = {

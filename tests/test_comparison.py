@@ -1,12 +1,13 @@
 """Comparison, drafting, image and source operators on small tables, with nulls, ties and empty tables."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainflow.operators import arrays, comparison, maintenance
+from grainflow.operators import arrays, comparison, maintenance, population, size_models
 from grainflow.sources import shapes
 
 
@@ -82,3 +83,25 @@ def test_numbered_frames_and_run_log(spark):
     assert [r.run for r in shapes.frames_numbered(index, 5, ["r010"]).collect()] == ["r010"]
     log = spark.createDataFrame([("r1", 2, "new", "b"), ("r1", 1, "old", "a")], "run string, at int, info string, selection string")
     assert tuple(shapes.latest_run_info(log, ["run"]).first()) == ("r1", 2, "new", ["a", "b"])
+
+
+def test_exact_signed_ranks_against_all_patterns(spark):
+    v = [1.5, -2.5, 3.5, 4.5, -0.5, 5.5, 6.5]
+    df = spark.createDataFrame([("a", x) for x in v] + [("a", 0.0), ("a", None)] + [("b", 1.0)] * 7, "g string, v double")
+    found = {r.g: r for r in population.wilcoxon(df, ["g"], F.col("v")).collect()}
+    ranks = np.argsort(np.argsort(np.abs(v))) + 1
+    low = min(ranks[np.array(v) > 0].sum(), ranks[np.array(v) < 0].sum())
+    sums = [sum(r for r, up in zip(ranks, p) if up) for p in itertools.product((0, 1), repeat=len(v))]
+    assert found["a"].n == 7 and found["a"].p == pytest.approx(2 * np.mean([s <= low for s in sums]))
+    assert found["b"].n == 7 and 0 < found["b"].p < 0.05  # ties: the normal form
+
+
+def test_wider_families(spark):
+    rng = np.random.default_rng(5)
+    both = np.round(np.concatenate([rng.lognormal(1.0, 0.25, 1500), rng.lognormal(2.5, 0.3, 1500)]), 1)
+    table = {r.model: r for r in size_models.model_table(spark.createDataFrame([(float(x),) for x in both], "v double").withColumn("g", F.lit(1)), ["g"], "v", 1.0).collect()}
+    best = table["mixture"]
+    assert best["rank"] == 1 and best.daic == 0 and sorted((best.params[1], best.params[3])) == pytest.approx([1.0, 2.5], abs=0.06)
+    assert best.mean == pytest.approx(both.mean(), rel=0.03)
+    assert table["generalised_gamma"].nll <= min(table["gamma"].nll, table["weibull"].nll) + 0.5
+    assert len(table["generalised_gamma"].params) == 3 and table["lognormal"].aic == pytest.approx(2 * table["lognormal"].nll + 4)
