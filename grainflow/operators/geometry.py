@@ -41,6 +41,62 @@ def polygon_moments(points: Column) -> dict[str, Column]:
     return {"area": F.abs(signed), "row": F.try_divide(total(lambda z: (r0(z) + r1(z)) * cross(z)), signed * 6), "col": F.try_divide(total(lambda z: (c0(z) + c1(z)) * cross(z)), signed * 6)}
 
 
+def polygon_ellipse(points: Column) -> Column:
+    """The ellipse with a polygon's area, centroid and direction of second moments, as a struct: row, col, semi_major, semi_minor, angle_deg. Null for a polygon without area."""
+    m = polygon_moments(points)
+    turned = F.concat(F.slice(points, F.lit(2), F.size(points) - 1), F.slice(points, F.lit(1), F.lit(1)))
+    pair = F.arrays_zip(points.alias("p"), turned.alias("q"))
+    p, q = (lambda z, j: F.get(z["p"], F.lit(j))), (lambda z, j: F.get(z["q"], F.lit(j)))
+    cross = lambda z: p(z, 1) * q(z, 0) - q(z, 1) * p(z, 0)
+    total = lambda f: F.aggregate(pair, F.lit(0.0), lambda a, z: a + f(z) * cross(z))
+    twice = total(lambda z: F.lit(1.0))
+    second = lambda j: F.try_divide(total(lambda z: p(z, j) * p(z, j) + p(z, j) * q(z, j) + q(z, j) * q(z, j)), twice * 6)
+    mixed = F.try_divide(total(lambda z: p(z, 1) * q(z, 0) + 2 * p(z, 1) * p(z, 0) + 2 * q(z, 1) * q(z, 0) + q(z, 1) * p(z, 0)), twice * 12)
+    sums = F.struct(m["area"].alias("area"), m["row"].alias("row"), m["col"].alias("col"), second(0).alias("rr"), second(1).alias("cc"), mixed.alias("rc"))
+
+    def ellipse(m: Column) -> Column:
+        rr, cc, rc = m["rr"] - m["row"] * m["row"], m["cc"] - m["col"] * m["col"], m["rc"] - m["row"] * m["col"]
+        half, spread = (cc + rr) / 2, F.hypot((cc - rr) / 2, rc)
+        # A filled ellipse's variances are a quarter of its squared half axes; the area fixes the scale.
+        ratio = F.sqrt(F.try_divide(half + spread, half - spread))
+        whole = (F.size(points) >= 3) & (m["area"] >= 1e-6) & (half > spread)
+        out = {"row": m["row"], "col": m["col"], "semi_major": F.sqrt(m["area"] / math.pi * ratio), "semi_minor": F.sqrt(m["area"] / math.pi / ratio), "angle_deg": F.degrees(0.5 * F.atan2(2 * rc, cc - rr))}
+        return F.when(whole, F.struct(*(v.alias(k) for k, v in out.items())))
+
+    return F.get(F.transform(F.array(sums), ellipse), F.lit(0))  # the sums are found once
+
+
+def ellipse_corners(row: Column, col: Column, a: Column, b: Column, angle_deg: Column) -> Column:
+    """The four corners [row, column] of an ellipse's box, in the order that ``box_halves`` expects."""
+    t = F.radians(angle_deg)
+    corner = lambda i, j: F.array(row + i * a * F.sin(t) + j * b * F.cos(t), col + i * a * F.cos(t) - j * b * F.sin(t))
+    return F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
+
+
+def with_visibility(df: DataFrame, height: float, width: float, least_arc: float, points: int = 360) -> DataFrame:
+    """Ellipses (y, x, semi_major, semi_minor, angle_deg, fit_kind) that are in the image at least in part, with what is seen of them.
+
+    Adds shape_type, eccentricity, outline_visible_frac, arc_deg, edge_truncated, fit_reliable. Ellipses outside the image go: no point of the outline is in it, nor does
+    the ellipse cover its centre. Drafts of slivers are truncated and never reliable.
+    """
+    a, b, t = F.col("semi_major"), F.col("semi_minor"), F.radians("angle_deg")
+    seen = lambda p: F.get(p, F.lit(0)).between(-0.5, height - 0.5) & F.get(p, F.lit(1)).between(-0.5, width - 0.5)
+    share = F.size(F.filter(outline(F.col("y"), F.col("x"), a, b, F.col("angle_deg"), points), seen)) / points
+    dy, dx = (height - 1) / 2 - F.col("y"), (width - 1) / 2 - F.col("x")
+    covers = F.pow((dx * F.cos(t) + dy * F.sin(t)) / a, F.lit(2.0)) + F.pow((dy * F.cos(t) - dx * F.sin(t)) / b, F.lit(2.0)) <= 1
+    kept = df.filter(b > 0).withColumn("outline_visible_frac", share).filter((F.col("outline_visible_frac") > 0) | covers)
+    sliver, whole = F.coalesce(F.col("fit_kind") == "sliver", F.lit(False)), F.col("outline_visible_frac") == 1
+    return kept.withColumns(
+        {
+            "shape_type": F.when(b >= a * 0.999, "circle").otherwise("ellipse"),
+            "eccentricity": F.sqrt(F.greatest(F.lit(0.0), 1 - (b / a) * (b / a))),
+            "arc_deg": F.col("outline_visible_frac") * 360,
+            "edge_truncated": ~whole | sliver,
+            "fit_reliable": ~sliver & (whole | (F.col("outline_visible_frac") * 360 >= least_arc)),
+        }
+    )
+
+
 def outline(row: Column, col: Column, a: Column, b: Column, angle_deg: Column, n: int = 128) -> Column:
     """n points of an ellipse's outline as an array of [row, column]."""
     t = F.radians(angle_deg)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainflow.operators import arrays, comparison, maintenance
+from grainflow.operators import arrays, comparison, geometry, maintenance
 from grainflow.operators import regression as reg
 from grainflow.plans.base import SQL, bubbles, read, rounded, trains
 
@@ -75,9 +75,22 @@ def stretched(spark, sf_dir):
     return rounded(e.select("vec_id", mean.alias("mean"), F.size(F.filter("p", lambda v: v == 0)).cast("long").alias("at_zero")), 5)
 
 
+def visibility(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        (F.col("o_custkey") % 300 - 25).cast("double").alias("y"),
+        (F.col("o_orderkey") % 460 - 30).cast("double").alias("x"),
+        (F.col("o_totalprice") / 10000).alias("semi_major"),
+        (F.col("o_totalprice") / 20000).alias("semi_minor"),
+        (F.col("o_orderkey") % 180).cast("double").alias("angle_deg"),
+        F.when(F.col("o_orderstatus") == "P", "sliver").alias("fit_kind"),
+    )
+    return rounded(geometry.with_visibility(o, 250.0, 400.0, 120.0).select("o_orderkey", "outline_visible_frac", "edge_truncated", "fit_reliable"))
+
+
 QUERIES = {
     "train_means": train_means, "relative_to_base": relative_to_base, "density_band": density_band, "baseline_difference": baseline_difference, "rank_correlation": rank_correlation, "distance_summary": distance_summary,
-    "fit_distances": fit_distances, "spacing": spacing, "draft_status": draft_status, "next_work": next_work, "stretched": stretched,
+    "fit_distances": fit_distances, "spacing": spacing, "draft_status": draft_status, "next_work": next_work, "stretched": stretched, "visibility": visibility,
 }
 
 _FILLED = """h AS (SELECT {g}, CAST(least(floor(r / 5), 9) AS INT) AS bin, count(*) AS c FROM bubbles WHERE r BETWEEN 0 AND 50 GROUP BY ALL),
@@ -105,5 +118,8 @@ SELECT c_custkey AS key, CASE WHEN r THEN 'skipped (exists, reviewed)' WHEN e TH
 SELECT folder, CASE WHEN bool_or(results) THEN 'results' ELSE 'training' END AS mode, coalesce(min(name) FILTER (WHERE open), min(name)) AS next, count(*) FILTER (WHERE open) AS n_open FROM d GROUP BY folder""",
     "stretched": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS p FROM embeddings), q AS (SELECT *, list_aggregate(p, 'quantile_cont', 0.1) AS lo, list_aggregate(p, 'quantile_cont', 0.9) AS hi FROM e),
 s AS (SELECT vec_id, list_transform(p, lambda v: greatest(0, least(1, (v - lo) / (hi - lo)))) AS p FROM q)
-SELECT vec_id, round(list_sum(p) / len(p), 5) + 0.0 AS mean, len(list_filter(p, lambda v: v = 0)) AS at_zero FROM s""",
+SELECT vec_id, round(list_sum(p) / len(p), 5) + 0.0 AS mean, len(list_filter(p, lambda v: v = 0)) AS at_zero FROM s""",    "visibility": """WITH o AS (SELECT o_orderkey, o_orderstatus = 'P' AS sliver, o_custkey % 300 - 25 AS y, o_orderkey % 460 - 30 AS x, o_totalprice / 10000 AS a, o_totalprice / 20000 AS b, radians(o_orderkey % 180) AS t FROM orders),
+p AS (SELECT *, unnest(range(0, 360)) * pi() / 180 AS i FROM o), s AS (SELECT o_orderkey, any_value(sliver) AS sliver, any_value(pow(((199.5 - x) * cos(t) + (124.5 - y) * sin(t)) / a, 2) + pow(((124.5 - y) * cos(t) - (199.5 - x) * sin(t)) / b, 2) <= 1) AS covers,
+  count(*) FILTER (WHERE y + a * cos(i) * sin(t) + b * sin(i) * cos(t) BETWEEN -0.5 AND 249.5 AND x + a * cos(i) * cos(t) - b * sin(i) * sin(t) BETWEEN -0.5 AND 399.5) / 360 AS f FROM p GROUP BY o_orderkey)
+SELECT o_orderkey, round(f, 6) AS outline_visible_frac, f < 1 OR sliver AS edge_truncated, NOT sliver AND f * 360 >= 120 AS fit_reliable FROM s WHERE f > 0 OR covers""",
 }

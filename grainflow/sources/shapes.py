@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainflow.operators.geometry import box_centre, box_halves, ellipse_of
+from grainflow.operators.geometry import box_centre, box_halves, ellipse_corners, ellipse_of, polygon_ellipse
 
 #: Declared, because empty lists would be read as lists of text.
 SHAPE_SCHEMA = (
@@ -60,8 +60,29 @@ def read_shapes(spark: SparkSession, *paths: str) -> DataFrame:
     return docs.withColumn("frame", frame).withColumns(frame_keys(F.col("frame")))
 
 
+def as_ellipses(shapes: DataFrame) -> DataFrame:
+    """Documents with their polygons (and paths) as ellipses of the same area, centre and direction, and n_polygons, how many there were.
+
+    Places in the list stay, so do shapes that can't be converted. To see what a rewrite would change, look at n_polygons alone.
+    """
+    polygon = lambda s: F.coalesce(s["type"].isin("polygon", "path"), F.lit(False))
+
+    def ellipse(e: Column) -> Column:
+        corners = ellipse_corners(e["row"], e["col"], e["semi_major"], e["semi_minor"], e["angle_deg"])
+        return F.when(e.isNotNull(), F.struct(F.lit("ellipse").alias("type"), corners.alias("data"), F.lit("from_polygon").alias("fit_kind")))
+
+    def converted(s: Column) -> Column:
+        fitted = F.array(polygon_ellipse(F.transform(s["data"], lambda p: F.slice(p, -2, 2))))
+        return F.when(polygon(s), F.coalesce(F.get(F.transform(fitted, ellipse), F.lit(0)), s)).otherwise(s)
+
+    count = F.coalesce(F.size(F.filter("bubbles", polygon)), F.lit(0))
+    some = F.exists("bubbles", polygon)
+    return shapes.withColumn("n_polygons", count).withColumn("bubbles", F.when(some, F.transform("bubbles", converted)).otherwise(F.col("bubbles")))
+
+
 def bubbles_of(shapes: DataFrame, um_per_px: float = 3.2) -> DataFrame:
-    """A row for each ellipse: key, bubble_id (its place in the list), centre, area, r_eq, axes, angle, in pixels and micrometres."""
+    """A row for each ellipse: key, bubble_id (its place in the list), centre, area, r_eq, axes, angle, in pixels and micrometres.
+    To measure the polygons of older documents too, pass them through ``as_ellipses`` first."""
     rows = shapes.select("frame", "run", "train", "frame_idx", F.coalesce("reviewed", F.lit(False)).alias("reviewed"), F.posexplode("bubbles").alias("bubble_id", "shape")).filter("shape.type = 'ellipse' AND size(shape.data) = 4")
     corners = F.col("shape.data")
     e = ellipse_of(*box_halves(corners))

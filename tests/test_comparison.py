@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainflow.operators import arrays, comparison, maintenance, population, size_models
+from grainflow.operators import arrays, comparison, geometry, maintenance, population, size_models
 from grainflow.sources import shapes
 
 
@@ -105,3 +105,30 @@ def test_wider_families(spark):
     assert best.mean == pytest.approx(both.mean(), rel=0.03)
     assert table["generalised_gamma"].nll <= min(table["gamma"].nll, table["weibull"].nll) + 0.5
     assert len(table["generalised_gamma"].params) == 3 and table["lognormal"].aic == pytest.approx(2 * table["lognormal"].nll + 4)
+
+
+def test_polygons_become_ellipses_in_their_places(spark):
+    t = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    a, b, angle = 12.0, 5.0, 0.4
+    ring = np.column_stack([30 + a * np.cos(t) * np.sin(angle) + b * np.sin(t) * np.cos(angle), 50 + a * np.cos(t) * np.cos(angle) - b * np.sin(t) * np.sin(angle)])
+    box = [[0.0, 0.0], [0.0, 8.0], [4.0, 8.0], [4.0, 0.0]]
+    bubbles = [("ellipse", box, "ellipse"), ("polygon", ring.tolist(), None), ("polygon", [[1.0, 1.0], [2.0, 2.0], [3.0, 3.0]], None), ("path", [[0.0, *p] for p in ring[::-1].tolist()], "x"), (None, None, None)]
+    schema = "frame string, run string, train int, frame_idx int, reviewed boolean, bubbles array<struct<type:string,data:array<array<double>>,fit_kind:string>>"
+    docs = spark.createDataFrame([("f", "r1", 1, 1, None, bubbles), ("g", "r1", 1, 2, None, []), ("h", "r1", 1, 3, None, None)], schema)
+    assert {r.frame: r.n_polygons for r in shapes.as_ellipses(docs).collect()} == {"f": 3, "g": 0, "h": 0}
+    rows = {r.bubble_id: r for r in shapes.bubbles_of(shapes.as_ellipses(docs)).collect()}
+    assert sorted(rows) == [0, 1, 3] and rows[1].fit_kind == "from_polygon" and rows[0].fit_kind == "ellipse"
+    for k in (1, 3):
+        r = rows[k]
+        assert (r.y, r.x, r.semi_major, r.semi_minor, r.angle_deg) == pytest.approx((30, 50, a, b, np.degrees(angle)), rel=2e-3)
+    seen = {r.bubble_id: r for r in geometry.with_visibility(shapes.bubbles_of(shapes.as_ellipses(docs)), 250, 400, 120).collect()}
+    assert not seen[1].edge_truncated and seen[1].fit_reliable and seen[1].shape_type == "ellipse" and seen[1].arc_deg == 360
+
+
+def test_visibility_outside_covering_and_slivers(spark):
+    rows = [(1, -50.0, -50.0, 5.0, 5.0, None), (2, 5.0, 5.0, 100.0, 90.0, None), (3, 5.0, 5.0, 2.0, 2.0, "sliver"), (4, 0.0, 5.0, 3.0, 3.0, None), (5, 5.0, 5.0, 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "k int, y double, x double, semi_major double, semi_minor double, fit_kind string").withColumn("angle_deg", F.lit(0.0))
+    found = {r.k: r for r in geometry.with_visibility(df, 10, 10, 120).collect()}
+    assert sorted(found) == [2, 3, 4]
+    assert found[2].arc_deg == 0 and not found[2].fit_reliable and found[3].edge_truncated and not found[3].fit_reliable
+    assert found[4].edge_truncated and found[4].fit_reliable and found[4].shape_type == "circle" and 180 < found[4].arc_deg < 220
