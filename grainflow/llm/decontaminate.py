@@ -3,7 +3,8 @@
 Names, numbers and units of a text become typed placeholders, the rest lower case without punctuation. Windows of
 five template words are hash-joined with those of the benchmark. A document that has 0.8 of an item's different windows
 is a candidate. If the item has placeholders, the values in their place must then be consistent: a value
-of the item must always meet the same value of the document. So a question with other numbers and names is found too.
+of the item must always meet the same value, in the whole document or in one occurrence of the item there. So a question
+with other numbers and names is found too, also twice in a text with different ones.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import text_or_empty
+from grainflow.llm.common import text_or_empty, workspace, written
 
 WINDOW, SHARE = 5, 0.8
 #: Item windows (16 bytes each) up to which they are broadcast; beyond, both sides are shuffled by window.
@@ -77,20 +78,58 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, b
 
 
 def _with_slots(docs: DataFrame, tagged: DataFrame, pairs: DataFrame, hinted) -> DataFrame:
+    """``pairs`` with their kind, without those whose values fit nowhere. Values are judged over the whole document, in each
+    occurrence by itself, and window by window against the item's own; one that passes is enough."""
+    pairs = written(pairs, workspace(docs.sparkSession, "decontaminate"))
     both = lambda words: F.arrays_zip(_windows(words, _untagged).alias("window"), _windows(words, _slots).alias("values"))
-    item_slots = tagged.select(F.col("item_id").alias("i"), F.explode(both(F.col("words"))).alias("w")).select("i", F.col("w.window").alias("window"), F.col("w.values").alias("item_values")).filter(F.size("item_values") > 0).distinct()
+    item_windows = tagged.select(F.col("item_id").alias("i"), F.xxhash64("words").alias("item_row"), both(F.col("words")).alias("all"))
+    item_windows = item_windows.select("i", "item_row", F.size(F.array_distinct("all.window")).alias("row_windows"), F.posexplode("all").alias("item_at", "w"))
+    item_windows = item_windows.select("i", "item_row", "row_windows", "item_at", F.col("w.window").alias("window"), F.col("w.values").alias("item_values")).distinct()
+    item_slots = item_windows.select("i", "window", "item_values").filter(F.size("item_values") > 0).distinct()
+    slot_windows = item_slots.groupBy("i").agg(F.count_distinct("window").alias("slot_windows"))
     parameterised = hinted(item_slots.select("i").distinct())
     open_pairs = pairs.join(parameterised, F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
     ids = open_pairs.select(F.col("doc_id").alias("d"), "item_id").distinct()
     text = docs.select("doc_id", text_or_empty().alias("text"))
     mine = text.join(ids.select("d").distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("doc_id", template_words(F.col("text"), tagged=True).alias("words"))
-    mine = mine.select("doc_id", F.explode(both(F.col("words"))).alias("w")).select("doc_id", F.col("w.window").alias("window"), F.col("w.values").alias("values")).filter(F.size("values") > 0).distinct()
-    met = mine.join(hinted(item_slots), "window").join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("i").eqNullSafe(F.col("item_id"))).select("doc_id", "item_id", F.explode(F.arrays_zip("item_values", "values")).alias("v"))
-    per_value = met.groupBy("doc_id", "item_id", F.col("v.item_values").alias("value")).agg(F.count_distinct("v.values").alias("different"), F.min("v.values").alias("least"))
-    judged = per_value.groupBy(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).agg(F.avg((F.col("different") == 1).cast("double")).alias("consistent"), F.bool_and((F.col("different") == 1) & (F.col("least") == F.col("value"))).alias("same"))
-    out = pairs.join(judged, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left")
-    kind = F.when(F.coalesce("same", F.lit(True)), "verbatim").when(F.col("consistent") >= SHARE, "reparameterised")
-    return out.withColumn("kind", kind).filter("kind IS NOT NULL").select("doc_id", "item_id", "matched", "windows", "kind")
+    mine = mine.select("doc_id", F.xxhash64("words").alias("doc_row"), F.posexplode(both(F.col("words"))).alias("doc_at", "w"))
+    mine = mine.select("doc_id", "doc_row", "doc_at", F.col("w.window").alias("window"), F.col("w.values").alias("values"))
+    of_ids = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("i").eqNullSafe(F.col("item_id"))
+    met = mine.select("doc_id", "window", "values").filter(F.size("values") > 0).distinct().join(hinted(item_slots), "window").join(ids, of_ids)
+    equal = met.filter(F.col("values") == F.col("item_values")).groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("equal"))
+    whole = _judged(met.select("doc_id", "item_id", F.explode(F.arrays_zip("item_values", "values")).alias("v")), ["doc_id", "item_id"])
+    aligned = _occurrences(mine.join(hinted(item_windows), "window").join(ids, of_ids))
+    out = pairs.alias("p")
+    for name, other in (("whole", whole), ("aligned", aligned), ("equal", equal)):
+        out = out.join(other.alias(name), F.col("p.doc_id").eqNullSafe(F.col(f"{name}.doc_id")) & F.col("p.item_id").eqNullSafe(F.col(f"{name}.item_id")), "left")
+    out = out.join(hinted(slot_windows), F.col("p.item_id").eqNullSafe(F.col("i")), "left")
+    kind = F.when(F.coalesce("whole.same", F.lit(True)) | F.coalesce("aligned.same", F.lit(False)), "verbatim")
+    kind = kind.when((F.col("whole.consistent") >= SHARE) | F.coalesce("aligned.fits", F.lit(False)), "reparameterised")
+    kind = kind.when(F.col("equal") >= F.col("slot_windows") * SHARE, "verbatim")
+    return out.withColumn("kind", kind).filter("kind IS NOT NULL").select("p.doc_id", "p.item_id", "matched", "windows", "kind")
+
+
+def _judged(met: DataFrame, by: list[str]) -> DataFrame:
+    """``consistent`` (the share of the item's values that meet one value) and ``same`` of each group. met: by, v (item_values, values)."""
+    per_value = met.groupBy(*by, F.col("v.item_values").alias("value")).agg(F.count_distinct("v.values").alias("different"), F.min("v.values").alias("least"))
+    return per_value.groupBy(*by).agg(F.avg((F.col("different") == 1).cast("double")).alias("consistent"), F.bool_and((F.col("different") == 1) & (F.col("least") == F.col("value"))).alias("same"))
+
+
+def _occurrences(met: DataFrame) -> DataFrame:
+    """doc_id, item_id, same, fits: whether an occurrence has the item's values, or consistent ones.
+
+    An occurrence is a row of the document, one of the item and the offset between them. Each window of the item takes its nearest place
+    there, off by up to a fifth of the item's windows, so that words put in or left out don't end an occurrence. It
+    counts if it has 0.8 of the row's different windows.
+    """
+    offset, slack = F.col("doc_at") - F.col("item_at"), F.floor(F.col("row_windows") * (1 - SHARE)).cast("int")
+    keys = ["doc_id", "item_id", "doc_row", "item_row", "anchor"]
+    near = met.withColumn("anchor", F.explode(F.sequence(offset - slack, offset + slack)))
+    place = F.min(F.struct(F.abs(offset - F.col("anchor")), "doc_at", "window", "item_values", "values")).alias("place")
+    near = near.groupBy(*keys, "item_at", "row_windows").agg(place).select(F.struct(*keys).alias("at"), "row_windows", "place.*")
+    enough = near.groupBy("at", "row_windows").agg(F.count_distinct("window").alias("covered")).filter(F.col("covered") >= F.col("row_windows") * SHARE)
+    judged = _judged(near.select("at", F.explode(F.arrays_zip("item_values", "values")).alias("v")), ["at"]).join(enough.select("at"), "at")
+    return judged.groupBy("at.doc_id", "at.item_id").agg(F.bool_or("same").alias("same"), F.bool_or(F.col("consistent") >= SHARE).alias("fits"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -30,6 +30,18 @@ def test_kinds(spark):
         assert {(r.doc_id, r.item_id, r.kind) for r in got.collect()} == {(1, 10, "verbatim"), (1, None, "verbatim"), (None, 10, "verbatim"), (None, None, "verbatim"), (2, 11, "verbatim"), (3, 11, "reparameterised"), (8, 14, "verbatim")}
 
 
+SERIES = "what comes next in 2, 4, 6, 8, 10, 12 and why"
+
+
+def test_repeated_windows_and_several_variants(spark):
+    told = SERIES.replace("2, 4, 6, 8, 10, 12", "3, 5, 7, 9, 11, 13")
+    longer = TOLD.replace("how many apples", "tell me how many apples")
+    other = SUM.replace("Mary", "Julia").replace("Anna", "Peter").replace("3", "21").replace("2", "4")
+    rows = [(1, f"so {SERIES} it is"), (2, f"so {told} it is"), (3, f"so {TOLD} {other}"), (4, f"so {SUM} {TOLD}"), (5, f"so {longer} {other}"), (6, f"so {MIXED} {MIXED}"), (None, f"so {TOLD} {SUM}"), (7, f"so {TOLD} and more"), (7, f"so {other}")]
+    got = decontaminate(docs_frame(spark, rows), items(spark, [(20, SERIES), (None, SUM)]))
+    assert {(r.doc_id, r.item_id, r.kind) for r in got.collect()} == {(1, 20, "verbatim"), (2, 20, "reparameterised"), (3, None, "reparameterised"), (4, None, "verbatim"), (5, None, "reparameterised"), (None, None, "verbatim"), (7, None, "reparameterised")}
+
+
 def test_empty(spark):
     none, some = docs_frame(spark, []), docs_frame(spark, [(1, PROSE)])
     assert decontaminate(none, items(spark, [(1, SUM)])).count() == 0
