@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainflow.llm.common import workspace, written
+
 START, END = "<|im_start|>", "<|im_end|>"
 UNKNOWN = "unknown"
 SCHEMA = "conv_id long, part long, shard long, speaker string, n_turns long, rendered string, mask array<struct<start:long,end:long>>"
@@ -27,27 +29,33 @@ def render(turns: list[tuple[str, str]], speaker: str) -> tuple[str, list[tuple[
 def rotate_perspectives(conversations: DataFrame, turns_each: int = 64) -> DataFrame:
     """A row for each conversation, part and participant: conv_id, part, shard, speaker, n_turns, rendered, mask.
 
-    conversations: conv_id, turn, role, text. Participants are the roles but ``system``, whose turns stay system turns for
-    all. Turns are in the order (turn, role, text), nulls first. A null role is ``unknown``, a null text an empty one. Repeated rows are
-    one turn. A conversation without participants gives no rows, nor does an empty table. Other columns are ignored.
+    conversations: conv_id, turn, role, text. Participants are the roles of the whole conversation but ``system``, whose turns stay
+    system turns for all. Turns are in the order (turn, role, text), nulls first. A null role is ``unknown``, a null text an empty one.
+    Repeated rows are one turn. A conversation without participants gives no rows, nor does an empty table. Other columns are ignored.
 
     Part k holds turns k * turns_each and on (part 0 also null turns), so a conversation of any length is dealt out. Where more than
-    twice ``turns_each`` different rows claim the turns of a part, they go to shards by hash, numbered from 0; else shard is 0.
+    twice ``turns_each`` different rows claim the turns of a part, shards of ``turns_each`` take them in order, numbered from 0; else
+    shard is 0. Every participant has a row for each part and shard, one that is silent there too. A row begins with the system
+    turns of earlier parts and shards, each different text once; n_turns counts them.
     """
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     turns = turns.withColumn("part", F.coalesce(F.floor(F.col("turn") / turns_each), F.lit(0)).cast("long"))
-    crowd = turns.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * turns_each)
-    turns = turns.join(crowd, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
-    shard = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("turn", "role", "text"), F.ceil(F.col("n") / turns_each))).otherwise(0)
+    turns = _with_shards(turns, turns_each)
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    grouped = turns.withColumn("shard", shard.cast("long")).groupBy("conv_id", "part", "shard").agg(ordered.alias("turns"))
+    grouped = turns.groupBy("conv_id", "part", "shard").agg(ordered.alias("turns"))
+    system = turns.filter(F.col("role") == "system").groupBy("conv_id", "text").agg(F.min(F.struct("part", "shard", "turn")).alias("first"))
+    system = system.groupBy(F.col("conv_id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("first.part", "first.shard", "first.turn", "text"))).alias("system"))
+    speakers = turns.filter(F.col("role") != "system").groupBy(F.col("conv_id").alias("c")).agg(F.collect_set("role").alias("speakers"))
+    grouped = grouped.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).join(system, F.col("conv_id").eqNullSafe(F.col("s")), "left")
+    earlier = F.filter("system", lambda t: (t["part"] < F.col("part")) | ((t["part"] == F.col("part")) & (t["shard"] < F.col("shard"))))
+    grouped = grouped.select("conv_id", "part", "shard", "turns", "speakers", F.transform(earlier, lambda t: t["text"]).alias("earlier"))
 
     def rotate(batches):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                said = [(t["role"], t["text"]) for t in r["turns"]]
-                for speaker in sorted({role for role, _ in said} - {"system"}):
+                said = [("system", text) for text in r["earlier"] or []] + [(t["role"], t["text"]) for t in r["turns"]]
+                for speaker in sorted(r["speakers"]):
                     rendered, mask = render(said, speaker)
                     rows.append({"conv_id": r["conv_id"], "part": r["part"], "shard": r["shard"], "speaker": speaker, "n_turns": len(said), "rendered": rendered, "mask": [{"start": a, "end": b} for a, b in mask]})
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
@@ -55,5 +63,24 @@ def rotate_perspectives(conversations: DataFrame, turns_each: int = 64) -> DataF
     return grouped.mapInArrow(rotate, SCHEMA)
 
 
+def _with_shards(turns: DataFrame, turns_each: int) -> DataFrame:
+    """``turns`` with their shard. Rows of crowded parts are numbered in two levels: in ranges of the order, by the rows of the ranges before."""
+    crowd = turns.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * turns_each)
+    if crowd.isEmpty():
+        return turns.withColumn("shard", F.lit(0).cast("long"))
+    claimed = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
+    order = ["turn", "role", "text"]
+    dense = turns.join(crowd, claimed, "left_semi").repartitionByRange("conv_id", "part", *order).withColumn("range", F.spark_partition_id())
+    dense = written(dense, workspace(turns.sparkSession, "chat_rotation"))
+    upto = Window.partitionBy("c", "p").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dense.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("range").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = ranges.select("c", "p", "r", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "part", "range").orderBy(*order)) - 1
+    ranked = dense.withColumn("within", within).join(ranges, claimed & (F.col("range") == F.col("r")))
+    ranked = ranked.select("conv_id", *order, "part", F.floor((F.col("before") + F.col("within")) / turns_each).cast("long").alias("shard"))
+    sparse = turns.join(crowd, claimed, "left_anti").select("conv_id", *order, "part", F.lit(0).cast("long").alias("shard"))
+    return sparse.unionByName(ranked)
+
+
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _ARROW = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("shard", pa.int64()), ("speaker", pa.string()), ("n_turns", pa.int64()), ("rendered", pa.string()), ("mask", _SPAN)])

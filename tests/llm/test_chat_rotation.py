@@ -33,5 +33,23 @@ def test_long_conversations_are_dealt_out(spark):
     assert sum(r.n_turns for r in got if r.conv_id == 2) == 500
 
 
+def test_parts_have_all_participants_and_system_turns(spark):
+    rows = [(1, 0, "system", "be kind")] + [(1, k, "ann" if k < 20 else "bob", f"t{k}") for k in range(1, 40)] + [(1, k, "system", f"rule {k}") for k in range(48, 52)]
+    got = {(r.part, r.speaker): r for r in rotate_perspectives(frame(spark, rows), turns_each=16).collect()}
+    assert set(got) == {(p, s) for p in range(4) for s in ("ann", "bob")}
+    assert all(r.rendered.startswith("<|im_start|>system\nbe kind<|im_end|>\n") and r.rendered.count("be kind") == 1 for r in got.values())
+    assert got[2, "ann"].mask == [] and got[0, "bob"].n_turns == 16 and got[1, "bob"].n_turns == 17 and "rule 51" in got[3, "ann"].rendered
+
+
+def test_crowded_parts_are_cut_in_order(spark):
+    rows = [(1, None, "ann" if k % 2 else "bob", f"{k:04}") for k in range(500)] + [(1, None, "system", "be kind"), (1, 900, "ann", "late")]
+    got = rotate_perspectives(frame(spark, rows), turns_each=16).collect()
+    said = lambda r: [line.removesuffix("<|im_end|>") for line in r.rendered.splitlines()[1::2]]
+    mine = sorted((r for r in got if r.speaker == "ann" and r.part == 0), key=lambda r: r.shard)
+    assert [x for r in mine for x in said(r)] == [t for _, _, _, t in sorted(rows[:-1], key=lambda r: (r[2], r[3]))]
+    assert {r.shard for r in mine} == set(range(32)) and [len(said(r)) for r in mine] == [16] * 31 + [5]
+    assert {r.speaker for r in got if r.shard == 3} == {"ann", "bob"} and [said(r) for r in got if r.part] == [["be kind", "late"]] * 2
+
+
 def test_sql(spark):
     assert spark_rows(queries.op7_chat_rotation(spark, SF)) == sql_rows(queries.ORACLE_SQL["op7_chat_rotation"])
