@@ -1,6 +1,6 @@
 """Mixing sources to target weights, block by block.
 
-Documents of a source, in a fixed pseudorandom order, are one long row of words that is cut into blocks of ``block_words`` words. An output shard has
+Documents of a source, in a fixed pseudorandom order, are one long row of words that is cut into blocks of ``source_words`` words. An output shard has
 a fixed number of slots. How many slots of a shard each source gets is a multinomial draw, given that all shards together
 give each source its target. A source's j-th slot takes the block that a pseudorandom permutation of the source's block indices has at j; each
 round through all blocks has a permutation of its own. Slots and blocks are then joined by (source, block index).
@@ -22,7 +22,8 @@ from grainflow.llm.common import text_or_empty, unused, workspace, written
 WORDS = r"[^\x20\x09-\x0D]+"
 #: The weights of the sources in order of their names, again and again; the most that a source gives, times its size.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Blocks that the whole corpus has about, and the bounds of a block's words. Up to 2048 words the block grows with the corpus.
+#: Blocks that the whole corpus has about, and the bounds of a block's words. Up to 2048 words the block grows with the corpus;
+#: a source's own is shorter where its size or target would be too few of them.
 BLOCKS, LEAST_WORDS, MOST_WORDS = 1 << 17, 16, 2048
 BROADCAST_SOURCES = 10_000
 DRAWN = 10**8  # numpy's draw has a limit; larger nodes are split in proportion
@@ -35,6 +36,7 @@ class Share:
     target: float
     blocks: int
     slots: int
+    length: int
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -54,15 +56,23 @@ def block_words(total: int) -> int:
     return min(MOST_WORDS, max(LEAST_WORDS, total // BLOCKS))
 
 
+def source_words(size: int, target: float, most: int) -> int:
+    """Words of a source's block: at most ``most``, and a 64th of what the source has or gives, so that whole blocks miss the target by
+    a hundredth or so; 16 words at least, or an eighth of it where that is less."""
+    least = min(size, int(target))
+    return max(1, min(most, max(min(LEAST_WORDS, least // 8), least // 64)))
+
+
 def plan_shares(sizes: list[tuple[str | None, int]], length: int) -> list[Share]:
-    """One for each source, in code-point order of their names, null last."""
+    """One for each source, in code-point order of their names, null last. ``length``: the most words of a block."""
     rows = sorted(sizes, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     want = targets([n for _, n in rows], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))]) if rows else []
     out = []
     for (source, size), target in zip(rows, want):
-        blocks = -(-size // length)
+        own = source_words(size, target, length)
+        blocks = -(-size // own)
         slots = min(MOST * blocks, round(target / size * blocks)) if size else 0
-        out.append(Share(source, size, target, blocks, slots))
+        out.append(Share(source, size, target, blocks, slots, own))
     return out
 
 
@@ -162,10 +172,9 @@ class Mix:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("source").cast("string").alias("source"), F.xxhash64(text_or_empty()).alias("tie"))
         self.docs = written(_count_words(texts), f"{self.folder}/sizes")
         sizes = [(r.source, r.size) for r in self.docs.groupBy("source").agg(F.sum("size").alias("size")).collect()]  # one row a source
-        self.length = block_words(sum(n for _, n in sizes))
-        self.shares = plan_shares(sizes, self.length)
-        rows = [(k, s.source, s.size, s.target) for k, s in enumerate(self.shares)]
-        self.sources = self.spark.createDataFrame(rows, "source_no int, name string, source_size long, target double")
+        self.shares = plan_shares(sizes, block_words(sum(n for _, n in sizes)))
+        rows = [(k, s.source, s.size, s.target, s.length) for k, s in enumerate(self.shares)]
+        self.sources = self.spark.createDataFrame(rows, "source_no int, name string, source_size long, target double, length long")
         if len(rows) <= BROADCAST_SOURCES:
             self.sources = F.broadcast(self.sources)
         self.spans = written(self._spans(), f"{self.folder}/spans")
@@ -181,14 +190,14 @@ class Mix:
         of_bucket = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
         starts = of_bucket.select("source_no", "bucket", F.coalesce(F.sum("words").over(upto.partitionBy("source_no").orderBy("bucket")), F.lit(0)).alias("base"))
         placed = rows.withColumn("within", within).join(starts, ["source_no", "bucket"])
-        return placed.select("doc_id", "tie", "source", "source_no", "source_size", "target", "size", (F.col("base") + F.col("within")).alias("start"))
+        return placed.select("doc_id", "tie", "source", "source_no", "source_size", "target", "length", "size", (F.col("base") + F.col("within")).alias("start"))
 
     def pieces(self, *columns: Column | str) -> DataFrame:
         """The words of a document in each block: its ``spans`` row (or ``columns``), block, from_word, n_words."""
-        last = F.floor((F.col("start") + F.col("size") - 1) / self.length)
-        cut = self.spans.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / self.length), last)))
-        begin = F.greatest(F.col("start"), F.col("block") * self.length)
-        end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * self.length)
+        last = F.floor((F.col("start") + F.col("size") - 1) / F.col("length"))
+        cut = self.spans.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), last)))
+        begin = F.greatest(F.col("start"), F.col("block") * F.col("length"))
+        end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length"))
         return cut.select(*(columns or ["*"]), "source_no", "block", (begin - F.col("start")).alias("from_word"), (end - begin).alias("n_words"))
 
     def taken(self) -> DataFrame:

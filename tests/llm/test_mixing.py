@@ -30,6 +30,24 @@ def test_permutation_and_draws():
     assert (before == quota).all()
 
 
+def test_small_sources_meet_their_targets_at_long_blocks():
+    for n in (2000, 700, 5000):
+        for s in plan_shares([(f"s{i:06}", n) for i in range(3000)], 2048):
+            assert s.slots and abs(s.slots * s.size / s.blocks - s.target) <= max(8, s.target / 100)
+    for s in plan_shares([("a", 10**7), *((f"b{i:04}", 900 + i) for i in range(300))], 2048):
+        assert s.slots and abs(s.slots * s.size / s.blocks - s.target) <= max(8, s.target / 100)
+
+
+def test_words_taken_from_small_sources(spark, monkeypatch):
+    monkeypatch.setattr("grainflow.llm.mixing.block_words", lambda total: 2048)
+    docs = docs_frame(spark, [(i, f"w{i} " * 250, f"s{i % 30:02}") for i in range(240)])
+    taken, target = Counter(), {}
+    for r in Mix(docs).taken().collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(target) == 30 and all(abs(taken[s] - t) <= 0.05 * t for s, t in target.items())
+
+
 def test_query(spark):
     rows = QUERIES["op10_mixing"](spark, SF).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
