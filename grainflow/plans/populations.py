@@ -55,7 +55,7 @@ def size_model_table(spark, sf_dir):
 
 
 def bootstrap(spark, sf_dir):
-    fits = size_models.bootstrap_runs(bubbles(spark, sf_dir), "run", "r", 5.0, resamples=20)
+    fits = size_models.bootstrap_runs(bubbles(spark, sf_dir), "run", "r", 5.0)
     return rounded(fits.select("resample", F.get("params", F.lit(0)).alias("mu"), F.get("params", F.lit(1)).alias("log_sigma")), 4)
 
 

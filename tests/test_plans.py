@@ -35,3 +35,7 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_bootstrap_has_all_resamples(spark):
+    assert sorted(r.resample for r in QUERIES["bootstrap"](spark, SF).collect()) == list(range(100))
