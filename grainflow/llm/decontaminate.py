@@ -28,7 +28,7 @@ OPENERS = (
 _OPENER = rf"(?:{'|'.join(sorted(set(OPENERS.split())))})(?![\p{{L}}'’-])"
 _NAME = rf"(?!{_OPENER})\p{{Lu}}[\p{{L}}'’-]++"
 #: Capitalised words one space apart are one name. Repetitions are possessive: they need no stack, however long they run.
-NAME = rf"(?<![\p{{L}}\p{{N}}'’-]){_NAME}(?: {_NAME})*+"
+NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}'’-]){_NAME}(?: {_NAME})*+"
 NUMBER = r"[$€£]?[0-9]++(?:[.,:/][0-9]++)*+"
 #: Units that may follow a number.
 UNITS = "kilometers|kilometres|km|meters|metres|cm|mm|m|miles|mile|mi|feet|foot|ft|inches|inch|in|yards|kilograms|kg|grams|mg|g|pounds|lbs|lb|ounces|oz|tons|liters|litres|ml|l|gallons|seconds|sec|s|minutes|min|hours|hour|hrs|h|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|percent|%|mph|kph|degrees|°c|°f"
@@ -45,6 +45,7 @@ def literal_words(text: Column) -> Column:
 def template_words(text: Column, tagged: bool = False) -> Column:
     """The template's words. ``tagged``: placeholders are <name:value>, not <name>."""
     value = lambda k: f":${k}" if tagged else ""
+    digits = text.rlike("[0-9]")
     text = F.when(text.rlike("[<>]"), F.translate(text, "<>", "  ")).otherwise(text)
     text = F.lower(F.regexp_replace(text, NAME, f"<name{value(0)}>"))
     if tagged:  # digits in a name's place stay in the name
@@ -53,7 +54,7 @@ def template_words(text: Column, tagged: bool = False) -> Column:
     else:
         numbered = F.regexp_replace(text, NUMBER, "<num>")
     numbered = F.regexp_replace(numbered, r"(<num[^<>]*+>[" + _GAP + r"]?)(" + UNITS + r")([^\p{L}\p{N}]|$)", f"$1<unit{value(2)}>$3")
-    text = F.when(text.rlike("[0-9]"), numbered).otherwise(text)
+    text = F.when(digits, numbered).otherwise(text)
     text = F.regexp_replace(text, rf"(<[^<>]*+>)|[^\p{{L}}\p{{N}}{_GAP}]+", "$1")
     if tagged:  # a name of several words is one word of the template
         return F.regexp_extract_all(text, F.lit(rf"(?:<[^<>]*+>|[^<>{_GAP}]++)++"), 0)
@@ -121,7 +122,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, b
     pairs = pairs.filter(verbatim | ((F.col("templates") > 0) & (template >= F.col("templates") * share)))
     pairs = written(pairs.select("doc_id", "item_id", "literal", "literals", "template", "templates", verbatim.alias("verbatim")), f"{folder}/pairs")
     sure = pairs.filter("verbatim").select("doc_id", "item_id", F.col("literal").alias("matched"), F.col("literals").alias("windows"), F.lit("verbatim").alias("kind"))
-    return sure.unionByName(_consistent(docs, benchmark, pairs.filter("NOT verbatim").select("doc_id", "item_id", F.col("template").alias("matched"), F.col("templates").alias("windows")), hinted))
+    candidates = pairs.filter("NOT verbatim").select("doc_id", "item_id", F.col("template").alias("matched"), F.col("templates").alias("windows"))
+    return sure if candidates.isEmpty() else sure.unionByName(_consistent(docs, benchmark, candidates, hinted))
 
 
 def _consistent(docs: DataFrame, benchmark: DataFrame, pairs: DataFrame, hinted) -> DataFrame:
