@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainflow.llm.common import workspace, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 UNKNOWN = "unknown"
-SCHEMA = "conv_id long, part long, shard long, speaker string, n_turns long, rendered string, mask array<struct<start:long,end:long>>"
+#: Turns of one rendering, and the bytes of renderings that are handed on together.
+TURNS, BATCH_BYTES = 1024, 1 << 24
+_CONTROL = re.compile(r"[\x00-\x1f]")
+
+
+def escaped(text: str) -> str:
+    """A text that can neither begin nor end a turn."""
+    return text.replace("<|im_", "< |im_")
 
 
 def render(turns: list[tuple[str, str]], speaker: str) -> tuple[str, list[tuple[int, int]]]:
-    """The dialogue as ``speaker`` sees it, and the spans (code points, end exclusive) that are to be learnt: the speaker's texts and their end marks."""
+    """The dialogue as ``speaker`` sees it, and the spans (code points, end exclusive) that are to be learnt: the speaker's texts and their
+    end marks. In a user's name control characters are spaces, so that no name ends its line."""
     out, at, mask = [], 0, []
     for role, text in turns:
-        text = text.replace("<|im_", "< |im_")  # a text can't end its own turn
-        head = f"{START}{'system' if role == 'system' else 'assistant' if role == speaker else f'user name={role}'}\n"
+        text = escaped(text)
+        head = f"{START}{'system' if role == 'system' else 'assistant' if role == speaker else 'user name=' + _CONTROL.sub(' ', escaped(role))}\n"
         if role == speaker:
             mask.append((at + len(head), at + len(head) + len(text) + len(END)))
         out.append(f"{head}{text}{END}\n")
@@ -26,61 +37,70 @@ def render(turns: list[tuple[str, str]], speaker: str) -> tuple[str, list[tuple[
     return "".join(out), mask
 
 
-def rotate_perspectives(conversations: DataFrame, turns_each: int = 64) -> DataFrame:
-    """A row for each conversation, part and participant: conv_id, part, shard, speaker, n_turns, rendered, mask.
+def rotate_perspectives(conversations: DataFrame, turns_each: int = TURNS) -> DataFrame:
+    """A row for each conversation and participant, and for each part of it beyond ``turns_each`` turns: conv_id, part, speaker, n_turns, rendered, mask.
 
-    conversations: conv_id, turn, role, text. Participants are the roles of the whole conversation but ``system``, whose turns stay
-    system turns for all. Turns are in the order (turn, role, text), nulls first. A null role is ``unknown``, a null text an empty one.
-    Repeated rows are one turn. A conversation without participants gives no rows, nor does an empty table. Other columns are ignored.
+    conversations: conv_id (any type), turn, role, text. Participants are the roles of the whole conversation but ``system``, whose turns stay
+    system turns for all. Turns are in the order (turn, role, text), nulls first. A null role is ``unknown``, a null text an empty one, a null
+    conv_id a conversation. Repeated rows are one turn. A conversation without participants gives no rows, nor does an empty table. Other columns are ignored.
 
-    Part k holds turns k * turns_each and on (part 0 also null turns), so a conversation of any length is dealt out. Where more than
-    twice ``turns_each`` different rows claim the turns of a part, shards of ``turns_each`` take them in order, numbered from 0; else
-    shard is 0. Every participant has a row for each part and shard, one that is silent there too. A row begins with the system
-    turns of earlier parts and shards, each different text once; n_turns counts them.
+    Part k holds the turns from the (k * turns_each)-th on, so that a conversation of any length is dealt out. Every participant has a
+    row for each part, one that is silent there too; it begins with the system turns of earlier parts, each different text once. n_turns counts them.
     """
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    turns = turns.withColumn("part", F.coalesce(F.floor(F.col("turn") / turns_each), F.lit(0)).cast("long"))
-    turns = _with_shards(turns, turns_each)
+    turns = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    turns = _with_parts(turns, turns_each)
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    grouped = turns.groupBy("conv_id", "part", "shard").agg(ordered.alias("turns"))
-    system = turns.filter(F.col("role") == "system").groupBy("conv_id", "text").agg(F.min(F.struct("part", "shard", "turn")).alias("first"))
-    system = system.groupBy(F.col("conv_id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("first.part", "first.shard", "first.turn", "text"))).alias("system"))
-    speakers = turns.filter(F.col("role") != "system").groupBy(F.col("conv_id").alias("c")).agg(F.collect_set("role").alias("speakers"))
+    grouped = turns.groupBy("conv_id", "part").agg(ordered.alias("turns"))
+    system = turns.filter(F.col("role") == "system").groupBy("conv_id", "text").agg(F.min(F.struct("part", "turn")).alias("first"))
+    system = system.groupBy(F.col("conv_id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("first.part", "first.turn", "text"))).alias("system"))
+    speakers = turns.filter(F.col("role") != "system").groupBy(F.col("conv_id").alias("c")).agg(F.sort_array(F.collect_set("role")).alias("speakers"))
     grouped = grouped.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).join(system, F.col("conv_id").eqNullSafe(F.col("s")), "left")
-    earlier = F.filter("system", lambda t: (t["part"] < F.col("part")) | ((t["part"] == F.col("part")) & (t["shard"] < F.col("shard"))))
-    grouped = grouped.select("conv_id", "part", "shard", "turns", "speakers", F.transform(earlier, lambda t: t["text"]).alias("earlier"))
+    earlier = F.transform(F.filter("system", lambda t: t["part"] < F.col("part")), lambda t: t["text"])
+    said = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    grouped = grouped.select("conv_id", "part", said.alias("turns"), "speakers", earlier.alias("earlier"))
 
     def rotate(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                said = [("system", text) for text in r["earlier"] or []] + [(t["role"], t["text"]) for t in r["turns"]]
-                for speaker in sorted(r["speakers"]):
+            at, rows, size = [], [], 0
+            for k in range(batch.num_rows):
+                said = [("system", text) for text in batch.column(4)[k].as_py() or []] + [(t["role"], t["text"]) for t in batch.column(2)[k].as_py()]
+                for speaker in batch.column(3)[k].as_py():
                     rendered, mask = render(said, speaker)
-                    rows.append({"conv_id": r["conv_id"], "part": r["part"], "shard": r["shard"], "speaker": speaker, "n_turns": len(said), "rendered": rendered, "mask": [{"start": a, "end": b} for a, b in mask]})
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
-
-    return grouped.mapInArrow(rotate, SCHEMA)
-
-
-def _with_shards(turns: DataFrame, turns_each: int) -> DataFrame:
-    """``turns`` with their shard. Rows of crowded parts are numbered in two levels: in ranges of the order, by the rows of the ranges before."""
-    crowd = turns.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * turns_each)
-    if crowd.isEmpty():
-        return turns.withColumn("shard", F.lit(0).cast("long"))
-    claimed = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
-    order = ["turn", "role", "text"]
-    dense = turns.join(crowd, claimed, "left_semi").repartitionByRange("conv_id", "part", *order).withColumn("range", F.spark_partition_id())
-    dense = written(dense, workspace(turns.sparkSession, "chat_rotation"))
-    upto = Window.partitionBy("c", "p").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = dense.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("range").alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    ranges = ranges.select("c", "p", "r", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("conv_id", "part", "range").orderBy(*order)) - 1
-    ranked = dense.withColumn("within", within).join(ranges, claimed & (F.col("range") == F.col("r")))
-    ranked = ranked.select("conv_id", *order, "part", F.floor((F.col("before") + F.col("within")) / turns_each).cast("long").alias("shard"))
-    sparse = turns.join(crowd, claimed, "left_anti").select("conv_id", *order, "part", F.lit(0).cast("long").alias("shard"))
-    return sparse.unionByName(ranked)
+                    at.append(k)
+                    rows.append({"speaker": speaker, "n_turns": len(said), "rendered": rendered, "mask": [{"start": a, "end": b} for a, b in mask]})
+                    size += len(rendered)
+                    if size >= BATCH_BYTES:
+                        yield _batch(batch, at, rows)
+                        at, rows, size = [], [], 0
+            if rows:
+                yield _batch(batch, at, rows)
+
+    long, span = T.LongType(), T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    fields = [("conv_id", grouped.schema["conv_id"].dataType), ("part", long), ("speaker", T.StringType()), ("n_turns", long), ("rendered", T.StringType()), ("mask", span)]
+    return grouped.mapInArrow(rotate, T.StructType([T.StructField(n, t) for n, t in fields]))
+
+
+def _batch(batch: pa.RecordBatch, at: list[int], rows: list[dict]) -> pa.RecordBatch:
+    found = pa.RecordBatch.from_pylist(rows, _ARROW)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *found.columns], ["conv_id", "part", *found.schema.names])
+
+
+def _with_parts(turns: DataFrame, turns_each: int) -> DataFrame:
+    """``turns`` with their part. Turns of conversations of several parts are numbered in two levels: in ranges of the order, by the turns of the ranges before."""
+    long = turns.groupBy(F.col("conv_id").alias("c")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > turns_each)
+    if long.isEmpty():
+        return turns.withColumn("part", F.lit(0).cast("long"))
+    same, order = F.col("conv_id").eqNullSafe(F.col("c")), ["turn", "role", "text"]
+    dense = turns.join(long, same, "left_semi").repartitionByRange("conv_id", *order).withColumn("range", F.spark_partition_id())
+    dense = written(dense, f"{workspace(turns.sparkSession, 'chat_rotation')}/ranges")
+    upto = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dense.groupBy(F.col("conv_id").alias("c"), F.col("range").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = ranges.select("c", "r", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*order)) - 1
+    ranked = dense.withColumn("within", within).join(ranges, same & (F.col("range") == F.col("r")))
+    ranked = ranked.select("conv_id", *order, F.floor((F.col("before") + F.col("within")) / turns_each).cast("long").alias("part"))
+    return turns.join(long, same, "left_anti").select("conv_id", *order, F.lit(0).cast("long").alias("part")).unionByName(ranked)
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_ARROW = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("shard", pa.int64()), ("speaker", pa.string()), ("n_turns", pa.int64()), ("rendered", pa.string()), ("mask", _SPAN)])
+_ARROW = pa.schema([("speaker", pa.string()), ("n_turns", pa.int64()), ("rendered", pa.string()), ("mask", _SPAN)])

@@ -18,10 +18,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (a single machine, as in tests) a temporary folder takes its place.
+    Only where that setting is absent and Spark runs on this machine alone, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/grainflow"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -53,3 +55,30 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def with_totals(rows: DataFrame, keys: list[str], spread_by: list[str], partial: list[Column], whole: list[Column], parts: int = 256) -> DataFrame:
+    """``rows`` with aggregates of their group: ``partial`` of a part of the group, ``whole`` of its partial ones. Keys aren't null.
+
+    A group is dealt out to ``parts`` parts by ``spread_by``, before the aggregation and for the join back, so that
+    no task has a whole one. Of the aggregates there are only as many rows as parts that occur.
+    """
+    part, held = unused(rows, "gf_part"), unused(rows, "gf_parts")
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(*spread_by), F.lit(parts)))
+    totals = dealt.groupBy(*keys, part).agg(*partial).groupBy(*keys).agg(*whole, F.collect_set(part).alias(held))
+    return dealt.join(totals.withColumn(part, F.explode(held)).drop(held), [*keys, part]).drop(part)
+
+
+def repeated(rows: DataFrame, copies: str, number: str, most: int = 1 << 16) -> DataFrame:
+    """Each row ``copies`` times, numbered from 0 in ``number``, without an array of more than ``most`` numbers."""
+    first = unused(rows, "gf_first")
+    upto = F.explode(F.sequence(F.lit(0), (F.col(copies) - 1).cast("long"), F.lit(most)))
+    last = F.least(F.col(first) + most, F.col(copies).cast("long")) - 1
+    return rows.filter(F.col(copies) > 0).withColumn(first, upto).withColumn(number, F.explode(F.sequence(F.col(first), last))).drop(first)
+
+
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``, columns as in ``rows``: that with the least hash of its JSON, whatever the order of the rows."""
+    whole, least = unused(rows, "gf_row"), F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))))
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), least).alias(whole))
+    return first.select(*(F.col(whole)[c].alias(c) for c in rows.columns))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from grainflow.llm.common import ascii_lower, text_or_empty, workspace, written
+from grainflow.llm.common import ascii_lower, repeated, text_or_empty, with_totals, workspace, written
 
 
 def name_contents(refs: DataFrame, content: list[str], hashed=F.xxhash64) -> DataFrame:
@@ -69,13 +69,14 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 8192, hashed=F.xxhash64) ->
         done = done.unionByName(level.filter(F.size("names") == 1))
     identity = ["blocks", "name.bucket", "name.rank"]
     named_docs = done.select("doc_id", "sha", "copies", "blocks", F.get("names", F.lit(0)).alias("name")).select("doc_id", "sha", "copies", *identity)
-    group = named_docs.groupBy("blocks", "bucket", "rank").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    out = named_docs.join(group, ["blocks", "bucket", "rank"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    partial = [F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")]
+    whole = [F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")]
+    out = repeated(with_totals(named_docs, ["blocks", "bucket", "rank"], ["doc_id"], partial, whole), "copies", "copy")
     return out.select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 

@@ -8,6 +8,7 @@ round through all blocks has a permutation of its own. Slots and blocks are then
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -17,16 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import text_or_empty, unused, workspace, written
+from grainflow.llm.common import one_of_each, repeated, text_or_empty, unused, workspace, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: The weights of the sources in order of their names, again and again; the most that a source gives, times its size.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Blocks that the whole corpus has about, and the bounds of a block's words. Up to 2048 words the block grows with the corpus;
-#: a source's own is shorter where its size or target would be too few of them.
-BLOCKS, LEAST_WORDS, MOST_WORDS = 1 << 17, 16, 2048
+#: Words of a block; a source's own is shorter where its size or target would be too few of them, down to LEAST_WORDS.
+BLOCK_WORDS, LEAST_WORDS = 2048, 16
 BROADCAST_SOURCES = 10_000
-DRAWN = 10**8  # numpy's draw has a limit; larger nodes are split in proportion
+#: Documents of a source that are ordered together, and buckets whose words are added up together.
+BUCKET_ROWS, RANGE_BUCKETS = 256, 4096
+#: numpy draws from fewer items than this; ``hypergeometric`` serves the others.
+DRAWN = 10**9
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,7 @@ class Share:
     blocks: int
     slots: int
     length: int
+    rows: int = 0
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -52,10 +56,6 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[
         capped |= above
 
 
-def block_words(total: int) -> int:
-    return min(MOST_WORDS, max(LEAST_WORDS, total // BLOCKS))
-
-
 def source_words(size: int, target: float, most: int) -> int:
     """Words of a source's block: at most ``most``, and a 64th of what the source has or gives, so that whole blocks miss the target by
     a hundredth or so; 16 words at least, or an eighth of it where that is less."""
@@ -63,16 +63,16 @@ def source_words(size: int, target: float, most: int) -> int:
     return max(1, min(most, max(min(LEAST_WORDS, least // 8), least // 64)))
 
 
-def plan_shares(sizes: list[tuple[str | None, int]], length: int) -> list[Share]:
-    """One for each source, in code-point order of their names, null last. ``length``: the most words of a block."""
+def plan_shares(sizes: list[tuple], length: int = BLOCK_WORDS) -> list[Share]:
+    """One for each source (name, size and perhaps rows), in code-point order of their names, null last. ``length``: the most words of a block."""
     rows = sorted(sizes, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
-    want = targets([n for _, n in rows], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))]) if rows else []
+    want = targets([r[1] for r in rows], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))]) if rows else []
     out = []
-    for (source, size), target in zip(rows, want):
+    for (source, size, *count), target in zip(rows, want):
         own = source_words(size, target, length)
         blocks = -(-size // own)
         slots = min(MOST * blocks, round(target / size * blocks)) if size else 0
-        out.append(Share(source, size, target, blocks, slots, own))
+        out.append(Share(source, size, target, blocks, slots, own, *count))
     return out
 
 
@@ -80,26 +80,53 @@ def _key(seed: int, *parts: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, *parts])))
 
 
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of ``take`` items drawn without replacement are good, for any numbers of items: binomial draws, each accepted with the ratio of the two
+    distributions over its maximum. Half of the items at most are drawn, so that two of three draws or more are accepted."""
+    total = good + bad
+    if 2 * take > total:
+        return good - hypergeometric(good, bad, total - take, rng)
+    if not (good and bad and take):
+        return take if not bad else 0
+    log_odds = math.log(good / total), math.log(bad / total)
+
+    def ratio(x: int) -> float:
+        return -math.lgamma(good - x + 1) - math.lgamma(bad - take + x + 1) - x * log_odds[0] - (take - x) * log_odds[1]
+
+    lo, hi = max(0, take - bad), min(good, take)
+    peak = max(ratio(min(hi, max(lo, good * (take - 1) // total + k))) for k in (0, 1))
+    while True:
+        x = int(rng.binomial(take, good / total))
+        if lo <= x <= hi and math.log(1 - rng.random()) <= ratio(x) - peak:
+            return x
+
+
 def split_quota(quota: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """``take`` of the slots in ``quota``: a draw without replacement, which is what multinomial draws give once the total of each source is known."""
-    total = int(quota.sum())
-    if total <= DRAWN:
+    left = int(quota.sum())
+    if left < DRAWN:
         return rng.multivariate_hypergeometric(quota, take, method="marginals")
-    exact = quota * (take / total)
-    out = np.floor(exact).astype(np.int64)
-    out[np.argsort(out - exact, kind="stable")[: take - int(out.sum())]] += 1
+    out = np.zeros(len(quota), np.int64)
+    for k, slots in enumerate(quota.tolist()):
+        left -= slots
+        out[k] = hypergeometric(slots, left, take, rng)
+        take -= int(out[k])
     return out
 
 
-def shard_counts(quota: np.ndarray, per_shard: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_counts(quota: np.ndarray, per_shard: int, shard: int, seed: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(slots of each source before ``shard``, slots in it). Shards are leaves of a binary tree; a node's slots are
-    drawn for its left child from a generator that seed and node name, so any shard can be found alone."""
+    drawn for its left child from a generator that seed and node name, so any shard can be found alone. ``known`` keeps the draws of large nodes."""
     total = int(quota.sum())
     lo, hi = 0, -(-total // per_shard)
     before, here = np.zeros(len(quota), np.int64), quota.astype(np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = split_quota(here, (mid - lo) * per_shard, _key(seed, 1, lo, hi))
+        left = known.get((lo, hi)) if known is not None else None
+        if left is None:
+            left = split_quota(here, (mid - lo) * per_shard, _key(seed, 1, lo, hi))
+            if known is not None and hi - lo > 256:
+                known[lo, hi] = left
         if shard < mid:
             here, hi = left, mid
         else:
@@ -135,9 +162,10 @@ def draw_slots(spark, shares: list[Share], per_shard: int, seed: int) -> DataFra
     schema = "shard long, slot long, source_no int, round int, block long"
 
     def draw(frames):
+        known = {}
         for frame in frames:
             for shard in frame["id"].tolist():
-                before, here = shard_counts(quota, per_shard, shard, seed)
+                before, here = shard_counts(quota, per_shard, shard, seed, known)
                 order = _key(seed, 3, shard).permutation(int(here.sum()))
                 at = 0
                 for k in np.flatnonzero(here).tolist():
@@ -167,30 +195,33 @@ class Mix:
     with the same doc_id, source and size are placed one after the other. The plan depends on the rows and ``seed`` alone.
     """
 
-    def __init__(self, docs: DataFrame, per_shard: int = 4096, seed: int = 17):
+    def __init__(self, docs: DataFrame, per_shard: int = 4096, seed: int = 17, block_words: int = BLOCK_WORDS):
         self.spark, self.folder = docs.sparkSession, workspace(docs.sparkSession, "mixing")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("source").cast("string").alias("source"), F.xxhash64(text_or_empty()).alias("tie"))
-        self.docs = written(_count_words(texts), f"{self.folder}/sizes")
-        sizes = [(r.source, r.size) for r in self.docs.groupBy("source").agg(F.sum("size").alias("size")).collect()]  # one row a source
-        self.shares = plan_shares(sizes, block_words(sum(n for _, n in sizes)))
-        rows = [(k, s.source, s.size, s.target, s.length) for k, s in enumerate(self.shares)]
-        self.sources = self.spark.createDataFrame(rows, "source_no int, name string, source_size long, target double, length long")
+        self.docs = written(_count_words(texts).groupBy("doc_id", "tie", "source", "size").agg(F.count(F.lit(1)).alias("copies")), f"{self.folder}/sizes")
+        words = F.sum(F.col("size") * F.col("copies")).alias("words")
+        sizes = [(r.source, r.words, r.n) for r in self.docs.groupBy("source").agg(words, F.count(F.lit(1)).alias("n")).collect()]  # one row a source
+        self.shares = plan_shares(sizes, block_words)
+        rows = [(k, s.source, s.size, s.target, s.length, -(-s.rows // BUCKET_ROWS)) for k, s in enumerate(self.shares)]
+        self.sources = self.spark.createDataFrame(rows, "source_no int, name string, source_size long, target double, length long, buckets long")
         if len(rows) <= BROADCAST_SOURCES:
             self.sources = F.broadcast(self.sources)
         self.spans = written(self._spans(), f"{self.folder}/spans")
         self.slots = draw_slots(self.spark, self.shares, per_shard, seed)
 
     def _spans(self) -> DataFrame:
-        """Places documents by (bucket, tie, doc_id), a pseudorandom order. Buckets hold about 2,000 documents, so no task has a whole source."""
-        buckets = max(1, self.docs.count() // 2000)
+        """Places documents by (bucket, tie, doc_id), a pseudorandom order. A bucket has about ``BUCKET_ROWS`` of a source's documents. Words before it are
+        added up in two levels, ranges of buckets first, so no task has a whole source."""
         rows = self.docs.join(self.sources, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
-        upto = Window.rowsBetween(Window.unboundedPreceding, -1)
-        within = F.coalesce(F.sum("size").over(upto.partitionBy("source_no", "bucket").orderBy("tie", "doc_id", "size")), F.lit(0))
-        of_bucket = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
-        starts = of_bucket.select("source_no", "bucket", F.coalesce(F.sum("words").over(upto.partitionBy("source_no").orderBy("bucket")), F.lit(0)).alias("base"))
-        placed = rows.withColumn("within", within).join(starts, ["source_no", "bucket"])
-        return placed.select("doc_id", "tie", "source", "source_no", "source_size", "target", "length", "size", (F.col("base") + F.col("within")).alias("start"))
+        rows = rows.withColumn("words", F.col("size") * F.col("copies")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.col("buckets")))
+        before = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        of_bucket = rows.groupBy("source_no", "bucket").agg(F.sum("words").alias("words")).withColumn("range", F.floor(F.col("bucket") / RANGE_BUCKETS))
+        of_range = of_bucket.groupBy("source_no", "range").agg(F.sum("words").alias("words"))
+        of_range = of_range.select("source_no", "range", before("words", ["source_no"], ["range"]).alias("of_range"))
+        starts = of_bucket.withColumn("of_bucket", before("words", ["source_no", "range"], ["bucket"])).join(of_range, ["source_no", "range"])
+        placed = rows.withColumn("within", before("words", ["source_no", "bucket"], ["tie", "doc_id", "size"])).join(starts.drop("words", "range"), ["source_no", "bucket"])
+        start = F.col("of_range") + F.col("of_bucket") + F.col("within") + F.col("copy") * F.col("size")
+        return repeated(placed, "copies", "copy").select("doc_id", "tie", "source", "source_no", "source_size", "target", "length", "size", start.alias("start"))
 
     def pieces(self, *columns: Column | str) -> DataFrame:
         """The words of a document in each block: its ``spans`` row (or ``columns``), block, from_word, n_words."""
@@ -223,8 +254,8 @@ class Mix:
         names = [f.name for f in docs.schema.fields]
         own_id, own_tie, own_source = (unused(docs, f"gf_{n}") for n in ("id", "tie", "source"))
         keyed = docs.select("*", F.col("doc_id").cast("long").alias(own_id), F.xxhash64(text_or_empty()).alias(own_tie), F.col("source").cast("string").alias(own_source))
-        if not self.spans.groupBy("doc_id", "tie", "source").count().filter("count > 1").isEmpty():
-            keyed = keyed.dropDuplicates([own_id, own_tie, own_source])  # each repetition has a span of its own
+        if not self.docs.filter("copies > 1").isEmpty():
+            keyed = one_of_each(keyed, [own_id, own_tie, own_source])  # each repetition has a span of its own
         same = F.lit(True)
         for ours, theirs in ((own_id, "doc_id"), (own_tie, "tie"), (own_source, "source")):
             same = same & F.col(f"k.{ours}").eqNullSafe(F.col(f"p.{theirs}"))

@@ -53,7 +53,7 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rotate_perspectives(read(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
-    return out.select("conv_id", "part", "shard", "speaker", "n_turns", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"), mask.alias("mask"))
+    return out.select("conv_id", "part", "speaker", "n_turns", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"), mask.alias("mask"))
 
 
 def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,21 +114,27 @@ SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, coalesce(max_by(
 FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
 GROUP BY page_id, host, path""",
     "op7_chat_rotation": """
-WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
-), p AS (SELECT *, coalesce(turn // 64, 0) AS part, replace(text, '<|im_', '< |im_') AS said FROM t),
-s AS (SELECT DISTINCT conv_id, part, role AS speaker FROM p WHERE role <> 'system'),
-seg AS (
-  SELECT p.*, speaker, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
-  FROM p JOIN s ON p.conv_id = s.conv_id AND p.part = s.part
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT *, k // 1024 AS part FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k FROM t)),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+f AS (SELECT conv_id, text, min(k) AS k, min(part) AS part FROM p WHERE role = 'system' GROUP BY conv_id, text),
+turns AS (
+  SELECT conv_id, part, 1 AS own, k, role, text FROM p
+  UNION ALL SELECT q.conv_id, q.part, 0, f.k, 'system', f.text
+  FROM (SELECT DISTINCT conv_id, part FROM p) q JOIN f ON q.conv_id IS NOT DISTINCT FROM f.conv_id AND f.part < q.part
+), seg AS (
+  SELECT turns.*, speaker, replace(text, '<|im_', '< |im_') AS said,
+         '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+                                ELSE 'user name=' || regexp_replace(replace(role, '<|im_', '< |im_'), '[\x00-\x1f]', ' ', 'g') END || chr(10) AS head
+  FROM turns JOIN s ON turns.conv_id IS NOT DISTINCT FROM s.conv_id
 ), placed AS (
   SELECT *, head || said || '<|im_end|>' || chr(10) AS piece,
-         coalesce(sum(length(head) + length(said) + 11) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text
+         coalesce(sum(length(head) + length(said) + 11) OVER (PARTITION BY conv_id, part, speaker ORDER BY own, k
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos
   FROM seg
 )
-SELECT conv_id, part, CAST(0 AS BIGINT) AS shard, speaker, count(*) AS n_turns,
-       CAST(sum(length(piece)) AS BIGINT) AS n_chars, sha256(string_agg(piece, '' ORDER BY turn NULLS FIRST, role, text)) AS rendered_sha256,
-       string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(said) + 10 AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = speaker) AS mask
+SELECT conv_id, part, speaker, count(*) AS n_turns,
+       CAST(sum(length(piece)) AS BIGINT) AS n_chars, sha256(string_agg(piece, '' ORDER BY own, k)) AS rendered_sha256,
+       coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(said) + 10 AS BIGINT), ',' ORDER BY own, k) FILTER (WHERE role = speaker), '') AS mask
 FROM placed GROUP BY conv_id, part, speaker""",
 }

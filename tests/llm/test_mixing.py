@@ -1,11 +1,12 @@
 """Mixing: shares, permutations and draws against plain versions; the words taken against the texts written."""
 
 from collections import Counter
+from math import comb
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from grainflow.llm.mixing import Mix, permuted, plan_shares, shard_counts, targets
+from grainflow.llm.mixing import DRAWN, Mix, hypergeometric, permuted, plan_shares, shard_counts, split_quota, targets
 from grainflow.llm.queries import QUERIES
 from tests.llm.helpers import SF, docs_frame, spark_rows
 
@@ -38,8 +39,7 @@ def test_small_sources_meet_their_targets_at_long_blocks():
         assert s.slots and abs(s.slots * s.size / s.blocks - s.target) <= max(8, s.target / 100)
 
 
-def test_words_taken_from_small_sources(spark, monkeypatch):
-    monkeypatch.setattr("grainflow.llm.mixing.block_words", lambda total: 2048)
+def test_words_taken_from_small_sources(spark):
     docs = docs_frame(spark, [(i, f"w{i} " * 250, f"s{i % 30:02}") for i in range(240)])
     taken, target = Counter(), {}
     for r in Mix(docs).taken().collect():
@@ -55,7 +55,7 @@ def test_query(spark):
     sizes = Counter()
     for d in docs.values():
         sizes[d.source] += len((d.text or "").encode().split())
-    want = {s.source: s.target for s in plan_shares(list(sizes.items()), 16)}
+    want = {s.source: s.target for s in plan_shares(list(sizes.items()))}
     taken = Counter()
     for r in rows:
         d = docs[r.doc_id]
@@ -67,6 +67,52 @@ def test_query(spark):
     assert spark_rows(QUERIES["op10_mixing"](spark, SF))[1] == sorted((tuple(r[c] for c in sorted(r.asDict())) for r in rows), key=repr)
 
 
+def test_draws_of_any_size():
+    rng = np.random.default_rng(5)
+    for good, bad, take in ((7, 5, 6), (3, 9, 10), (1, 1, 1), (0, 4, 2), (4, 0, 3), (5, 5, 0)):
+        lo, hi, all_ = max(0, take - bad), min(good, take), comb(good + bad, take)
+        seen = Counter(hypergeometric(good, bad, take, rng) for _ in range(4000))
+        for x in range(lo, hi + 1):
+            p = comb(good, x) * comb(bad, take - x) / all_
+            assert abs(seen[x] / 4000 - p) < 5 * (p * (1 - p) / 4000) ** 0.5 + 1e-9
+    good, bad, take = 10**9, 3 * 10**9, 25 * 10**8
+    draws = np.array([hypergeometric(good, bad, take, rng) for _ in range(1500)], float)
+    var = take * 0.25 * 0.75 * (good + bad - take) / (good + bad - 1)
+    assert abs(draws.mean() - take / 4) < 5 * (var / 1500) ** 0.5 and 0.8 < draws.var() / var < 1.2
+    quota = np.array([DRAWN, 5, 0, 2 * DRAWN])
+    drawn = split_quota(quota, DRAWN, rng)
+    assert drawn.sum() == DRAWN and (drawn <= quota).all() and abs(int(drawn[0]) - DRAWN // 3) < 10**6
+
+
+def test_taken_by_a_plain_version(spark):
+    """Documents laid end to end in the order of their keys, blocks cut from the list of words, and every slot counted word by word."""
+    rows = [(i, f"w{i} " * (i * 37 % 400), f"s{i % 3}") for i in range(300)] + [(500, "x y z", "s1")] * 9 + [(None, "n1 n2", None), (None, None, None), (501, "a " * 3000, "s2")]
+    docs = docs_frame(spark, rows)
+    mix = Mix(docs, per_shard=32, seed=3, block_words=64)
+    keyed = [(r.doc_id, r.source, r.tie, r.h, len(r.t.split())) for r in docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("h")).collect()]
+    slots = mix.slots.collect()
+    assert len({(r.shard, r.slot) for r in slots}) == len(slots) == sum(s.slots for s in mix.shares)
+    want = Counter()
+    for k, share in enumerate(mix.shares):
+        mine = [r for r in keyed if r[1] == share.source]
+        buckets = -(-len({r[:3] for r in mine}) // 256)
+        mine.sort(key=lambda r: (r[3] % buckets, r[2], -1 if r[0] is None else r[0]))
+        words = [(r[0], r[4]) for r in mine for _ in range(r[4])]
+        blocks = [words[at : at + share.length] for at in range(0, len(words), share.length)]
+        assert len(blocks) == share.blocks and len(words) == share.size
+        uses = Counter((r.round, r.block) for r in slots if r.source_no == k)
+        assert all(n == 1 for n in uses.values()) and len(uses) == share.slots
+        for _, block in uses:
+            want.update((*w, share.source) for w in blocks[block])
+    got = Counter()
+    for r in mix.taken().collect():
+        got[r.doc_id, r.size, r.source] += r.taken
+    assert {k: n for k, n in got.items() if n} == dict(want) and sum(got.values()) == sum(want.values())
+    assert mix.taken().count() == len(rows)
+    again = Mix(docs.repartition(5), per_shard=32, seed=3, block_words=64)
+    assert spark_rows(again.taken()) == spark_rows(mix.taken()) and spark_rows(again.texts(docs.repartition(3))) == spark_rows(mix.texts(docs))
+
+
 def test_texts_hold_the_words_taken(spark):
     docs = docs_frame(spark, [(i, f"w{i} " * (i * 7 % 90), f"s{i % 3}") for i in range(60)] + [(99, None, None), (None, "n1 n2", None), (7, "w7 " * 49, "s1"), (8, "", "s2")]).withColumn("gf_id", F.lit(1))
     mix = Mix(docs, per_shard=16)
