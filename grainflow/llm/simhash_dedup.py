@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import text_or_empty, unused, workspace, written
+from grainflow.llm.common import one_of_each, text_or_empty, unused, workspace, written
 from grainflow.llm.components import components
-from grainflow.llm.simhash_fingerprint import fingerprints, hex16
-from grainflow.llm.trie_join import near_edges
+from grainflow.llm.simhash_fingerprint import ROUNDS, fingerprints, hex16, shingle_sets, similar_pairs, sketches
+from grainflow.llm.trie_join import SMALL, near_edges
+
+#: Parts that the rows of one fingerprint are dealt out to.
+PARTS = 256
+#: Bits in which fingerprints of texts that are alike to 0.8 differ at most, all but one in a thousand of them; and the budgets tried before.
+SIMILAR_BITS, STEPS = 18, (3, 6, 9, 12, 15)
 
 
 def simhash_components(docs: DataFrame, budget: int = 4, most: int = 50_000) -> DataFrame:
@@ -19,31 +24,72 @@ def simhash_components(docs: DataFrame, budget: int = 4, most: int = 50_000) ->
     other. Repeated rows count one by one. Other columns are ignored, an empty table gives no rows.
     """
     folder = workspace(docs.sparkSession, "simhash")
-    marked = written(fingerprints(docs), f"{folder}/fingerprints")
-    different = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), f"{folder}/different")
-    stars = components(near_edges(different.select("fp"), budget, most), folder)
-    rooted = different.join(stars, different.fp == stars.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    marked = written(fingerprints(docs).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))), f"{folder}/fingerprints")
+    parts = marked.groupBy("fp", "part").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    different = parts.groupBy("fp").agg(F.min("least").alias("least"), F.sum("copies").alias("copies"), F.collect_set("part").alias("parts"))
+    different = written(different, f"{folder}/different")
+    stars = components(near_edges(different.select("fp", F.col("fp").alias("node")), budget, most), folder)
+    rooted = different.join(stars, different.fp == stars.node, "left").select("fp", "least", "copies", "parts", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("component_size"))
-    named = rooted.select("fp", "root").join(whole, "root").drop("root")
-    return marked.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
+    # A row for each part of a fingerprint's rows, so that no task joins all rows of one.
+    named = rooted.join(whole, "root").select("fp", F.explode("parts").alias("part"), "component_id", "component_size")
+    return marked.join(named, ["fp", "part"]).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
+
+
+def near_groups(docs: DataFrame, nodes: DataFrame, folder: str, similarity: float, budget: int, most: int) -> DataFrame:
+    """(node, root) of the groups of nodes that are linked by texts alike to ``similarity`` or more, but for the roots.
+
+    nodes: node, fps, blocks, first (id and tie of a row of docs). Fingerprints of a block meet in a trie within ``budget`` bits. Of the links
+    a block gives a forest of the nearest (a small one all), and each is checked on the whole sets of shingles. Bits order links roughly, so a group may fall apart where a
+    link of the forest fails; the next round, with other fingerprints, looks for links between what is apart.
+    """
+    links, stars = None, None
+    for k in range(ROUNDS):
+        rows = nodes.withColumn("label", F.col("node")) if stars is None else nodes.join(stars.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("label", F.coalesce("root", "node"))
+        met = rows.select("node", "label", F.get("fps", F.lit(k)).alias("fp"), F.explode("blocks").alias("block"))
+        edges = written(near_edges(met, budget, most, tuple(s for s in STEPS if s < budget), SMALL if k == 0 else 0), f"{folder}/edges{k}")
+        new = written(_checked(docs, nodes, edges, f"{folder}/sets{k}", similarity), f"{folder}/links{k}")
+        links = new if links is None else links.unionByName(new)
+        stars = components(links, f"{folder}/groups{k}")
+    return stars
+
+
+def _checked(docs: DataFrame, nodes: DataFrame, edges: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """The edges whose nodes' texts are alike. Only texts of such nodes are read."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    firsts = nodes.join(ends, "node", "left_semi").select("node", F.col("first.id").alias("id"), F.col("first.tie").alias("tie"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64(text_or_empty()).alias("own_tie"), text_or_empty().alias("text"))
+    texts = texts.join(firsts, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")))
+    sets = written(shingle_sets(texts).dropDuplicates(["node"]), folder)
+    pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+    return similar_pairs(pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b"), similarity)
 
 
-def near_distinct(docs: DataFrame, budget: int = 4, most: int = 50_000) -> DataFrame:
-    """The rows of docs (doc_id, text and any other columns) that stay when one row of each component of ``simhash_components`` does.
+def near_distinct(docs: DataFrame, similarity: float = 0.8, budget: int = SIMILAR_BITS, most: int = 50_000) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) of which each group of near copies keeps one.
 
-    The row with the smallest doc_id stays, null ids last, of equal ids that with the least hash of the text, of equal texts any one.
+    Texts are linked if their different five-word shingles (words in lower case; a shorter text is one shingle) are alike to ``similarity``;
+    a group is what links reach. Texts with the same words are one group, those without words too.
+    The row with the smallest doc_id stays, null ids last, of equal ids that with the least hash of the text, of equal texts that with the least
+    hash of all its columns. An empty table gives no rows.
     """
-    tie = F.xxhash64(text_or_empty())
-    id_ = F.col("doc_id").cast("long")
     folder = workspace(docs.sparkSession, "near_distinct")
-    marked = written(fingerprints(docs.withColumn("doc_id", id_), tie=True), f"{folder}/fingerprints")
-    different = written(marked.select("fp").distinct(), f"{folder}/different")
-    stars = components(near_edges(different, budget, most), folder)
-    rooted = marked.join(stars, marked.fp == stars.node, "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "tie")
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tie").alias("tie"))).alias("first"))
-    first = first.select(F.col("first.id").alias("id"), F.col("first.tie").alias("tie")).distinct().alias("first")
-    own, text, n = (unused(docs, f"gf_{x}") for x in ("id", "text", "n"))
-    keyed = docs.select("*", id_.alias(own), tie.alias(text)).alias("all")
-    kept = keyed.join(first, F.col(f"all.{own}").eqNullSafe(F.col("first.id")) & (F.col(f"all.{text}") == F.col("first.tie")), "left_semi")
-    one = F.row_number().over(Window.partitionBy(own, text).orderBy(F.lit(1)))
-    return kept.withColumn(n, one).filter(F.col(n) == 1).drop(own, text, n)
+    marked = written(sketches(docs), f"{folder}/sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tie").alias("tie"))
+    nodes = written(marked.groupBy("node").agg(F.min(row).alias("first"), F.min("fps").alias("fps"), F.min("blocks").alias("blocks")), f"{folder}/nodes")
+    stars = near_groups(docs, nodes, folder, similarity, budget, most)
+    rooted = nodes.join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("f_id"), F.col("first.tie").alias("f_tie"))
+    rows = marked.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("copies"))
+    rows = written(rows.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("tie") == F.col("f_tie")), "left").select("doc_id", "tie", "copies", F.col("f_tie").isNull().alias("gone")), f"{folder}/rows")
+    own, text = (unused(docs, f"gf_{x}") for x in ("id", "text"))
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias(own), F.xxhash64(text_or_empty()).alias(text)).alias("all")
+    same = lambda keys: F.col(f"all.{own}").eqNullSafe(F.col(f"{keys}.doc_id")) & (F.col(f"all.{text}") == F.col(f"{keys}.tie"))
+    # Keys are written first: Spark knows their size and broadcasts a few instead of shuffling texts.
+    gone = written(rows.filter("gone").select("doc_id", "tie"), f"{folder}/gone").alias("gone")
+    kept = keyed.join(gone, same("gone"), "left_anti")
+    if rows.filter("copies > 1 AND NOT gone").isEmpty():
+        return kept.drop(own, text)
+    many = written(rows.filter("copies > 1 AND NOT gone").select("doc_id", "tie"), f"{folder}/many").alias("many")
+    once = kept.join(many, same("many"), "left_anti")
+    return once.unionByName(one_of_each(kept.join(many, same("many"), "left_semi"), [own, text])).drop(own, text)

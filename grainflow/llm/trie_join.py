@@ -7,6 +7,9 @@ soon as that exceeds the budget. All tries of a batch go down together, a level
 To spread the work, fingerprints meet only if they agree in one of budget + 1 blocks of bits, which two fingerprints
 within the budget always do. A group (block, value) has a trie of its own. Groups of more than ``most`` fingerprints
 are split again, by blocks of the bits that are left.
+
+Where the budget is too large for blocks of bits to tell anything, the caller deals fingerprints out by content instead (``block``), and
+the budget grows in steps: what few bits join is left alone by the steps that follow, so that the edges are the nearest ones.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF, FRONTIER, BATCH = 64, 1 << 19, 1 << 17
+#: Groups of no more fingerprints may yield all their links.
+SMALL = 12
 
 
 def block_masks(mask: int, budget: int) -> list[int]:
@@ -41,11 +46,13 @@ def _pairs(a_lo, a_hi, b_lo, b_hi):
     return a_lo[which] + k // width[which], b_lo[which] + k % width[which]
 
 
-def trie_links(group: np.ndarray, fp: np.ndarray, budget: int):
+def trie_links(group: np.ndarray, fp: np.ndarray, budget: int, joined: np.ndarray | None = None):
     """Yields arrays (i, j), i < j, of all pairs of a group that differ in at most ``budget`` bits.
 
     group: integers in ascending order; fp: unsigned 64-bit integers, different and ascending within a group.
+    joined: labels; pairs of nodes that hold one and the same label are left out.
     """
+    changes = None if joined is None else np.concatenate([[0], np.cumsum(joined[1:] != joined[:-1])])
     cut = np.flatnonzero(np.diff(group)) + 1
     lo, hi = np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [len(group)]]).astype(np.int64)
     ones: dict[int, np.ndarray] = {}
@@ -54,6 +61,9 @@ def trie_links(group: np.ndarray, fp: np.ndarray, budget: int):
         bit, al, ah, bl, bh, used = stack.pop()
         keep = (ah > al) & (bh > bl) & (used <= budget) & ((al != bl) | (ah - al > 1))
         al, ah, bl, bh, used = (x[keep] for x in (al, ah, bl, bh, used))
+        if changes is not None and len(al):
+            keep = (joined[al] != joined[bl]) | (changes[ah - 1] != changes[al]) | (changes[bh - 1] != changes[bl])
+            al, ah, bl, bh, used = (x[keep] for x in (al, ah, bl, bh, used))
         if not len(al):
             continue
         leaf = ((ah - al) * (bh - bl) <= LEAF) | (bit < 0)
@@ -88,60 +98,84 @@ def _roots(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
         i = up
 
 
-def _united(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Joins the trees of i and j in ``parent``, whose roots are their smallest members."""
+def _united(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Joins the trees of i and j in ``parent``, whose roots are their smallest members. Returns the pairs that did so, fewer than there are members."""
+    new = []
     while len(i):
-        i, j = _roots(parent, i), _roots(parent, j)
-        apart = i != j
-        i, j = i[apart], j[apart]
+        a, b = _roots(parent, i), _roots(parent, j)
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
         if len(i):
-            np.minimum.at(parent, np.maximum(i, j), np.minimum(i, j))
+            high, at = np.unique(np.maximum(a, b), return_index=True)
+            parent[high] = np.minimum(a, b)[at]
+            new.append((i[at], j[at]))
+    return new
 
 
-def near_edges(fps: DataFrame, budget: int = 4, most: int = 50_000) -> DataFrame:
-    """Edges (a, b) whose components are those of the links of ``budget`` or fewer different bits.
+def near_edges(rows: DataFrame, budget: int = 4, most: int = 50_000, steps: tuple[int, ...] = (), small: int = 0) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of the links of ``budget`` or fewer different bits.
 
-    fps: a column fp (long) of different values, read more than once. Each group yields a spanning forest, fewer edges than it has
-    members: copies by the thousand don't become all their pairs. A task holds one group, or some small ones, at a time.
+    rows: fp and node (long), read more than once; with ``block`` (long) only those of a block meet, without it all do; with ``label`` (long)
+    nodes of one label are joined from the start.
+    Each group yields a spanning forest of such links, fewer edges than it has
+    members: copies by the thousand don't become all their pairs. With ``steps`` (smaller budgets, ascending) the forest has the
+    nearest links. A group of ``small`` fingerprints or fewer yields all links instead. A task holds one group, or some small ones, at a time.
     """
-    masks = block_masks(0, budget)
-    keyed = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
-    edges = None
+    label = F.col("label" if "label" in rows.columns else "node").alias("label")
+    if "block" in rows.columns:
+        keyed = rows.select("block", "fp", "node", label, F.lit(0).cast("long").alias("mask"))
+    else:
+        keyed = rows.select(F.lit(0).cast("long").alias("block"), "fp", "node", label, F.explode(F.array(*(F.lit(_signed(m)) for m in block_masks(0, budget)))).alias("mask"))
+    edges, group = None, ["block", "mask", "key"]
     while True:
         keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        large = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > most).select("mask", "key")
+        large = keyed.groupBy(*group).agg(F.count_distinct("fp").alias("members")).filter(F.col("members") > most).select(*group)
         found = {r.mask: block_masks(r.mask % (1 << 64), budget) for r in large.select("mask").distinct().collect()}  # at most (budget + 1) ** depth
         found = {m: [_signed(x) for x in deeper] for m, deeper in found.items() if deeper}
         if found:
             large = large.filter(F.col("mask").isin(*found))
-        here = keyed.join(large, ["mask", "key"], "left_anti") if found else keyed
-        part = _edges_of_groups(here, budget)
+        here = keyed.join(large, group, "left_anti") if found else keyed
+        part = _edges_of_groups(here, (*steps, budget), small)
         edges = part if edges is None else edges.unionByName(part)
         if not found:
             return edges.distinct()
         deeper = F.create_map(*(x for m, ms in found.items() for x in (F.lit(m), F.array(*(F.lit(v) for v in ms)))))
-        keyed = keyed.join(large, ["mask", "key"], "left_semi").select("fp", F.explode(F.element_at(deeper, F.col("mask"))).alias("mask"))
-
-
-def _edges_of_groups(keyed: DataFrame, budget: int) -> DataFrame:
-    def edges(group: np.ndarray, fp: np.ndarray):
-        parent = np.arange(len(fp))
-        for i, j in trie_links(group, fp, budget):
-            _united(parent, i, j)
-        root = _roots(parent, np.arange(len(fp)))
-        child = np.flatnonzero(root != np.arange(len(fp)))
-        if len(child):
-            yield pa.RecordBatch.from_arrays([pa.array(fp[child].view(np.int64)), pa.array(fp[root[child]].view(np.int64))], ["a", "b"])
+        keyed = keyed.join(large, group, "left_semi").select("block", "fp", "node", "label", F.explode(F.element_at(deeper, F.col("mask"))).alias("mask"))
+
+
+def _edges_of_groups(keyed: DataFrame, budgets: tuple[int, ...], small: int) -> DataFrame:
+    def edges(group: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray):
+        # Equal fingerprints of a group follow each other: a chain of edges, and one of them stands for all.
+        again = np.concatenate([[False], (group[1:] == group[:-1]) & (fp[1:] == fp[:-1])])
+        at = np.flatnonzero(again & np.concatenate([[False], label[1:] != label[:-1]]))
+        pairs = [(node[at - 1], node[at])]
+        group, fp, node, label = group[~again], fp[~again], node[~again], label[~again]
+        few = np.repeat(*(lambda n: (n <= small, n))(np.bincount(np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])))))
+        for i, j in trie_links(group[few], fp[few], budgets[-1]) if few.any() else ():
+            pairs.append((node[few][i], node[few][j]))
+        group, fp, node, label = group[~few], fp[~few], node[~few], label[~few]
+        order = np.lexsort((np.arange(len(fp)), label, group))
+        new = np.concatenate([np.ones(min(1, len(fp)), bool), (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1])])
+        parent = np.empty(len(fp), np.int64)
+        parent[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        for budget in budgets:
+            joined = _roots(parent, np.arange(len(fp)))
+            parent[:] = joined
+            for i, j in trie_links(group, fp, budget, joined) if len(fp) else ():
+                pairs += [(node[a], node[b]) for a, b in _united(parent, i, j)]
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     def scan(batches):
         held: list[np.ndarray] = []
         rows = 0
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]))
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]))
             rows += batch.num_rows
             if rows >= BATCH:  # the last group may go on in the next batch
                 whole = np.concatenate(held, axis=1)
-                new = np.flatnonzero((whole[:2, 1:] != whole[:2, :-1]).any(axis=0)) + 1
+                new = np.flatnonzero((whole[:3, 1:] != whole[:3, :-1]).any(axis=0)) + 1
                 if len(new):
                     yield from edges(*_grouped(whole[:, : new[-1]]))
                     whole = whole[:, new[-1] :]
@@ -149,11 +183,12 @@ def _edges_of_groups(keyed: DataFrame, budget: int) -> DataFrame:
         if held:
             yield from edges(*_grouped(np.concatenate(held, axis=1)))
 
-    return keyed.repartition("mask", "key").sortWithinPartitions("mask", "key").select("mask", "key", "fp").mapInArrow(scan, "a long, b long")
+    group = ["block", "mask", "key"]
+    return keyed.repartition(*group).sortWithinPartitions(*group).select(*group, "fp", "node", "label").mapInArrow(scan, "a long, b long")
 
 
-def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    group = np.concatenate([[0], np.cumsum((rows[:2, 1:] != rows[:2, :-1]).any(axis=0))])
-    fp = rows[2].view(np.uint64)
-    order = np.lexsort((fp, group))
-    return group[order], fp[order]
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    group = np.concatenate([[0], np.cumsum((rows[:3, 1:] != rows[:3, :-1]).any(axis=0))])
+    fp = rows[3].view(np.uint64)
+    order = np.lexsort((rows[4], rows[5], fp, group))
+    return group[order], fp[order], rows[4][order], rows[5][order]

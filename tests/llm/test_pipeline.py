@@ -10,8 +10,8 @@ from tokenizers import Tokenizer
 from grainflow.llm.common import read, workspace, written
 from grainflow.llm.decontaminate import decontaminate
 from grainflow.llm.quality import Classifier
-from grainflow.llm.simhash_fingerprint import fingerprint
-from tests.llm.helpers import SF, docs_frame
+from tests.llm.helpers import SF
+from tests.llm.test_simhash import similar_groups
 
 
 def test_stages(spark):
@@ -29,16 +29,9 @@ def test_stages(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, s in scores.items() if s >= 0.3}
 
     given, kept = seen["near_duplicates"]
-    rows = sorted((r.doc_id, fingerprint(r.text or "")) for r in given.collect())
-    fp = np.array([f for _, f in rows], np.int64).view(np.uint64)
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
-    first = np.arange(len(rows))
-    while True:
-        new = np.where(near, first[None, :], len(rows)).min(axis=1)
-        if (new == first).all():
-            break
-        first = new
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[k][0] for k in first})
+    rows = sorted((r.doc_id, r.text) for r in given.collect())
+    groups = similar_groups([t for _, t in rows])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(rows[min(g)][0] for g in groups) and len(groups) < len(rows)
 
     given, kept = seen["decontamination"]
     leaks = {r.doc_id for r in decontaminate(given, read(spark, SF, "benchmark")).collect()}
@@ -57,12 +50,3 @@ def test_stages(spark):
     want = sorted((r.doc_id, zlib.crc32(np.array(tokenizer.encode(r.text, add_special_tokens=False).ids + [2], "<u4").tobytes())) for r in given.collect())
     assert sorted((r.doc_id, r.ids_crc32) for r in out.collect()) == want
     assert corpus_pipeline.run(spark, SF).count() == len(want)
-
-
-def test_near_distinct_keeps_one_row(spark):
-    from grainflow.llm.simhash_dedup import near_distinct
-
-    text = "one two three four five six seven eight nine ten"
-    docs = docs_frame(spark, [(3, text), (2, text), (2, text), (None, text), (None, "other words are in this text, not the same"), (5, None), (6, "")])
-    assert sorted((r.doc_id for r in near_distinct(docs).collect()), key=repr) == [2, 5, None]
-    assert near_distinct(docs.limit(0)).count() == 0

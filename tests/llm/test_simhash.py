@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from grainflow.llm import queries
 from grainflow.llm.components import components
 from grainflow.llm.common import workspace
-from grainflow.llm.simhash_dedup import simhash_components
+from grainflow.llm.simhash_dedup import near_distinct, simhash_components
 from grainflow.llm.simhash_fingerprint import fingerprint
 from grainflow.llm.trie_join import block_masks, near_edges, trie_links
 from tests.llm.helpers import SF, docs_frame
@@ -96,7 +96,7 @@ def test_masks():
 
 def test_edges_with_split_groups(spark):
     fps = clustered(400, 3)
-    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    frame = spark.createDataFrame([(int(x), int(x)) for x in fps.view(np.int64)], "fp long, node long")
     for most in (50_000, 20):
         edges = [(r.a % 2**64, r.b % 2**64) for r in near_edges(frame, 4, most).collect()]
         got = components(spark.createDataFrame([(int(np.uint64(a).view(np.int64)), int(np.uint64(b).view(np.int64))) for a, b in edges], "a long, b long"), workspace(spark, "test"))
@@ -126,3 +126,79 @@ def test_query(spark):
     docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     got = queries.op2_simhash_trie(spark, SF).collect()
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=repr) == brute([(d["doc_id"], d["text"]) for d in docs])
+
+
+def similar_groups(rows, similarity=0.8):
+    """Sets of positions: rows whose sets of five-word shingles are alike, by comparing all pairs that share a shingle."""
+    root, where, sets = list(range(len(rows))), {}, []
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, text in enumerate(rows):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+        shared = {}
+        for s in sets[-1]:
+            for j in where.setdefault(s, []):
+                shared[j] = shared.get(j, 0) + 1
+            where[s].append(k)
+        for j, n in shared.items():
+            if n >= similarity * (len(sets[k]) + len(sets[j]) - n):
+                root[max(find(j), find(k))] = min(find(j), find(k))
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(find(k), set()).add(k)
+    return list(groups.values())
+
+
+def near_copies(groups, copies, changed, seed, words=(60, 400)):
+    """Texts in groups: a base, and copies of it with a share of its words replaced."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    for _ in range(groups):
+        base = [word() for _ in range(rng.randint(*words))]
+        yield " ".join(base)
+        for _ in range(copies):
+            yield " ".join(word() if rng.random() < changed else w for w in base)
+
+
+def lost_and_right(spark, texts):
+    """(rows kept that comparing all pairs drops, rows that it drops); no row is dropped that it keeps."""
+    want = {min(g) for g in similar_groups(texts)}
+    kept = {r.doc_id for r in near_distinct(docs_frame(spark, list(enumerate(texts)))).collect()}
+    assert kept >= want
+    return len(kept - want), len(texts) - len(want)
+
+
+def test_near_distinct_finds_what_all_pairs_find(spark):
+    """Groups of two to five texts whose similarity is about 0.8: of the rows that go, 199 in 200 are found."""
+    lost, right = lost_and_right(spark, [*near_copies(200, 3, 0.02, 1), *near_copies(60, 4, 0.005, 2), *near_copies(150, 1, 0.1, 3), *near_copies(100, 2, 0.03, 5, (6, 30))])
+    assert right > 600 and lost <= 0.005 * right
+
+
+def test_near_distinct_in_a_large_group(spark):
+    """Four hundred copies: where most pairs are alike to 0.8, 99 in 100 rows that go are found; where about a quarter of the pairs are, 9 in 10."""
+    lost, right = lost_and_right(spark, list(near_copies(1, 400, 0.006, 4, (300, 300))))
+    assert right > 390 and lost <= 0.01 * right
+    lost, right = lost_and_right(spark, list(near_copies(1, 400, 0.015, 4)))
+    assert right > 350 and lost <= 0.1 * right
+
+
+def test_near_distinct_splits_large_groups(spark):
+    texts = list(near_copies(1, 150, 0.01, 7, (300, 300)))
+    assert {r.doc_id for r in near_distinct(docs_frame(spark, list(enumerate(texts))), most=20).collect()} == {min(g) for g in similar_groups(texts)}
+
+
+def test_near_distinct_edges(spark):
+    """Rows without words are one group, null ids come last, one of several equal rows stays, columns keep their names."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(3, text), (2, text.upper()), (2, text.upper()), (None, text), (None, "other words are in this text, not the same"), (5, None), (6, ""), (7, "word"), (8, "Word"), (9, "long " * 300_000), (10, "short words")]
+    docs = docs_frame(spark, rows).selectExpr("*", "1 AS gone", "2 AS tie", "3 AS node", "4 AS gf_id")
+    got = near_distinct(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id for r in got.collect()), key=repr) == [10, 2, 5, 7, 9, None]
+    assert near_distinct(docs.limit(0)).count() == 0
+    differing = docs_frame(spark, [(1, text, "b"), (1, text, "a"), (1, text, "c")])
+    assert len({near_distinct(differing.repartition(n)).first().source for n in (1, 2, 3)}) == 1
