@@ -6,6 +6,8 @@ window's partition holds a group's different values.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,16 +49,43 @@ def histogram(df: DataFrame, by: list[str], value: str, lo: float, hi: float, bi
     return n.select(*by, F.col("bin").cast("int").alias("bin"), "count", (F.col("count") / total).alias("fraction"), (F.col("count") / total / width).alias("density"))
 
 
-def histogram_2d(df: DataFrame, by: list[str], x: str, y: str, cell: float) -> DataFrame:
-    """Counts of points in square cells."""
-    return df.groupBy(*by, F.floor(F.col(x) / cell).alias("cell_x"), F.floor(F.col(y) / cell).alias("cell_y")).agg(F.count(F.lit(1)).alias("count"))
+def weighted_histogram(df: DataFrame, by: list[str], value: str, weight: str, lo: float, hi: float, bins: int) -> DataFrame:
+    """bin, weight and density (of the group's weight in range) for equal bins; the last one is closed."""
+    width, v = (hi - lo) / bins, F.col(value).cast("double")
+    at = F.when((v >= lo) & (v <= hi), F.least(F.floor((v - lo) / width), F.lit(bins - 1))).cast("int")
+    n = df.withColumn("bin", at).filter("bin IS NOT NULL").groupBy(*by, "bin").agg(F.sum(F.col(weight).cast("double")).alias("weight"))
+    return n.select(*by, "bin", "weight", (F.col("weight") / F.sum("weight").over(Window.partitionBy(*by)) / width).alias("density"))
+
+
+def histogram_2d(df: DataFrame, by: list[str], x: str, y: str, cell: float, width: float, height: float) -> DataFrame:
+    """Counts of points in square cells over [0, width] x [0, height], the last cells whole. Their far edges belong to them; what is beyond is left out."""
+
+    def place(c: str, size: float) -> Column:
+        last = max(1, -int(-size // cell))
+        v = F.col(c).cast("double")
+        return F.when((v >= 0) & (v <= last * cell), F.least(F.floor(v / cell), F.lit(last - 1)))
+
+    cells = df.select(*by, place(x, width).alias("cell_x"), place(y, height).alias("cell_y")).filter("cell_x IS NOT NULL AND cell_y IS NOT NULL")
+    return cells.groupBy(*by, "cell_x", "cell_y").agg(F.count(F.lit(1)).alias("count"))
 
 
 def ecdf(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, v and the share of the group's values that are at most v."""
+    """by, k, v, cdf: the k-th smallest value of the group and k over their number, a step for each row, equal values too.
+    Windows hold different values only; steps are dealt out from there."""
     w = Window.partitionBy(*by)
     upto = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return counted(df, by, value).select(*by, "v", (upto / F.sum("c").over(w)).alias("cdf"))
+    placed = counted(df, by, value).select(*by, "v", "c", upto.alias("upto"), F.sum("c").over(w).alias("n"))
+    steps = placed.select(*by, "v", "n", F.explode(F.sequence(F.col("upto") - F.col("c") + 1, F.col("upto"))).alias("k"))
+    return steps.select(*by, "k", "v", (F.col("k") / F.col("n")).alias("cdf"))
+
+
+def weighted_ecdf(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """by, v, cdf, before: the share of the group's weight at v or below, and below v. Weights of equal values are added up before the window."""
+    rows = df.select(*by, F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w")).filter("v IS NOT NULL AND w IS NOT NULL")
+    w = Window.partitionBy(*by)
+    sums = rows.groupBy(*by, "v").agg(F.sum("w").alias("w"))
+    upto, total = F.sum("w").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("w").over(w)
+    return sums.select(*by, "v", (upto / total).alias("cdf"), ((upto - F.col("w")) / total).alias("before"))
 
 
 def _paired(df: DataFrame, group: str, value: str, pairs: DataFrame) -> DataFrame:
@@ -77,6 +106,50 @@ def ks_distance(df: DataFrame, group: str, value: str, pairs: DataFrame) -> Data
     return _paired(df, group, value, pairs).groupBy("a", "b").agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("d"))
 
 
+#: Rows of the larger sample up to which the p of the two-sample test is counted; beyond, Kolmogorov's limit serves.
+KS_EXACT = 10_000
+
+
+def ks_p(d: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """Two-sided p of the distance d of samples of n1 and n2 values.
+
+    Shuffled, both samples are a walk on a lattice; p is the chance that it strays by d or more. The walk's length goes up step by step, and
+    the chances of all places of that length are one array.
+    """
+    out = np.full(len(d), np.nan)
+    for k, (dist, m, n) in enumerate(zip(d, n1.astype(int), n2.astype(int))):
+        if not (m and n) or np.isnan(dist):
+            continue
+        if max(m, n) > KS_EXACT:
+            root = np.sqrt(m * n / (m + n)) * dist
+            j = np.arange(1, 101)
+            out[k] = 1.0 if root < 0.2 else min(1.0, max(0.0, 2 * float(((-1.0) ** (j - 1) * np.exp(-2 * (j * root) ** 2)).sum())))
+            continue
+        least = round(dist * m * n) - 0.5  # distances are multiples of 1 / (m n)
+        inside = np.ones(1)  # chances of i values of the first sample among the first `size` values, by i
+        for size in range(1, m + n + 1):
+            i = np.arange(min(size, m) + 1)
+            came = np.zeros(len(i))
+            came[: len(inside)] += inside * np.maximum(size - i[: len(inside)], 0) / size
+            came[1:] += inside[: len(i) - 1] * i[1:] / size
+            inside = np.where((size - i <= n) & (np.abs(i * n - (size - i) * m) < least), came, 0.0)
+        out[k] = min(1.0, max(0.0, 1 - inside[m])) if least > 0 else 1.0
+    return out
+
+
+def consecutive_ks(df: DataFrame, run: str, order: str, value: str, least: int = 5) -> DataFrame:
+    """run, train_from, train_to, d, p: the two-sample test between each train and the next of its run, where both have ``least`` values."""
+    key = F.struct(F.col(run).alias("run"), F.col(order).alias("train"))
+    rows = df.filter(F.col(value).isNotNull()).select(key.alias("key"), F.col(value).alias("value"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    trains = df.select(key.alias("key")).distinct().join(sizes, "key", "left")
+    w = Window.partitionBy("key.run").orderBy("key.train")
+    pairs = trains.select(F.lag("key").over(w).alias("a"), F.col("key").alias("b"), F.lag("n").over(w).alias("n1"), F.col("n").alias("n2")).filter((F.col("n1") >= least) & (F.col("n2") >= least))
+    far = ks_distance(rows, "key", "value", pairs.select("a", "b")).join(pairs, ["a", "b"])
+    p = F.pandas_udf(lambda d, n1, n2: pd.Series(ks_p(d.to_numpy(float), n1.to_numpy(), n2.to_numpy())), "double")
+    return far.select(F.col("a.run").alias(run), F.col("a.train").alias("train_from"), F.col("b.train").alias("train_to"), "d", p("d", "n1", "n2").alias("p"))
+
+
 def wasserstein(df: DataFrame, group: str, value: str, pairs: DataFrame) -> DataFrame:
     """Wasserstein-1 distance of each pair of groups."""
     gap = F.abs(F.col("f") - F.col("g")) * (F.col("next") - F.col("v"))
@@ -124,13 +197,31 @@ def mann_whitney(df: DataFrame, by: list[str], flag: str, value: str) -> DataFra
     return out.select(*by, "n1", "n2", u.alias("u"), F.least(F.lit(1.0), normal_sf(z) * 2).alias("p"))
 
 
-def variance_partition(df: DataFrame, factors: list[str], value: str) -> DataFrame:
-    """For each factor the share of the value's variance between its levels (R squared of one-way means)."""
-    y = F.col(value).cast("double")
-    total = df.agg(F.avg(y).alias("mean"), (F.var_pop(y) * F.count(y)).alias("sst"))
-    out = None
-    for f in factors:
-        means = df.groupBy(f).agg(F.count(y).alias("n"), F.avg(y).alias("m")).crossJoin(F.broadcast(total))  # total is one row
-        part = means.agg(F.lit(f).alias("factor"), F.count(F.lit(1)).alias("levels"), F.try_divide(F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2)), F.max("sst")).alias("r2"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def variance_partition(df: DataFrame, run: str, train: str, metrics: list[str]) -> DataFrame:
+    """For each metric the shares of its variance that only the run explains, only the train, both alike, and neither: metric, run_only,
+    train_only, shared, interaction_noise. Metrics with fewer than two runs or trains are left out.
+
+    Both factors together are fitted by least squares on sums of the (run, train) cells. Cells are few, a metric's are one group.
+    """
+    values = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("y")) for m in metrics))
+    long = df.select(F.col(run).alias("run"), F.col(train).alias("train"), F.explode(values).alias("v")).select("run", "train", "v.metric", "v.y").filter("y IS NOT NULL AND run IS NOT NULL AND train IS NOT NULL")
+    cells = long.groupBy("metric", "run", "train").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count(F.lit(1))).alias("within"))
+    shares = ("run_only", "train_only", "shared", "interaction_noise")
+
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        n, y = frame["n"].to_numpy(), frame["mean"].to_numpy()
+        (at_run, runs), (at_train, trains) = (pd.factorize(frame[c]) for c in ("run", "train"))
+        total = float(frame["within"].sum() + (n * (y - (n * y).sum() / n.sum()) ** 2).sum())
+        if len(runs) < 2 or len(trains) < 2 or total <= 0:
+            return pd.DataFrame(columns=["metric", *shares])
+        flags = [np.eye(len(levels))[at] for at, levels in ((at_run, runs), (at_train, trains))]
+
+        def explained(design: np.ndarray) -> float:
+            root = np.sqrt(n)[:, None]
+            left = y - design @ np.linalg.lstsq(design * root, y * root[:, 0], rcond=None)[0]
+            return 1 - float(frame["within"].sum() + (n * left * left).sum()) / total
+
+        of_run, of_train, both = explained(flags[0]), explained(flags[1]), explained(np.hstack(flags))
+        return pd.DataFrame([[key[0], both - of_train, both - of_run, of_run + of_train - both, 1 - both]], columns=["metric", *shares])
+
+    return cells.groupBy("metric").applyInPandas(fit, "metric string, " + ", ".join(f"{c} double" for c in shares))

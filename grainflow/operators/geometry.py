@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainflow.functions.storage import settled
+
 
 def ellipse_of(e1r: Column, e1c: Column, e2r: Column, e2c: Column) -> dict[str, Column]:
     """Area, equal-area radius, axes and angle of the ellipse with half-side vectors e1 and e2 (row, column), in closed form."""
@@ -105,27 +107,43 @@ def outline(row: Column, col: Column, a: Column, b: Column, angle_deg: Column, n
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
 
 
-def nearest_neighbours(df: DataFrame, by: list[str], key: str, x: str, y: str, cell: float) -> DataFrame:
-    """Each point's distance to the nearest other point of its group (nn), if within ``cell``; the exact nearest beyond comes from ``cell`` doubled.
+def nearest_neighbours(df: DataFrame, by: list[str], key: str, x: str, y: str, cell: float | None = None) -> DataFrame:
+    """Each point's distance to the nearest other point of its group (nn); a point alone in its group has no row.
 
-    Points meet in square cells and their neighbours, an equi-join, so a frame of any size is dealt out. Points without a neighbour in
-    reach go to a coarser grid, until none is left or the grid has one cell.
+    Points meet in square cells and their neighbours, an equi-join, so a frame of any size is dealt out. A group's cells have a size of ``cell``, or one
+    at which they hold two points on average. Points without a neighbour in reach go to a grid four times as
+    coarse, until none is left or a grid has one cell; what is left is written after each round.
     """
-    points = df.select(*by, key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
-    span = points.agg(F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"))).first()[0] or 0.0
-    left, out, size = points, None, cell
+    points = df.select(*by, F.col(key).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
+    width, height = F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")
+    spans = points.groupBy(*by).agg(F.greatest(width, height).alias("_span"), F.greatest(F.sqrt(width * height * 2 / F.count(F.lit(1))), F.greatest(width, height) / F.count(F.lit(1)), F.lit(1e-9)).alias("_own"))
+    size = F.lit(float(cell)) if cell else F.col("_own")
+    points = settled(points.join(spans.select(*by, "_span", size.alias("_size")), by), "neighbours")
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    left, out, scale = points, None, 1
     while True:
-        grid = lambda d: d.withColumns({"_i": F.floor(F.col("_x") / size), "_j": F.floor(F.col("_y") / size)})  # noqa: B023, E731
-        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        asked = grid(left).withColumn("_d", around).withColumns({"_i": F.col("_i") + F.col("_d.i"), "_j": F.col("_j") + F.col("_d.j")}).drop("_d")
-        others = grid(points).select(*by, "_i", "_j", F.col(key).alias("_k"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
-        met = asked.join(others, [*by, "_i", "_j"]).filter(F.col(key) != F.col("_k"))
-        near = met.groupBy(*by, key).agg(F.min(F.hypot(F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy"))).alias("nn")).filter(F.col("nn") <= size)
-        out = near if out is None else out.unionByName(near)
-        left = left.join(near.select(*by, key), [*by, key], "left_anti")
-        if size > span:
+        here = F.col("_size") * scale
+        cells = lambda d: d.withColumns({"_i": F.floor(F.col("_x") / here), "_j": F.floor(F.col("_y") / here)})  # noqa: B023, E731
+        asked = cells(left).withColumn("_d", around).withColumns({"_i": F.col("_i") + F.col("_d.i"), "_j": F.col("_j") + F.col("_d.j")}).drop("_d")
+        others = cells(points).select(*by, "_i", "_j", F.col("_k").alias("_ok"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
+        far = F.when(F.col("_k") != F.col("_ok"), F.hypot(F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")))
+        columns = [c for c in left.columns if c not in by and c != "_k"]
+        near = asked.join(others, [*by, "_i", "_j"], "left").groupBy(*by, "_k").agg(F.min(far).alias("nn"), *(F.first(c).alias(c) for c in columns))
+        near = settled(near, "neighbours")
+        found = near.filter(F.col("nn") <= here)
+        part = found.select(*by, F.col("_k").alias(key), "nn")
+        out = part if out is None else out.unionByName(part)
+        left = near.filter((F.col("nn").isNull() | (F.col("nn") > here)) & (here <= F.col("_span"))).drop("nn")
+        if left.isEmpty():
             return out
-        size *= 4
+        scale *= 4
+
+
+def nearest_on_curve(points: DataFrame, curves: DataFrame, by: list[str], x: str, y: str, curve: str) -> DataFrame:
+    """points with the place (index), x, y and distance of the nearest vertex of their group's curve. curves: by, an array of [x, y]; of equals the first counts."""
+    joined = points.join(curves.select(*by, F.col(curve).alias("_c")), by)
+    rated = F.transform("_c", lambda p, i: F.struct(F.hypot(p[0] - F.col(x), p[1] - F.col(y)).alias("distance"), i.alias("place"), p[0].alias("near_x"), p[1].alias("near_y")))
+    return joined.select(*points.columns, F.array_min(rated).alias("_n")).select(*points.columns, "_n.place", "_n.near_x", "_n.near_y", "_n.distance")
 
 
 def clark_evans(nn: DataFrame, df: DataFrame, by: list[str], width: float, height: float) -> DataFrame:

@@ -28,36 +28,94 @@ def stale(exports: DataFrame, sources: DataFrame, key: list[str], exported: str,
 def merge_actions(incoming: DataFrame, stage: DataFrame, excluded: DataFrame, key: str, digest: str) -> DataFrame:
     """What a merge does with each incoming row: the first rule that fits.
 
-    stage: key, digest, n_shapes, draft, reviewed, imported. Excluded keys are skipped; new ones copied; equal digests are up to date; an empty stage or an
-    uncorrected draft is replaced; what was imported before is updated; own or edited rows stay.
+    stage: key, digest, n_shapes, n_rois, draft, reviewed, imported_key (digest of what was imported; null for rows of one's own). Excluded keys are skipped
+    and new ones copied. Of one's own rows an empty one and an uncorrected draft (neither reviewed nor with regions) are replaced, the
+    others stay. An imported row that was edited since stays too; else it is up to date or updated.
     """
-    s = stage.select(F.col(key).alias("_k"), F.col(digest).alias("_d"), "n_shapes", "draft", "reviewed", "imported")
+    s = stage.select(F.col(key).alias("_k"), F.col(digest).alias("_d"), "n_shapes", "n_rois", "draft", "reviewed", "imported_key")
     x = excluded.select(F.col(key).alias("_x")).distinct()
     joined = incoming.join(s, F.col(key) == F.col("_k"), "left").join(x, F.col(key) == F.col("_x"), "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    own = F.col("imported_key").isNull()
     action = (
-        F.when(F.col("_x").isNotNull(), "excluded")
+        F.when(F.col("_x").isNotNull(), "skipped (excluded)")
         .when(F.col("_k").isNull(), "copied")
-        .when(F.col("_d") == F.col(digest), "up to date")
-        .when((F.col("n_shapes") == 0) | (F.col("draft") & ~F.col("reviewed")), "replaced")
-        .when(F.col("imported"), "updated")
-        .otherwise("kept")
+        .when(own & none("n_shapes") & none("n_rois"), "updated (replaces an empty row)")
+        .when(own & yes("draft") & ~yes("reviewed") & none("n_rois"), "updated (replaces an uncorrected draft)")
+        .when(own, "skipped (own)")
+        .when(~F.col("_d").eqNullSafe(F.col("imported_key")), "skipped (edited since)")
+        .when(F.col("imported_key") == F.col(digest), "up to date")
+        .otherwise("updated")
     )
     return joined.select(*incoming.columns, action.alias("action"))
 
 
+def reviewed_documents(shapes: DataFrame) -> DataFrame:
+    """frame, path, changed, n_bubbles of reviewed documents with bubbles (of ``read_shapes``). Those of a folder ``tracked``, or marked so, are none."""
+    marked = F.coalesce(F.col("tracked"), F.lit(False)) if "tracked" in shapes.columns else F.lit(False)
+    n = F.coalesce(F.size("bubbles"), F.lit(0)).cast("long")
+    good = F.coalesce("reviewed", F.lit(False)) & (n > 0) & ~marked & ~F.array_contains(F.split("path", "/"), "tracked")
+    return shapes.filter(good).select("frame", "path", "changed", n.alias("n_bubbles"))
+
+
+def trainable(documents: DataFrame) -> DataFrame:
+    """Adds eligible: a document with bubbles that isn't a draft, or is one that was reviewed or has regions. documents: draft, reviewed, n_rois, n_bubbles."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    checked = ~yes("draft") | yes("reviewed") | (F.coalesce("n_rois", F.lit(0)) > 0)
+    return documents.withColumn("eligible", checked & (F.coalesce("n_bubbles", F.lit(0)) > 0))
+
+
+def changed_since(exported: DataFrame, current: DataFrame, key: list[str], digest: str) -> DataFrame:
+    """Keys whose content isn't what was exported: key, exported and current digest. Keys that only one side has aren't changed."""
+    now = current.select(*key, F.col(digest).alias("current"))
+    return exported.select(*key, F.col(digest).alias("exported")).join(now, key).filter(~F.col("exported").eqNullSafe(F.col("current")))
+
+
+def edited_payload(saved: DataFrame, edits: DataFrame, key: list[str], fields: list[str], at: str) -> DataFrame:
+    """``saved`` with the fields of ``edits`` (key, fields, at) in their place; other columns stay. edited_at is ``at`` where a field really differs, else as it was."""
+    e = edits.select(*(F.col(c).alias(f"_{c}") for c in (*key, *fields, at)))
+    same = F.lit(True)
+    for k in key:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    found = F.col(f"_{key[0]}").isNotNull()
+    differs = F.lit(False)
+    for f in fields:
+        differs = differs | ~F.col(f).eqNullSafe(F.col(f"_{f}"))
+    columns = [F.when(found, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in saved.columns if c != "edited_at"]
+    return saved.join(e, same, "left").select(*columns, F.when(found & differs, F.col(f"_{at}")).otherwise(F.col("edited_at")).alias("edited_at"))
+
+
+def as_draft(saved: DataFrame, predicted: DataFrame, key: list[str]) -> DataFrame:
+    """Predictions (key, bubbles, model, drafted_at) as drafts: a saved document keeps its other columns, but its review is void."""
+    void = ("reviewed", "edited_at", "imported_key", "imported_at", "rois")
+    new = predicted.select(*key, *(F.col(c).alias(f"_{c}") for c in ("bubbles", "model", "drafted_at")))
+    joined = new.join(saved, key, "left")
+    typed = lambda c: F.lit(None).cast(saved.schema[c].dataType)
+    columns = [F.col(f"_{c}").alias(c) if f"_{c}" in new.columns else typed(c).alias(c) if c in void else F.col(c) for c in saved.columns if c != "draft"]
+    return joined.select(*columns, F.lit(True).alias("draft"))
+
+
 def unit_hash(seed: int, key: Column) -> Column:
     """A number in [0, 1] that seed and key name: the first 8 hex digits of an MD5."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8), 16, 10).cast("double") / float(0xFFFFFFFF)
 
 
-def hold_out(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
-    """Adds held_out by hash. If the hash would hold out nothing, the row with the least hash is; if everything, the one with the largest isn't."""
-    hashed = df.withColumn("_u", unit_hash(seed, F.col(key).cast("string")))
-    ends = hashed.agg(F.min(F.struct("_u", key)).alias("lo"), F.max(F.struct("_u", key)).alias("hi"))
+def hold_out(df: DataFrame, key: str, share: float, seed: int = 0, frame: str | None = None) -> DataFrame:
+    """Adds held_out by hash. Fewer than three rows, or a share of 0 or less, hold out nothing. Else, if the hash would hold out nothing, the key with the
+    least hash is; if everything, the one with the largest isn't. Rows of one key, and of one ``frame`` if there are three frames or more, go together."""
+    if share <= 0:
+        return df.withColumn("held_out", F.lit(False))
+    name = F.col(key).cast("string")
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), *([F.count_distinct(frame).alias("frames")] if frame else []))
+    sized = df.crossJoin(F.broadcast(sizes))  # one row
+    unit = F.when(F.col("frames") >= 3, F.col(frame).cast("string")).otherwise(name) if frame else name
+    hashed = sized.withColumn("_key", unit).withColumn("_u", unit_hash(seed, F.col("_key")))
+    me = F.struct("_u", "_key")
+    ends = hashed.agg(F.min(me).alias("lo"), F.max(me).alias("hi"))
     joined = hashed.crossJoin(F.broadcast(ends))  # one row
-    me = F.struct("_u", key)
-    held = F.when(F.col("lo._u") >= share, me == F.col("lo")).when(F.col("hi._u") < share, me != F.col("hi")).otherwise(F.col("_u") < share)
-    return joined.withColumn("held_out", held).drop("_u", "lo", "hi")
+    held = F.when(F.col("n") < 3, F.lit(False)).when(F.col("lo._u") >= share, me == F.col("lo")).when(F.col("hi._u") < share, me != F.col("hi")).otherwise(F.col("_u") < share)
+    return joined.select(*df.columns, held.alias("held_out"))
 
 
 def fingerprint(*columns: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,78 @@ def population_metrics(df: DataFrame, by: list[str], r: str, area: str | None =
         aggs.append(F.avg((x < small).cast("double")).alias("frac_small"))
     aggs.append(F.stddev_samp(F.when(x > 0, F.ln(x))).alias("log_width"))
     return df.groupBy(*by).agg(*aggs)
+
+
+def frame_metrics(bubbles: DataFrame, frames: DataFrame, key: list[str], um_per_px: float = 3.2, small_um: float = 10.0, flat: float = 0.8) -> DataFrame:
+    """One row for each frame with everything that describes it: size statistics (see ``population_metrics``), density, aspect, centroid, edge count, packing.
+
+    bubbles: key, r_eq_um, area_um2, x, y, major_axis, minor_axis, edge_truncated. frames: key, image_height_px, image_width_px and any other columns,
+    which stay. A frame without bubbles has counts, density, packing and sums of 0, else nulls. One shuffle of the bubbles, partly aggregated before.
+    """
+    r, a = F.col("r_eq_um").cast("double"), F.col("area_um2").cast("double")
+    aspect = F.when(F.col("minor_axis").isNotNull(), F.col("minor_axis") / F.greatest(F.col("major_axis"), F.lit(1e-9)))
+    placed = lambda c: F.try_divide(F.sum(F.col(c) * a), F.sum(F.when(F.col(c).isNotNull(), a))) * um_per_px
+    sizes = population_metrics(bubbles, key, "r_eq_um", "area_um2", small_um)
+    shapes = bubbles.groupBy(*key).agg(
+        F.percentile(aspect, F.lit(0.5)).alias("aspect_median"),
+        F.avg((aspect < flat).cast("double")).alias("frac_noncircular"),
+        placed("x").alias("cx_um"),
+        placed("y").alias("cy_um"),
+        F.count_if(F.coalesce("edge_truncated", F.lit(False))).alias("n_edge"),
+    )
+    fov = F.col("image_height_px") * F.col("image_width_px") * (um_per_px**2)
+    out = frames.join(sizes.join(shapes, key), key, "left").withColumn("fov_mm2", fov * 1e-6)
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n", "area_total", "volume", "n_edge")}
+    out = out.withColumns(zero)
+    return out.withColumns({"density_per_mm2": F.try_divide("n", "fov_mm2"), "packing": F.try_divide(F.col("area_total"), F.col("fov_mm2") * 1e6)})
+
+
+def described(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, column, count, mean, std, min, p25, p50, p75, max: one row for each column of each group."""
+    values = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))
+    long = df.select(*by, F.explode(values).alias("v")).select(*by, "v.column", "v.v")
+    points = [F.percentile("v", F.lit(q / 100)).alias(f"p{q}") for q in (25, 50, 75)]
+    return long.groupBy(*by, "column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), *points, F.max("v").alias("max"))
+
+
+def value_counts(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """How often each value (each combination) is there, nulls too, and its share of its group."""
+    by = by or []
+    n = df.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("count"))
+    total = n.groupBy(*by).agg(F.sum("count").alias("_all"))
+    joined = n.join(total, by) if by else n.crossJoin(F.broadcast(total))  # one row
+    return joined.select(*by, *columns, "count", (F.col("count") / F.col("_all")).alias("share"))
+
+
+def share_change_by_kind(steps: DataFrame, kinds: DataFrame, keys: list[str], kind: str, value: str) -> DataFrame:
+    """n, mean and standard error of a change (``value`` of steps) by the kind of its step (keys, kind)."""
+    v = F.col(value)
+    return steps.join(kinds.select(*keys, kind), keys).groupBy(kind).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("sem"))
+
+
+def top_detections(df: DataFrame, by: list[str], key: str, score: str, least: float, k: int) -> DataFrame:
+    """Of each group the ``k`` rows with the largest scores of ``least`` or more; equal scores go by key."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc(), key))
+    return df.filter(F.col(score) >= least).withColumn("_k", place).filter(F.col("_k") <= k).drop("_k")
+
+
+def analysis_flags(bubbles: DataFrame, drop_edge: bool = False, drop_unreliable: bool = False, margin: float = 0.0) -> DataFrame:
+    """Adds in_analysis. bubbles: x, y, edge_truncated, fit_reliable, image_height_px, image_width_px. Rows stay, only the flag is false: for bubbles cut by
+    the edge, for unreliable fits, and for centres nearer to the image's border than ``margin`` pixels."""
+    keep = F.lit(True)
+    if drop_edge:
+        keep = keep & ~F.coalesce("edge_truncated", F.lit(False))
+    if drop_unreliable:
+        keep = keep & F.coalesce("fit_reliable", F.lit(False))
+    if margin > 0:
+        inside = lambda c, size: F.col(c).between(margin - 0.5, F.col(size) - 0.5 - margin)
+        keep = keep & F.coalesce(inside("x", "image_width_px") & inside("y", "image_height_px"), F.lit(False))
+    return bubbles.withColumn("in_analysis", keep)
+
+
+def chosen(df: DataFrame, reviewed_only: bool = True, in_analysis_only: bool = False, exclude: DataFrame | None = None, keys: tuple[str, ...] = ("run", "train")) -> DataFrame:
+    """Rows that are reviewed, in the analysis, and of no excluded key, as asked for. Null flags are false."""
+    yes = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    out = df.filter(yes("reviewed")) if reviewed_only else df
+    out = out.filter(yes("in_analysis")) if in_analysis_only else out
+    return out if exclude is None else out.join(exclude.select(*keys).distinct(), list(keys), "left_anti")

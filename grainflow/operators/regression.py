@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainflow.operators.comparison import spearman
 from grainflow.operators.distribution import chi2_sf, t_two_sided
 
 
@@ -30,28 +31,62 @@ def line_fit(df: DataFrame, by: list[str], x: str | Column, y: str | Column, lea
     return sums.select(*by, "n_points", "intercept", "intercept_se", "slope", "slope_se", r2.alias("r2"), p.alias("p"))
 
 
-def trends(df: DataFrame, run: str, x: str, metrics: list[str]) -> DataFrame:
-    """Spearman's rho and the slope of each metric on x in each run; a row with a null run pools runs after centring both on their run's means.
+def rank_p(rho: Column, n: Column) -> Column:
+    """Two-sided p of a rank correlation by Student's distribution; 0 for a perfect one, null for fewer than three rows."""
+    t = rho * F.sqrt((n - 2) / F.nullif(1 - rho * rho, F.lit(0.0)))
+    return F.when((n > 2) & (F.abs(rho) >= 1), F.lit(0.0)).otherwise(t_two_sided(t, n - 2))
 
-    Pooled degrees of freedom count a mean for each run.
+
+def trends(df: DataFrame, run: str, x: str, metrics: list[str], log_metrics: list[str] | None = None, exclude: DataFrame | None = None, train: str = "train") -> DataFrame:
+    """Spearman's rho and the slope of each metric on x in each run; a row with ``pooled`` pools runs after centring both on their run's means.
+
+    metric, run, pooled, n, spearman_rho, spearman_p, slope, slope_se, slope_p, pct_per_x. ``log_metrics`` are fitted on logarithms (of 1e-12 at least) and have a
+    change in percent. exclude: run and train of rows to leave out. Fewer than three rows give none. Pooled degrees of freedom count a mean for each run.
+
+    Slopes are sums: those of a run are added up for the pooled ones. Values are counted before ranks go over them.
     """
-    values = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("y")) for m in metrics))
-    long = df.select(run, F.col(x).cast("double").alias("x"), F.explode(values).alias("v")).select(run, "x", "v.metric", "v.y").filter("x IS NOT NULL AND y IS NOT NULL")
-    own = Window.partitionBy("metric", run)
-    pooled = long.select("metric", F.lit(None).cast(df.schema[run].dataType).alias(run), (F.col("x") - F.avg("x").over(own)).alias("x"), (F.col("y") - F.avg("y").over(own)).alias("y"), F.lit(True).alias("pooled"))
-    runs = long.groupBy("metric").agg(F.count_distinct(run).alias("runs"))
-    both = long.select("metric", run, "x", "y", F.lit(False).alias("pooled")).unionByName(pooled)
-    keys = ["metric", "pooled", run]
-    rank = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
-    rated = both.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
-    sums = rated.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("spearman_rho"), F.regr_slope("y", "x").alias("slope"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy")
-    )
-    sums = sums.filter("n >= 3").join(F.broadcast(runs), "metric")
-    dof = F.when(F.col("pooled"), F.col("n") - F.col("runs") - 1).otherwise(F.col("n") - 2)
-    sse = F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy"))
-    sums = sums.withColumn("slope_se", F.when(dof > 0, F.sqrt(F.try_divide(sse / dof, F.col("sxx")))))
-    return sums.select("metric", run, "pooled", "n", "spearman_rho", "slope", "slope_se", t_two_sided(F.try_divide(F.col("slope"), F.col("slope_se")), dof).alias("slope_p"))
+    logs = log_metrics or []
+    rows = df if exclude is None else df.join(exclude.select(run, train).distinct(), [run, train], "left_anti")
+    y = lambda m: F.ln(F.greatest(F.col(m).cast("double"), F.when(F.col(m).isNotNull(), 1e-12))) if m in logs else F.col(m).cast("double")
+    values = F.array(*(F.struct(F.lit(m).alias("metric"), y(m).alias("y")) for m in metrics))
+    long = rows.select(F.col(run).alias("_run"), F.col(x).cast("double").alias("x"), F.explode(values).alias("v")).select("_run", "x", "v.metric", "v.y").filter("x IS NOT NULL AND y IS NOT NULL")
+    sums = long.groupBy("metric", "_run").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"))
+    centred = long.join(sums.select("metric", "_run", "mx", "my"), ["metric", "_run"]).select("metric", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
+    own = sums.join(spearman(long, ["metric", "_run"], "x", "y").drop("n"), ["metric", "_run"]).withColumns({"pooled": F.lit(False), "dof": F.col("n") - 2})
+    added = sums.groupBy("metric").agg(*(F.sum(c).alias(c) for c in ("n", "sxx", "syy", "sxy")), F.count(F.lit(1)).alias("runs"))
+    pooled = added.join(spearman(centred, ["metric"], "x", "y").drop("n"), "metric").withColumns({"_run": F.lit(None).cast(df.schema[run].dataType), "pooled": F.lit(True), "dof": F.greatest(F.lit(1), F.col("n") - F.col("runs") - 1)})
+    columns = ["metric", "_run", "pooled", "n", "rho", "sxx", "syy", "sxy", "dof"]
+    out = own.select(*columns).unionByName(pooled.select(*columns)).filter("n >= 3").withColumn("slope", F.try_divide("sxy", "sxx"))
+    left = F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy"))
+    out = out.withColumn("slope_se", F.when(F.col("dof") > 0, F.sqrt(F.try_divide(left / F.col("dof"), F.col("sxx")))))
+    pct = F.when(F.col("metric").isin(logs), F.expm1("slope") * 100) if logs else F.lit(None).cast("double")
+    p = t_two_sided(F.try_divide("slope", "slope_se"), F.col("dof"))
+    return out.select("metric", F.col("_run").alias(run), "pooled", "n", F.col("rho").alias("spearman_rho"), rank_p(F.col("rho"), F.col("n")).alias("spearman_p"), "slope", "slope_se", p.alias("slope_p"), pct.alias("pct_per_x"))
+
+
+def whole_set_trend(df: DataFrame, set_: str, x: str, metric: str, log: bool = True, least: int = 4) -> DataFrame:
+    """set, n, rho, p, slope, slope_p and pct_per_step of a metric over each set as a whole. With ``log`` only positive values count, by their logarithms."""
+    y = F.when(F.col(metric) > 0, F.ln(F.col(metric).cast("double"))) if log else F.col(metric).cast("double")
+    rows = df.select(set_, F.col(x).cast("double").alias("_sx"), y.alias("_sy")).filter("_sx IS NOT NULL AND _sy IS NOT NULL")
+    lines = line_fit(rows, [set_], "_sx", "_sy", least).select(set_, "slope", F.col("p").alias("slope_p"))
+    out = lines.join(spearman(rows, [set_], "_sx", "_sy"), set_)
+    pct = F.expm1("slope") * 100 if log else F.lit(None).cast("double")
+    return out.select(set_, "n", "rho", rank_p(F.col("rho"), F.col("n")).alias("p"), "slope", "slope_p", pct.alias("pct_per_step"))
+
+
+def range_lines(members: DataFrame, by: list[str], t: str, y: str) -> DataFrame:
+    """A straight line over each range (rows of ``range_members``), t from the range's first row: n_points, t0_s, t_end_s, intercept, its error, slopes per
+    second and minute with errors, rel_per_min (of the intercept), r2, p, note. Fewer than three points give a note only."""
+    rows = members.filter(F.col(y).isNotNull())
+    ends = rows.groupBy(*by).agg(F.min(t).alias("t0_s"), F.max(t).alias("t_end_s"), F.count(F.lit(1)).alias("n_points"))
+    from_start = rows.join(ends.select(*by, "t0_s"), by).withColumn("_t", F.col(t) - F.col("t0_s"))
+    fit = line_fit(from_start, by, "_t", y).drop("n_points")
+    note = F.when(F.col("n_points") < 3, F.format_string("only %d points (need 3)", "n_points")).otherwise("")
+    out = ends.join(fit, by, "left")
+    return out.select(
+        *by, "n_points", "t0_s", "t_end_s", "intercept", "intercept_se", F.col("slope").alias("slope_per_s"), "slope_se", (F.col("slope") * 60).alias("slope_per_min"), (F.col("slope_se") * 60).alias("slope_per_min_se"),
+        F.try_divide(F.col("slope") * 60, F.col("intercept")).alias("rel_per_min"), "r2", "p", note.alias("note"),
+    )
 
 
 def power_law(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -69,60 +104,72 @@ def equal_means(df: DataFrame, by: list[str], value: str, se: str) -> DataFrame:
     return sums.select(*by, "n", (F.col("swv") / F.col("sw")).alias("mean"), (1 / F.sqrt("sw")).alias("mean_se"), chi2.alias("chi2"), (F.col("n") - 1).alias("dof"), F.when(F.col("n") > 1, chi2_sf(chi2, F.col("n") - 1)).alias("p"), "max_over_min")
 
 
+#: The bounds of a decay time in seconds; n0 and n_inf aren't negative.
+TAU = (1e-3, 1e6)
+_DECAY = ("n0", "n0_se", "tau", "tau_se", "n_inf", "n_inf_se", "r2", "rmse")
+
+
 def decay_curve(t: np.ndarray, y: np.ndarray, offset: bool) -> dict:
-    """y = n0 * exp(-t / tau) (+ n_inf) by Levenberg-Marquardt on (n0, ln tau, n_inf), from a log-linear start. Nones if it can't be fitted."""
+    """y = n_inf + (n0 - n_inf) exp(-t / tau), n_inf 0 without ``offset``, by least squares within bounds; nones where there are too few points.
+
+    For a given tau the other two are a linear problem, so tau alone is searched: on a grid of its logarithm, then by golden sections around
+    the best place. Standard errors are those of the linearised model at the solution.
+    """
     k = 3 if offset else 2
-    none = dict.fromkeys(("n0", "tau", "tau_se", "n_inf", "r2", "rmse"))
-    if len(t) < k + 1 or np.ptp(t) == 0 or (y <= 0).all():
+    none = dict.fromkeys(_DECAY)
+    if len(t) < k + 1 or np.ptp(t) == 0:
         return none
     t = t - t.min()
-    base = 0.9 * y.min() if offset else 0.0
-    good = y - base > 0
-    slope, cut = np.polyfit(t[good], np.log(y[good] - base), 1) if good.sum() > 1 else (-1 / np.ptp(t), np.log(max(y.max(), 1e-9)))
-    p = np.array([np.exp(cut), np.log(1 / -slope) if slope < 0 else np.log(10 * np.ptp(t)), base])[:k]
-
-    def model(p):
-        e = np.exp(-t / np.exp(p[1]))
-        jac = np.column_stack([e, p[0] * e * t / np.exp(p[1]), np.ones_like(t)])[:, :k]
-        return p[0] * e + (p[2] if offset else 0.0), jac
-
-    fit, jac = model(p)
-    cost, damp = ((y - fit) ** 2).sum(), 1e-3
-    for _ in range(200):
-        a = jac.T @ jac
-        step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), jac.T @ (y - fit), rcond=None)[0]
-        trial = p + np.clip(step, -1e6, 1e6)
-        trial[1] = np.clip(trial[1], -20, 30)
-        new_fit, new_jac = model(trial)
-        new_cost = ((y - new_fit) ** 2).sum()
-        if new_cost < cost:
-            done = cost - new_cost <= 1e-12 * cost
-            p, fit, jac, cost, damp = trial, new_fit, new_jac, new_cost, damp / 3
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    sst = ((y - y.mean()) ** 2).sum()
-    cov = np.linalg.pinv(jac.T @ jac) * cost / max(1, len(t) - k)
-    tau = float(np.exp(p[1]))
-    return {"n0": float(p[0]), "tau": tau, "tau_se": float(tau * np.sqrt(max(0.0, cov[1, 1]))), "n_inf": float(p[2]) if offset else 0.0, "r2": float(1 - cost / sst) if sst > 0 else None, "rmse": float(np.sqrt(cost / len(t)))}
+
+    def at(log_tau: float) -> tuple[float, float, float]:
+        e = np.exp(-t / np.exp(log_tau))
+        n0, n_inf = max(0.0, float(e @ y / (e @ e))), 0.0
+        if offset:
+            a, b = np.linalg.lstsq(np.column_stack([e, 1 - e]), y, rcond=None)[0]
+            if a < 0 or b < 0:  # at a bound: the better of the two edges
+                edge = max(0.0, float((1 - e) @ y / max((1 - e) @ (1 - e), 1e-300)))
+                a, b = min(((n0, 0.0), (0.0, edge)), key=lambda p: ((y - p[0] * e - p[1] * (1 - e)) ** 2).sum())
+            n0, n_inf = float(a), float(b)
+        return float(((y - n0 * e - n_inf * (1 - e)) ** 2).sum()), n0, n_inf
+
+    grid = np.linspace(*np.log(TAU), 400)
+    best = int(np.argmin([at(g)[0] for g in grid]))
+    lo, hi, gold = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)], (5**0.5 - 1) / 2
+    for _ in range(80):
+        left, right = hi - gold * (hi - lo), lo + gold * (hi - lo)
+        lo, hi = (lo, right) if at(left)[0] <= at(right)[0] else (left, hi)
+    tau = float(np.exp(min((lo, hi, (lo + hi) / 2), key=lambda g: at(g)[0])))
+    cost, n0, n_inf = at(np.log(tau))
+    e = np.exp(-t / tau)
+    jac = np.column_stack([e, (n0 - n_inf) * e * t / tau**2, 1 - e])[:, :k]
+    scale = np.maximum(np.sqrt((jac * jac).sum(axis=0)), 1e-300)
+    cov = np.linalg.pinv((jac / scale).T @ (jac / scale)) / np.outer(scale, scale) * cost / (len(t) - k)
+    se, sst = np.sqrt(np.maximum(np.diag(cov), 0.0)), float(((y - y.mean()) ** 2).sum())
+    found = (n0, float(se[0]), tau, float(se[1]), n_inf, float(se[2]) if offset else None, 1 - cost / sst if sst > 0 else None, float(np.sqrt(cost / len(t))))
+    return dict(zip(_DECAY, found))
 
 
 def decay_fits(df: DataFrame, by: list[str], t: str, y: str, offset: bool = True) -> DataFrame:
-    """An exponential decay per group of summary rows: n_points, n0, tau, tau_se, half_life, n_inf, r2, rmse; nulls where there are too few points."""
+    """An exponential decay per group of summary rows (a run, or a range of ``range_members``): n_points, n0, tau, n_inf with errors, r2, rmse, half_life,
+    rate_per_min, note. The note says why nothing was fitted, or why not to trust it; then, or with too few points, values may be null."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    names = ("n0", "tau", "tau_se", "n_inf", "r2", "rmse")
 
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_t")
         found = decay_curve(frame["_t"].to_numpy(float), frame["_y"].to_numpy(float), offset)
-        return pd.DataFrame([[*key, len(frame), *(found[n] for n in names)]], columns=[*by, "n_points", *names])
+        return pd.DataFrame([[*key, len(frame), float(np.ptp(frame["_t"])), *(found[n] for n in _DECAY)]], columns=[*by, "n_points", "length", *_DECAY])
 
     rows = df.select(*by, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y")).filter("_t IS NOT NULL AND _y IS NOT NULL")
-    out = rows.groupBy(*by).applyInPandas(fit, f"{kinds}, n_points long, " + ", ".join(f"{n} double" for n in names))
-    return out.withColumn("half_life", F.col("tau") * F.ln(F.lit(2.0)))
+    out = rows.groupBy(*by).applyInPandas(fit, f"{kinds}, n_points long, length double, " + ", ".join(f"{n} double" for n in _DECAY))
+    need, tau = 4 if offset else 3, F.col("tau")
+    note = (
+        F.when(F.col("n_points") < need, F.format_string(f"only %d points (need {need})", "n_points"))
+        .when(tau.isNull(), "fit failed")
+        .when((tau >= 0.99 * TAU[1]) | (tau > 20 * F.greatest(F.col("length"), F.lit(1.0))), "no decay in this range (τ ≫ the range)")
+        .when(F.col("tau_se").isNull() | F.isnan("tau_se") | (F.col("tau_se") > tau * 0.5), "τ poorly determined (s.e. > 50 %)")
+        .otherwise("")
+    )
+    return out.withColumns({"half_life": tau * F.ln(F.lit(2.0)), "rate_per_min": 60 / tau, "note": note}).drop("length")
 
 
 def lognormal_fits(df: DataFrame, by: list[str], value: str, least: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainflow.operators import arrays, comparison, geometry, maintenance
+from grainflow.operators import arrays, comparison, distribution, geometry, maintenance
 from grainflow.operators import regression as reg
 from grainflow.plans.base import SQL, bubbles, read, rounded, trains
 
@@ -32,10 +32,12 @@ def rank_correlation(spark, sf_dir):
 
 
 def distance_summary(spark, sf_dir):
-    t = trains(spark, sf_dir).filter("train BETWEEN 20 AND 40").select("run", "train", "r_mean")
-    sides = [t.select(*(F.col(c).alias(f"{c}_{s}") for c in t.columns)) for s in "ab"]
-    pairs = sides[0].join(sides[1], F.struct("run_a", "train_a") < F.struct("run_b", "train_b"))  # one row for each run and month on both sides
-    return rounded(comparison.distance_summary(pairs.withColumn("d", F.abs(F.col("r_mean_a") - F.col("r_mean_b"))), "d", ("run_a", "train_a"), ("run_b", "train_b")))
+    """Wasserstein distances of ln r between all frames (run and month); only a row for each frame takes part in pairing."""
+    b = bubbles(spark, sf_dir).filter("r > 0").select(F.struct("run", "train").alias("frame"), F.ln("r").alias("v"))
+    frames = b.select("frame").distinct()
+    pairs = frames.withColumnRenamed("frame", "a").join(frames.withColumnRenamed("frame", "b"), F.col("a") < F.col("b"))
+    far = distribution.wasserstein(b, "frame", "v", pairs).select("w1", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("run", "train")))
+    return rounded(comparison.distance_summary(far, "w1", ("run_a", "train_a"), ("run_b", "train_b")))
 
 
 def fit_distances(spark, sf_dir):
@@ -108,8 +110,12 @@ SELECT bin, count(*) AS n_runs, round(quantile_cont(d, 0.16), 6) AS p16, round(q
 SELECT run, train, bin, round(d, 6) AS density, round(d - first_value(d) OVER (PARTITION BY run, bin ORDER BY train), 6) + 0.0 AS difference FROM d""",
     "rank_correlation": f"""WITH {SQL}, k AS (SELECT run, rank() OVER (PARTITION BY run ORDER BY r) + (count(*) OVER (PARTITION BY run, r) - 1) / 2 AS x, rank() OVER (PARTITION BY run ORDER BY area) + (count(*) OVER (PARTITION BY run, area) - 1) / 2 AS y FROM bubbles)
 SELECT run, count(*) AS n, round(corr(x, y), 6) AS rho FROM k GROUP BY run""",
-    "distance_summary": f"""WITH {SQL}, t AS (SELECT * FROM trains WHERE train BETWEEN 20 AND 40), p AS (SELECT a.run = b.run AS r, a.train = b.train AS t, abs(a.r_mean - b.r_mean) AS d FROM t a JOIN t b ON (a.run, a.train) < (b.run, b.train))
-SELECT round(avg(d) FILTER (WHERE r AND NOT t), 6) AS same_run, round(avg(d) FILTER (WHERE NOT r AND t), 6) AS same_train, round(avg(d) FILTER (WHERE NOT r AND NOT t), 6) AS both_different FROM p""",
+    "distance_summary": f"""WITH {SQL}, g AS (SELECT row_number() OVER (ORDER BY run, train) AS id, run, train, n FROM trains), c AS (SELECT id, ln(r) AS v, count(*) / any_value(g.n) AS c FROM bubbles JOIN g USING (run, train) GROUP BY ALL),
+o AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id < b.id),
+s AS (SELECT a, b, v, sum(d) AS d FROM (SELECT a, b, v, c AS d FROM o JOIN c ON c.id = a UNION ALL SELECT a, b, v, -c FROM o JOIN c ON c.id = b) GROUP BY ALL),
+p AS (SELECT a, b, abs(sum(d) OVER w) * (lead(v) OVER w - v) AS x FROM s WINDOW w AS (PARTITION BY a, b ORDER BY v)), m AS (SELECT a, b, sum(x) AS d FROM p GROUP BY ALL),
+q AS (SELECT x.run = y.run AS r, x.train = y.train AS t, d FROM m JOIN g x ON x.id = a JOIN g y ON y.id = b)
+SELECT round(avg(d) FILTER (WHERE r AND NOT t), 6) AS same_run, round(avg(d) FILTER (WHERE NOT r AND t), 6) AS same_train, round(avg(d) FILTER (WHERE NOT r AND NOT t), 6) AS both_different FROM q""",
     "spacing": """WITH d AS (SELECT event_type, lead(event_id) OVER (PARTITION BY event_type ORDER BY event_id) - event_id AS d FROM events)
 SELECT event_type, count(*) AS n, round(quantile_cont(d, 0.5), 6) AS spacing FROM d GROUP BY event_type""",
     "draft_status": """WITH d AS (SELECT o_custkey AS k, bool_or(o_orderstatus = 'P') AS r, bool_or(o_totalprice > 300000) AS e FROM orders GROUP BY 1)

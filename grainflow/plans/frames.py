@@ -52,7 +52,7 @@ def merge_actions(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     incoming = o.groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderstatus").alias("digest"))
     c = read(spark, sf_dir, "customer")
-    stage = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("key"), F.lit("O").alias("digest"), (F.col("c_nationkey") % 3).alias("n_shapes"), (F.col("c_nationkey") > 12).alias("draft"), (F.col("c_mktsegment") == "BUILDING").alias("reviewed"), (F.col("c_nationkey") < 6).alias("imported"))
+    stage = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("key"), F.lit("O").alias("digest"), (F.col("c_nationkey") % 3).alias("n_shapes"), (F.col("c_nationkey") > 12).alias("draft"), (F.col("c_mktsegment") == "BUILDING").alias("reviewed"), (F.col("c_custkey") % 4).alias("n_rois"), F.when(F.col("c_nationkey") < 6, "O").when(F.col("c_nationkey") < 9, "F").alias("imported_key"))
     excluded = c.filter("c_acctbal > 8000").select(F.col("c_custkey").alias("key"))
     return maintenance.merge_actions(incoming, stage, excluded, "key", "digest")
 
@@ -61,13 +61,17 @@ def hold_out(spark, sf_dir):
     return maintenance.hold_out(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 0.2, seed=3)
 
 
+def hold_out_frames(spark, sf_dir):
+    return maintenance.hold_out(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", 0.2, seed=3, frame="c_nationkey")
+
+
 def _points(spark, sf_dir):
     return bubbles(spark, sf_dir).select("supplier", F.concat_ws("-", "frame", "bubble").alias("id"), (F.col("r") * 8.0).alias("x"), (F.col("area") / 400.0).alias("y"))
 
 
 def nearest_neighbours(spark, sf_dir):
     p = _points(spark, sf_dir).groupBy("supplier", "id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
-    nn = geometry.nearest_neighbours(p, ["supplier"], "id", "x", "y", 16.0)
+    nn = geometry.nearest_neighbours(p, ["supplier"], "id", "x", "y")
     return rounded(geometry.clark_evans(nn, p, ["supplier"], 400.0, 250.0))
 
 
@@ -116,7 +120,7 @@ def flat_field(spark, sf_dir):
 
 QUERIES = {
     "select_frames": select_frames, "compact_ranges": compact_ranges, "missing_frames": missing_frames, "newest_version": newest_version, "first_wins": first_wins, "stale_exports": stale_exports, "merge_actions": merge_actions,
-    "hold_out": hold_out, "nearest_neighbours": nearest_neighbours, "box_overlaps": box_overlaps, "suppressed": suppressed, "matched": matched, "ellipses": ellipses, "image_stats": image_stats, "flat_field": flat_field,
+    "hold_out": hold_out, "hold_out_frames": hold_out_frames, "nearest_neighbours": nearest_neighbours, "box_overlaps": box_overlaps, "suppressed": suppressed, "matched": matched, "ellipses": ellipses, "image_stats": image_stats, "flat_field": flat_field,
 }
 
 _MANIFEST = "manifest AS (SELECT 'r' || lpad(CAST(user_id % 7 AS VARCHAR), 3, '0') AS run, event_id // 7 % 40 AS train, event_id // 280 % 6 AS frame_idx, event_id FROM events)"
@@ -135,10 +139,14 @@ SELECT user_id, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo ||
 SELECT c_custkey AS key, CASE WHEN exported IS NULL THEN 'missing' WHEN n < 3 THEN 'empty' WHEN epoch(changed) > epoch(exported) + 1 THEN 'changed' ELSE 'fresh' END AS status
 FROM (SELECT DISTINCT c_custkey FROM customer) LEFT JOIN o ON c_custkey = key""",
     "merge_actions": """WITH i AS (SELECT o_custkey AS key, max(o_orderstatus) AS digest FROM orders GROUP BY 1)
-SELECT key, digest, CASE WHEN c_acctbal > 8000 THEN 'excluded' WHEN c_acctbal IS NULL OR c_acctbal <= 0 THEN 'copied' WHEN digest = 'O' THEN 'up to date'
-       WHEN c_nationkey % 3 = 0 OR (c_nationkey > 12 AND c_mktsegment <> 'BUILDING') THEN 'replaced' WHEN c_nationkey < 6 THEN 'updated' ELSE 'kept' END AS action
+SELECT key, digest, CASE WHEN c_acctbal > 8000 THEN 'skipped (excluded)' WHEN c_acctbal IS NULL OR c_acctbal <= 0 THEN 'copied'
+       WHEN c_nationkey >= 9 AND c_nationkey % 3 = 0 AND c_custkey % 4 = 0 THEN 'updated (replaces an empty row)'
+       WHEN c_nationkey >= 9 AND c_nationkey > 12 AND c_mktsegment <> 'BUILDING' AND c_custkey % 4 = 0 THEN 'updated (replaces an uncorrected draft)'
+       WHEN c_nationkey >= 9 THEN 'skipped (own)' WHEN c_nationkey >= 6 THEN 'skipped (edited since)' WHEN digest = 'O' THEN 'up to date' ELSE 'updated' END AS action
 FROM i LEFT JOIN customer ON key = c_custkey""",
     "hold_out": "SELECT c_custkey, CAST('0x' || md5('3:' || c_custkey)[1:8] AS BIGINT) / 4294967295 < 0.2 AS held_out FROM customer",
+    "hold_out_frames": """WITH u AS (SELECT c_custkey, c_nationkey, CAST('0x' || md5('3:' || c_nationkey)[1:8] AS BIGINT) / 4294967295 AS u FROM customer)
+SELECT c_custkey, c_nationkey, CASE WHEN (SELECT min(u) FROM u) >= 0.2 THEN u = (SELECT min(u) FROM u) ELSE u < 0.2 END AS held_out FROM u""",
     "nearest_neighbours": f"""WITH {SQL}, p AS (SELECT supplier, frame || '-' || bubble AS id, min(r * 8) AS x, min(area / 400) AS y FROM bubbles GROUP BY ALL),
 m AS (SELECT a.supplier, a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS nn FROM p a JOIN p b ON a.supplier = b.supplier AND a.id <> b.id GROUP BY ALL),
 c AS (SELECT supplier, count(*) AS n FROM p GROUP BY supplier), d AS (SELECT supplier, avg(nn) AS nn_mean FROM m GROUP BY supplier)

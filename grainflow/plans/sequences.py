@@ -18,7 +18,22 @@ def step_classes(spark, sf_dir):
 
 def outlier_steps(spark, sf_dir):
     s = seq.outlier_steps(seq.steps(trains(spark, sf_dir), "run", "train"), "run", z=2.0)
-    return rounded(s.select("run", "train_to", "z_lc", "z_lr", "z_ds", "z", "flagged", "fresh", "back"))
+    return rounded(s.select("run", "train_to", "z_lc", "z_lr", "z_ds", "z", "flagged", "fresh", "back", "what"))
+
+
+def layer_set(spark, sf_dir):
+    found = seq.outlier_steps(seq.steps(trains(spark, sf_dir), "run", "train"), "run", z=2.0)
+    return seq.layer_set(found, "run", spark.createDataFrame([("A", 3), ("N", 50), ("A", 3)], "run string, train long"))
+
+
+def known_layers(spark, sf_dir):
+    found = seq.outlier_steps(seq.steps(trains(spark, sf_dir), "run", "train"), "run", z=2.0)
+    known = trains(spark, sf_dir).filter("n > 250").select("run", "train")
+    return seq.known_and_found(seq.layer_set(found, "run"), known, ["run", "train"])
+
+
+def runs_in_order(spark, sf_dir):
+    return seq.distinct_in_order(_line(spark, sf_dir), ["run"], "seq")
 
 
 def event_alignment(spark, sf_dir):
@@ -74,6 +89,12 @@ def range_members(spark, sf_dir):
     return rounded(out.groupBy("range_id").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("seq_lo"), F.max("seq").alias("seq_hi"), F.avg("r_mean").alias("r_mean")))
 
 
+def range_notes(spark, sf_dir):
+    line = _line(spark, sf_dir).withColumn("set", F.when(F.col("run") == "R", "late").otherwise("early"))
+    ranges = spark.createDataFrame([(1, "A", 40, "N", 60), (2, "R", 30, "N", 70), (3, "A", 1, "X", 2), (4, "Y", 7, "X", 2)], "range_id int, start_run string, start_train long, end_run string, end_train long")
+    return seq.range_notes(line, ranges, "run", "train", "set")
+
+
 def scaled_sizes(spark, sf_dir):
     """Each object's size relative to its frame's mean: the frame windows hold one order's lines."""
     b = bubbles(spark, sf_dir).withColumn("rel", seq.scaled("r", ["frame"]))
@@ -81,7 +102,7 @@ def scaled_sizes(spark, sf_dir):
 
 
 QUERIES = {
-    "step_classes": step_classes, "outlier_steps": outlier_steps, "event_alignment": event_alignment, "before_after": before_after, "timeline": timeline, "boundary_jumps": boundary_jumps,
+    "layer_set": layer_set, "known_layers": known_layers, "runs_in_order": runs_in_order, "range_notes": range_notes, "step_classes": step_classes, "outlier_steps": outlier_steps, "event_alignment": event_alignment, "before_after": before_after, "timeline": timeline, "boundary_jumps": boundary_jumps,
     "running_values": running_values, "net_change": net_change, "drift": drift, "change_points": change_points, "range_members": range_members, "scaled_sizes": scaled_sizes,
 }
 
@@ -109,21 +130,34 @@ _LINE = f"""runs AS (
          row_number() OVER (ORDER BY s.run_pos, train) - 1 AS seq FROM trains t JOIN starts s USING (run)
 )"""
 
+_OUTLIERS = f"""{_STEPS}, logs AS (SELECT run, train_to, count_ratio, r_median_ratio, ln(count_ratio) AS lc, ln(r_median_ratio) AS lr, frac_small_change AS ds FROM steps),
+med AS (SELECT median(lc) AS mc, median(lr) AS mr, median(ds) AS md FROM logs),
+mad AS (SELECT median(abs(lc - mc)) * 1.4826 AS sc, median(abs(lr - mr)) * 1.4826 AS sr, median(abs(ds - md)) * 1.4826 AS sd, stddev_pop(lc) AS pc, stddev_pop(lr) AS pr, stddev_pop(ds) AS pd FROM logs, med),
+z AS (SELECT *, (lc - mc) / coalesce(nullif(sc, 0), nullif(pc, 0), 1) AS z_lc, (lr - mr) / coalesce(nullif(sr, 0), nullif(pr, 0), 1) AS z_lr, (ds - md) / coalesce(nullif(sd, 0), nullif(pd, 0), 1) AS z_ds FROM logs, med, mad),
+f AS (SELECT *, greatest(abs(z_lc), abs(z_lr), abs(z_ds)) AS z FROM z),
+g AS (SELECT *, z > 2 AS flagged, z > 2 AND lc > 0 AND (lr < 0 OR ds > 0) AS fresh FROM f)"""
+
 ORACLE_SQL = {
+    "layer_set": f"WITH {SQL}, {_OUTLIERS} SELECT run, train_to AS train FROM g WHERE fresh UNION SELECT 'A', 3 UNION SELECT 'N', 50",
+    "known_layers": f"""WITH {SQL}, {_OUTLIERS}, w AS (SELECT DISTINCT run, train_to AS train FROM g WHERE fresh), k AS (SELECT run, train FROM trains WHERE n > 250)
+SELECT coalesce(w.run, k.run) AS run, coalesce(w.train, k.train) AS train, CASE WHEN k.run IS NULL THEN 'only found' WHEN w.run IS NULL THEN 'only known' ELSE 'both' END AS "where" FROM w FULL JOIN k ON w.run = k.run AND w.train = k.train""",
+    "runs_in_order": f"WITH {SQL}, {_LINE} SELECT run, min(seq)::INT AS seq FROM line GROUP BY run",
+    "range_notes": f"""WITH {SQL}, r(range_id, sr, st, er, et) AS (VALUES (1, 'A', 40, 'N', 60), (2, 'R', 30, 'N', 70), (3, 'A', 1, 'X', 2), (4, 'Y', 7, 'X', 2)), j AS (
+  SELECT r.*, a.run AS ar, b.run AS br FROM r LEFT JOIN trains a ON a.run = sr AND a.train = st LEFT JOIN trains b ON b.run = er AND b.train = et)
+SELECT range_id, CASE WHEN ar IS NULL OR br IS NULL THEN 'no frame for ' || concat_ws(', ', CASE WHEN ar IS NULL THEN sr || ' t' || st END, CASE WHEN br IS NULL THEN er || ' t' || et END)
+       WHEN (ar = 'R') <> (br = 'R') THEN 'start and end are in different sets' END AS note FROM j""",
     "step_classes": f"""WITH {SQL}, {_STEPS}
 SELECT run, train_from, train_to, round(count_ratio, 6) AS count_ratio, round(r_mean_ratio, 6) AS r_mean_ratio, round(r_median_ratio, 6) AS r_median_ratio, round(volume_ratio, 6) AS volume_ratio,
        round(frac_small_change, 6) + 0.0 AS frac_small_change,
        CASE WHEN count_ratio > 1.1 AND r_mean_ratio < 1 THEN 'new bubbles' WHEN count_ratio < 0.9 AND r_mean_ratio > 1 AND abs(volume_ratio - 1) <= 0.25 THEN 'coalescence'
             WHEN volume_ratio > 1.25 AND count_ratio <= 1.1 THEN 'growth' WHEN volume_ratio < 0.75 AND count_ratio <= 1.1 THEN 'dissolution'
-            WHEN count_ratio <= 1.1 AND count_ratio >= 0.9 AND abs(volume_ratio - 1) <= 0.25 THEN 'little change' ELSE 'mixed' END AS kind FROM steps""",
-    "outlier_steps": f"""WITH {SQL}, {_STEPS}, logs AS (SELECT run, train_to, ln(count_ratio) AS lc, ln(r_median_ratio) AS lr, frac_small_change AS ds FROM steps),
-med AS (SELECT median(lc) AS mc, median(lr) AS mr, median(ds) AS md FROM logs),
-mad AS (SELECT median(abs(lc - mc)) * 1.4826 AS sc, median(abs(lr - mr)) * 1.4826 AS sr, median(abs(ds - md)) * 1.4826 AS sd, stddev_pop(lc) AS pc, stddev_pop(lr) AS pr, stddev_pop(ds) AS pd FROM logs, med),
-z AS (SELECT *, (lc - mc) / coalesce(nullif(sc, 0), nullif(pc, 0), 1) AS z_lc, (lr - mr) / coalesce(nullif(sr, 0), nullif(pr, 0), 1) AS z_lr, (ds - md) / coalesce(nullif(sd, 0), nullif(pd, 0), 1) AS z_ds FROM logs, med, mad),
-f AS (SELECT *, greatest(abs(z_lc), abs(z_lr), abs(z_ds)) AS z FROM z),
-g AS (SELECT *, z > 2 AS flagged, z > 2 AND lc > 0 AND (lr < 0 OR ds > 0) AS fresh FROM f)
+            WHEN count_ratio <= 1.1 AND count_ratio >= 0.9 AND abs(r_mean_ratio - 1) <= 0.1 THEN 'little change' ELSE 'mixed' END AS kind FROM steps""",
+    "outlier_steps": f"""WITH {SQL}, {_OUTLIERS}
 SELECT run, train_to, round(z_lc, 6) + 0.0 AS z_lc, round(z_lr, 6) + 0.0 AS z_lr, round(z_ds, 6) + 0.0 AS z_ds, round(z, 6) AS z, flagged, fresh,
-       flagged AND lag(fresh, 1, false) OVER (PARTITION BY run ORDER BY train_to) AS back FROM g""",
+       flagged AND NOT fresh AND lag(fresh, 1, false) OVER (PARTITION BY run ORDER BY train_to) AS back,
+       CASE WHEN flagged THEN concat_ws(', ', CASE WHEN abs(z_lc) > 2 THEN printf('count ×%.2f', count_ratio) END, CASE WHEN abs(z_lr) > 2 THEN printf('median r ×%.2f', r_median_ratio) END,
+            CASE WHEN abs(z_ds) > 2 THEN printf('small share %+d pts', CAST(round(ds * 100) AS INT)) END, CASE WHEN lc > 0 AND lr < 0 AND ds > 0 THEN '→ fresh small bubbles (new layer?)' END)
+            || CASE WHEN back THEN ' (back to normal after the jump before)' ELSE '' END ELSE '' END AS what FROM g""",
     "event_alignment": f"""WITH {SQL}, {_EVENTS}
 SELECT t.run, train, train - event AS x, round(n / max(n) OVER (PARTITION BY t.run), 6) AS n_rel, round(r_mean / max(r_mean) OVER (PARTITION BY t.run), 6) AS r_mean_rel
 FROM trains t JOIN events_ e ON t.run = e.run WHERE event IS NOT NULL""",
