@@ -16,7 +16,10 @@ _MATH = "org.apache.commons.math3.special."
 
 def _reflect(name: str, *args: Column) -> Column:
     kind, method = name.split(".")
-    return F.reflect(F.lit(_MATH + kind), F.lit(method), *(a.cast("double") for a in args)).cast("double")
+    known = F.lit(True)
+    for a in args:
+        known = known & a.isNotNull() & ~F.isnan(a.cast("double"))
+    return F.when(known, F.reflect(F.lit(_MATH + kind), F.lit(method), *(F.coalesce(a.cast("double"), F.lit(0.5)) for a in args)).cast("double"))
 
 
 def normal_sf(z: Column) -> Column:

@@ -27,7 +27,7 @@ def line_fit(df: DataFrame, by: list[str], x: str | Column, y: str | Column, lea
     sums = sums.withColumn("slope_se", F.when(dof > 0, F.sqrt(F.try_divide(sse / dof, F.col("sxx")))))
     sums = sums.withColumn("intercept_se", F.col("slope_se") * F.sqrt(F.col("sxx") / F.col("n_points") + F.col("mx") * F.col("mx")))
     r2 = F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy"))
-    p = t_two_sided(F.try_divide(F.col("slope"), F.col("slope_se")), dof)
+    p = F.when((F.col("slope_se") == 0) & (F.col("slope") != 0), 0.0).otherwise(t_two_sided(F.try_divide(F.col("slope"), F.col("slope_se")), dof))
     return sums.select(*by, "n_points", "intercept", "intercept_se", "slope", "slope_se", r2.alias("r2"), p.alias("p"))
 
 
@@ -60,7 +60,7 @@ def trends(df: DataFrame, run: str, x: str, metrics: list[str], log_metrics: lis
     left = F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy"))
     out = out.withColumn("slope_se", F.when(F.col("dof") > 0, F.sqrt(F.try_divide(left / F.col("dof"), F.col("sxx")))))
     pct = F.when(F.col("metric").isin(logs), F.expm1("slope") * 100) if logs else F.lit(None).cast("double")
-    p = t_two_sided(F.try_divide("slope", "slope_se"), F.col("dof"))
+    p = F.when(~F.col("pooled") & (F.col("slope_se") == 0) & (F.col("slope") != 0), 0.0).otherwise(t_two_sided(F.try_divide("slope", "slope_se"), F.col("dof")))
     return out.select("metric", F.col("_run").alias(run), "pooled", "n", F.col("rho").alias("spearman_rho"), rank_p(F.col("rho"), F.col("n")).alias("spearman_p"), "slope", "slope_se", p.alias("slope_p"), pct.alias("pct_per_x"))
 
 

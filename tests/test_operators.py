@@ -19,7 +19,7 @@ def test_tails(spark):
 
 
 def test_step_kinds(spark):
-    rows = [(1.2, 0.9, 1.0, "new bubbles"), (0.8, 1.1, 1.1, "coalescence"), (1.0, 1.2, 1.5, "growth"), (1.0, 0.8, 0.5, "dissolution"), (1.05, 1.0, 1.1, "little change"), (1.3, 1.2, 1.1, "mixed"), (None, 1.0, 1.0, "mixed")]
+    rows = [(1.2, 0.9, 1.0, "new bubbles"), (0.8, 1.1, 1.1, "coalescence"), (1.0, 1.2, 1.5, "growth"), (1.0, 0.8, 0.5, "dissolution"), (1.05, 1.0, 1.1, "little change"), (1.05, 1.2, 1.1, "mixed"), (1.0, 0.95, 1.25, "little change"), (1.3, 1.2, 1.1, "mixed"), (None, 1.0, 1.0, "mixed")]
     out = spark.createDataFrame(rows, "c double, s double, v double, want string").select("want", seq.step_kind(F.col("c"), F.col("s"), F.col("v")).alias("got")).collect()
     assert all(r.want == r.got for r in out)
 
@@ -42,7 +42,15 @@ def test_event_override_and_ties(spark):
 def test_decay_and_lognormal():
     t = np.arange(0, 120, 5.0)
     found = reg.decay_curve(t, 80 * np.exp(-t / 30) + 12, True)
-    assert found["tau"] == pytest.approx(30, rel=1e-6) and found["n_inf"] == pytest.approx(12, rel=1e-5) and found["r2"] == pytest.approx(1)
+    assert found["tau"] == pytest.approx(30, rel=1e-5) and found["n_inf"] == pytest.approx(12, rel=1e-4) and found["n0"] == pytest.approx(92, rel=1e-4) and found["r2"] == pytest.approx(1)
+    rng = np.random.default_rng(2)
+    y = 50 * np.exp(-t / 40) + rng.normal(0, 1, len(t))
+    found = reg.decay_curve(t, y, False)
+    cost = lambda n0, tau: ((y - n0 * np.exp(-t / tau)) ** 2).sum()
+    assert all(cost(found["n0"], found["tau"]) <= cost(found["n0"] + a, found["tau"] + b) + 1e-9 for a in (-0.05, 0, 0.05) for b in (-0.05, 0, 0.05))
+    assert found["tau_se"] == pytest.approx(1.2, rel=0.5) and found["n_inf"] == 0 and found["n_inf_se"] is None
+    rising = reg.decay_curve(t, t + 1, True)
+    assert rising["n0"] >= 0 and rising["n_inf"] >= 0
     assert reg.decay_curve(t[:3], t[:3] + 1, True)["tau"] is None
     rng = np.random.default_rng(1)
     r = rng.lognormal(2.5, 0.5, 20_000)
@@ -91,8 +99,14 @@ def test_suppression_is_greedy_by_score(spark):
 
 def test_hold_out_guards(spark):
     df = spark.range(5).withColumnRenamed("id", "k")
-    assert maintenance.hold_out(df, "k", 0.0).filter("held_out").count() == 1
-    assert maintenance.hold_out(df, "k", 2.0).filter("held_out").count() == 4
+    count = lambda d, share, frame=None: maintenance.hold_out(d, "k", share, frame=frame).filter("held_out").count()
+    assert (count(df, 0.0), count(df, -1.0), count(df, 1e-9), count(df, 2.0)) == (0, 0, 1, 4)
+    assert count(df.filter("k < 2"), 0.9) == 0 and count(df.limit(0), 0.5) == 0
+    framed = df.withColumn("f", F.col("k") % 3)
+    assert maintenance.hold_out(framed, "k", 1e-9, frame="f").filter("held_out").select("f").distinct().count() == 1
+    assert count(framed, 2.0, "f") in (3, 4)  # all but a frame's rows
+    two = df.withColumn("f", F.col("k") % 2)
+    assert count(two, 1e-9, "f") == 1  # two frames: regions are held out by themselves
 
 
 def test_flat_field_against_numpy(spark):
@@ -120,3 +134,112 @@ def test_greedy_matching(spark):
     pairs = spark.createDataFrame([(1, 1, 7, 0.9, 0.6), (1, 1, 8, 0.9, 0.8), (1, 2, 8, 0.8, 0.9), (1, 2, 7, 0.8, 0.55), (1, 3, 7, 0.7, 0.99), (1, 3, 9, 0.7, 0.2)], "f int, p int, t int, s double, iou double")
     got = {(r.p, r.t) for r in geometry.match_greedy(pairs, ["f"], "p", "t", "s", "iou").collect()}
     assert got == {(1, 8), (2, 7)}
+
+
+def test_decay_notes(spark):
+    rows = [("short", k, 5.0 - k) for k in range(2)] + [("flat", k, 7.0) for k in range(6)] + [("good", 10 * k, 80 * math.exp(-k / 3)) for k in range(8)]
+    got = {r.g: r for r in reg.decay_fits(spark.createDataFrame([(g, float(t), float(y)) for g, t, y in rows], "g string, t double, y double"), ["g"], "t", "y", offset=False).collect()}
+    assert got["short"].note == "only 2 points (need 3)" and got["short"].tau is None
+    assert got["flat"].note.startswith("no decay") and got["good"].note == "" and got["good"].tau == pytest.approx(30, rel=1e-4)
+    assert got["good"].rate_per_min == pytest.approx(2, rel=1e-4) and got["good"].half_life == pytest.approx(30 * math.log(2), rel=1e-4)
+
+
+def test_variance_partition_against_dummies(spark):
+    """Least squares on indicator columns of all rows; runs with different trains."""
+    rng = np.random.default_rng(5)
+    rows = [(f"r{i}", t, float(i + 0.3 * t + rng.normal()), None if t == 3 else 1.0) for i in range(4) for t in range(i, 9) for _ in range(2)]
+    got = {r.metric: r for r in dist.variance_partition(spark.createDataFrame(rows, "run string, train int, v double, flat double"), "run", "train", ["v", "flat"]).collect()}
+    assert set(got) == {"v"}  # a metric that doesn't vary has no shares
+    y, runs, trains = np.array([r[2] for r in rows]), np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    dummies = lambda c: (c[:, None] == np.unique(c)[None, 1:]).astype(float)
+
+    def r2(*parts):
+        x = np.hstack([np.ones((len(y), 1)), *parts])
+        left = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        return 1 - (left**2).sum() / ((y - y.mean()) ** 2).sum()
+
+    full, run, train = r2(dummies(runs), dummies(trains)), r2(dummies(runs)), r2(dummies(trains))
+    want = (full - train, full - run, run + train - full, 1 - full)
+    assert (got["v"].run_only, got["v"].train_only, got["v"].shared, got["v"].interaction_noise) == pytest.approx(want, abs=1e-9)
+
+
+def test_ks_p():
+    """Against counting all arrangements, and against Kolmogorov's limit where samples are large."""
+    from itertools import combinations
+
+    for m, n in ((3, 4), (5, 5), (2, 7)):
+        far = []
+        for first in combinations(range(m + n), m):
+            walk = np.cumsum([1 / m if k in first else -1 / n for k in range(m + n)])
+            far.append(np.abs(walk).max())
+        far = np.array(far)
+        for d in np.unique(np.round(far, 9)):
+            want = (far >= d - 1e-9).mean()
+            assert dist.ks_p(np.array([d]), np.array([m]), np.array([n]))[0] == pytest.approx(want, abs=1e-9)
+    exact, limit = dist.ks_p(np.array([0.03, 0.03]), np.array([9_000, 10_001]), np.array([9_000, 10_001]))
+    assert exact == pytest.approx(0.00063, rel=0.1) and limit == pytest.approx(0.00024, rel=0.1)
+    assert dist.ks_p(np.array([0.0]), np.array([5]), np.array([9]))[0] == 1
+
+
+def test_consecutive_ks(spark):
+    rows = [("a", t, float(v + 3 * (t == 2))) for t in (0, 2, 5) for v in range(6)] + [("a", 7, 1.0), ("b", 1, 2.0)]
+    got = [tuple(r) for r in dist.consecutive_ks(spark.createDataFrame(rows, "run string, train int, v double"), "run", "train", "v").orderBy("train_from").collect()]
+    assert [r[:3] for r in got] == [("a", 0, 2), ("a", 2, 5)] and all(r[3] == pytest.approx(0.5) and r[4] == pytest.approx(0.4740, abs=1e-4) for r in got)
+
+
+def test_trend_p_and_exclusion(spark):
+    rows = [("a", k, float(k)) for k in range(6)] + [("b", k, float((k * 7) % 5)) for k in range(6)] + [("c", 0, 1.0)]
+    df = spark.createDataFrame(rows, "run string, train int, v double")
+    got = {(r.run, r.pooled): r for r in reg.trends(df, "run", "train", ["v"]).collect()}
+    assert set(got) == {("a", False), ("b", False), (None, True)} and got["a", False].spearman_p == 0 and got["a", False].slope_p == pytest.approx(0, abs=1e-12)
+    b = got["b", False]
+    t = b.spearman_rho * math.sqrt(4 / (1 - b.spearman_rho**2))
+    row = spark.range(1).select(dist.t_two_sided(F.lit(t), F.lit(4)).alias("p")).first()
+    assert b.spearman_p == pytest.approx(row.p)
+    left = reg.trends(df, "run", "train", ["v"], exclude=spark.createDataFrame([("a", 0), ("a", 0), ("b", 9)], "run string, train int"))
+    assert {(r.run, r.pooled): r.n for r in left.collect()} == {("a", False): 5, ("b", False): 6, (None, True): 12}
+
+
+def test_merge_rules(spark):
+    """Rows as they stand in the stage (content key, shapes, regions, draft, reviewed, key imported) and what a merge does with them."""
+    cases = [
+        ("new", None, "copied"), ("out", ("k", 3, 0, False, False, None), "skipped (excluded)"), ("empty", ("k", 0, 0, False, False, None), "updated (replaces an empty row)"),
+        ("regions", ("k", 0, 2, False, False, None), "skipped (own)"), ("draft", ("k", 3, 0, True, False, None), "updated (replaces an uncorrected draft)"), ("draft with regions", ("k", 3, 1, True, False, None), "skipped (own)"),
+        ("reviewed draft", ("k", 3, 0, True, True, None), "skipped (own)"), ("own", ("k", 3, 0, None, None, None), "skipped (own)"), ("edited", ("k", 3, 0, False, False, "old"), "skipped (edited since)"),
+        ("emptied by hand", ("k", 0, 0, False, False, "old"), "skipped (edited since)"), ("same", ("src", 3, 0, False, False, "src"), "up to date"), ("older", ("old", 3, 0, False, False, "old"), "updated"),
+    ]
+    incoming = spark.createDataFrame([(k, "src") for k, _, _ in cases], "key string, digest string")
+    stage = spark.createDataFrame([(k, *row) for k, row, _ in cases if row], "key string, digest string, n_shapes int, n_rois int, draft boolean, reviewed boolean, imported_key string")
+    got = maintenance.merge_actions(incoming, stage, spark.createDataFrame([("out",)], "key string"), "key", "digest")
+    assert {r.key: r.action for r in got.collect()} == {k: want for k, _, want in cases}
+
+
+def test_frame_metrics_of_empty_frames(spark):
+    from grainflow.operators import metrics
+
+    frames = spark.createDataFrame([("a", 250, 400), ("b", 250, 400)], "frame string, image_height_px int, image_width_px int")
+    b = spark.createDataFrame([("a", 2.0, 12.0, 10.0, 20.0, 4.0, 4.0, None), ("a", 4.0, 36.0, 20.0, 20.0, 8.0, 4.0, True), ("lost", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, True)], "frame string, r_eq_um double, area_um2 double, x double, y double, major_axis double, minor_axis double, edge_truncated boolean")
+    got = {r.frame: r for r in metrics.frame_metrics(b, frames, ["frame"]).collect()}
+    assert set(got) == {"a", "b"} and (got["b"].n, got["b"].area_total, got["b"].packing, got["b"].r_mean, got["b"].cx_um) == (0, 0, 0, None, None)
+    a = got["a"]
+    assert (a.n, a.r_mean, a.n_edge, a.aspect_median, a.frac_noncircular) == (2, 3, 1, 0.75, 0.5) and a.cx_um == pytest.approx(17.5 * 3.2) and a.density_per_mm2 == pytest.approx(2 / 1.024)
+
+
+def test_prediction_as_draft(spark):
+    saved = spark.createDataFrame([("f1", "old", "m0", "t0", True, "t1", 5)], "frame string, bubbles string, model string, drafted_at string, reviewed boolean, edited_at string, extra int").withColumn("draft", F.lit(False))
+    new = spark.createDataFrame([("f1", "new", "m1", "t2"), ("f2", "n2", "m1", "t2")], "frame string, bubbles string, model string, drafted_at string")
+    got = {r.frame: r for r in maintenance.as_draft(saved, new, ["frame"]).collect()}
+    assert (got["f1"].bubbles, got["f1"].model, got["f1"].reviewed, got["f1"].edited_at, got["f1"].extra, got["f1"].draft) == ("new", "m1", None, None, 5, True)
+    assert got["f2"].bubbles == "n2" and got["f2"].draft and got["f2"].extra is None
+
+
+def test_nearest_neighbours_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    points = [("a", k, *map(float, p)) for k, p in enumerate(np.vstack([rng.normal(0, 0.1, (200, 2)), rng.uniform(-500, 500, (40, 2))]))] + [("b", 0, 1.0, 1.0), ("c", 0, 2.0, 2.0), ("c", 1, 2.0, 2.0), ("d", 0, None, 1.0), ("e", 0, 0.0, 0.0), ("e", 1, 0.0, 9.0)]
+    got = {(r.g, r.k): r.nn for r in geometry.nearest_neighbours(spark.createDataFrame(points, "g string, k int, x double, y double"), ["g"], "k", "x", "y").collect()}
+    want = {}
+    for g, k, x, y in points:
+        far = [math.hypot(x - u, y - v) for h, j, u, v in points if h == g and j != k and u is not None] if x is not None else []
+        if far:
+            want[g, k] = min(far)
+    assert got == pytest.approx(want)
