@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from grainflow.sources import shapes
+from grainflow.sources import results, shapes
 from grainflow.streaming.refresh import current, refresh, windowed_metrics
 
 
@@ -58,3 +58,52 @@ def test_windowed_metrics(spark):
     df = spark.createDataFrame(rows, "ts string, g string, v double").withColumn("ts", F.to_timestamp("ts"))
     out = windowed_metrics(df, "ts", ["g"], "v").orderBy("start").collect()
     assert [(r.n, r.r_mean, r.r32) for r in out] == [(2, 2.0, 2.8), (1, 2.0, 2.0)]
+
+
+def test_bubbles_tables(spark, tmp_path):
+    new, old, empty = tmp_path / "new.csv", tmp_path / "old.csv", tmp_path / "empty.csv"
+    new.write_text("frame,run,train,frame_idx,reviewed,bubble_id,x,edge_truncated,fit_kind,in_analysis,r_eq_um\nr5_tid0_001,r005,0,1,True,0,1.5,False,mask,True,7.25\n")
+    old.write_text("frame,train,frame_idx,bubble_id,x\nr6_tid1_001,1,1,3,\n")
+    empty.write_text("")
+    a, b = results.read_bubbles_csv(spark, str(new)).first(), results.read_bubbles_csv(spark, str(old)).first()
+    assert (a.run, a.reviewed, a.x, a.edge_truncated, a.fit_kind, a.r_eq_um) == ("r005", True, 1.5, False, "mask", 7.25) and (b.run, b.bubble_id, b.x) == ("r006", 3, None)
+    assert results.read_bubbles_csv(spark, str(empty)).count() == 0
+
+
+def test_folders_and_sets(spark, tmp_path):
+    for name, text in (("r5/bubbles.csv", "frame\n"), ("r7_set/frames.csv", "frame,run\nr12_tid0_001,r012\nr5_tid3_001,r005\nr5_tid4_001,r005\n"), ("r8_set/shapes/r8_tid0_001.json", "{}"), ("_sets/bubbles.csv", "frame\n"), ("notes/a.csv", "x\n"), ("r7_set/bubbles.csv", "frame\n"), ("r5/deep/bubbles.csv", "frame\n")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert {(r.folder, r.has_table, r.has_shapes) for r in results.result_folders(spark, str(tmp_path)).collect()} == {("r5", True, False), ("r7_set", True, False), ("r8_set", False, True)}
+    assert results.result_folders(spark, str(tmp_path), ["r5"]).count() == 1
+    assert {r.set: r.runs for r in results.discover_sets(spark, str(tmp_path)).collect()} == {"r7_set": ["r005", "r012"], "r8_set": ["r008"]}
+
+
+def test_logs_settings_and_findings(spark, tmp_path):
+    for k in range(2):
+        results.log_run(spark, f"{tmp_path}/log", "r5", {"model": f"m{k}"}, [("r5", k)])
+    row = shapes.latest_run_info(spark.read.parquet(f"{tmp_path}/log"), ["folder"]).first()
+    assert json.loads(row["info"]) == {"model": "m1"} and row.selections == [["('r5', 0)"], ["('r5', 1)"]]
+    results.write_settings(spark, {"a": 1}, f"{tmp_path}/settings")
+    assert json.loads(spark.read.text(f"{tmp_path}/settings").first()[0]) == {"a": 1}
+    text = results.findings_text([("Data", "3 runs"), ("Data", "word " * 30), ("Steps", "none")], "TITLE").split("\n")
+    assert text[0] == text[-1] == "=" * len(text[1]) and text[1].startswith("| TITLE") and sum("[Data]" in x for x in text) == 1 and len(text) == 11
+    results.write_findings(spark, [("Data", "3 runs")], f"{tmp_path}/findings", "T")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/findings").collect()] == results.findings_text([("Data", "3 runs")], "T").split("\n")
+
+
+def test_analyses(spark):
+    from grainflow.plans.analyses import RunComparison, SetTimeline
+
+    frames = spark.createDataFrame([(f"r{run}", t, f"r{run}_{t}", t != 9, 250, 400) for run in (1, 2) for t in range(10)], "run string, train long, frame string, reviewed boolean, image_height_px int, image_width_px int")
+    rows = [(f"r{run}", t, f"r{run}_{t}", float(3 + (k * 7 + t) % 11), 30.0, float(k), float(k), 4.0, 3.0, False, k % 9 > 0) for run in (1, 2) for t in range(10) for k in range(60 - 5 * t if run == 1 else 40)]
+    bubbles = spark.createDataFrame(rows, "run string, train long, frame string, r_eq_um double, area_um2 double, x double, y double, major_axis double, minor_axis double, edge_truncated boolean, in_analysis boolean")
+    out = RunComparison(least=20, exclude=spark.createDataFrame([("r2", 0)], "run string, train long")).tables(bubbles, frames)
+    per_frame = out["frame_metrics"]
+    assert {(r.run, r.train) for r in per_frame.collect()} == {("r1", t) for t in range(8)} | {("r2", t) for t in range(1, 9)} and out["sparse"].count() == 1
+    assert out["steps"].filter("d IS NULL OR p IS NULL").count() == 0 and out["steps"].count() == 14
+    assert out["trends"].count() == 21 and out["variance"].count() > 0 and out["outliers"].count() == 14 and all(df.count() >= 0 for df in out.values())
+    ranges = spark.createDataFrame([(1, "r1", 0, "r1", 7), (2, "r1", 0, "r9", 1)], "range_id int, start_run string, start_train long, end_run string, end_train long")
+    times = SetTimeline(15.0, 60.0).tables(per_frame.withColumn("set", F.lit("a")), ranges)
+    decays = {r.range_id: r for r in times["decays"].collect()}
+    assert decays[1].n_points == 8 and decays[1].tau > 0 and decays[2].note == "no frame for r9 t1" and times["lines"].count() == 2 and times["jumps"].count() == 3 and times["trend"].count() == 1
