@@ -21,7 +21,7 @@ from grainflow.llm.common import text_or_empty
 from grainflow.llm.pii_spans import KINDS, SPAN, base_spans, candidate_spans, features, let, run_of, runs_of, shown
 
 #: Made-up sentences; a quarter of them calibrate the thresholds.
-TRAINING, TREES, DEPTH, PRECISION = 8000, 16, 4, 0.98
+TRAINING, TREES, DEPTH, PRECISION = 12_000, 20, 5, 0.98
 
 
 def _w(k: int) -> str:
@@ -48,13 +48,30 @@ def _grouped(card: str, by: str) -> str:
     return "concat_ws('" + by + "', " + ", ".join(f"substr({card}, {1 + 4 * i}, 4)" for i in range(4)) + ")"
 
 
+def _short_card(body: str, want: bool) -> str:
+    """``body`` (14 digits) and a last digit that makes 15 digits pass the Luhn test, or one that doesn't."""
+    digit = lambda i: f"cast(substr({body}, {i + 1}, 1) as int)"
+    total = " + ".join(f"({digit(i)} * 2 - if({digit(i)} > 4, 9, 0))" if i % 2 == 1 else digit(i) for i in range(14))
+    last = f"pmod(10 - pmod({total}, 10), 10)"
+    return f"concat({body}, {last if want else f'pmod({last} + 1 + {_p(77, 9)}, 10)'})"
+
+
+def _amex(card: str, by: str) -> str:
+    return f"concat_ws('{by}', substr({card}, 1, 4), substr({card}, 5, 6), substr({card}, 11, 5))"
+
+
 def _ip(most: int) -> str:
     return "concat_ws('.', " + ", ".join(_p(k, most) for k in range(20, 24)) + ")"
 
 
 _GOOD, _BAD = _luhn_tail(_n(1, 15), True), _luhn_tail(_n(1, 15), False)
+_AMEX, _NO_AMEX = _short_card(f"concat('3', {_n(1, 13)})", True), _short_card(f"concat('3', {_n(1, 13)})", False)
 _TLD = f"element_at(array('com', 'org', 'net', 'de', 'fr', 'es', 'io'), 1 + {_p(5, 7)})"
 _PHONE = f"concat('(', {_n(2, 3)}, ') ', {_n(3, 3)}, '-', {_n(4, 4)})"
+_THREE = lambda by: f"concat_ws('{by}', concat(1 + {_p(6, 9)}, {_n(2, 2)}), {_n(3, 3)}, {_n(4, 4)})"
+_PAIRS = lambda by: f"concat_ws('{by}', concat('0', 1 + {_p(6, 9)}), {_n(2, 2)}, {_n(3, 2)}, {_n(4, 2)}, {_n(5, 2)})"
+_CALLS = ["phone", "call", "tel", "mobile", "téléphone", "telefon", "teléfono", "llame al", "cell", ""]
+_MAILS = ["email", "contact", "mail", "write to", "correo", "kontakt", "courriel", "escribe a", ""]
 #: Sentence frames: kind, whether the value is personal data, words before it, an expression for the value.
 _FRAMES: list[tuple[str, int, list[str], str]] = [
     ("email", 1, ["email", "write to", "contact", "", "mail"], f"concat({_w(1)}, '.', {_w(2)}, '@', {_w(3)}, '.', {_TLD})"),
@@ -78,6 +95,31 @@ _FRAMES: list[tuple[str, int, list[str], str]] = [
     ("phone", 1, ["phone", "call", "tel", "", "mobile"], f"concat('+', {_n(5, 1)}, ' ', {_PHONE})"),
     ("phone", 1, ["phone", "call me on", "tel", "fax", "whatsapp"], _PHONE),
     ("phone", 1, ["phone", "call", "telefon", "mobile", "handy"], f"concat('0', {_n(2, 3)}, ' ', {_n(3, 3)}, ' ', {_n(4, 4)})"),
+    ("email", 1, _MAILS, f"concat({_w(1)}, '.', {_w(2)}, ' AT ', {_w(3)}, ' DOT ', upper({_TLD}))"),
+    ("email", 1, _MAILS, f"concat({_w(1)}, '{{at}}', {_w(3)}, '{{dot}}', {_TLD})"),
+    ("email", 1, _MAILS, f"concat({_w(1)}, '_', {_w(2)}, ' (AT) ', {_w(3)}, '.', {_TLD})"),
+    ("email", 1, _MAILS, f"concat({_w(1)}, ' @ ', {_w(3)}, '.', {_TLD})"),
+    ("email", 1, _MAILS, f"concat({_w(1)}, '[at]', {_w(3)}, '-', {_w(4)}, '[dot]', {_TLD})"),
+    ("email", 0, ["we met", "she stayed", "", "the shop"], f"concat({_w(1)}, ' AT ', upper({_w(3)}))"),
+    ("card", 1, ["card", "amex", "credit card", "karte", "carte", ""], _AMEX),
+    ("card", 1, ["card", "amex", "tarjeta", "kreditkarte", ""], _amex(_AMEX, " ")),
+    ("card", 1, ["amex", "card", ""], _amex(_AMEX, "-")),
+    ("card", 0, ["order", "serial", "", "tracking", "ref"], _NO_AMEX),
+    ("card", 0, ["order", "invoice", ""], _amex(_NO_AMEX, " ")),
+    ("card", 1, ["card", "visa", ""], _grouped(_GOOD, "/")),
+    ("phone", 1, _CALLS, _THREE("-")),
+    ("phone", 1, _CALLS, _THREE(".")),
+    ("phone", 1, _CALLS, _THREE(" ")),
+    ("phone", 1, _CALLS, _PAIRS(" ")),
+    ("phone", 1, _CALLS, _PAIRS(".")),
+    ("phone", 1, _CALLS, f"concat('0', {_n(2, 3)}, '/', {_n(3, 7)})"),
+    ("phone", 1, _CALLS, f"concat('0', {_n(2, 2)}, '-', {_n(3, 8)})"),
+    ("phone", 1, ["phone", "tel", "call", "teléfono"], f"concat(6 + {_p(6, 4)}, {_n(2, 2)}, ' ', {_n(3, 3)}, ' ', {_n(4, 3)})"),
+    ("phone", 1, ["phone", "tel", "call", "sms"], f"concat({_n(2, 3)}, ' ', {_n(3, 4)}, ' ', {_n(4, 4)})"),
+    ("phone", 0, ["order", "invoice", "serial", "ref", "tracking", "rechnung", "commande", "pedido"], _THREE("-")),
+    ("phone", 0, ["total", "price", "", "page"], f"concat({_n(3, 1)}, '.', {_n(4, 3)}, '.', {_n(5, 3)})"),
+    ("phone", 0, ["date", "on", "am", "le", "el", ""], f"concat('1', {_p(9, 10)}, '.0', 1 + {_p(6, 8)}, '.20', {_n(4, 2)})"),
+    ("ip", 1, ["ip", "login from", "server", "serveur", "servidor", "router", ""], f"concat_ws(' . ', {_p(20, 256)}, {_p(21, 256)}, {_p(22, 256)}, {_p(23, 256)})"),
     ("phone", 0, ["date", "", "on", "since", "from"], f"concat('20', {_n(2, 2)}, '-0', 1 + {_p(6, 8)}, '-1', {_n(4, 1)})"),
     ("phone", 0, ["order", "", "id", "invoice", "number", "page", "the", "total"], _n(3, f"7 + {_p(9, 8)}")),
     ("phone", 0, ["pages", "figure", "", "price", "section"], f"concat({_n(3, 3)}, ' ', {_n(4, 3)}, ' ', {_n(5, 3)})"),
@@ -209,9 +251,10 @@ def find_personal_data(docs: DataFrame, model: Model) -> DataFrame:
     rated = F.transform(described, lambda d: F.struct(d["span"].alias("span"), scored(model, d["f"]).alias("score")))
     passing = F.filter(rated, lambda s: s["score"] >= F.element_at(least, s["span"]["kind"]))
     certain = F.transform("base", lambda s: F.struct(s.alias("span"), F.lit(None).cast("double").alias("score")))
-    rank = lambda a, b: (a["span"]["start"] - b["span"]["start"]) * 2 + F.when(F.coalesce(a["score"], F.lit(2.0)) >= F.coalesce(b["score"], F.lit(2.0)), -1).otherwise(1)
     rows = rows.select("doc_id", "text", "base", F.when(F.size("proposed") > 0, passing).alias("passing"))
-    by_start = F.array_sort(F.concat(certain, "passing"), rank)
+    # By start; then base spans, then higher scores; kind and end decide between equals, so the order is whole.
+    place = lambda s: F.struct(s["span"]["start"].alias("start"), F.coalesce(-s["score"], F.lit(-2.0)).alias("rank"), s["span"]["kind"].alias("kind"), s["span"]["end"].alias("end"), s.alias("s"))
+    by_start = F.transform(F.array_sort(F.transform(F.concat(certain, "passing"), place)), lambda p: p["s"])
     added = F.transform(_chosen(by_start), lambda s: s["span"])
     rows = rows.select("doc_id", "text", "base", F.when(F.size("passing") > 0, added).alias("added"))
     everything = F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))

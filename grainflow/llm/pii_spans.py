@@ -26,12 +26,12 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 
 #: High-recall generators. Those of different kinds propose overlapping spans on purpose.
 GENERATORS = {
-    "email": rf"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@| ?[(\[]at[)\]] ?| at ){_LABEL}++(?:(?:\.| ?[(\[]dot[)\]] ?| dot ){_LABEL}++)*+",
+    "email": rf"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?: ?@ ?| ?[(\[{{](?i:at|@)[)\]}}] ?| (?i:at) ){_LABEL}++(?:(?:\.| ?[(\[{{](?i:dot|\.)[)\]}}] ?| (?i:dot) ){_LABEL}++)*+",
     "ip": r"(?:\G|(?<![0-9]))[0-9]{1,6}+(?: ?[.,:] ?[0-9]{1,6}+){3}+",
     "card": r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}+[0-9]){11,22}+",
     "phone": r"(?<![0-9])[+(]?[0-9](?:[\x20()./-]{0,3}+[0-9]){6,16}+",
 }
-GENERATOR_NEEDS = {"email": r"@|[ (\[]at[ )\]]", "ip": r"[0-9] ?[.,:] ?[0-9]", "card": r"[0-9][\x20./_-]{0,2}[0-9]", "phone": r"[0-9][\x20()./-]{0,3}[0-9]"}
+GENERATOR_NEEDS = {"email": r"@|[ (\[{](?i:at)[ )\]}]", "ip": r"[0-9] ?[.,:] ?[0-9]", "card": r"[0-9][\x20./_-]{0,2}[0-9]", "phone": r"[0-9][\x20()./-]{0,3}[0-9]"}
 CONTEXT = 24
 #: Matches whose spans one array gathers before the arrays are joined: appending copies an array, so a text with very many matches
 #: is taken in runs, and its time stays near the number of matches.
@@ -128,11 +128,11 @@ def candidate_spans(text: Column) -> Column:
 
 #: Words that say what a number or a name beside them is, in the languages of web text.
 SAYS = {
-    "email": "e-?mail|mail|courriel|correo|contact|kontakt|write to",
-    "ip": "ip|host|server|address|adresse|client",
-    "card": "card|visa|mastercard|amex|karte|carte|tarjeta|credit",
-    "phone": "phone|tel|call|fax|mobile|cell|whatsapp|telefon|tél|handy|móvil",
-    "other": "version|v|order|invoice|serial|isbn|pages?|section|id|chapter|license|number|price|total|date|figure|release|build",
+    "email": "e-?mails?|mail|courriel|correo|contact|contacto|kontakt|write to|écris à|escribe a|schreib an|reach me at|adresse",
+    "ip": "ip|host|server|serveur|servidor|address|adresse|dirección|client|login from|router",
+    "card": "card|credit|visa|mastercard|amex|karte|kreditkarte|kartennummer|carte|tarjeta|cc",
+    "phone": "phone|telephone|tel|call|fax|mobile|cell|whatsapp|telefon|telefonnummer|ruf|anrufen|tél|téléphone|appelez|teléfono|llame|llámame|handy|móvil|portable|sms|text",
+    "other": "version|v|order|invoice|serial|isbn|pages?|section|id|chapter|license|number|price|total|date|figure|release|build|rechnung|bestellung|facture|commande|factura|pedido|seite|página|version|tracking|ref|reference",
 }
 
 
@@ -152,9 +152,13 @@ def features(span: Column) -> list[Column]:
         F.when(span["kind"] == "ip", small_parts(value)).otherwise(F.lit(False)),
         value.rlike(r"^\+"),
         value.rlike(r"^\(?[0-9]{2,5}\)"),
-        value.rlike(r"(?i)(?:\.| ?[(\[]dot[)\]] ?| dot )(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|it)$"),
+        value.rlike(r"(?i)(?:\.| ?[(\[{](?:dot|\.)[)\]}] ?| dot )(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|it|ch|at|mx|be)$"),
         value.rlike("@"),
-        value.rlike(r"[(\[]"),
+        value.rlike(r"[(\[{]"),
+        value.rlike(r"^[+(]?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}$"),
+        value.rlike(r"^\(?0[0-9]{1,4}\)?[ ./-]"),
+        value.rlike(r"^0[0-9](?:[ .-][0-9]{2}){4}$"),
+        value.rlike(r"(?i) at .* dot |[(\[{](?:at|@)[)\]}]"),
         value.rlike("[ ,:]"),
         value.rlike("[./_]"),
         value.rlike(r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$"),
