@@ -48,19 +48,22 @@ def near_groups(docs: DataFrame, nodes: DataFrame, folder: str, similarity: floa
         rows = nodes.withColumn("label", F.col("node")) if stars is None else nodes.join(stars.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("label", F.coalesce("root", "node"))
         met = rows.select("node", "label", F.get("fps", F.lit(k)).alias("fp"), F.explode("blocks").alias("block"))
         edges = written(near_edges(met, budget, most, tuple(s for s in STEPS if s < budget), SMALL if k == 0 else 0), f"{folder}/edges{k}")
-        new = written(_checked(docs, nodes, edges, f"{folder}/sets{k}", similarity), f"{folder}/links{k}")
+        new = written(_checked(docs, nodes, edges, f"{folder}/checked{k}", similarity), f"{folder}/links{k}")
         links = new if links is None else links.unionByName(new)
         stars = components(links, f"{folder}/groups{k}")
+        if new.count() == edges.count():  # no link failed, so nothing fell apart
+            break
     return stars
 
 
 def _checked(docs: DataFrame, nodes: DataFrame, edges: DataFrame, folder: str, similarity: float) -> DataFrame:
-    """The edges whose nodes' texts are alike. Only texts of such nodes are read."""
+    """The edges whose nodes' texts are alike. Only sets of such nodes are made; their rows are written first, so that Spark knows their size and
+    broadcasts a few instead of shuffling all texts."""
     ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    firsts = nodes.join(ends, "node", "left_semi").select("node", F.col("first.id").alias("id"), F.col("first.tie").alias("tie"))
+    firsts = written(nodes.join(ends, "node", "left_semi").select("node", F.col("first.id").alias("id"), F.col("first.tie").alias("tie")), f"{folder}/rows")
     texts = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64(text_or_empty()).alias("own_tie"), text_or_empty().alias("text"))
     texts = texts.join(firsts, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")))
-    sets = written(shingle_sets(texts).dropDuplicates(["node"]), folder)
+    sets = written(shingle_sets(texts).dropDuplicates(["node"]), f"{folder}/sets")
     pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     return similar_pairs(pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b"), similarity)
 
