@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,17 +47,14 @@ def rotate_perspectives(conversations: DataFrame, turns_each: int = TURNS) -> Da
     Part k holds the turns from the (k * turns_each)-th on, so that a conversation of any length is dealt out. Every participant has a
     row for each part, one that is silent there too; it begins with the system turns of earlier parts, each different text once. n_turns counts them.
     """
-    turns = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    turns = _with_parts(turns, turns_each)
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    grouped = turns.groupBy("conv_id", "part").agg(ordered.alias("turns"))
-    system = turns.filter(F.col("role") == "system").groupBy("conv_id", "text").agg(F.min(F.struct("part", "turn")).alias("first"))
-    system = system.groupBy(F.col("conv_id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("first.part", "first.turn", "text"))).alias("system"))
-    speakers = turns.filter(F.col("role") != "system").groupBy(F.col("conv_id").alias("c")).agg(F.sort_array(F.collect_set("role")).alias("speakers"))
-    grouped = grouped.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).join(system, F.col("conv_id").eqNullSafe(F.col("s")), "left")
-    earlier = F.transform(F.filter("system", lambda t: t["part"] < F.col("part")), lambda t: t["text"])
-    said = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    grouped = grouped.select("conv_id", "part", said.alias("turns"), "speakers", earlier.alias("earlier"))
+    turns = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    long = turns.groupBy(F.col("conv_id").alias("c")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > turns_each)
+    long = written(long.select("c"), f"{workspace(turns.sparkSession, 'chat_rotation')}/long")
+    if long.isEmpty():
+        grouped = _whole(turns)
+    else:
+        same = F.col("conv_id").eqNullSafe(F.col("c"))
+        grouped = _whole(turns.join(long, same, "left_anti")).unionByName(_in_parts(turns.join(long, same, "left_semi").distinct(), turns_each))
 
     def rotate(batches):
         for batch in batches:
@@ -85,21 +82,38 @@ def _batch(batch: pa.RecordBatch, at: list[int], rows: list[dict]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *found.columns], ["conv_id", "part", *found.schema.names])
 
 
-def _with_parts(turns: DataFrame, turns_each: int) -> DataFrame:
-    """``turns`` with their part. Turns of conversations of several parts are numbered in two levels: in ranges of the order, by the turns of the ranges before."""
-    long = turns.groupBy(F.col("conv_id").alias("c")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > turns_each)
-    if long.isEmpty():
-        return turns.withColumn("part", F.lit(0).cast("long"))
-    same, order = F.col("conv_id").eqNullSafe(F.col("c")), ["turn", "role", "text"]
-    dense = turns.join(long, same, "left_semi").repartitionByRange("conv_id", *order).withColumn("range", F.spark_partition_id())
+_ORDERED = ["turn", "role", "text"]
+
+
+def _said(turns: Column) -> Column:
+    return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
+def _whole(turns: DataFrame) -> DataFrame:
+    """conv_id, part 0, turns, speakers, earlier (none) of conversations that are one rendering: one shuffle, everything else is within the row."""
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct(*_ORDERED))).alias("turns"))
+    roles = F.filter(F.array_distinct("turns.role"), lambda r: r != "system")
+    grouped = grouped.select("conv_id", F.lit(0).cast("long").alias("part"), _said(F.col("turns")).alias("turns"), F.sort_array(roles).alias("speakers"), F.array().cast("array<string>").alias("earlier"))
+    return grouped.filter(F.size("speakers") > 0)
+
+
+def _in_parts(turns: DataFrame, turns_each: int) -> DataFrame:
+    """The same of conversations of several parts, a row for each. Turns are numbered in two levels: in ranges of the order, by the turns of the ranges before."""
+    dense = turns.repartitionByRange("conv_id", *_ORDERED).withColumn("range", F.spark_partition_id())
     dense = written(dense, f"{workspace(turns.sparkSession, 'chat_rotation')}/ranges")
     upto = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = dense.groupBy(F.col("conv_id").alias("c"), F.col("range").alias("r")).agg(F.count(F.lit(1)).alias("n"))
     ranges = ranges.select("c", "r", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*order)) - 1
-    ranked = dense.withColumn("within", within).join(ranges, same & (F.col("range") == F.col("r")))
-    ranked = ranked.select("conv_id", *order, F.floor((F.col("before") + F.col("within")) / turns_each).cast("long").alias("part"))
-    return turns.join(long, same, "left_anti").select("conv_id", *order, F.lit(0).cast("long").alias("part")).unionByName(ranked)
+    within = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*_ORDERED)) - 1
+    ranked = dense.withColumn("within", within).join(ranges, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")))
+    ranked = ranked.select("conv_id", *_ORDERED, F.floor((F.col("before") + F.col("within")) / turns_each).cast("long").alias("part"))
+    grouped = ranked.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct(*_ORDERED))).alias("turns"))
+    system = ranked.filter(F.col("role") == "system").groupBy("conv_id", "text").agg(F.min(F.struct("part", "turn")).alias("first"))
+    system = system.groupBy(F.col("conv_id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("first.part", "first.turn", "text"))).alias("system"))
+    speakers = ranked.filter(F.col("role") != "system").groupBy(F.col("conv_id").alias("c")).agg(F.sort_array(F.collect_set("role")).alias("speakers"))
+    grouped = grouped.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).join(system, F.col("conv_id").eqNullSafe(F.col("s")), "left")
+    earlier = F.transform(F.filter("system", lambda t: t["part"] < F.col("part")), lambda t: t["text"])
+    return grouped.select("conv_id", "part", _said(F.col("turns")).alias("turns"), "speakers", F.coalesce(earlier, F.array().cast("array<string>")).alias("earlier"))
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
