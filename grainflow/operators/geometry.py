@@ -213,15 +213,3 @@ def match_scores(matches: DataFrame, predictions: DataFrame, truths: DataFrame,
     tp, p, t = (d.groupBy(*by).agg(F.count(F.lit(1)).alias(n)) for d, n in ((matches, "tp"), (predictions, "p"), (truths, "t")))
     out = p.join(t, by, "full").join(tp, by, "left").na.fill(0, ["tp", "p", "t"])
     return out.select(*by, "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"), F.try_divide("tp", "p").alias("precision"), F.try_divide("tp", "t").alias("recall"), F.try_divide(2 * F.col("tp"), F.col("p") + F.col("t")).alias("f1"))
-
-
-def circle_through(frame: pd.DataFrame) -> tuple[float, float, float]:
-    """Least-squares circle of points r, c: centre and radius."""
-    r, c = frame["r"].to_numpy(float), frame["c"].to_numpy(float)
-    a = np.column_stack([2 * r, 2 * c, np.ones_like(r)])
-    x = np.linalg.lstsq(a, r * r + c * c, rcond=None)[0]
-    return float(x[0]), float(x[1]), float(np.sqrt(max(0.0, x[2] + x[0] ** 2 + x[1] ** 2)))
-
-
-def row_in_frame(by: list[str], order: list[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

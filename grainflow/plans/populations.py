@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from grainflow.operators import geometry, masks
 from grainflow.operators import population as pop
 from grainflow.operators import size_models
 from grainflow.plans.base import SQL, bubbles, read, rounded, trains
@@ -32,6 +33,35 @@ def coverage(spark, sf_dir):
     return rounded(pop.coverage(b, ["supplier"], "row", "col", "rad", 250, 400))
 
 
+def _discs(spark, sf_dir):
+    """Ellipses on frames of 60 x 110 pixels, a supplier a frame."""
+    b = bubbles(spark, sf_dir).groupBy("supplier", "frame", "bubble").agg(F.min("r").alias("row"), (F.min("area") / 1000).alias("col"))
+    return b.withColumns({"a": F.col("bubble") + 0.9, "b": (F.col("bubble") + 0.3) / 2, "angle": (F.col("frame") % 180).cast("double")})
+
+
+def ellipse_coverage(spark, sf_dir):
+    return rounded(masks.ellipse_coverage(_discs(spark, sf_dir), ["supplier"], "row", "col", "a", "b", "angle", 60, 110, 2.0))
+
+
+def measured_masks(spark, sf_dir):
+    shapes = masks.rasterised(_discs(spark, sf_dir), ["supplier", "frame", "bubble"], "row", "col", "a", "b", "angle", 60, 110)
+    m = masks.measure_masks(shapes, ["supplier", "frame", "bubble"], 110)
+    return rounded(m.groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in ("area_px2", "x", "y", "r_eq", "major_axis", "minor_axis", "eccentricity"))), 5)
+
+
+def mask_overlaps(spark, sf_dir):
+    discs = _discs(spark, sf_dir).groupBy("frame", "bubble").agg(*(F.min(c).alias(c) for c in ("row", "col", "a", "b", "angle")))
+    shapes = masks.rasterised(discs, ["frame", "bubble"], "row", "col", "a", "b", "angle", 60, 110)
+    return rounded(masks.mask_overlaps(shapes, ["frame"], "bubble", 110))
+
+
+def fitted_outlines(spark, sf_dir):
+    """Circles and ellipses through the outlines of ellipses: the ellipses come back."""
+    points = _discs(spark, sf_dir).filter("bubble = 3").select("supplier", "frame", F.explode(geometry.outline(F.col("row"), F.col("col"), F.col("a"), F.col("b"), F.col("angle"), 24)).alias("p"))
+    out = masks.fitted_outlines(points.select("supplier", "frame", F.col("p")[0].alias("i"), F.col("p")[1].alias("j")), ["supplier", "frame"], "i", "j")
+    return rounded(out.select("supplier", "frame", "n_points", "row", "col", "semi_major", "semi_minor"), 6)
+
+
 def snapshots(spark, sf_dir):
     return pop.snapshots(trains(spark, sf_dir).select("run", "train", "n"), ["run"], "train", 7)
 
@@ -51,22 +81,28 @@ def signed_ranks(spark, sf_dir):
 
 
 def size_model_table(spark, sf_dir):
-    return rounded(size_models.model_table(bubbles(spark, sf_dir), ["run"], "r", 5.0).drop("params"), 2)
+    return rounded(size_models.model_table(bubbles(spark, sf_dir), ["run"], "r", 5.0).drop("params", "skewness"), 2)
 
 
 def bootstrap(spark, sf_dir):
     fits = size_models.bootstrap_runs(bubbles(spark, sf_dir), "run", "r", 5.0)
-    return rounded(fits.select("resample", F.get("params", F.lit(0)).alias("mu"), F.get("params", F.lit(1)).alias("log_sigma")), 4)
+    return rounded(fits.select("resample", F.get("params", F.lit(0)).alias("mu"), F.get("params", F.lit(1)).alias("log_sigma"), "mode", "mean", "skewness"), 4)
 
 
 QUERIES = {
     "drop_sparse": drop_sparse, "weighted_sizes": weighted_sizes, "scaled_curves": scaled_curves, "collapse": collapse, "coverage": coverage, "snapshots": snapshots, "every_kth": every_kth, "interpolated": interpolated,
-    "signed_ranks": signed_ranks, "size_model_table": size_model_table, "bootstrap": bootstrap,
+    "ellipse_coverage": ellipse_coverage, "measured_masks": measured_masks, "mask_overlaps": mask_overlaps, "fitted_outlines": fitted_outlines, "signed_ranks": signed_ranks, "size_model_table": size_model_table, "bootstrap": bootstrap,
 }
 
 _CURVES = """m AS (SELECT run, train, avg(r) AS m FROM bubbles GROUP BY ALL HAVING count(*) >= 10), x AS (SELECT b.run, b.train, r / m AS x FROM bubbles b JOIN m ON b.run = m.run AND b.train = m.train),
 h AS (SELECT run, train, CAST(least(floor(x / 0.25), 9) AS INT) AS bin, count(*) AS c FROM x WHERE x BETWEEN 0 AND 2.5 GROUP BY ALL), curves AS (SELECT run, train, bin, c / sum(c) OVER (PARTITION BY run, train) / 0.25 AS density FROM h)"""
 
+# Pixels are tried one by one in each ellipse's box.
+_DISCS = """discs AS (SELECT supplier, frame, bubble, min(r) AS y0, min(area) / 1000 AS x0, bubble + 0.9::DOUBLE AS a, (bubble + 0.3::DOUBLE) / 2 AS b, radians(frame % 180) AS t FROM bubbles GROUP BY supplier, frame, bubble)"""
+_PIXELS = """rows_ AS (SELECT *, unnest(range(greatest(0, floor((y0 - a) * {s}))::BIGINT, least({h} - 1, ceil((y0 + a + 1) * {s}))::BIGINT + 1)) AS y FROM {d}),
+cells AS (SELECT *, unnest(range(greatest(0, floor((x0 - a) * {s}))::BIGINT, least({w} - 1, ceil((x0 + a + 1) * {s}))::BIGINT + 1)) AS x FROM rows_),
+px AS (SELECT * FROM (SELECT *, (y + 0.5::DOUBLE) / {s} - 0.5 - y0 AS dy, (x + 0.5::DOUBLE) / {s} - 0.5 - x0 AS dx FROM cells) WHERE pow((dx * cos(t) + dy * sin(t)) / a, 2) + pow((dy * cos(t) - dx * sin(t)) / b, 2) <= 1)"""
+
 ORACLE_SQL = {
     "drop_sparse": f"WITH {SQL}, c AS (SELECT frame, count(*) AS n FROM bubbles GROUP BY frame) SELECT o_orderkey AS frame, coalesce(n, 0) AS n, coalesce(n, 0) >= 4 AS kept FROM orders LEFT JOIN c ON o_orderkey = frame",
     "weighted_sizes": f"""WITH {SQL}, w AS (SELECT run, r, (SELECT count(*) FROM bubbles) / (SELECT count(DISTINCT frame) FROM bubbles) / count(*) OVER (PARTITION BY frame) AS w FROM bubbles)
@@ -89,4 +125,15 @@ p AS (SELECT supplier, x0, rad, y0, unnest(range(greatest(0, ceil(y0 - rad))::BI
 s AS (SELECT supplier, y, greatest(0, ceil(x0 - sqrt(greatest(0, rad * rad - pow(y - y0, 2)))))::BIGINT AS a, least(399, floor(x0 + sqrt(greatest(0, rad * rad - pow(y - y0, 2)))))::BIGINT AS b FROM p),
 c AS (SELECT DISTINCT supplier, y, unnest(range(a, b + 1)) AS x FROM s WHERE a <= b)
 SELECT u.supplier, round(count(x) / 100000, 6) AS coverage FROM (SELECT DISTINCT supplier FROM bubbles) u LEFT JOIN c ON c.supplier = u.supplier GROUP BY u.supplier""",
+    "ellipse_coverage": f"""WITH {SQL}, {_DISCS}, {_PIXELS.format(s=2, h=120, w=220, d="discs")}, c AS (SELECT supplier, count(*) AS n FROM (SELECT DISTINCT supplier, y, x FROM px) GROUP BY supplier)
+SELECT s.supplier, round(coalesce(n, 0) / 26400, 6) AS coverage FROM (SELECT DISTINCT supplier FROM bubbles) s LEFT JOIN c ON c.supplier = s.supplier""",
+    "measured_masks": f"""WITH {SQL}, {_DISCS}, {_PIXELS.format(s=1, h=60, w=110, d="discs")},
+m AS (SELECT supplier, frame, bubble, count(*) AS n, avg(y) AS y, avg(x) AS x, var_pop(y) AS vi, var_pop(x) AS vj, covar_pop(y, x) AS c FROM px GROUP BY supplier, frame, bubble),
+e AS (SELECT *, (vi + vj) / 2 + sqrt(pow((vi - vj) / 2, 2) + c * c) AS l, greatest(0, (vi + vj) / 2 - sqrt(pow((vi - vj) / 2, 2) + c * c)) AS s FROM m)
+SELECT supplier, count(*) AS n, round(avg(n), 5) AS area_px2, round(avg(x), 5) AS x, round(avg(y), 5) AS y, round(avg(sqrt(n / pi())), 5) AS r_eq, round(avg(4 * sqrt(l)), 5) AS major_axis, round(avg(4 * sqrt(s)), 5) AS minor_axis,
+       round(avg(CASE WHEN l > 0 THEN sqrt(1 - s / l) ELSE 0 END), 5) AS eccentricity FROM e GROUP BY supplier""",
+    "mask_overlaps": f"""WITH {SQL}, {_DISCS}, one AS (SELECT frame, bubble, min(y0) AS y0, min(x0) AS x0, min(a) AS a, min(b) AS b, min(t) AS t FROM discs GROUP BY frame, bubble), {_PIXELS.format(s=1, h=60, w=110, d="one")},
+n AS (SELECT frame, bubble, count(*) AS n FROM px GROUP BY ALL), k AS (SELECT p.frame, p.bubble AS a, q.bubble AS b, count(*) AS k FROM px p JOIN px q ON p.frame = q.frame AND p.y = q.y AND p.x = q.x AND p.bubble < q.bubble GROUP BY ALL)
+SELECT k.frame, k.a, k.b, round(k / (u.n + v.n - k), 6) AS iou FROM k JOIN n u ON u.frame = k.frame AND u.bubble = k.a JOIN n v ON v.frame = k.frame AND v.bubble = k.b""",
+    "fitted_outlines": f"""WITH {SQL}, {_DISCS} SELECT supplier, frame, 24 AS n_points, round(y0, 6) AS "row", round(x0, 6) AS col, round(a, 6) AS semi_major, round(b, 6) AS semi_minor FROM discs WHERE bubble = 3""",
 }

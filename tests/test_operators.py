@@ -243,3 +243,61 @@ def test_nearest_neighbours_against_all_pairs(spark):
         if far:
             want[g, k] = min(far)
     assert got == pytest.approx(want)
+
+
+def test_gamma_tail():
+    from grainflow.operators.size_models import gamma_tail
+
+    for a, x, want in ((1.0, 2.0, math.exp(-2)), (2.0, 3.0, 4 * math.exp(-3)), (0.5, 1.0, math.erfc(1.0)), (0.5, 9.0, math.erfc(3.0)), (3.0, 0.5, 1.625 * math.exp(-0.5)), (5.0, 0.0, 1.0), (2.0, math.inf, 0.0)):
+        assert gamma_tail(a, x) == pytest.approx(want, rel=1e-10)
+
+
+def test_truncated_fits_find_the_family(spark):
+    from grainflow.operators import size_models
+
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.gamma(3.0, 4.0, 8_000))
+    x = x[x >= 5]
+    p, _ = size_models.fit_model("gamma", x, np.ones_like(x), 5.0)
+    assert np.exp(p) == pytest.approx([3.0, 4.0], rel=0.15) and size_models.weighted_ks("gamma", p, x, np.ones_like(x), 5.0) < 0.02
+    far = size_models.weighted_ks("weibull", np.log([1.0, 3.0]), x, np.ones_like(x), 5.0)
+    assert far > 0.1
+    few, twice = x[::50], np.array([1.0, 3.0] * 100)[: len(x[::50])]
+    want = max(max(abs((twice[: i + 1].sum()) / twice.sum() - f), abs(twice[:i].sum() / twice.sum() - f)) for i, v in enumerate(few) for f in [1 - size_models.tail("gamma", v, p) / size_models.tail("gamma", 5.0, p)])
+    assert size_models.weighted_ks("gamma", p, few, twice, 5.0) == pytest.approx(want)
+
+
+def test_bootstrap_weights(spark):
+    from grainflow.operators import size_models
+
+    df = spark.createDataFrame([("a", v, 2.0) for v in range(6, 30)] + [("b", v, 0.5) for v in range(6, 20)], "run string, v int, w double").withColumn("v", F.col("v").cast("double"))
+    got = size_models.bootstrap_runs(df, "run", "v", 5.0, resamples=4, weight="w").collect()
+    assert len(got) == 4 and all(r.mean > 5 and r.mode > 0 and r.skewness is not None for r in got)
+    doubled = size_models.bootstrap_runs(df.withColumn("w", F.col("w") * 2), "run", "v", 5.0, resamples=4, weight="w").collect()
+    assert [r.mean for r in sorted(got)] == pytest.approx([r.mean for r in sorted(doubled)], rel=1e-2)
+
+
+def test_outlines_and_masks(spark):
+    from grainflow.operators import masks
+
+    t = np.linspace(0, 2 * np.pi, 30, endpoint=False)
+    rows = [("circle", 5 + 3 * math.sin(a), 7 + 3 * math.cos(a)) for a in t] + [("arc", 5 + 3 * math.sin(a), 7 + 3 * math.cos(a)) for a in t[:9]] + [("line", float(k), float(k)) for k in range(6)] + [("two", 1.0, 2.0), ("two", 2.0, 2.0), ("none", None, 1.0)]
+    got = {r.g: r for r in masks.fitted_outlines(spark.createDataFrame(rows, "g string, r double, c double"), ["g"], "r", "c").collect()}
+    for g in ("circle", "arc"):
+        assert (got[g].circle_row, got[g].circle_col, got[g].radius) == pytest.approx((5, 7, 3), abs=1e-6)
+    assert (got["circle"].semi_major, got["circle"].semi_minor) == pytest.approx((3, 3), abs=1e-6)
+    assert got["line"].radius is None and got["line"].semi_major is None and got["two"].radius is None and "none" not in got
+    shapes = spark.createDataFrame([(1, 1, [0, 1, 2, 10, 11, 12]), (1, 2, [11, 12, 13]), (1, 3, [95]), (2, 1, [0])], "f int, k int, pixels array<int>")
+    assert [tuple(r) for r in masks.mask_overlaps(shapes, ["f"], "k", 10).collect()] == [(1, 1, 2, pytest.approx(2 / 7))]
+    one = masks.measure_masks(shapes.filter("f = 2 OR k = 2"), ["f", "k"], 10).orderBy("f").collect()
+    assert (one[0].area_px2, one[0].x, one[0].y, one[0].minor_axis) == (3, 2, 1, 0) and (one[1].area_px2, one[1].eccentricity) == (1, 0)
+    row = spark.range(1).select(masks.arc_degrees(F.array(F.lit(1.0), F.lit(9.0), F.lit(12.0), F.lit(-5.0))).alias("arc"), masks.too_small(F.lit(3.0), F.lit(0.4)).alias("small"), masks.too_small(F.lit(None).cast("double"), F.lit(4.0)).alias("null"), masks.equal_area_radius(F.lit(8.0), F.lit(2.0)).alias("r"), masks.to_image(masks.to_model(F.lit(2.25), 3.0), 3.0).alias("back")).first()
+    assert (row.arc, row.small, row.null, row.r, row.back) == (30, True, True, 4, 2.25)
+
+
+def test_scaling_and_percentiles(spark):
+    df = spark.createDataFrame([(0, [0.0, 5.0, 10.0, None]), (1, [20.0, -3.0])], "k int, px array<double>")
+    scaled = {r.k: r.s for r in df.select("k", arrays.scaled_to(F.col("px"), 0.0, 10.0, 100).alias("s")).collect()}
+    assert scaled[0][:3] == [0, 50, 100] and scaled[1] == [100, 0]
+    lo, hi = arrays.percentile_range(df, "px", 0.0, 1.0).first()[:2]
+    assert (lo, hi) == (-3, 20)
