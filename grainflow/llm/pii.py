@@ -21,7 +21,7 @@ from grainflow.llm.common import text_or_empty
 from grainflow.llm.pii_spans import KINDS, SPAN, base_spans, candidate_spans, features, let, run_of, runs_of, shown
 
 #: Made-up sentences; a quarter of them calibrate the thresholds.
-TRAINING, TREES, DEPTH, PRECISION = 12_000, 20, 5, 0.98
+TRAINING, TREES, DEPTH, PRECISION = 10_000, 16, 5, 0.98
 
 
 def _w(k: int) -> str:
@@ -64,8 +64,9 @@ def _ip(most: int) -> str:
     return "concat_ws('.', " + ", ".join(_p(k, most) for k in range(20, 24)) + ")"
 
 
-_GOOD, _BAD = _luhn_tail(_n(1, 15), True), _luhn_tail(_n(1, 15), False)
-_AMEX, _NO_AMEX = _short_card(f"concat('3', {_n(1, 13)})", True), _short_card(f"concat('3', {_n(1, 13)})", False)
+#: Numbers that several frames share, each a column of its own, so that it is made once a row.
+_SHARED = {"good": _luhn_tail(_n(1, 15), True), "bad": _luhn_tail(_n(1, 15), False), "amex": _short_card(f"concat('3', {_n(1, 13)})", True), "no_amex": _short_card(f"concat('3', {_n(1, 13)})", False)}
+_GOOD, _BAD, _AMEX, _NO_AMEX = _SHARED
 _TLD = f"element_at(array('com', 'org', 'net', 'de', 'fr', 'es', 'io'), 1 + {_p(5, 7)})"
 _PHONE = f"concat('(', {_n(2, 3)}, ') ', {_n(3, 3)}, '-', {_n(4, 4)})"
 _THREE = lambda by: f"concat_ws('{by}', concat(1 + {_p(6, 9)}, {_n(2, 2)}), {_n(3, 3)}, {_n(4, 4)})"
@@ -146,7 +147,8 @@ def made_up(spark: SparkSession, rows: int = TRAINING) -> DataFrame:
     words = [f"substr(translate(sha1(concat('w', id, 'k', {k})), '0123456789', 'ghijklmnop'), 1, 3 + pmod(hash(id, {k}), 6)) AS w{k}" for k in (1, 2, 3, 4, 30, 31, 32)]
     numbers = [f"substr(translate(sha2(concat('n', id, 'k', {k}), 256), 'abcdef', '246813'), 1, 20) AS n{k}" for k in range(1, 6)]
     draws = [f"hash(id, {k}, 'p') AS p{k}" for k in (5, 6, 9, 20, 21, 22, 23, 77)]
-    parts = spark.range(0, rows, 1, 2).selectExpr("id", *words, *numbers, *draws)
+    parts = spark.range(0, rows, 1, 8).selectExpr("id", *words, *numbers, *draws)
+    parts = parts.selectExpr("*", *(f"{v} AS {k}" for k, v in _SHARED.items()))
     parts = parts.selectExpr("id", f"{kind} AS kind", f"{label} AS label", f"{lead} AS lead", f"{value} AS value", "w30", "w31", "w32")
     mark = F.element_at(F.array(F.lit(" "), F.lit(": "), F.lit(" ")), 1 + F.pmod(F.hash("id", F.lit("m")), F.lit(3)))
     text = F.concat("w30", F.lit(" "), "w31", F.lit(" "), "lead", mark)

@@ -27,7 +27,7 @@ def path_of(url: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """For each row of pages (page_id, url): page_id, host, path, rule, verdict.
 
-    rules: rule (``host/path``, the host in any case) and action (``allow`` or ``block``). A rule fits its host and all subdomains, if the path starts
+    rules: rule (``host/path``, the host in any case) and action (``allow`` or ``block``); one without rule or action is no rule. A rule fits its host and all subdomains, if the path starts
     with the rule's. The longest fitting rule decides; of the same rule with both actions, block does. Where none fits, rule is null and
     verdict is ``default``. Null URLs and those without ``://`` have an empty host and path, which no rule fits. Repeated rows stay; other
     columns are ignored; no rules or no pages are fine.
@@ -38,7 +38,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     cut = F.instr("rule", "/")
     rule_host = F.translate(F.when(cut > 0, F.substring_index("rule", "/", 1)).otherwise(F.col("rule")), UPPER, LOWER)
     rule_path = F.when(cut > 0, F.substring(F.col("rule"), cut, F.length("rule"))).otherwise(F.lit(""))
-    ready = rules.filter("rule IS NOT NULL").select(F.concat(rule_host, rule_path).alias("rule"), "action", F.size(F.split(rule_host, r"\.")).alias("labels"), F.length(rule_path).alias("chars"))
+    ready = rules.filter("rule IS NOT NULL AND action IS NOT NULL").select(F.concat(rule_host, rule_path).alias("rule"), "action", F.size(F.split(rule_host, r"\.")).alias("labels"), F.length(rule_path).alias("chars"))
     shapes = ready.select("labels", "chars").distinct().orderBy("labels", "chars").collect()  # as many as rule shapes, whatever the rules' number
     pages = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not shapes:
@@ -46,12 +46,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     keyed = ready.groupBy("rule").agg(F.max("action").alias("action")).select("*", F.sha2("rule", 256).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     keyed = F.broadcast(keyed) if ready.count() <= BROADCAST_RULES else keyed
     labels = F.split("host", r"\.")
-    expressions = [
-        F.when((F.size("labels") >= s.labels) & (F.length("path") >= s.chars), F.concat(F.array_join(F.slice("labels", -s.labels, s.labels), "."), F.substring("path", 1, s.chars)))
-        for s in shapes
-    ]
+    # One array of all shapes, gone through in the row: the plan doesn't grow with their number.
+    every = F.array(*(F.struct(F.lit(s.labels).alias("labels"), F.lit(s.chars).alias("chars")) for s in shapes))
+    suffix = lambda n: F.array_join(F.slice("labels", -n, n), ".")
+    expressions = F.transform(every, lambda s: F.when((F.size("labels") >= s["labels"]) & (F.length("path") >= s["chars"]), F.concat(suffix(s["labels"]), F.left("path", s["chars"]))))
     different = pages.select("host", "path").distinct().withColumn("labels", labels)
-    different = different.select("host", "path", F.explode(F.array_distinct(F.array_compact(F.array(*expressions)))).alias("expression"))
+    different = different.select("host", "path", F.explode(F.array_distinct(F.array_compact(expressions))).alias("expression"))
     different = different.select("host", "path", F.sha2("expression", 256).alias("found"))
     fits = different.join(keyed, F.substring("found", 1, PREFIX_DIGITS) == F.col("prefix")).filter("found = digest")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "action")).alias("best"))

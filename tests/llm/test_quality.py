@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from grainflow.llm.quality import DIMS, Classifier, features_of, index_vectors, quality_scores, terms_of, word_vectors
+from grainflow.llm.quality import DECAY, DIMS, Classifier, Network, features_of, index_vectors, quality_scores, terms_of, word_vectors
 from grainflow.llm.queries import QUERIES
 from tests.llm.helpers import SF, docs_frame
 
@@ -53,3 +53,33 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     scores = Classifier(docs, labels).scores().collect()
     assert kept.count() == sum(r.score >= 0.3 for r in scores)
+
+
+def test_network_and_temperature_against_loops():
+    """Scores node by node; the weights are a place where the loss is flat; the temperature is the best of those tried."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 2, (300, DIMS + 1))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(0, 1.5, 300) > 1).astype(np.int64)
+    held = np.arange(300) % 4 == 0
+    net = Network(x, y, held)
+    for row, score in zip(x[:20], net.score(x[:20])):
+        z = [(row[j] - net.mean[j]) / net.scale[j] for j in range(DIMS + 1)]
+        hidden = [np.tanh(sum(z[j] * net.w[0][j, k] for j in range(DIMS + 1)) + net.w[1][k]) for k in range(len(net.w[1]))]
+        out = sum(h * w for h, w in zip(hidden, net.w[2])) + net.w[3][0]
+        assert np.isclose(score, 1 / (1 + np.exp(-out / net.temperature)))
+    z, t = net.logit(x[held]), y[held]
+    loss = lambda g: -np.mean(np.where(t == 1, np.log(1 / (1 + np.exp(-z / g))), np.log(1 - 1 / (1 + np.exp(-z / g)))))
+    assert all(loss(net.temperature) <= loss(g) + 1e-9 for g in np.exp(np.linspace(np.log(0.25), np.log(4), 121)))
+    fit = ~held
+
+    def cost(w):
+        keep, net.w = net.w, w
+        out = net.logit(x[fit])
+        net.w = keep
+        return np.mean(np.logaddexp(0, out) - y[fit] * out) + DECAY / 2 * ((w[0] ** 2).sum() / fit.sum() ** 0.5 + (w[2] ** 2).sum())
+
+    start = Network(x[:0], y[:0], held[:0])
+    moved = [w.copy() for w in net.w]
+    moved[0] += 0.3 * rng.normal(size=moved[0].shape)
+    assert cost(net.w) < cost(moved) and cost(net.w) < 0.7 * cost(start.w)
+    assert np.mean((net.score(x[held]) > 0.5) == t) > 0.65

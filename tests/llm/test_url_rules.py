@@ -2,7 +2,7 @@ from grainflow.llm import queries
 from grainflow.llm.url_rules import judge_urls
 from tests.llm.helpers import SF, spark_rows, sql_rows
 
-RULES = [("com/en/", "block"), ("Example.com/en/7", "allow"), ("net/de/", "allow"), ("bare.org", "block"), ("com/en/", "allow"), (None, "block"), ("net/", "block")]
+RULES = [("com/en/", "block"), ("Example.com/en/7", "allow"), ("net/de/", "allow"), ("bare.org", "block"), ("com/en/", "allow"), (None, "block"), ("net/", "block"), ("x.com/en/", None)]
 URLS = [
     "http://A.Example.COM/en/785?x", "http://example.com/en/8", "https://x.com/en/", "https://x.com/en", "http://net/de/1", "http://a.net", "http://a.net/", "no scheme",
     None, "://", "http://q.bare.org", "http://notbare.org/", "a://b?c://com/en/", "http://com/en/#a", "http://" + "a." * 3000 + "net/de/" + "x" * 9000, "http://x.com/en/",
@@ -19,7 +19,7 @@ def brute(url):
     path = path[: min([path.index(c) for c in "?#" if c in path] or [len(path)])]
     fits = []
     for rule, action in RULES:
-        if rule is not None:
+        if rule is not None and action is not None:
             h, slash, p = rule.lower().partition("/")
             if (host == h or host.endswith("." + h)) and path.startswith(slash + p):
                 fits.append((len(rule), rule.lower(), action))
