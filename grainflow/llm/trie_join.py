@@ -150,7 +150,8 @@ def _edges_of_groups(keyed: DataFrame, budgets: tuple[int, ...], small: int) ->
         at = np.flatnonzero(again & np.concatenate([[False], label[1:] != label[:-1]]))
         pairs = [(node[at - 1], node[at])]
         group, fp, node, label = group[~again], fp[~again], node[~again], label[~again]
-        few = np.repeat(*(lambda n: (n <= small, n))(np.bincount(np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])))))
+        members = np.bincount(np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])))
+        few = np.repeat(members <= small, members)
         for i, j in trie_links(group[few], fp[few], budgets[-1]) if few.any() else ():
             pairs.append((node[few][i], node[few][j]))
         group, fp, node, label = group[~few], fp[~few], node[~few], label[~few]
