@@ -187,11 +187,6 @@ def test_near_distinct_in_a_large_group(spark):
     assert right > 250 and lost <= 0.1 * right, (lost, right)
 
 
-def test_near_distinct_splits_large_groups(spark):
-    texts = list(near_copies(1, 150, 0.01, 7, (300, 300)))
-    assert {r.doc_id for r in near_distinct(docs_frame(spark, list(enumerate(texts))), most=20).collect()} == {min(g) for g in similar_groups(texts)}
-
-
 def test_near_distinct_edges(spark):
     """Rows without words are one group, null ids come last, one of several equal rows stays, columns keep their names."""
     text = "one two three four five six seven eight nine ten"
