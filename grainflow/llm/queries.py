@@ -10,10 +10,14 @@ from grainflow.llm.common import read, workspace
 from grainflow.llm.decontaminate import decontaminate
 from grainflow.llm.edit_counts import edited_counts, standard_edits, with_trees
 from grainflow.llm.exact_dedup import exact_dedup
+from grainflow.llm.merkle import manifest
+from grainflow.llm.minhash_hamming import minhash_components
 from grainflow.llm.mixing import Mix
+from grainflow.llm.oracles import MANIFEST, MINHASH, SPELLING
 from grainflow.llm.pii import digest, find_personal_data, fit
 from grainflow.llm.quality import quality_scores
 from grainflow.llm.simhash_dedup import simhash_components
+from grainflow.llm.spelling import spelling_variants
 from grainflow.llm.token_output import read_tokens, write_tokens
 from grainflow.llm.url_rules import judge_urls
 
@@ -70,6 +74,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(read(spark, sf_dir, "documents")).taken()
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one_more = F.col("n_chars").cast("decimal(20,0)") + 1
+    return manifest(read(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 7 == 0, changed={"n_chars": one_more})
+
+
+def op13_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_simhash_trie": op2_simhash_trie,
@@ -81,6 +98,9 @@ QUERIES = {
     "op8_edit_counts": op8_edit_counts,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_minhash_hamming": op13_minhash_hamming,
 }
 
 #: The test tables hold re-parameterised copies of no item, so this SQL has the literal reading only.
@@ -89,6 +109,9 @@ _WORDS = f"string_split_regex({_LITERAL}, '[\\x20\\x09-\\x0D]+')"
 _WINDOWS = "unnest(list_transform(range(0, len(w) - n + 1), lambda i: array_to_string(w[i + 1 : i + n], ' '))) AS win"
 
 ORACLE_SQL = {
+    "op11_spelling_variants": SPELLING,
+    "op12_merkle_manifest": MANIFEST,
+    "op13_minhash_hamming": MINHASH,
     "op5_exact_dedup": """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n FROM documents
