@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.operators.distribution import counted, histogram, normal_sf
+from grainflow.functions.prefix import repeated, running
+from grainflow.operators.distribution import counted, histogram, normal_sf, percentiles
 from grainflow.operators.sequence import ratio
 
 
@@ -49,9 +50,8 @@ def baseline_difference(df: DataFrame, by: list[str], frame: str, value: str, lo
 
 
 def _ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Average ranks of a group's different values; ties are counted before the window."""
-    before = F.sum("c").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    return counted(df, by, value).select(*by, "v", (F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2).alias("rank"))
+    """Average ranks of a group's different values, which are counted first."""
+    return running(counted(df, by, value), by, ["v"], {"below": F.col("c")}).select(*by, "v", (F.col("below") + (F.col("c") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -68,19 +68,10 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return out.select(*by, "n", F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
 
 
-def distance_summary(pairs: DataFrame, distance: str, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
-    """One row: the mean distance of pairs of the same run only, of the same train only, and of neither. first, second: (run, train) columns."""
-    run, train = (F.col(a) == F.col(b) for a, b in zip(first, second))
-    mean = lambda want: F.avg(F.when(want, F.col(distance)))
-    return pairs.agg(mean(run & ~train).alias("same_run"), mean(~run & train).alias("same_train"), mean(~run & ~train).alias("both_different"))
-
-
 def fit_distance(df: DataFrame, by: list[str], value: str, least: float, fits: DataFrame) -> DataFrame:
     """Kolmogorov-Smirnov distance between a group's values from ``least`` on and a lognormal cut off there. fits: by, mu, sigma."""
-    w = Window.partitionBy(*by)
-    c = counted(df.filter(F.col(value) >= least), by, value)
-    upto = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    steps = c.select(*by, "v", (upto / F.sum("c").over(w)).alias("after"), ((upto - F.col("c")) / F.sum("c").over(w)).alias("before"))
+    c = running(counted(df.filter(F.col(value) >= least), by, value), by, ["v"], {"below": F.col("c")}, totals={"n": "below"})
+    steps = c.select(*by, "v", ((F.col("below") + F.col("c")) / F.col("n")).alias("after"), (F.col("below") / F.col("n")).alias("before"))
     tail = lambda x: normal_sf((F.ln(x) - F.col("mu")) / F.col("sigma"))
     fitted = fits.withColumn("_tail", tail(F.lit(float(least))) if least > 0 else F.lit(1.0))
     cdf = 1 - tail(F.col("v")) / F.col("_tail")
@@ -89,6 +80,43 @@ def fit_distance(df: DataFrame, by: list[str], value: str, least: float, fits: D
 
 
 def spacing(df: DataFrame, by: list[str], at: str) -> DataFrame:
-    """by, n, and the median distance from a row to the next; null for one row."""
-    step = F.lead(at).over(Window.partitionBy(*by).orderBy(at)) - F.col(at)
-    return df.select(*by, step.alias("_d")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("_d", F.lit(0.5)).alias("spacing"))
+    """by, n, and the median distance from a row to the next; null for one row. Rows without ``at`` or a group don't count."""
+    known = df.select(*by, at).dropna()
+    steps = running(known, by, [at], {}, {"_next": at}).select(*by, (F.col("_next") - F.col(at)).alias("_d"))
+    n = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(percentiles(steps, by, "_d", {"spacing": 0.5}).drop("n"), by, "left")
+
+
+def mean_distances(df: DataFrame, run: str, train: str, value: str) -> DataFrame:
+    """One row: the mean Wasserstein-1 distance over the pairs of frames (run, train) of the same run, of the same train, and of neither: same_run,
+    same_train, both_different.
+
+    No pairs are made. The distance of two frames is the integral of |F - G| over the values, and at each value the sum of |F - G| over all pairs follows from the
+    frames' sorted F: the k-th of m counts 2 k - m - 1 times. So for all frames, for those of each run and for those of each train the sums are
+    ranks; the work is frames times different values, in two-level sorts.
+    """
+    c = counted(df.select(F.col(run).alias("run"), F.col(train).alias("train"), F.col(value).alias("value")), ["run", "train"], "value")
+    values = running(c.select("v").distinct(), [], ["v"], {"at": F.lit(1).cast("long")}, {"next": "v"})
+    steps = running(c.join(values.select("v", "at"), "v"), ["run", "train"], ["v"], {"below": F.col("c")}, {"upto": "at"}, {"n": "below"})
+    last = F.broadcast(values.agg(F.count(F.lit(1)).alias("all")))  # one row
+    spans = steps.crossJoin(last).select("run", "train", "at", ((F.col("below") + F.col("c")) / F.col("n")).alias("f"), (F.coalesce("upto", "all") - F.col("at")).alias("width"))
+    grid = repeated(spans, "width", "step").select("run", "train", (F.col("at") + F.col("step")).alias("at"), "f")
+    grid = grid.join(values.filter("next IS NOT NULL").select("at", (F.col("next") - F.col("v")).alias("gap")), "at")
+    frames = c.select("run", "train").distinct()
+
+    def summed(of: list[str]) -> tuple[DataFrame, DataFrame]:
+        """The integral over the pairs that agree in ``of``, and the number of such pairs."""
+        m = frames.groupBy(*of).agg(F.count(F.lit(1)).alias("m"))
+        ranks = running(grid, ["at", *of], ["f", "run", "train"], {"k": F.lit(1).cast("long")}, totals={"seen": "k"})
+        ranks = ranks.join(m, of) if of else ranks.crossJoin(F.broadcast(m))  # one row
+        # Frames without a value yet have F = 0: they come first and add nothing.
+        place = F.col("m") - F.col("seen") + F.col("k") + 1
+        return ranks.agg(F.sum((2 * place - F.col("m") - 1) * F.col("f") * F.col("gap")).alias("d")), m.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"))
+
+    out = None
+    for name, of in (("run", ["run"]), ("train", ["train"]), ("all", [])):
+        for part, c in zip(summed(of), ("d", "pairs")):
+            part = part.select(F.coalesce(c, F.lit(0.0)).alias(f"{c}_{name}"))  # one row
+            out = part if out is None else out.crossJoin(part)
+    apart = F.try_divide(F.col("d_all") - F.col("d_run") - F.col("d_train"), F.col("pairs_all") - F.col("pairs_run") - F.col("pairs_train"))
+    return out.select(F.try_divide("d_run", "pairs_run").alias("same_run"), F.try_divide("d_train", "pairs_train").alias("same_train"), apart.alias("both_different"))

@@ -1,7 +1,7 @@
 """Distributions and tests: histograms, empirical CDFs, rank tests, distances between samples, special functions.
 
-Raw values are counted by (group, value) first. Repeated values, however many, then reach windows as one row with a count, and a
-window's partition holds a group's different values.
+Raw values are counted by (group, value) first, so that repeated values, however many, are one row with a count. Ranks and running sums
+of a group's different values are two-level ones (``functions.prefix``): no task holds a group.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainflow.functions.prefix import repeated, running
+
 _MATH = "org.apache.commons.math3.special."
 
 
@@ -74,34 +76,41 @@ def histogram_2d(df: DataFrame, by: list[str], x: str, y: str, cell: float, widt
 
 def ecdf(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, k, v, cdf: the k-th smallest value of the group and k over their number, a step for each row, equal values too.
-    Windows hold different values only; steps are dealt out from there."""
-    w = Window.partitionBy(*by)
-    upto = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted(df, by, value).select(*by, "v", "c", upto.alias("upto"), F.sum("c").over(w).alias("n"))
-    steps = placed.select(*by, "v", "n", F.explode(F.sequence(F.col("upto") - F.col("c") + 1, F.col("upto"))).alias("k"))
+    Ranks are of different values; steps are dealt out from there, however many."""
+    placed = running(counted(df, by, value), by, ["v"], {"below": F.col("c")}, totals={"n": "below"})
+    steps = repeated(placed, "c", "step").withColumn("k", F.col("below") + F.col("step") + 1)
     return steps.select(*by, "k", "v", (F.col("k") / F.col("n")).alias("cdf"))
 
 
 def weighted_ecdf(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
-    """by, v, cdf, before: the share of the group's weight at v or below, and below v. Weights of equal values are added up before the window."""
+    """by, v, cdf, before: the share of the group's weight at v or below, and below v. Weights of equal values are added up first."""
     rows = df.select(*by, F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w")).filter("v IS NOT NULL AND w IS NOT NULL")
-    w = Window.partitionBy(*by)
-    sums = rows.groupBy(*by, "v").agg(F.sum("w").alias("w"))
-    upto, total = F.sum("w").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("w").over(w)
-    return sums.select(*by, "v", (upto / total).alias("cdf"), ((upto - F.col("w")) / total).alias("before"))
+    sums = running(rows.groupBy(*by, "v").agg(F.sum("w").alias("w")), by, ["v"], {"below": F.col("w")}, totals={"total": "below"})
+    return sums.select(*by, "v", ((F.col("below") + F.col("w")) / F.col("total")).alias("cdf"), (F.col("below") / F.col("total")).alias("before"))
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """by, n and for each of ``points`` (name: share) the group's percentile, interpolated between neighbours as ``F.percentile`` does it, but from ranks of
+    counted values, so that no buffer holds a group's different values."""
+    placed = running(counted(df, by, value), by, ["v"], {"below": F.col("c")}, totals={"n": "below"})
+    at = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("c"))
+    sides = [F.max(F.when(holds(side(at(q))), F.col("v"))).alias(f"_{name}_{k}") for name, q in points.items() for k, side in enumerate((F.floor, F.ceil))]
+    found = placed.groupBy(*by).agg(F.max("n").alias("n"), *sides)
+    between = lambda name, q: F.col(f"_{name}_0") + (at(q) - F.floor(at(q))) * (F.col(f"_{name}_1") - F.col(f"_{name}_0"))
+    return found.select(*by, "n", *(between(name, q).alias(name) for name, q in points.items()))
 
 
 def _paired(df: DataFrame, group: str, value: str, pairs: DataFrame) -> DataFrame:
-    """a, b, v and the CDFs f and g of both groups at each of their values, in one pass over the counts of both sides."""
+    """a, b, v, the CDFs f and g of both groups at each of their values, and the next value; in one pass over the counts of both sides."""
     c = counted(df, [group], value)
     total = c.groupBy(group).agg(F.sum("c").alias("n"))
-    c = c.join(total, group)
-    left = pairs.join(c.withColumnRenamed(group, "a"), "a").select("a", "b", "v", (F.col("c") / F.col("n")).alias("df"), F.lit(0.0).alias("dg"))
-    right = pairs.join(c.withColumnRenamed(group, "b"), "b").select("a", "b", "v", F.lit(0.0).alias("df"), (F.col("c") / F.col("n")).alias("dg"))
+    of = lambda side: pairs.select("a", "b").join(total.withColumnRenamed(group, side), side).join(c.withColumnRenamed(group, side), side)
+    left = of("a").select("a", "b", "v", (F.col("c") / F.col("n")).alias("df"), F.lit(0.0).alias("dg"))
+    right = of("b").select("a", "b", "v", F.lit(0.0).alias("df"), (F.col("c") / F.col("n")).alias("dg"))
     steps = left.unionByName(right).groupBy("a", "b", "v").agg(F.sum("df").alias("df"), F.sum("dg").alias("dg"))
-    w = Window.partitionBy("a", "b").orderBy("v")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("a", "b", "v", F.sum("df").over(upto).alias("f"), F.sum("dg").over(upto).alias("g"), F.lead("v").over(w).alias("next"))
+    placed = running(steps, ["a", "b"], ["v"], {"f": F.col("df"), "g": F.col("dg")}, {"next": "v"})
+    return placed.select("a", "b", "v", (F.col("f") + F.col("df")).alias("f"), (F.col("g") + F.col("dg")).alias("g"), "next")
 
 
 def ks_distance(df: DataFrame, group: str, value: str, pairs: DataFrame) -> DataFrame:
@@ -162,12 +171,11 @@ def wasserstein(df: DataFrame, group: str, value: str, pairs: DataFrame) -> Data
 def ranked(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """by, group, n, rank_sum and ties (the sum of t^3 - t, the same for all groups): what rank tests need. Ranks are mean ranks.
 
-    Values are counted before they are ranked, so only different values are in a window.
+    Values are counted before they are ranked, and ranks are running sums of the counts.
     """
     c = counted(df, [*by, group], value)
     all_ = c.groupBy(*by, "v").agg(F.sum("c").alias("t"))
-    w = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = all_.select(*by, "v", "t", (F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2).alias("rank"))
+    ranks = running(all_, by, ["v"], {"below": F.col("t")}).select(*by, "v", "t", (F.col("below") + (F.col("t") + 1) / 2).alias("rank"))
     keys = [*by, "v"]
     joined = c.join(ranks, keys)
     out = joined.groupBy(*by, group).agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("c")).alias("rank_sum"))

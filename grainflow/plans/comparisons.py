@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainflow.operators import arrays, comparison, distribution, geometry, maintenance
+from grainflow.operators import arrays, comparison, geometry, maintenance
 from grainflow.operators import regression as reg
 from grainflow.plans.base import SQL, bubbles, read, rounded, trains
 
@@ -32,12 +32,9 @@ def rank_correlation(spark, sf_dir):
 
 
 def distance_summary(spark, sf_dir):
-    """Wasserstein distances of ln r between all frames (run and month); only a row for each frame takes part in pairing."""
-    b = bubbles(spark, sf_dir).filter("r > 0").select(F.struct("run", "train").alias("frame"), F.ln("r").alias("v"))
-    frames = b.select("frame").distinct()
-    pairs = frames.withColumnRenamed("frame", "a").join(frames.withColumnRenamed("frame", "b"), F.col("a") < F.col("b"))
-    far = distribution.wasserstein(b, "frame", "v", pairs).select("w1", *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("run", "train")))
-    return rounded(comparison.distance_summary(far, "w1", ("run_a", "train_a"), ("run_b", "train_b")))
+    """Mean Wasserstein distances of ln r between all frames (run and month), without pairs."""
+    b = bubbles(spark, sf_dir).filter("r > 0").select("run", "train", F.ln("r").alias("v"))
+    return rounded(comparison.mean_distances(b, "run", "train", "v"))
 
 
 def fit_distances(spark, sf_dir):
