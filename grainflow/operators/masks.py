@@ -127,8 +127,8 @@ def circle_of(r: np.ndarray, c: np.ndarray) -> tuple[float, float, float] | None
 
 def ellipse_through(r: np.ndarray, c: np.ndarray) -> tuple[float, float, float, float, float] | None:
     """Centre, semi-axes and angle (degrees, of the long axis from the column axis) of the least-squares ellipse of points: the conic whose discriminant is held
-    negative, its quadratic part an eigenvector of a 3 x 3 problem. None for fewer than five points or where there is no ellipse."""
-    if len(r) < 5:
+    negative, its quadratic part an eigenvector of a 3 x 3 problem (Halir and Flusser). None for fewer than six points or where there is no ellipse."""
+    if len(r) < 6:
         return None
     size = max(float(np.std(r)), float(np.std(c)), 1e-9)
     y, x = (r - r.mean()) / size, (c - c.mean()) / size

@@ -7,9 +7,9 @@ ORACLE_SQL: dict = {}
 
 
 def _gather() -> None:
-    from grainflow.plans import comparisons, descriptions, distributions, frames, population, populations, sequences
+    from grainflow.plans import comparisons, descriptions, distributions, frames, population, populations, sequences, shapes
 
-    for module in (population, sequences, distributions, frames, populations, comparisons, descriptions):
+    for module in (population, sequences, distributions, frames, populations, comparisons, descriptions, shapes):
         QUERIES.update(module.QUERIES)
         ORACLE_SQL.update(module.ORACLE_SQL)
 
