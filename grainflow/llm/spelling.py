@@ -3,7 +3,8 @@
 Of two words one edit apart, the longer of ``m`` code points, at least ``m - 2 q + 1`` q-grams agree, in front of the edit at the same position from the start, behind it
 at the same position from the end. So of each word's q-grams, rarest first, the first q + 1 hold one that agrees (at most q of either word's don't), and
 words meet in the shards of the index that such a gram, its position and the word's length name. A shard holds the postings of all
-q-grams of its words; a query's postings are merged on a heap, candidates below the bound fall out, the rest is verified.
+q-grams of its words. All of its words have the gram that the shard is named after, so that one isn't merged; a query's other postings are merged on a heap, but for the
+longest ones, in which candidates are looked up. Candidates below the bound fall out, the rest is verified.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from itertools import groupby
 
 import pyarrow as pa
@@ -25,6 +27,9 @@ _RUN = re.compile("[a-zÀ-ÿ]+")
 ALPHABET = 26 + 64
 #: Different words that a task counts before it hands them on.
 HELD = 1 << 18
+#: What a word does in a shard: it stands in the index and asks; asks only; asks for longer words with the shard's q-gram at its own place, or one later.
+STANDS, ASKS, LONGER, LATER = range(4)
+AHEAD = (None, None, 0, 1)
 #: Pairs of an index's words and others, each with how often it occurs.
 PAIRS = "a string, a_n long, b string, b_n long"
 
@@ -81,6 +86,58 @@ def one_edit(a: str, b: str) -> bool:
     return a[at:] == b[at + 1 :]
 
 
+def often_enough(lists: list[list[int]], bound: int):
+    """The numbers that are in ``bound`` or more of the ascending lists. A number that is must be in one of all but the bound - 1 longest lists, so only those are merged."""
+    lists.sort(key=len)
+    cut = len(lists) - bound + 1
+    longest = lists[cut:]
+    for k, run in groupby(heapq.merge(*lists[:cut]) if cut > 1 else lists[0]):
+        missing = bound - sum(1 for _ in run)
+        left = len(longest)
+        for held in longest:
+            if missing <= 0 or left < missing:
+                break
+            at = bisect_left(held, k)
+            missing -= at < len(held) and held[at] == k
+            left -= 1
+        if missing <= 0:
+            yield k
+
+
+class Shard:
+    """The words of one length that have a certain q-gram at position ``at``, as an inverted index of all their other q-grams by position."""
+
+    def __init__(self, at: int, length: int, q: int):
+        self.at, self.q, self.bound, self.members = at, q, length - 2 * q, []
+        self.places = [k for k in range(length - q + 1) if k != at]
+        self.postings: list[dict[str, list[int]]] = [{} for _ in range(length - q + 1)]
+
+    def add(self, word: str, n: int) -> None:
+        for k in self.places:
+            self.postings[k].setdefault(word[k : k + self.q], []).append(len(self.members))
+        self.members.append((word, n))
+
+    def near(self, word: str, ahead: int | None):
+        """The members one edit from ``word``. ahead: None for a word of the members' length; else it is shorter by one, and has the shard's q-gram at the same
+        position (0), so that the edit is behind it, or one earlier (1), so that it is in front."""
+        if not self.members:
+            return
+        at, q, lists = self.at, self.q, []
+        if ahead is None:
+            lists = [held for k in self.places if (held := self.postings[k].get(word[k : k + q]))]
+        else:
+            for k in range(len(word) - q + 1):
+                gram = word[k : k + q]
+                lists += [held for place in (k, k + 1) if place != at and (held := self.postings[place].get(gram))]
+        if len(lists) < self.bound:
+            return
+        head, tail = word[:at] if ahead != 1 else None, word[at + q - (ahead or 0) :] if ahead != 0 else None
+        for k in often_enough(lists, self.bound):
+            other = self.members[k][0]
+            if (other[:at] == head or other[at + q :] == tail) and one_edit(word, other):
+                yield self.members[k]
+
+
 def near_pairs(words: DataFrame, q: int = 3, most: int = 20_000) -> DataFrame:
     """Pairs a < b of words (word, n; different, of 2 q code points or more) that are one edit apart, each once: a, a_n, b, b_n.
 
@@ -93,47 +150,36 @@ def near_pairs(words: DataFrame, q: int = 3, most: int = 20_000) -> DataFrame:
     first = F.slice(F.array_sort(F.collect_list(F.struct("often", "gram", "at"))), 1, q + 1)
     signed = grams.join(often, "gram").groupBy("word", "n").agg(F.explode(first).alias("p")).select("word", "n", "p.gram", "p.at")
     # A word stands in the shard of its own length, and asks there and in two shards of words that are longer by one.
-    shard = lambda role, ahead, longer: F.struct(F.lit(role).alias("role"), F.xxhash64("gram", F.col("at") + ahead, size + longer).alias("shard"))
-    rows = signed.select("word", "n", F.inline(F.array(shard(0, 0, 0), shard(1, 0, 1), shard(1, 1, 1))))
+    place = lambda ahead, longer: F.struct((F.col("at") + ahead).alias("at"), (size + longer).alias("length"))
+    shard = lambda role, ahead, longer: F.struct(F.lit(role).alias("role"), F.xxhash64("gram", place(ahead, longer)).alias("shard"), place(ahead, longer).alias("place"))
+    rows = signed.select("word", "n", F.inline(F.array(shard(STANDS, 0, 0), shard(LONGER, 0, 1), shard(LATER, 1, 1))))
     folder = workspace(words.sparkSession, "near_words")
     rows = written(rows, f"{folder}/shards")
-    sizes = rows.filter("role = 0").groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > most)
+    sizes = rows.filter(F.col("role") == STANDS).groupBy("shard").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > most)
     large = written(sizes.select("shard", F.ceil(F.col("size") / F.lit(most)).cast("int").alias("parts")), f"{folder}/large")
     if large.isEmpty():
         rows = rows.withColumn("part", F.lit(0))
     else:
         own = F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.when((F.col("role") == 0) & (p != own), 2).otherwise(F.col("role")).alias("role")))
+        parts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.when((F.col("role") == STANDS) & (p != own), ASKS).otherwise(F.col("role")).alias("role")))
         dealt = rows.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        rows = dealt.select("word", "n", "shard", F.inline(parts))
+        rows = dealt.select("word", "n", "shard", "place", F.inline(parts))
 
     def scan(batches):
-        here, members, postings = None, [], defaultdict(list)
+        here, index = None, None
         for batch in batches:
             out = []
-            for shard, part, role, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, part, role, at, length, word, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if (shard, part) != here:
-                    here, members, postings = (shard, part), [], defaultdict(list)
-                if role and not members:
-                    continue
-                found = [(at, word[at : at + q]) for at in range(len(word) - q + 1)]
-                longer = role == 1
-                bound = len(word) + longer - 2 * q + 1
-                lists = [postings[key] for key in found if key in postings]
-                if longer:
-                    lists += [postings[at + 1, gram] for at, gram in found if (at + 1, gram) in postings]
-                if len(lists) >= bound:
-                    for k, run in groupby(heapq.merge(*lists)):
-                        if sum(1 for _ in run) >= bound and one_edit(word, members[k][0]):
-                            out.append((word, n, *members[k]) if word < members[k][0] else (*members[k], word, n))
-                if role == 0:
-                    for key in found:
-                        postings[key].append(len(members))
-                    members.append((word, n))
+                    here, index = (shard, part), Shard(at, length, q)
+                for found in index.near(word, AHEAD[role]):
+                    out.append((word, n, *found) if word < found[0] else (*found, word, n))
+                if role == STANDS:
+                    index.add(word, n)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["a", "a_n", "b", "b_n"])
 
-    met = rows.select("shard", "part", "role", "word", "n").repartition("shard", "part").sortWithinPartitions("shard", "part", "role")
+    met = rows.select("shard", "part", "role", "place.at", "place.length", "word", "n").repartition("shard", "part").sortWithinPartitions("shard", "part", "role")
     return met.mapInArrow(scan, PAIRS).dropDuplicates(["a", "b"])
 
 
