@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from grainflow.llm.common import one_of_each, text_or_empty, unused, workspace, written
 from grainflow.llm.components import components
-from grainflow.llm.simhash_fingerprint import ROUNDS, fingerprints, hex16, shingle_sets, similar_pairs, sketches
-from grainflow.llm.trie_join import SMALL, near_edges
+from grainflow.llm.set_links import cloud_members, sets_of, similar_groups
+from grainflow.llm.simhash_fingerprint import fingerprints, hex16, sketches
+from grainflow.llm.trie_join import near_edges
 
 #: Parts that the rows of one fingerprint are dealt out to.
 PARTS = 256
@@ -36,48 +37,26 @@ def simhash_components(docs: DataFrame, budget: int = 4, most: int = 50_000) ->
     return marked.join(named, ["fp", "part"]).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
 
 
-def near_groups(docs: DataFrame, nodes: DataFrame, folder: str, similarity: float, budget: int, most: int) -> DataFrame:
-    """(node, root) of the groups of nodes that are linked by texts alike to ``similarity`` or more, but for the roots.
-
-    nodes: node, fps, blocks, first (id and tie of a row of docs). Fingerprints of a block meet in a trie within ``budget`` bits. Of the links
-    a block gives a forest of the nearest (a small one all), and each is checked on the whole sets of shingles. Bits order links roughly, so a group may fall apart where a
-    link of the forest fails; the next round, with other fingerprints, looks for links between what is apart.
-    """
-    links, stars = None, None
-    for k in range(ROUNDS):
-        rows = nodes.withColumn("label", F.col("node")) if stars is None else nodes.join(stars.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("label", F.coalesce("root", "node"))
-        met = rows.select("node", "label", F.get("fps", F.lit(k)).alias("fp"), F.explode("blocks").alias("block"))
-        edges = written(near_edges(met, budget, most, tuple(s for s in STEPS if s < budget), SMALL if k == 0 else 0), f"{folder}/edges{k}")
-        new = written(_checked(docs, nodes, edges, f"{folder}/sets{k}", similarity), f"{folder}/links{k}")
-        links = new if links is None else links.unionByName(new)
-        stars = components(links, f"{folder}/groups{k}")
-    return stars
-
-
-def _checked(docs: DataFrame, nodes: DataFrame, edges: DataFrame, folder: str, similarity: float) -> DataFrame:
-    """The edges whose nodes' texts are alike. Only texts of such nodes are read."""
-    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    firsts = nodes.join(ends, "node", "left_semi").select("node", F.col("first.id").alias("id"), F.col("first.tie").alias("tie"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64(text_or_empty()).alias("own_tie"), text_or_empty().alias("text"))
-    texts = texts.join(firsts, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")))
-    sets = written(shingle_sets(texts).dropDuplicates(["node"]), folder)
-    pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-    return similar_pairs(pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b"), similarity)
-
-
-def near_distinct(docs: DataFrame, similarity: float = 0.8, budget: int = SIMILAR_BITS, most: int = 50_000) -> DataFrame:
+def near_distinct(docs: DataFrame, over: int = 4, under: int = 5, budget: int = SIMILAR_BITS, most: int = 50_000) -> DataFrame:
     """The rows of docs (doc_id, text and any other columns) of which each group of near copies keeps one.
 
-    Texts are linked if their different five-word shingles (words in lower case; a shorter text is one shingle) are alike to ``similarity``;
-    a group is what links reach. Texts with the same words are one group, those without words too.
+    Texts are linked if the intersection of their sets of five-word shingles (words in lower case; a shorter text is one shingle) is ``over / under`` of the union or more;
+    a group is what links reach. Texts with the same words are one group, those without words too. Fingerprints of a block meet in a trie within ``budget`` bits; what they
+    join is a cloud, in which the whole sets of shingles decide.
     The row with the smallest doc_id stays, null ids last, of equal ids that with the least hash of the text, of equal texts that with the least
     hash of all its columns. An empty table gives no rows.
     """
     folder = workspace(docs.sparkSession, "near_distinct")
     marked = written(sketches(docs), f"{folder}/sketches")
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tie").alias("tie"))
-    nodes = written(marked.groupBy("node").agg(F.min(row).alias("first"), F.min("fps").alias("fps"), F.min("blocks").alias("blocks")), f"{folder}/nodes")
-    stars = near_groups(docs, nodes, folder, similarity, budget, most)
+    nodes = marked.groupBy("digest").agg(F.min(row).alias("first"), *(F.min(c).alias(c) for c in ("size", "fp", "blocks")))
+    # Numbers are given once, in the written table.
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
+    met = nodes.select("node", "fp", F.explode("blocks").alias("block"))
+    members = cloud_members(near_edges(met, budget, most, STEPS), f"{folder}/clouds")
+    members = written(members.join(nodes.select("node", "size", "first"), "node"), f"{folder}/members")
+    sets = written(sets_of(docs, members.select("node", "first.id", "first.tie")), f"{folder}/sets")
+    stars = similar_groups(members.select("cloud", "node", "size"), sets, over, under, folder)
     rooted = nodes.join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("f_id"), F.col("first.tie").alias("f_tie"))
     rows = marked.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("copies"))

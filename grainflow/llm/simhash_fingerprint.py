@@ -13,8 +13,6 @@ from grainflow.llm.common import text_or_empty
 SHINGLE, SEED, PART = 4, 42, 1 << 16
 #: Shingles of near-duplicate detection; bands of as many minima, of which two texts that are to meet share one.
 SIMILAR_SHINGLE, BANDS, MINIMA = 5, 10, 3
-#: Fingerprints from hashes of their own, one for each round of near-duplicate detection.
-ROUNDS = 3
 #: BITS[v, b] is bit b of byte v, most significant bit first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _OFFSET = np.arange(8, dtype=np.int64) * 256
@@ -56,12 +54,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(parts).astype(np.uint64)) if parts else np.zeros(0, np.uint64)
 
 
-def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
-    """(hash of the words, fingerprints of the different shingles, blocks). A text without words has no block."""
-    node = xxhash.xxh3_64_intdigest(b" ".join(words_of(text)))
+def sketch(text: str | None) -> tuple[bytes, int, int, list[int]]:
+    """(128-bit hash of the words, number of different shingles, their fingerprint, blocks). A text without words has no block."""
+    digest = xxhash.xxh3_128_digest(b" ".join(words_of(text)))
     found = shingle_set(text)
     if not len(found):
-        return node, [0] * ROUNDS, []
+        return digest, 0, 0, []
     least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), PART // 8):
         part = found[at : at + PART // 8, None]
@@ -70,12 +68,11 @@ def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
     for column in least.reshape(BANDS, MINIMA).T:
         band = (band ^ column) * _MIX[0, 0]
         band ^= band >> np.uint64(32)
-    return node, [_fingerprint_of(found, k) for k in range(ROUNDS)], band.view(np.int64).tolist()
+    return digest, len(found), _fingerprint_of(found), band.view(np.int64).tolist()
 
 
-def _fingerprint_of(found: np.ndarray, k: int) -> int:
-    hashes = found if k == 0 else (found ^ found >> np.uint64(31)) * _MIX[1, k]
-    hashes = hashes ^ hashes >> np.uint64(32)
+def _fingerprint_of(found: np.ndarray) -> int:
+    hashes = found ^ found >> np.uint64(32)
     return _majority((hashes[at : at + PART].astype(">u8").view(np.uint8).reshape(-1, 8) for at in range(0, len(hashes), PART)), len(hashes))
 
 
@@ -91,16 +88,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (the text's hash), node, fps and blocks of ``sketch`` for each row of docs (doc_id, text)."""
+    """doc_id, tie (the text's hash), digest, size, fp and blocks of ``sketch`` for each row of docs (doc_id, text)."""
+    names, types = ["doc_id", "tie", "digest", "size", "fp", "blocks"], [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def scan(batches):
         for batch in batches:
-            node, fps, blocks = zip(*(sketch(t.as_py()) for t in batch.column(2))) if batch.num_rows else ((), (), ())
-            columns = [pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (fps, blocks))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "tie", "node", "fps", "blocks"])
+            found = zip(*(sketch(t.as_py()) for t in batch.column(2))) if batch.num_rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, t) for x, t in zip(found, types))], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, tie long, node long, fps array<long>, blocks array<long>")
+    return rows.mapInArrow(scan, "doc_id long, tie long, digest binary, size long, fp long, blocks array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -113,18 +110,5 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(scan, "node long, shingles binary")
 
 
-def similar_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a and b of the rows of pairs (a, b, left, right: ``shingles``) whose Jaccard similarity is ``similarity`` or more."""
-
-    def scan(batches):
-        for batch in batches:
-            left, right = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(k)] for k in (2, 3))
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
-            near = [n >= similarity * (len(x) + len(y) - n) - 1e-9 for n, x, y in zip(both, left, right)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return pairs.select("a", "b", "left", "right").mapInArrow(scan, "a long, b long")
-
-
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -9,7 +9,7 @@ within the budget always do. A group (block, value) has a trie of its own. Group
 are split again, by blocks of the bits that are left.
 
 Where the budget is too large for blocks of bits to tell anything, the caller deals fingerprints out by content instead (``block``), and
-the budget grows in steps: what few bits join is left alone by the steps that follow, so that the edges are the nearest ones.
+the budget grows in steps: what few bits join is left alone by the steps that follow. Of such a group each pair of parts is a group of its own.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainflow.llm.common import workspace, written
+
 LEAF, FRONTIER, BATCH = 64, 1 << 19, 1 << 17
-#: Groups of no more fingerprints may yield all their links.
-SMALL = 12
 
 
 def block_masks(mask: int, budget: int) -> list[int]:
@@ -112,20 +112,16 @@ def _united(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.n
     return new
 
 
-def near_edges(rows: DataFrame, budget: int = 4, most: int = 50_000, steps: tuple[int, ...] = (), small: int = 0) -> DataFrame:
+def near_edges(rows: DataFrame, budget: int = 4, most: int = 50_000, steps: tuple[int, ...] = ()) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of the links of ``budget`` or fewer different bits.
 
-    rows: fp and node (long), read more than once; with ``block`` (long) only those of a block meet, without it all do; with ``label`` (long)
-    nodes of one label are joined from the start.
+    rows: fp and node (long), read more than once; with ``block`` (long) only those of a block meet, without it all do.
     Each group yields a spanning forest of such links, fewer edges than it has
-    members: copies by the thousand don't become all their pairs. With ``steps`` (smaller budgets, ascending) the forest has the
-    nearest links. A group of ``small`` fingerprints or fewer yields all links instead. A task holds one group, or some small ones, at a time.
+    members: copies by the thousand don't become all their pairs. ``steps``: smaller budgets, ascending, that are tried before. A task holds one group, or some small ones, at a time.
     """
-    label = F.col("label" if "label" in rows.columns else "node").alias("label")
     if "block" in rows.columns:
-        keyed = rows.select("block", "fp", "node", label, F.lit(0).cast("long").alias("mask"))
-    else:
-        keyed = rows.select(F.lit(0).cast("long").alias("block"), "fp", "node", label, F.explode(F.array(*(F.lit(_signed(m)) for m in block_masks(0, budget)))).alias("mask"))
+        return _edges_of_groups(in_parts(rows.select("block", "fp", "node"), most), (*steps, budget)).distinct()
+    keyed = rows.select(F.lit(0).cast("long").alias("block"), "fp", "node", F.explode(F.array(*(F.lit(_signed(m)) for m in block_masks(0, budget)))).alias("mask"))
     edges, group = None, ["block", "mask", "key"]
     while True:
         keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
@@ -135,30 +131,36 @@ def near_edges(rows: DataFrame, budget: int = 4, most: int = 50_000, steps: tupl
         if found:
             large = large.filter(F.col("mask").isin(*found))
         here = keyed.join(large, group, "left_anti") if found else keyed
-        part = _edges_of_groups(here, (*steps, budget), small)
+        part = _edges_of_groups(here, (*steps, budget))
         edges = part if edges is None else edges.unionByName(part)
         if not found:
             return edges.distinct()
         deeper = F.create_map(*(x for m, ms in found.items() for x in (F.lit(m), F.array(*(F.lit(v) for v in ms)))))
-        keyed = keyed.join(large, group, "left_semi").select("block", "fp", "node", "label", F.explode(F.element_at(deeper, F.col("mask"))).alias("mask"))
+        keyed = keyed.join(large, group, "left_semi").select("block", "fp", "node", F.explode(F.element_at(deeper, F.col("mask"))).alias("mask"))
+
+
+def in_parts(rows: DataFrame, most: int) -> DataFrame:
+    """block, mask, key, fp, node of rows (block, fp, node): a block of more than ``most`` nodes becomes as many groups as its parts have pairs, which mask and key tell
+    apart. Any two of its nodes meet in one of them, and none has many more than ``most``."""
+    parts = F.ceil(F.count(F.lit(1)) * 2 / most).cast("int").alias("parts")
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), parts).filter(F.col("n") > most).select("block", "parts")
+    large = written(sizes, f"{workspace(rows.sparkSession, 'large_blocks')}/blocks")
+    if large.isEmpty():
+        return rows.select("block", F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("key"), "fp", "node")
+    dealt = rows.join(large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("node"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
+    met = dealt.select("block", "fp", "node", own.alias("own"), other.alias("other"))
+    return met.select("block", F.least("own", "other").alias("mask"), F.greatest("own", "other").alias("key"), "fp", "node")
 
 
-def _edges_of_groups(keyed: DataFrame, budgets: tuple[int, ...], small: int) -> DataFrame:
-    def edges(group: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray):
+def _edges_of_groups(keyed: DataFrame, budgets: tuple[int, ...]) -> DataFrame:
+    def edges(group: np.ndarray, fp: np.ndarray, node: np.ndarray):
         # Equal fingerprints of a group follow each other: a chain of edges, and one of them stands for all.
         again = np.concatenate([[False], (group[1:] == group[:-1]) & (fp[1:] == fp[:-1])])
-        at = np.flatnonzero(again & np.concatenate([[False], label[1:] != label[:-1]]))
+        at = np.flatnonzero(again)
         pairs = [(node[at - 1], node[at])]
-        group, fp, node, label = group[~again], fp[~again], node[~again], label[~again]
-        members = np.bincount(np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])))
-        few = np.repeat(members <= small, members)
-        for i, j in trie_links(group[few], fp[few], budgets[-1]) if few.any() else ():
-            pairs.append((node[few][i], node[few][j]))
-        group, fp, node, label = group[~few], fp[~few], node[~few], label[~few]
-        order = np.lexsort((np.arange(len(fp)), label, group))
-        new = np.concatenate([np.ones(min(1, len(fp)), bool), (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1])])
-        parent = np.empty(len(fp), np.int64)
-        parent[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        group, fp, node = group[~again], fp[~again], node[~again]
+        parent = np.arange(len(fp))
         for budget in budgets:
             joined = _roots(parent, np.arange(len(fp)))
             parent[:] = joined
@@ -172,7 +174,7 @@ def _edges_of_groups(keyed: DataFrame, budgets: tuple[int, ...], small: int) ->
         held: list[np.ndarray] = []
         rows = 0
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]))
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]))
             rows += batch.num_rows
             if rows >= BATCH:  # the last group may go on in the next batch
                 whole = np.concatenate(held, axis=1)
@@ -185,11 +187,11 @@ def _edges_of_groups(keyed: DataFrame, budgets: tuple[int, ...], small: int) ->
             yield from edges(*_grouped(np.concatenate(held, axis=1)))
 
     group = ["block", "mask", "key"]
-    return keyed.repartition(*group).sortWithinPartitions(*group).select(*group, "fp", "node", "label").mapInArrow(scan, "a long, b long")
+    return keyed.repartition(*group).sortWithinPartitions(*group).select(*group, "fp", "node").mapInArrow(scan, "a long, b long")
 
 
 def _grouped(rows: np.ndarray) -> tuple[np.ndarray, ...]:
     group = np.concatenate([[0], np.cumsum((rows[:3, 1:] != rows[:3, :-1]).any(axis=0))])
     fp = rows[3].view(np.uint64)
-    order = np.lexsort((rows[4], rows[5], fp, group))
-    return group[order], fp[order], rows[4][order], rows[5][order]
+    order = np.lexsort((rows[4], fp, group))
+    return group[order], fp[order], rows[4][order]
