@@ -1,14 +1,12 @@
-"""Image rows as arrays: scaling, stretch, statistics, and the flat field by a truncated SVD."""
+"""Image rows as arrays: scaling, stretch, statistics. The flat field is in ``flatfield``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainflow.operators.flatfield import FlatField as FlatField
+
 
 def scaled_to(pixels: Column, lo: float, hi: float, most: int = 255) -> Column:
     """Pixels between lo and hi as integers 0 to ``most``; beyond, they are cut off; nulls and NaN are 0."""
@@ -60,59 +58,3 @@ def percentile_range(df: DataFrame, pixels: str, lo: float, hi: float, accuracy:
     """Approximate percentiles over all pixels of all images, a mergeable sketch in each task."""
     at = F.percentile_approx("v", F.array(F.lit(lo), F.lit(hi)), accuracy)
     return df.select(F.explode(pixels).alias("v")).agg(at.alias("q")).select(F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
-
-
-class FlatField:
-    """A rank-r model of the illumination. ``pixels`` are arrays of the same length d; d x d moments add up in tasks and merge on the driver, whatever the
-    number of images, so d is bounded by what one matrix allows (``most_pixels``); larger images are modelled tile by tile."""
-
-    def __init__(self, df: DataFrame, pixels: str, rank: int, most_pixels: int = 4096):
-        def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total, square = 0, None, None
-            for batch in batches:
-                if batch.num_rows:
-                    x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float)
-                    if x.shape[1] > most_pixels:
-                        raise ValueError(f"images of more than {most_pixels} pixels: model them tile by tile")
-                    n, total, square = n + len(x), x.sum(0) + (0 if total is None else total), x.T @ x + (0 if square is None else square)
-            if n:
-                yield pa.RecordBatch.from_pydict({"n": [n], "total": [total.tolist()], "square": [square.ravel().tolist()]})
-
-        parts = df.select(F.col(pixels)).mapInArrow(moments, "n long, total array<double>, square array<double>")
-        rows = _merged(_merged(parts.repartition(16)).repartition(1)).collect()  # one row
-        if not rows:
-            raise ValueError("no images")
-        n, total, square = rows[0]
-        self.mean = np.array(total) / n
-        centred = np.array(square).reshape(len(total), -1) / n - np.outer(self.mean, self.mean)
-        values, vectors = np.linalg.eigh(centred)
-        order = np.argsort(values)[::-1][:rank]
-        self.modes, self.strength = vectors[:, order], np.sqrt(np.maximum(values[order], 0) * n)
-
-    def flattened(self, df: DataFrame, pixels: str) -> DataFrame:
-        """df with each image's flat field (mean + its projection on the modes) in ``flat`` and the image divided by it in ``normalised``."""
-        mean, modes, names = self.mean, self.modes, df.columns
-
-        def apply(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x = np.stack(batch.column(names.index(pixels)).to_numpy(zero_copy_only=False)).astype(float)
-                    flat = mean + (x @ modes) @ modes.T
-                    out = np.divide(x, flat, out=np.zeros_like(x), where=flat != 0)
-                    lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (flat, out)]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*names, "flat", "normalised"])
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.mapInArrow(apply, f"{schema}, flat array<double>, normalised array<double>")
-
-
-def _merged(parts: DataFrame) -> DataFrame:
-    def merge(batches):
-        n, total, square = 0, 0, 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                n, total, square = n + row["n"], total + np.array(row["total"]), square + np.array(row["square"])
-        if n:
-            yield pa.RecordBatch.from_pydict({"n": [n], "total": [total.tolist()], "square": [square.tolist()]})
-
-    return parts.mapInArrow(merge, parts.schema)
