@@ -21,7 +21,7 @@ from grainflow.llm.simhash_fingerprint import shingle_sets
 
 #: Nodes and shingles of a part of a cloud, about; and how many of a part's nodes the part before gets as well, about.
 MOST, WEIGHT, SHARED = 1_000, 1 << 20, 16
-#: Rows of documents up to which their keys are broadcast.
+#: Keys of documents that are broadcast at most.
 FEW = 1_000_000
 
 
@@ -102,11 +102,15 @@ def _links(rows: DataFrame, keys: list[str], over: int, under: int) -> DataFrame
     return met.mapInArrow(lambda batches: in_groups(batches, len(keys), of_group), "a long, b long")
 
 
+def if_few(keys: DataFrame) -> DataFrame:
+    """``keys``, two or three numbers a row, to be broadcast where they are ``FEW`` or fewer; beyond that texts are shuffled to them."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles: the shingles of the texts of docs (doc_id, text) that nodes (node, id, tie) name, ``tie`` being the text's xxhash64; one row for each node."""
     texts = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64(text_or_empty()).alias("own_tie"), text_or_empty().alias("text"))
-    firsts = nodes.select("node", "id", "tie")
-    firsts = F.broadcast(firsts) if firsts.count() <= FEW else firsts
+    firsts = if_few(nodes.select("node", "id", "tie"))
     return shingle_sets(texts.join(firsts, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")))).dropDuplicates(["node"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainflow.llm.common import one_of_each, text_or_empty, unused, workspace, written
 from grainflow.llm.components import components
-from grainflow.llm.set_links import cloud_members, sets_of, similar_groups
+from grainflow.llm.set_links import cloud_members, if_few, sets_of, similar_groups
 from grainflow.llm.simhash_fingerprint import fingerprints, hex16, sketches
 from grainflow.llm.trie_join import near_edges
 
@@ -64,11 +64,10 @@ def near_distinct(docs: DataFrame, over: int = 4, under: int = 5, budget: int =
     own, text = (unused(docs, f"gf_{x}") for x in ("id", "text"))
     keyed = docs.select("*", F.col("doc_id").cast("long").alias(own), F.xxhash64(text_or_empty()).alias(text)).alias("all")
     same = lambda keys: F.col(f"all.{own}").eqNullSafe(F.col(f"{keys}.doc_id")) & (F.col(f"all.{text}") == F.col(f"{keys}.tie"))
-    # Keys are written first: Spark knows their size and broadcasts a few instead of shuffling texts.
-    gone = written(rows.filter("gone").select("doc_id", "tie"), f"{folder}/gone").alias("gone")
+    gone = if_few(written(rows.filter("gone").select("doc_id", "tie"), f"{folder}/gone")).alias("gone")
     kept = keyed.join(gone, same("gone"), "left_anti")
     if rows.filter("copies > 1 AND NOT gone").isEmpty():
         return kept.drop(own, text)
-    many = written(rows.filter("copies > 1 AND NOT gone").select("doc_id", "tie"), f"{folder}/many").alias("many")
+    many = if_few(written(rows.filter("copies > 1 AND NOT gone").select("doc_id", "tie"), f"{folder}/many")).alias("many")
     once = kept.join(many, same("many"), "left_anti")
     return once.unionByName(one_of_each(kept.join(many, same("many"), "left_semi"), [own, text])).drop(own, text)
