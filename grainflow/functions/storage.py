@@ -26,3 +26,42 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file, in whichever file system it is."""
+    store, file = _file(spark, path)
+    store.delete(file, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    store, folder = _file(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(folder)) if store.exists(folder) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    store, file = _file(spark, path)
+    stream = store.open(file)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file that doesn't exist yet, whole or not at all. False if someone else's is there."""
+    store, file = _file(spark, path)
+    _, draft = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = store.create(draft)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    done = not store.exists(file) and store.rename(draft, file)
+    if not done:
+        store.delete(draft, False)
+    return bool(done)

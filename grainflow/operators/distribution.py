@@ -195,17 +195,46 @@ def kruskal(df: DataFrame, by: list[str], group: str, value: str, least: int = 5
     return out.select(*by, "groups", "n", "h", chi2_sf(F.col("h"), (F.col("groups") - 1)).alias("p"), F.greatest(F.lit(0.0), (F.col("h") - F.col("groups") + 1) / (n - F.col("groups"))).alias("epsilon2"))
 
 
+#: Size of the smaller sample, and pairs of both, up to which the p of the rank sum test is counted where no values are tied.
+EXACT_SMALL, EXACT_PAIRS = 8, 20_000
+
+
+def rank_sum_p(u: float, m: int, n: int) -> float:
+    """Two-sided p of U of samples of m and n values without ties: how many of the ways to choose the m ranks give a U as far from the middle.
+
+    In the generating function of U each further value of the larger sample adds the choices that hold it; the coefficients are an array by (chosen so far, U), as shares so that
+    they stay in range.
+    """
+    m, n = min(m, n), max(m, n)
+    ways = np.zeros((m + 1, m * n + 1))
+    ways[0, 0] = 1.0
+    for rank in range(1, m + n + 1):
+        # A chosen value of this rank beats the values below it that aren't chosen.
+        for chosen in range(min(m, rank), 0, -1):
+            beats = rank - chosen
+            if beats <= n:
+                ways[chosen, beats:] += ways[chosen - 1, : m * n + 1 - beats]
+        if ways.max() > 1e250:
+            ways *= 1e-250
+    counts = ways[m] / ways[m].sum()
+    return min(1.0, 2 * float(counts[int(round(max(u, m * n - u))) :].sum()))
+
+
 def mann_whitney(df: DataFrame, by: list[str], flag: str, value: str) -> DataFrame:
-    """U of the rows with ``flag`` against those without, and the two-sided p of the normal form with tie and continuity corrections."""
+    """U of the rows with ``flag`` against those without, and its two-sided p: counted where one side has ``EXACT_SMALL`` values or fewer, none are tied and both together are small;
+    else of the normal form with tie and continuity corrections."""
     r = ranked(df, by, flag, value)
     out = r.groupBy(*by).agg(
         F.max(F.when(F.col(flag), F.col("n"))).alias("n1"), F.max(F.when(~F.col(flag), F.col("n"))).alias("n2"), F.max(F.when(F.col(flag), F.col("rank_sum"))).alias("r1"), F.max("ties").alias("ties"), F.max("total").cast("double").alias("n")
     )
     n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("n")
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / spread
-    return out.select(*by, "n1", "n2", u.alias("u"), F.least(F.lit(1.0), normal_sf(z) * 2).alias("p"))
+    spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, spread)
+    few = (F.col("ties") == 0) & (F.least("n1", "n2") <= EXACT_SMALL) & (n1 * n2 <= EXACT_PAIRS)
+    counted_ = F.pandas_udf(lambda u, a, b: pd.Series([rank_sum_p(*x) if x[1] > 0 else None for x in zip(u, a.fillna(0).astype(int), b.fillna(0).astype(int))], dtype=float), "double")
+    exact = counted_(F.when(few, u), F.when(few, F.col("n1")), F.when(few, F.col("n2")))
+    return out.select(*by, "n1", "n2", u.alias("u"), F.when(few, exact).when(z.isNotNull(), F.least(F.lit(1.0), normal_sf(z) * 2)).alias("p"))
 
 
 def variance_partition(df: DataFrame, run: str, train: str, metrics: list[str]) -> DataFrame:

@@ -118,11 +118,6 @@ def hold_out(df: DataFrame, key: str, share: float, seed: int = 0, frame: str |
     return joined.select(*df.columns, held.alias("held_out"))
 
 
-def fingerprint(*columns: str) -> Column:
-    """16 hex digits of a row's content."""
-    return F.substring(F.sha1(F.to_json(F.struct(*columns))), 1, 16)
-
-
 def draft_status(wanted: DataFrame, documents: DataFrame, elsewhere: DataFrame, key: str, overwrite: bool = False) -> DataFrame:
     """What drafting does with each wanted frame: skip what exists, copy what was reviewed elsewhere, predict the rest.
 
