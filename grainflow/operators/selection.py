@@ -63,9 +63,11 @@ def selection(spark: SparkSession, items) -> DataFrame:
 
 def select_frames(manifest: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows of the manifest (run, train, frame_idx) that any range has, each once."""
-    m, r = manifest.alias("m"), F.broadcast(ranges).alias("r")  # typed by a person: a few ranges
-    fits = (F.col("r.run").isNull() | (F.col("r.run") == F.col("m.run"))) & F.col("m.train").between(F.col("r.train_lo"), F.col("r.train_hi")) & F.col("m.frame_idx").between(F.col("r.frame_lo"), F.col("r.frame_hi"))
-    return m.join(r, fits, "left_semi")
+    m, within = manifest.alias("m"), F.col("m.train").between(F.col("r.train_lo"), F.col("r.train_hi")) & F.col("m.frame_idx").between(F.col("r.frame_lo"), F.col("r.frame_hi"))
+    named, anywhere = ranges.filter("run IS NOT NULL").alias("r"), ranges.filter("run IS NULL").alias("r")
+    of_run = within & (F.col("r.run") == F.col("m.run"))
+    # Ranges of a run meet it by its name; only those of no run are tried on all rows.
+    return m.join(named, of_run, "left_semi").unionByName(m.join(named, of_run, "left_anti").alias("m").join(anywhere, within, "left_semi"))
 
 
 def compact_ranges(df: DataFrame, by: list[str], number: str) -> DataFrame:

@@ -222,16 +222,31 @@ def model_table(df: DataFrame, by: list[str], value: str, least: float, weight:
     return fits.select("*", (F.col("aic") - F.min("aic").over(own)).alias("daic"), F.row_number().over(own.orderBy(F.col("aic").asc_nulls_last(), "model")).alias("rank"))
 
 
-def bootstrap_runs(df: DataFrame, run: str, value: str, least: float, resamples: int = 100, seed: int = 0, model: str = "lognormal", weight: str | None = None) -> DataFrame:
+def bootstrap_runs(df: DataFrame, run: str, value: str, least: float, resamples: int = 100, seed: int = 0, model: str = "lognormal", weight: str | None = None, equal: list[str] | None = None) -> DataFrame:
     """resample, params, mode, mean, skewness: refits to whole runs drawn with replacement. Draws are made from the few run names; values are counted (or
-    their weights added up) per run before."""
-    w = F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1)).cast("double")
-    counts = df.select(run, F.col(value).cast("double").alias("v"), *([weight] if weight else [])).filter((F.col("v") >= least) & (F.col("v") > 0)).groupBy(run, "v").agg(w.alias("c"))
+    their weights added up) per run before.
+
+    With ``equal`` the groups of these columns (frames of a run, or the runs themselves) weigh alike within each resample, their weights scaled to its number of rows: one that is
+    drawn twice counts once.
+    """
+    if weight and equal is not None:
+        raise ValueError("weight or equal, not both")
+    v = F.col(value).cast("double")
+    known = df.select(run, *(c for c in equal or [] if c != run), v.alias("v"), *([weight] if weight else [])).filter((F.col("v") >= least) & (F.col("v") > 0))
+    of = [run, *(c for c in equal or [] if c != run)]
+    counts = known.groupBy(*of, "v").agg((F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1)).cast("double")).alias("c"))
     runs = [r[0] for r in counts.select(run).distinct().orderBy(run).collect()]
     rng = np.random.default_rng(seed)
     draws = [(k, runs[i], int(n)) for k in range(resamples) for i, n in enumerate(np.bincount(rng.integers(0, len(runs), len(runs)), minlength=len(runs))) if n] if runs else []
     plan = df.sparkSession.createDataFrame(draws, f"resample int, `{run}` {df.schema[run].dataType.simpleString()}, times int")
-    rows = counts.join(plan, run).groupBy("resample", "v").agg(F.sum(F.col("c") * F.col("times")).alias("w"))
+    if equal is None:
+        rows = counts.join(plan, run).groupBy("resample", "v").agg(F.sum(F.col("c") * F.col("times")).alias("w"))
+    else:
+        sizes = counts.groupBy(*of).agg(F.sum("c").alias("size"))
+        shares = counts.join(sizes, of).groupBy(run, "v").agg(F.sum(F.col("c") / F.col("size")).alias("c"))
+        per_run = sizes.groupBy(run).agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("groups"))
+        scale = plan.join(per_run, run).groupBy("resample").agg((F.sum(F.col("rows") * F.col("times")) / F.sum("groups")).alias("scale"))
+        rows = shares.join(plan, run).groupBy("resample", "v").agg(F.sum("c").alias("w")).join(scale, "resample").select("resample", "v", (F.col("w") * F.col("scale")).alias("w"))
 
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("v")

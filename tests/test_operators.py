@@ -277,6 +277,30 @@ def test_bootstrap_weights(spark):
     assert [r.mean for r in sorted(got)] == pytest.approx([r.mean for r in sorted(doubled)], rel=1e-2)
 
 
+def test_bootstrap_of_equal_groups(spark):
+    """A run drawn twice counts once, unlike without ``equal``; frames of a run weigh alike however many rows they have."""
+    from grainflow.operators import size_models
+
+    rows = [("a", 1, v) for v in range(6, 30)] * 9 + [("a", 2, v) for v in range(20, 30)] + [("b", 1, v) for v in range(6, 14)]
+    df = spark.createDataFrame(rows, "run string, frame int, v int").withColumn("v", F.col("v").cast("double"))
+    for equal in (["run"], ["run", "frame"]):
+        got = {r.resample: r.params for r in size_models.bootstrap_runs(df, "run", "v", 5.0, resamples=6, equal=equal).collect()}
+        rng = np.random.default_rng(0)
+        for k in range(6):
+            drawn = {"ab"[i] for i in rng.integers(0, 2, 2)}
+            own = [r for r in rows if r[0] in drawn]
+            group = lambda r: r[: len(equal)]
+            count = {g: sum(group(r) == g for r in own) for g in map(group, own)}
+            w = {}
+            for r in own:
+                w[r[2]] = w.get(r[2], 0) + 1 / count[group(r)]
+            x = np.array(sorted(w), float)
+            want = size_models.fit_model("lognormal", x, np.array([w[v] for v in x]), 5.0)[0]
+            assert got[k] == pytest.approx(want, abs=2e-3)
+    with pytest.raises(ValueError):
+        size_models.bootstrap_runs(df, "run", "v", 5.0, weight="v", equal=["run"])
+
+
 def test_outlines_and_masks(spark):
     from grainflow.operators import masks
 
