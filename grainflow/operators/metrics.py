@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainflow.operators.geometry import clark_evans, nearest_neighbours
+from grainflow.operators.masks import ellipse_coverage
+
 
 def population_metrics(df: DataFrame, by: list[str], r: str, area: str | None = None, small: float | None = None) -> DataFrame:
     """Count, moments, robust sizes, Sauter mean and volume proxy of ``r`` per group.
@@ -35,6 +38,17 @@ def population_metrics(df: DataFrame, by: list[str], r: str, area: str | None =
     return df.groupBy(*by).agg(*aggs)
 
 
+def frame_description(bubbles: DataFrame, frames: DataFrame, key: list[str], height: int, width: int, um_per_px: float = 3.2, small_um: float = 10.0, flat: float = 0.8, scale: float = 2.0) -> DataFrame:
+    """The row of ``frame_metrics`` with the share of the image that the frame's ellipses cover together (coverage), the mean distance to the nearest centre (nn_um) and the
+    Clark-Evans ratio; null for fewer than two or three bubbles. bubbles also has semi_major, semi_minor and angle_deg, in pixels, and bubble_id."""
+    sizes = frame_metrics(bubbles, frames, key, um_per_px, small_um, flat)
+    covered = ellipse_coverage(bubbles, key, "y", "x", "semi_major", "semi_minor", "angle_deg", height, width, scale)
+    spread = clark_evans(nearest_neighbours(bubbles, key, "bubble_id", "x", "y"), bubbles, key, float(width), float(height))
+    spread = spread.select(*key, (F.col("nn_mean") * um_per_px).alias("nn_um"), "clark_evans")
+    out = sizes.join(covered, key, "left").join(spread, key, "left")
+    return out.withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+
+
 def frame_metrics(bubbles: DataFrame, frames: DataFrame, key: list[str], um_per_px: float = 3.2, small_um: float = 10.0, flat: float = 0.8) -> DataFrame:
     """One row for each frame with everything that describes it: size statistics (see ``population_metrics``), density, aspect, centroid, edge count, packing.
 

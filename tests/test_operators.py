@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainflow.functions import names
-from grainflow.operators import arrays, distribution as dist, geometry, maintenance, regression as reg, selection, sequence as seq
+from grainflow.operators import arrays, distribution as dist, geometry, maintenance, metrics, regression as reg, selection, sequence as seq
 
 
 def test_tails(spark):
@@ -277,6 +277,37 @@ def test_bootstrap_weights(spark):
     assert [r.mean for r in sorted(got)] == pytest.approx([r.mean for r in sorted(doubled)], rel=1e-2)
 
 
+def test_nearest_neighbours_in_clusters(spark):
+    """Two tight clusters far apart, points all in one place, repeated places and a lone outlier: as all pairs give them, and no cell of the first grid is crowded."""
+    rng = np.random.default_rng(9)
+    xy = [("clusters", k, *(rng.normal(0, 1e-3, 2) + (k % 2) * 500)) for k in range(600)] + [("clusters", 600, 250.0, 250.0)]
+    xy += [("place", k, 3.0, 4.0) for k in range(50)] + [("mixed", k, float(k // 2), 0.0) for k in range(6)] + [("mixed", 6, 9.0, 0.0), ("alone", 0, 1.0, 1.0)]
+    rows = [(g, k, float(a), float(b)) for g, k, a, b in xy]
+    got = {(r.g, r.k): r.nn for r in geometry.nearest_neighbours(spark.createDataFrame(rows, "g string, k int, x double, y double"), ["g"], "k", "x", "y").collect()}
+    want = {}
+    for g in ("clusters", "place", "mixed"):
+        own = [r for r in rows if r[0] == g]
+        p = np.array([r[2:] for r in own])
+        d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+        np.fill_diagonal(d, np.inf)
+        want |= {(g, r[1]): v for r, v in zip(own, d.min(axis=1))}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_frame_description(spark):
+    """Coverage, nearest distance and Clark-Evans beside the sizes; a frame without bubbles has them too."""
+    bubbles = [("f", k, 10.0 + 20 * k, 30.0, 5.0, 4.0, 3.0, 0.0) for k in range(3)]
+    names = "frame string, bubble_id int, x double, y double, r_eq_um double, semi_major double, semi_minor double, angle_deg double"
+    df = spark.createDataFrame(bubbles, names).withColumns({"area_um2": F.lit(50.0), "major_axis": F.col("semi_major") * 2, "minor_axis": F.col("semi_minor") * 2, "edge_truncated": F.lit(False)})
+    frames = spark.createDataFrame([("f", 60, 80), ("none", 60, 80)], "frame string, image_height_px int, image_width_px int")
+    rows = {r.frame: r for r in metrics.frame_description(df, frames, ["frame"], 60, 80).collect()}
+    r = rows["f"]
+    assert r.n == 3 and r.nn_um == pytest.approx(20 * 3.2) and r.coverage == pytest.approx(3 * math.pi * 12 / 4800, rel=0.03)
+    expected = 0.5 * math.sqrt(4800 / 3) + (0.0514 + 0.041 / math.sqrt(3)) * 280 / 3
+    assert r.clark_evans == pytest.approx(20 / expected)
+    assert (rows["none"].n, rows["none"].coverage, rows["none"].nn_um, rows["none"].clark_evans) == (0, 0.0, None, None)
+
+
 def test_bootstrap_of_equal_groups(spark):
     """A run drawn twice counts once, unlike without ``equal``; frames of a run weigh alike however many rows they have."""
     from grainflow.operators import size_models
