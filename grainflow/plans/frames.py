@@ -127,7 +127,24 @@ _MANIFEST = "manifest AS (SELECT 'r' || lpad(CAST(user_id % 7 AS VARCHAR), 3, '0
 _FITS = " OR ".join(f"(train BETWEEN {a} AND {b} AND frame_idx BETWEEN {c} AND {d}" + (f" AND run = '{run}')" if run else ")") for run, a, b, c, d in RANGES)
 _BOXES = f"{SQL}, boxes AS (SELECT frame, bubble, min(r) AS r0, min(r) + 20 AS r1, min(area) / 1000 AS c0, min(area) / 1000 + 30 AS c1 FROM bubbles GROUP BY frame, bubble)"
 
+_OVERLAPS = f"""{_BOXES}, met AS (SELECT x.frame, x.bubble AS a, y.bubble AS b, least(x.r1, y.r1) - greatest(x.r0, y.r0) AS h, least(x.c1, y.c1) - greatest(x.c0, y.c0) AS w FROM boxes x JOIN boxes y ON x.frame = y.frame AND x.bubble < y.bubble),
+pairs AS (SELECT frame, a, b, h * w / (1200 - h * w) AS iou FROM met WHERE h > 0 AND w > 0), scored AS (SELECT frame, bubble, min(area) AS score FROM bubbles GROUP BY frame, bubble)"""
+
 ORACLE_SQL = {
+    # Boxes of a frame are taken one by one in order; the list of those that stay goes along.
+    "suppressed": f"""WITH RECURSIVE {_OVERLAPS}, foes AS (SELECT frame, k, list(o) AS o FROM (SELECT frame, a AS k, b AS o FROM pairs WHERE iou > 0.3 UNION ALL SELECT frame, b, a FROM pairs WHERE iou > 0.3) GROUP BY frame, k),
+d AS (SELECT s.frame, bubble, coalesce(o, []) AS o, row_number() OVER (PARTITION BY s.frame ORDER BY score DESC, bubble) AS n FROM scored s LEFT JOIN foes ON foes.frame = s.frame AND k = bubble),
+f AS (SELECT DISTINCT frame, 0::BIGINT AS n, []::BIGINT[] AS kept FROM d
+  UNION ALL SELECT f.frame, d.n, CASE WHEN list_has_any(kept, o) THEN kept ELSE list_append(kept, bubble) END FROM f JOIN d ON d.frame = f.frame AND d.n = f.n + 1)
+SELECT frame, unnest(kept) AS bubble FROM f WHERE n = (SELECT max(n) FROM d WHERE d.frame = f.frame)""",
+    "matched": f"""WITH RECURSIVE {_OVERLAPS}, c AS (SELECT frame, CASE WHEN a % 2 = 1 THEN a ELSE b END AS p, CASE WHEN a % 2 = 1 THEN b ELSE a END AS t, iou FROM pairs WHERE (a + b) % 2 = 1 AND iou >= 0.2),
+d AS (SELECT c.*, row_number() OVER (PARTITION BY c.frame ORDER BY score DESC, p, iou DESC, t) AS n FROM c JOIN scored s ON s.frame = c.frame AND s.bubble = p),
+f AS (SELECT DISTINCT frame, 0::BIGINT AS n, []::BIGINT[] AS p, []::BIGINT[] AS t FROM d
+  UNION ALL SELECT f.frame, d.n, CASE WHEN list_contains(f.p, d.p) OR list_contains(f.t, d.t) THEN f.p ELSE list_append(f.p, d.p) END, CASE WHEN list_contains(f.p, d.p) OR list_contains(f.t, d.t) THEN f.t ELSE list_append(f.t, d.t) END
+  FROM f JOIN d ON d.frame = f.frame AND d.n = f.n + 1),
+m AS (SELECT frame, max(len(p)) AS tp FROM f GROUP BY frame), n AS (SELECT frame, count(*) FILTER (WHERE bubble % 2 = 1) AS p, count(*) FILTER (WHERE bubble % 2 = 0) AS t FROM boxes GROUP BY frame)
+SELECT frame, coalesce(tp, 0) AS tp, p - coalesce(tp, 0) AS fp, t - coalesce(tp, 0) AS fn, round(CASE WHEN p > 0 THEN coalesce(tp, 0) / p END, 6) AS precision, round(CASE WHEN t > 0 THEN coalesce(tp, 0) / t END, 6) AS recall,
+       round(2 * coalesce(tp, 0) / (p + t), 6) AS f1 FROM n LEFT JOIN m USING (frame)""",
     "select_frames": f"WITH {_MANIFEST} SELECT run, train, frame_idx, event_id FROM manifest WHERE {_FITS}",
     "compact_ranges": """WITH d AS (SELECT DISTINCT user_id, event_id AS n FROM events), i AS (SELECT *, n - row_number() OVER (PARTITION BY user_id ORDER BY n) AS isle FROM d),
 r AS (SELECT user_id, min(n) AS lo, max(n) AS hi FROM i GROUP BY user_id, isle)
