@@ -20,9 +20,12 @@ def _shapes(spark, sf_dir):
 
 
 def frame_metrics(spark, sf_dir):
-    frames = read(spark, sf_dir, "orders").filter("o_custkey % 4 > 0").select(F.col("o_orderkey").alias("frame"), F.lit(250).alias("image_height_px"), F.lit(400).alias("image_width_px"))
-    b = _shapes(spark, sf_dir).filter("bubble < 6").drop("image_height_px", "image_width_px")
-    return rounded(metrics.frame_metrics(b, frames, ["frame"], um_per_px=3.1), 5)
+    """Orders are frames with bubbles; customers, under numbers of their own, are frames without."""
+    keys = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame")).unionByName(read(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("frame")))
+    frames = keys.select("frame", F.lit(250).alias("image_height_px"), F.lit(400).alias("image_width_px"))
+    b = _shapes(spark, sf_dir).drop("image_height_px", "image_width_px")
+    found = metrics.frame_metrics(b, frames, ["frame"], um_per_px=3.1)
+    return rounded(found.withColumn("r32", F.round("r32", 4)), 5)
 
 
 def described(spark, sf_dir):
@@ -98,13 +101,13 @@ kinds AS (SELECT run, train_to, ds, CASE WHEN c > 1.1 AND m < 1 THEN 'new bubble
 _FOV = "250 * 400 * 0.0031::DOUBLE * 0.0031"
 
 ORACLE_SQL = {
-    "frame_metrics": f"""WITH {SQL}, f AS (SELECT o_orderkey AS frame FROM orders WHERE o_custkey % 4 > 0),
-b AS (SELECT frame, r, area, supplier % 400 AS x, bubble * 30 AS y, (bubble + 3.5) / 10 AS aspect, run = 'A' AS edge FROM bubbles WHERE bubble < 6),
+    "frame_metrics": f"""WITH {SQL}, f AS (SELECT o_orderkey AS frame FROM orders UNION ALL SELECT -c_custkey FROM customer),
+b AS (SELECT frame, r, area, supplier % 400 AS x, bubble * 30 AS y, (bubble + 3.5) / 10 AS aspect, run = 'A' AS edge FROM bubbles),
 m AS (SELECT frame, count(*) AS n, avg(r) AS r_mean, stddev_samp(r) / sqrt(count(*)) AS r_sem, quantile_cont(r, 0.5) AS r_median, stddev_samp(r) AS r_std, max(r) AS r_max, quantile_cont(r, 0.9) AS r_p90, sum(r * r * r) / sum(r * r) AS r32,
   stddev_samp(r) / avg(r) AS polydispersity, sum(area) AS area_total, sum(4.0::DOUBLE / 3 * pi() * r * r * r) AS volume, avg((r < 10)::DOUBLE) AS frac_small, stddev_samp(ln(r)) AS log_width, quantile_cont(aspect, 0.5) AS aspect_median,
   avg((aspect < 0.8)::DOUBLE) AS frac_noncircular, sum(x * area) / sum(area) * 3.1 AS cx_um, sum(y * area) / sum(area) * 3.1 AS cy_um, count(*) FILTER (WHERE edge) AS n_edge FROM b GROUP BY frame)
 SELECT frame, 250 AS image_height_px, 400 AS image_width_px, coalesce(n, 0) AS n, """
-    + ", ".join(f"round({c}, 5) AS {c}" for c in "r_mean r_sem r_median r_std r_max r_p90 r32 polydispersity frac_small log_width aspect_median frac_noncircular cx_um cy_um".split())
+    + ", ".join(f"round({c}, {4 if c == 'r32' else 5}) AS {c}" for c in "r_mean r_sem r_median r_std r_max r_p90 r32 polydispersity frac_small log_width aspect_median frac_noncircular cx_um cy_um".split())
     + f""", round(coalesce(area_total, 0), 5) AS area_total, round(coalesce(volume, 0), 5) AS volume, coalesce(n_edge, 0) AS n_edge, round({_FOV}, 5) AS fov_mm2, round(coalesce(n, 0) / ({_FOV}), 5) AS density_per_mm2,
 round(coalesce(area_total, 0) / ({_FOV} * 1000000), 5) AS packing FROM f LEFT JOIN m USING (frame)""",
     "described": f"""WITH {SQL}, l AS (SELECT run, 'r' AS "column", r AS v FROM bubbles UNION ALL SELECT run, 'area', area FROM bubbles)

@@ -33,7 +33,7 @@ def consecutive_ks(spark, sf_dir):
 
 def steps_with_ks(spark, sf_dir):
     """Steps with the distance of the size distributions beside them; a step without one has null."""
-    ks = dist.consecutive_ks(bubbles(spark, sf_dir).filter("train % 7 <> 0"), "run", "train", "r").drop("p")
+    ks = dist.consecutive_ks(bubbles(spark, sf_dir), "run", "train", "r", 200).drop("p")
     steps = seq.steps(trains(spark, sf_dir), "run", "train").select("run", "train_from", "train_to", "count_ratio")
     return rounded(steps.join(ks, ["run", "train_from", "train_to"], "left"))
 
@@ -169,7 +169,7 @@ SELECT run, v, round(upto / al, 6) AS cdf, round((upto - w) / al, 6) + 0.0 AS "b
     "ecdf": f"""WITH {SQL}, k AS (SELECT run, r AS v, row_number() OVER (PARTITION BY run ORDER BY r) AS k, count(*) OVER (PARTITION BY run) AS n FROM bubbles)
 SELECT run, k, v, round(k / n, 6) AS cdf FROM k""",
     "consecutive_ks": f"WITH {SQL}, b AS (FROM bubbles), {_KS} SELECT run, train_from, train_to, round(d, 6) AS d FROM ks",
-    "steps_with_ks": f"""WITH {SQL}, b AS (SELECT * FROM bubbles WHERE train % 7 <> 0), {_KS}, s AS (
+    "steps_with_ks": f"""WITH {SQL}, b AS (SELECT * FROM bubbles), {_KS.replace(">= 5", ">= 200")}, s AS (
   SELECT run, lag(train) OVER w AS train_from, train AS train_to, n / greatest(lag(n) OVER w, 1) AS count_ratio FROM trains WINDOW w AS (PARTITION BY run ORDER BY train))
 SELECT s.run, s.train_from, s.train_to, round(count_ratio, 6) AS count_ratio, round(d, 6) AS d FROM s LEFT JOIN ks USING (run, train_from, train_to) WHERE s.train_from IS NOT NULL""",
     "whole_set_trend": f"""WITH {SQL}, k AS (SELECT run, train, ln(n) AS y, rank() OVER (PARTITION BY run ORDER BY train) AS a, rank() OVER (PARTITION BY run ORDER BY n) + (count(*) OVER (PARTITION BY run, n) - 1) / 2 AS b FROM trains)
