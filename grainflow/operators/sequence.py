@@ -172,6 +172,17 @@ def timeline(df: DataFrame, run: str, order: str, dt: float, gap: float, starts:
     return out.withColumn("seq", (F.col("seq0") + own).cast("int")).drop("slot0", "seq0", "start_s")
 
 
+def with_time(df: DataFrame, times: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """``df`` (run, train) with t: that of ``times``, a table of (run, train, t) or, for all runs alike, (train, t); without ``times`` the train's number. A train that it doesn't
+    have has a null, or with ``strict`` fails the job."""
+    if times is None:
+        return df.withColumn("t", F.col("train").cast("double"))
+    on = [c for c in ("run", "train") if c in times.columns]
+    joined = df.join(times.select(*on, F.col("t").cast("double").alias("t"), F.lit(True).alias("_known")), on, "left")
+    t = F.when(F.col("_known").isNull(), F.raise_error(F.concat_ws(" ", F.lit("no time for"), *on)).cast("double")).otherwise(F.col("t")) if strict else F.col("t")
+    return joined.select(*df.columns, t.alias("t"))
+
+
 def boundary_jumps(line: DataFrame, run: str, metrics: list[str], set_: list[str] | None = None) -> DataFrame:
     """Jumps where the run changes along a timeline, for each metric: before, after, ratio, the typical step within runs, and robust z of the log jump.
 

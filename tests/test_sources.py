@@ -107,3 +107,40 @@ def test_analyses(spark):
     times = SetTimeline(15.0, 60.0).tables(per_frame.withColumn("set", F.lit("a")), ranges)
     decays = {r.range_id: r for r in times["decays"].collect()}
     assert decays[1].n_points == 8 and decays[1].tau > 0 and decays[2].note == "no frame for r9 t1" and times["lines"].count() == 2 and times["jumps"].count() == 3 and times["trend"].count() == 1
+    assert times["equal_decays"].first().n == 1
+    wide = RunComparison(least=20, image=(250, 400)).tables(bubbles.withColumns({"bubble_id": F.col("x"), "semi_major": F.lit(3.0), "semi_minor": F.lit(2.0), "angle_deg": F.lit(0.0)}), frames)
+    assert wide["frame_metrics"].filter("coverage > 0 AND clark_evans > 0").count() == wide["frame_metrics"].count() and wide["steps"].filter("coverage_change IS NULL").count() == 0
+
+
+def test_aligned_runs_and_train_frames(spark):
+    from grainflow.plans.analyses import AlignedRuns, TrainFrames
+
+    counts = {"a": [10, 10, 30, 20], "b": [5, 4, 4, 3]}
+    per_train = spark.createDataFrame([(r, t, n, 5.0 + t, 100.0 * n) for r, ns in counts.items() for t, n in enumerate(ns)], "run string, train int, n int, r_mean double, volume double")
+    out = AlignedRuns().tables(per_train, layers=spark.createDataFrame([("a", 3), ("b", 3)], "run string, train int"))
+    assert {r.run: r.event for r in out["events"].collect()} == {"a": 2, "b": None}
+    assert [(r.x, r.n_rel) for r in out["aligned"].orderBy("x").collect()] == [(-2, 10 / 30), (-1, 10 / 30), (0, 1.0), (1, 20 / 30)]
+    differ = out["layers_differ"].first()
+    assert differ.n1 == 2 and differ.u == 12 and out["before_after"].count() > 0 and out["drifts"].count() == 2
+    frames = spark.createDataFrame([("r1", 0, f"f{k}", k, 250, 400) for k in range(12)], "run string, train int, frame string, frame_idx int, image_height_px int, image_width_px int")
+    rows = [("r1", 0, f"f{k}", 5.0 + k + j, 30.0, 10.0 * j + k, 7.0, 4.0, 3.0, False) for k in range(12) for j in range(4)]
+    bubbles = spark.createDataFrame(rows, "run string, train int, frame string, r_eq_um double, area_um2 double, x double, y double, major_axis double, minor_axis double, edge_truncated boolean")
+    out = TrainFrames(0.886, snapshots=4).tables(bubbles, frames)
+    m = {r.frame_idx: r for r in out["frame_metrics"].collect()}
+    assert m[3].t == pytest.approx(3 * 0.886) and m[3].r_mean_smooth == pytest.approx(9.5) and m[3].r_mean_relative == pytest.approx(9.5 / 6.5)
+    assert sorted(r.frame_idx for r in out["snapshots"].collect()) == [0, 4, 7, 11] and out["cdfs"].count() == 16
+    assert {r.frame: (r.from_0, r.from_10) for r in out["size_classes"].collect()}["f3"] == (2, 2) and out["drift"].first().net == pytest.approx(11 * 3.2)
+    assert all(df.count() > 0 for name, df in out.items() if name != "scaled") and out["scaled"].count() >= 0
+
+
+def test_times(spark):
+    from grainflow.operators.sequence import with_time
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "run string, train int")
+    read = lambda out: {(r.run, r.train): r.t for r in out.collect()}
+    assert read(with_time(df)) == {("a", 1): 1.0, ("a", 2): 2.0, ("b", 1): 1.0}
+    assert read(with_time(df, spark.createDataFrame([(1, 7.5)], "train int, t double"))) == {("a", 1): 7.5, ("a", 2): None, ("b", 1): 7.5}
+    per_run = spark.createDataFrame([("a", 1, 3), ("b", 1, 4)], "run string, train int, t int")
+    assert read(with_time(df, per_run)) == {("a", 1): 3.0, ("a", 2): None, ("b", 1): 4.0}
+    with pytest.raises(Exception, match="no time for a 2"):
+        with_time(df, per_run, strict=True).collect()
