@@ -12,6 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainflow.operators.arrays import percentile_range, scaled_to
 from grainflow.sources.shapes import frame_keys, stem
 
 #: The share of red, green and blue in a grey value.
@@ -75,11 +76,17 @@ def png_bytes(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines.tobytes())) + part(b"IEND", b"")
 
 
-def write_images(images: DataFrame, folder: str, name: str, pixels: str, height: int, width: int, lo: float, hi: float, bits: int = 8, overwrite: bool = False) -> DataFrame:
-    """Writes a grey PNG file for each row, values from lo to hi on the whole range of ``bits`` and cut off beyond; nulls and NaN are 0. Returns name and written: false where
-    the file was there before. A file appears whole or not at all. Run by an action on what is returned."""
+def write_images(
+    images: DataFrame, folder: str, name: str, pixels: str, height: int, width: int, lo: float | None = None, hi: float | None = None, bits: int = 8, overwrite: bool = False, shares: tuple[float, float] = (0.005, 0.995)
+) -> DataFrame:
+    """Writes a grey PNG file for each row, values from lo to hi on the whole range of ``bits`` and cut off beyond; nulls and NaN are 0. Without lo and hi one range serves all
+    images, that between the ``shares`` of all their pixels. Returns name and written: false where the file was there before. A file appears whole or not at all. Run by an
+    action on what is returned."""
     if bits not in (8, 16):
         raise ValueError("8 or 16 bits")
+    if lo is None or hi is None:
+        ends = percentile_range(images, pixels, *shares).first()
+        lo, hi = (ends[0] if lo is None else lo), (ends[1] if hi is None else hi)
 
     def write(batches):
         store, root = pafs.FileSystem.from_uri(folder)
@@ -89,13 +96,13 @@ def write_images(images: DataFrame, folder: str, name: str, pixels: str, height:
                 path = f"{root}/{n}.png"
                 done.append(overwrite or store.get_file_info(path).type == pafs.FileType.NotFound)
                 if done[-1]:
-                    x = np.array([np.nan if v is None else v for v in values.as_py()], float)
-                    scaled = np.round(np.clip(np.nan_to_num((x - lo) / (hi - lo), nan=0.0), 0, 1) * (2**bits - 1))
+                    x = np.array(values.as_py(), np.uint8 if bits == 8 else np.uint16)
                     store.create_dir(root, recursive=True)
                     draft = f"{root}/.{n}.{uuid.uuid4().hex}"
                     with store.open_output_stream(draft) as out:
-                        out.write(png_bytes(scaled.astype(np.uint8 if bits == 8 else np.uint16).reshape(height, width)))
+                        out.write(png_bytes(x.reshape(height, width)))
                     store.move(draft, path)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.bool_())], ["name", "written"])
 
-    return images.select(F.col(name).cast("string").alias("name"), pixels).mapInArrow(write, "name string, written boolean")
+    whole = scaled_to(F.col(pixels), lo, hi, 2**bits - 1).alias("pixels")
+    return images.select(F.col(name).cast("string").alias("name"), whole).mapInArrow(write, "name string, written boolean")

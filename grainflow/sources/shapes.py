@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainflow.operators.geometry import box_centre, box_halves, ellipse_corners, ellipse_of, polygon_ellipse
 
-#: Declared, because empty lists would be read as lists of text.
+#: Fixed values, the annotation format's fields and the tables' columns. Declared, because empty lists would be read as lists of text.
 SHAPE_SCHEMA = (
     "image string, reviewed boolean, model string, model_saved string, drafted_at string, edited_at string, frame_path string, score_thresh double, copied_from string, draft boolean, "
     "imported_at double, imported_key string, bubbles array<struct<type:string,data:array<array<double>>,fit_kind:string>>, rois array<array<double>>"

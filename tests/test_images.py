@@ -25,8 +25,11 @@ def test_written_images_come_back(spark, tmp_path):
     assert set(rows) == {f"r7_tid0_{k:03d}" for k in range(3)}
     r = rows["r7_tid0_002"]
     assert (r.run, r.train, r.frame_idx, r.height, r.width) == ("r007", 0, 2, H, W)
-    want = np.round(np.clip([0, 0, 18] + [(0.2 + v / 100) / 0.5 for v in range(3, H * W)], 0, 1) * 255) / 255
+    want = np.floor(np.clip([0, 0, 18] + [(0.2 + v / 100) / 0.5 for v in range(3, H * W)], 0, 1) * 255 + 0.5) / 255
     assert np.allclose(r.pixels, want)
+    wide = stack(spark, 2).withColumn("name", F.format_string("w_tid0_%03d", "frame_idx"))
+    assert write_images(wide, f"file://{tmp_path}/wide", "name", "pixels", H, W, bits=16, shares=(0.0, 1.0)).count() == 2
+    assert (tmp_path / "wide" / "w_tid0_001.png").read_bytes()[24] == 16
     with pytest.raises(ValueError):
         write_images(df, folder, "name", "pixels", H, W, 0, 1, bits=12)
 
