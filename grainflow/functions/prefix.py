@@ -55,6 +55,9 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colu
 
 def repeated(rows: DataFrame, copies: str, number: str, most: int = 1 << 16) -> DataFrame:
     """Each row ``copies`` times, numbered from 0 in ``number``, without an array of more than ``most`` numbers."""
+    first, taken = "_first", {c.lower() for c in rows.columns}
+    while first in taken:
+        first += "_"
     upto = F.explode(F.sequence(F.lit(0), (F.col(copies) - 1).cast("long"), F.lit(most)))
-    last = F.least(F.col("_first") + most, F.col(copies).cast("long")) - 1
-    return rows.filter(F.col(copies) > 0).withColumn("_first", upto).withColumn(number, F.explode(F.sequence(F.col("_first"), last))).drop("_first")
+    last = F.least(F.col(first) + most, F.col(copies).cast("long")) - 1
+    return rows.filter(F.col(copies) > 0).withColumn(first, upto).withColumn(number, F.explode(F.sequence(F.col(first), last))).drop(first)
