@@ -40,6 +40,15 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands Python 1,000 rows at a time instead of Spark's default of 10,000: rows are whole texts here, and a batch of them is held several times, in and
+    outside the JVM. Another number in the session's settings stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ASCII texts take the fast built-in; ``translate`` serves the others."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import text_or_empty, workspace, written
+from grainflow.llm.common import in_small_batches, text_or_empty, workspace, written
 from grainflow.llm.set_links import cloud_members, forest, sets_of, similar_groups
 from grainflow.llm.simhash_fingerprint import shingle_set
 from grainflow.llm.trie_join import _pairs, _united
@@ -59,7 +59,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             columns = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signed, pa.binary()), *(pa.array(near[:, k]) for k in range(4))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "tie", "node", "size", "signature", *PACKED])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
     return rows.mapInArrow(scan, "doc_id long, tie long, node binary, size long, signature binary, " + ", ".join(f"{c} long" for c in PACKED))
 
 

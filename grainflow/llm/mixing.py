@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import one_of_each, repeated, text_or_empty, unused, workspace, written
+from grainflow.llm.common import in_small_batches, one_of_each, repeated, text_or_empty, unused, workspace, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: The weights of the sources in order of their names, again and again; the most that a source gives, times its size.
@@ -197,7 +197,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, per_shard: int = 4096, seed: int = 17, block_words: int = BLOCK_WORDS):
         self.spark, self.folder = docs.sparkSession, workspace(docs.sparkSession, "mixing")
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("source").cast("string").alias("source"), F.xxhash64(text_or_empty()).alias("tie"))
+        texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("source").cast("string").alias("source"), F.xxhash64(text_or_empty()).alias("tie"))
         self.docs = written(_count_words(texts).groupBy("doc_id", "tie", "source", "size").agg(F.count(F.lit(1)).alias("copies")), f"{self.folder}/sizes")
         words = F.sum(F.col("size") * F.col("copies")).alias("words")
         sizes = [(r.source, r.words, r.n) for r in self.docs.groupBy("source").agg(words, F.count(F.lit(1)).alias("n")).collect()]  # one row a source

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import text_or_empty, workspace, written
+from grainflow.llm.common import in_small_batches, text_or_empty, workspace, written
 
 TERMS, DIMS, ONES, REACH, SEED = 1 << 13, 32, 4, 2, 20
 PAD, CAPITALS, DIGITS, SAME, FIRST = 0, 1, 2, 3, 4
@@ -25,7 +25,7 @@ HIDDEN, STEPS, RATE, DECAY = 16, 600, 0.02, 1e-3
 #: Labelled rows that the network learns from at most: those whose ids' hashes are below a cut.
 MOST_LABELLED = 20_000
 _PARTS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 100_000
 
 
 @lru_cache(maxsize=1)
@@ -205,7 +205,7 @@ class Classifier:
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED):
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+        rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
         self.vectors = word_vectors(rows.select("text"))
         self.features = written(pooled(rows, self.vectors), f"{workspace(docs.sparkSession, 'quality')}/features")
         marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(fold() != 0).distinct()

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import text_or_empty
+from grainflow.llm.common import in_small_batches, text_or_empty
 
 SHINGLE, SEED, PART = 4, 42, 1 << 16
 #: Shingles of near-duplicate detection; bands of as many minima, of which two texts that are to meet share one.
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, "doc_id long, fp long")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             found = zip(*(sketch(t.as_py()) for t in batch.column(2))) if batch.num_rows else [()] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, t) for x, t in zip(found, types))], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
     return rows.mapInArrow(scan, "doc_id long, tie long, digest binary, size long, fp long, blocks array<long>")
 
 

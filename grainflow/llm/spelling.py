@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import text_or_empty, workspace, written
+from grainflow.llm.common import in_small_batches, text_or_empty, workspace, written
 
 _RUN = re.compile("[a-zÀ-ÿ]+")
 #: Letters that a run may have, once A-Z are lower-cased; q-grams are at most as many as ``ALPHABET ** q``.
@@ -72,7 +72,7 @@ def word_counts(docs: DataFrame, length: int = 7, least: int = 2, every: int = 3
         if held:
             yield handed_on()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, "word string, n long")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 

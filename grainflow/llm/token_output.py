@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import text_or_empty
+from grainflow.llm.common import in_small_batches, text_or_empty
 
 MAGIC = b"GFPLANE1"
 MANIFEST = "shard int, file string, n_docs long, n_ids long, n_bytes long"
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     as Spark has shuffle partitions after it coalesced them). Returns the manifest.
     """
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)
     end = b"" if end_id is None else struct.pack("<I", end_id)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from grainflow.llm.common import workspace, written
 
-LEAF, FRONTIER, BATCH = 64, 1 << 19, 1 << 17
+LEAF, FRONTIER, BATCH = 64, 1 << 17, 1 << 17
 
 
 def block_masks(mask: int, budget: int) -> list[int]:
