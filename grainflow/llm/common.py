@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainflow.functions.prefix import repeated
+from grainflow.functions.storage import new_folder as workspace
+from grainflow.functions.storage import remove
+
+__all__ = ["LOWER", "UPPER", "ascii_lower", "in_small_batches", "one_of_each", "read", "remove", "repeated", "text_or_empty", "unused", "with_totals", "workspace", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -15,31 +18,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that setting is absent and Spark runs on this machine alone, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/grainflow"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written as Parquet at ``path`` and read back: lineage ends there, and a lost executor loses nothing."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the workspace, in whichever file system it is."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, whose session hands Python 1,000 rows at a time instead of Spark's default of 10,000: rows are whole texts here, and a batch of them is held several times, in and
     outside the JVM. Another number in the session's settings stays."""
@@ -78,14 +62,6 @@ def with_totals(rows: DataFrame, keys: list[str], spread_by: list[str], partial:
     return dealt.join(totals.withColumn(part, F.explode(held)).drop(held), [*keys, part]).drop(part)
 
 
-def repeated(rows: DataFrame, copies: str, number: str, most: int = 1 << 16) -> DataFrame:
-    """Each row ``copies`` times, numbered from 0 in ``number``, without an array of more than ``most`` numbers."""
-    first = unused(rows, "gf_first")
-    upto = F.explode(F.sequence(F.lit(0), (F.col(copies) - 1).cast("long"), F.lit(most)))
-    last = F.least(F.col(first) + most, F.col(copies).cast("long")) - 1
-    return rows.filter(F.col(copies) > 0).withColumn(first, upto).withColumn(number, F.explode(F.sequence(F.col(first), last))).drop(first)
-
-
 def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each value of ``keys``, columns as in ``rows``: that with the least hash of its JSON, whatever the order of the rows."""
     whole, least = unused(rows, "gf_row"), F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))))
