@@ -184,7 +184,7 @@ def with_time(df: DataFrame, times: DataFrame | None = None, strict: bool = Fals
 
 
 def boundary_jumps(line: DataFrame, run: str, metrics: list[str], set_: list[str] | None = None) -> DataFrame:
-    """Jumps where the run changes along a timeline, for each metric: before, after, ratio, the typical step within runs, and robust z of the log jump.
+    """Jumps where the run changes along a timeline, for each metric: before, after, ratio, the typical step within runs, and robust z of the log jump, negative where it is below the steps' median.
 
     Steps within runs come from windows of one run each; jumps from the first and last row of each run, of which a set's window over runs holds one row each.
     """
@@ -204,7 +204,7 @@ def boundary_jumps(line: DataFrame, run: str, metrics: list[str], set_: list[str
     pairs = pairs.select(*keys, "from_run", "to_run", (F.col("b.t_s") - F.col("a.t_s")).alias("gap_s"), F.col("a.value").alias("before"), F.col("b.value").alias("after"), log(F.col("a.value"), F.col("b.value")).alias("log"))
     out = pairs.join(typical, keys).join(spread, keys, "left")
     scale = F.when((F.col("_n") > 2) & (F.col("_mad") > 0), F.col("_mad") * MAD_SCALE).otherwise(F.nullif(F.col("_std"), F.lit(0.0)))
-    return out.select(*keys, "from_run", "to_run", "gap_s", "before", "after", ratio(F.col("after"), F.col("before")).alias("ratio"), F.exp("_typ").alias("typical_step"), (F.abs(F.col("log") - F.col("_med")) / scale).alias("z"))
+    return out.select(*keys, "from_run", "to_run", "gap_s", "before", "after", ratio(F.col("after"), F.col("before")).alias("ratio"), F.exp("_typ").alias("typical_step"), ((F.col("log") - F.col("_med")) / scale).alias("z"))
 
 
 def running_mean(value: str, width: int, by: list[str], order: str) -> Column:

@@ -174,7 +174,7 @@ SELECT run, event, n_before, n_after, round(b, 6) AS r_mean_before, round(c, 6)
 s AS (SELECT metric, median(abs(l)) AS typ, median(l) AS med, stddev_pop(l) AS std, count(*) AS k FROM q WHERE from_run = to_run GROUP BY metric),
 d AS (SELECT q.metric, median(abs(l - med)) AS mad FROM q JOIN s USING (metric) WHERE from_run = to_run GROUP BY q.metric)
 SELECT q.metric, from_run, to_run, round(gap_s, 6) AS gap_s, round(before, 6) AS before, round(after, 6) AS after, round(after / before, 6) AS ratio, round(exp(typ), 6) AS typical_step,
-       round(abs(l - med) / CASE WHEN k > 2 AND mad > 0 THEN mad * 1.4826 ELSE nullif(std, 0) END, 6) AS z
+       round((l - med) / CASE WHEN k > 2 AND mad > 0 THEN mad * 1.4826 ELSE nullif(std, 0) END, 6) + 0.0 AS z
 FROM q JOIN s USING (metric) JOIN d USING (metric) WHERE from_run <> to_run""",
     "running_values": f"""WITH {SQL}, f AS (SELECT run, avg(r_mean) AS first3 FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY train) AS k FROM trains) WHERE k <= 3 GROUP BY run)
 SELECT run, train, round(avg(r_mean) OVER (PARTITION BY run ORDER BY train ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS mean5,
