@@ -58,7 +58,9 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """by, n, rho of each group's rows with both values; null where one of them doesn't vary. Group keys must not be null."""
     rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
     pairs = rows.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    rx, ry = (_ranks(rows, by, c).select(*by, F.col("v").alias(c), F.col("rank").alias(f"r{c}")) for c in ("_x", "_y"))
+    sides = F.explode(F.array(*(F.struct(F.lit(c).alias("_axis"), F.col(c).alias("_v")) for c in ("_x", "_y")))).alias("s")
+    ranks = _ranks(rows.select(*by, sides).select(*by, "s._axis", "s._v"), [*by, "_axis"], "_v")  # both axes in one go
+    rx, ry = (ranks.filter(F.col("_axis") == c).select(*by, F.col("v").alias(c), F.col("rank").alias(f"r{c}")) for c in ("_x", "_y"))
     both = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
     # Ranks have the same mean (n + 1) / 2, so weighted sums of centred ranks give the correlation.
     n = both.groupBy(*by).agg(F.sum("w").alias("n"))

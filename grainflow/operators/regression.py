@@ -52,9 +52,13 @@ def trends(df: DataFrame, run: str, x: str, metrics: list[str], log_metrics: lis
     long = rows.select(F.col(run).alias("_run"), F.col(x).cast("double").alias("x"), F.explode(values).alias("v")).select("_run", "x", "v.metric", "v.y").filter("x IS NOT NULL AND y IS NOT NULL")
     sums = long.groupBy("metric", "_run").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"))
     centred = long.join(sums.select("metric", "_run", "mx", "my"), ["metric", "_run"]).select("metric", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
-    own = sums.join(spearman(long, ["metric", "_run"], "x", "y").drop("n"), ["metric", "_run"]).withColumns({"pooled": F.lit(False), "dof": F.col("n") - 2})
+    # Runs and the pool of all are groups of one ranking.
+    one, pool = F.concat(F.lit("="), F.col("_run").cast("string")), F.lit("")
+    groups = long.select("metric", one.alias("_group"), "x", "y").unionByName(centred.select("metric", pool.alias("_group"), "x", "y"))
+    ranked = spearman(groups, ["metric", "_group"], "x", "y").drop("n")
+    own = sums.withColumn("_group", one).join(ranked, ["metric", "_group"]).withColumns({"pooled": F.lit(False), "dof": F.col("n") - 2})
     added = sums.groupBy("metric").agg(*(F.sum(c).alias(c) for c in ("n", "sxx", "syy", "sxy")), F.count(F.lit(1)).alias("runs"))
-    pooled = added.join(spearman(centred, ["metric"], "x", "y").drop("n"), "metric").withColumns({"_run": F.lit(None).cast(df.schema[run].dataType), "pooled": F.lit(True), "dof": F.greatest(F.lit(1), F.col("n") - F.col("runs") - 1)})
+    pooled = added.withColumn("_group", pool).join(ranked, ["metric", "_group"]).withColumns({"_run": F.lit(None).cast(df.schema[run].dataType), "pooled": F.lit(True), "dof": F.greatest(F.lit(1), F.col("n") - F.col("runs") - 1)})
     columns = ["metric", "_run", "pooled", "n", "rho", "sxx", "syy", "sxy", "dof"]
     out = own.select(*columns).unionByName(pooled.select(*columns)).filter("n >= 3").withColumn("slope", F.try_divide("sxy", "sxx"))
     left = F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy"))

@@ -100,3 +100,85 @@ def test_whole_set_trend(line):
     for metric, rho, p in (("n", 0.28, 0.19), ("r_mean", -0.08, 0.72)):
         r = reg.whole_set_trend(line, "set", "seq", metric).first()
         assert (round(r.rho, 2), round(r.p, 2)) == (rho, p)
+
+
+# Run, train, count, mean and median size, volume, small share and coverage of another export of the same runs.
+COMPARED = [
+    ("r562", 5, 448, 16.801496734206186, 13.362177819083863, 29135179.13598125, 0.32589285714285715, 0.372365),
+    ("r562", 6, 438, 17.232524109536627, 13.515730426976965, 28771939.538332887, 0.2785388127853881, 0.3745175),
+    ("r562", 7, 390, 18.121949430941015, 14.112956721993445, 29097158.26949875, 0.2512820512820513, 0.362035),
+    ("r562", 8, 370, 18.42122743726815, 15.098889753604485, 28283292.709919497, 0.21891891891891893, 0.35143),
+    ("r563", 0, 319, 19.597461113959618, 16.29317696632769, 27467232.695334908, 0.2006269592476489, 0.3342),
+    ("r563", 1, 302, 19.723423260839304, 16.67764032092678, 26283443.894946445, 0.19536423841059603, 0.323135),
+    ("r563", 2, 279, 20.09025386179307, 17.148723653289064, 25304506.67758596, 0.17562724014336917, 0.31663),
+    ("r563", 3, 256, 20.963947140881285, 17.596374775700973, 25897401.1801214, 0.17578125, 0.310825),
+    ("r563", 4, 431, 16.386552591146092, 12.551580498164313, 28356763.283147305, 0.3480278422273782, 0.33862),
+    ("r563", 5, 387, 16.88156791055676, 13.584211399035269, 26606360.62887103, 0.32558139534883723, 0.32902),
+    ("r563", 6, 345, 17.441830161160947, 14.112018449901672, 24849348.42953333, 0.26666666666666666, 0.3188125),
+    ("r563", 7, 330, 17.305937766731343, 13.932722687641387, 24354122.58632964, 0.3, 0.3112175),
+    ("r564", 0, 265, 18.921673783627668, 14.988757461430424, 23616700.126843404, 0.22641509433962265, 0.2889025),
+    ("r564", 1, 242, 19.883753816632442, 15.98309478882289, 23439855.644382026, 0.21074380165289255, 0.286395),
+    ("r564", 2, 231, 20.488074275003154, 16.47004159968097, 23522033.92040555, 0.18181818181818182, 0.2817125),
+    ("r564", 3, 395, 15.229223382125, 11.777501663114297, 18247716.924869876, 0.37721518987341773, 0.2794575),
+    ("r564", 4, 349, 16.250266126053916, 12.652167182207377, 18783057.099819444, 0.30945558739255014, 0.27029),
+    ("r564", 5, 302, 17.494148956633016, 14.277786013723627, 18971317.550945893, 0.24172185430463577, 0.2570425),
+    ("r564", 6, 267, 17.890146797577188, 14.48947097266726, 16923351.389596656, 0.23220973782771537, 0.2490475),
+]
+# Ratios of count, median size and volume, changes of the small share and the coverage, z, kind, flagged and fresh of the step to each train.
+STEPS = {
+    ("r562", 6): (0.9776785714285714, 1.011491585426576, 0.9875326114882276, -0.04735404435746904, 0.0021525000000000016, 1.1646938326042182, "little change", False, False),
+    ("r562", 7): (0.8904109589041096, 1.0441874968018328, 1.0113033301329086, -0.027256761503336835, -0.012482500000000007, 0.6487204251051185, "coalescence", False, False),
+    ("r562", 8): (0.9487179487179487, 1.0698601328575306, 0.9720293799125946, -0.032363132363132346, -0.010604999999999976, 0.9859581078887931, "little change", False, False),
+    ("r563", 1): (0.9467084639498433, 1.023596586190259, 0.9569017813509287, -0.00526272083705287, -0.011064999999999992, 0.5759456213464368, "little change", False, False),
+    ("r563", 2): (0.9238410596026491, 1.0282464019667805, 0.9627546062352694, -0.019736998267226857, -0.006504999999999983, 0.06612909554390588, "little change", False, False),
+    ("r563", 3): (0.9175627240143369, 1.0261040489929436, 1.0234303916725083, 0.00015400985663083233, -0.005805000000000005, 0.7730358976067536, "little change", False, False),
+    ("r563", 4): (1.68359375, 0.7133049084347151, 1.094965594652551, 0.1722465922273782, 0.02779499999999996, 11.706109124813857, "new bubbles", True, True),
+    ("r563", 5): (0.8979118329466357, 1.0822709857951338, 0.938272128000005, -0.02244644687854097, -0.009599999999999997, 1.280602205691362, "coalescence", False, False),
+    ("r563", 6): (0.8914728682170543, 1.03885444913673, 0.9339627007298722, -0.05891472868217057, -0.01020749999999998, 1.3762077431258484, "coalescence", False, False),
+    ("r563", 7): (0.9565217391304348, 0.9872948180377744, 0.9800708720951767, 0.033333333333333326, -0.007595000000000018, 1.980281079239843, "little change", False, False),
+    ("r564", 1): (0.9132075471698113, 1.0663388763178754, 0.9925118885571836, -0.015671292686730093, -0.002507499999999996, 0.9017378862646802, "little change", False, False),
+    ("r564", 2): (0.9545454545454546, 1.0304663657002529, 1.0035059207390307, -0.02892561983471073, -0.004682500000000034, 0.7002610938480719, "little change", False, False),
+    ("r564", 3): (1.70995670995671, 0.7150863336825105, 0.7757712188757553, 0.1953970080552359, -0.0022549999999999515, 12.007461068213967, "new bubbles", True, True),
+    ("r564", 4): (0.8835443037974684, 1.074265794572751, 1.029337378322652, -0.0677596024808676, -0.00916750000000005, 1.6980326074310974, "coalescence", False, False),
+    ("r564", 5): (0.8653295128939829, 1.1284854055518918, 1.010022886590078, -0.06773373308791436, -0.013247499999999968, 2.3488202695181246, "coalescence", False, False),
+    ("r564", 6): (0.8841059602649006, 1.014826175342603, 0.8920493447094755, -0.009512116476920407, -0.007995000000000002, 0.7865467199460472, "coalescence", False, False),
+}
+# Rows, rho, its p, slope, its error and p for each run, and for all of them pooled; trains of new layers are left out.
+TRENDS = {
+    ("n", "r562"): (4, -1.0, 0.0, -0.06899428515828995, 0.012072014552183298, 0.029277112146911977),
+    ("n", "r563"): (7, 0.5, 0.2531699951003227, 0.025048943758711775, 0.020339646346424465, 0.2728829897431016),
+    ("n", "r564"): (6, 0.5428571428571429, 0.26570262390670546, 0.03136390326282438, 0.0278346112418541, 0.322850294466892),
+    ("n", None): (17, 0.3823529411764707, 0.1298634258225738, 0.021122020337509116, 0.015005597990876595, 0.18270656579832525),
+    ("r_mean", "r562"): (4, 1.0, 0.0, 0.032643241734995734, 0.00440144629258424, 0.017699201967227178),
+    ("r_mean", "r563"): (7, -0.5357142857142858, 0.21521745567801298, -0.025365434427198085, 0.009166821908255832, 0.03950119960335487),
+    ("r_mean", "r564"): (6, -0.5428571428571429, 0.26570262390670546, -0.023427875450051986, 0.013932010735124378, 0.16794208261127558),
+    ("r_mean", None): (17, -0.5686274509803922, 0.017226738525358574, -0.020757279120893264, 0.007511534583656076, 0.016120086607240593),
+    ("frac_small", "r562"): (4, -1.0, 0.0, -0.034817857617515144, 0.00296551966157818, 0.007176338048504925),
+    ("frac_small", "r563"): (7, 0.5714285714285715, 0.18020198891152767, 0.018703904529040458, 0.0064287447674790344, 0.03342233160010737),
+    ("frac_small", "r564"): (6, 0.5428571428571429, 0.26570262390670546, 0.007392051476504747, 0.008208916973480267, 0.41877358840879175),
+    ("frac_small", None): (17, 0.465686274509804, 0.05957824210811781, 0.010882900946963122, 0.005519564823729405, 0.07030812731563599),
+}
+
+
+@pytest.fixture(scope="module")
+def compared(spark):
+    return spark.createDataFrame(COMPARED, "run string, train int, n int, r_mean double, r_median double, volume double, frac_small double, coverage double")
+
+
+def test_steps(compared):
+    steps = seq.steps(compared, "run", "train", coverage="coverage")
+    steps = seq.outlier_steps(steps.withColumn("kind", seq.step_kind(F.col("count_ratio"), F.col("r_mean_ratio"), F.col("volume_ratio"))), "run")
+    rows = {(r.run, r.train_to): r for r in steps.collect()}
+    assert rows.keys() == STEPS.keys()
+    for k, (*numbers, kind, flagged, fresh) in STEPS.items():
+        r = rows[k]
+        assert (r.count_ratio, r.r_median_ratio, r.volume_ratio, r.frac_small_change, r.coverage_change, r.z) == pytest.approx(tuple(numbers), rel=1e-9)
+        assert (r.kind, r.flagged, r.fresh) == (kind, flagged, fresh)
+    assert {(r.run, r.train) for r in seq.layer_set(steps, "run").collect()} == {("r563", 4), ("r564", 3)}
+
+
+def test_trends(spark, compared):
+    layers = spark.createDataFrame([("r563", 4), ("r564", 3)], "run string, train int")
+    rows = reg.trends(compared, "run", "train", ["n", "r_mean", "frac_small"], ["n", "r_mean"], layers).collect()
+    got = {(r.metric, None if r.pooled else r.run): (r.n, r.spearman_rho, r.spearman_p, r.slope, r.slope_se, r.slope_p) for r in rows}
+    assert got.keys() == TRENDS.keys() and all(got[k] == pytest.approx(v, rel=1e-8, abs=1e-12) for k, v in TRENDS.items())
