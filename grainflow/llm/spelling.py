@@ -76,32 +76,44 @@ def word_counts(docs: DataFrame, length: int = 7, least: int = 2, every: int = 3
     return rows.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether exactly one inserted, deleted or replaced code point leads from ``a`` to ``b``, which is not shorter."""
-    at = 0
-    while at < len(a) and a[at] == b[at]:
+def one_edit(a: str, b: str, at: int = 0) -> bool:
+    """Whether exactly one inserted, deleted or replaced code point leads from ``a`` to ``b``, which is not shorter. The first ``at`` code points are known to be alike."""
+    size = len(a)
+    while at < size and a[at] == b[at]:
         at += 1
-    if len(a) == len(b):
-        return at < len(a) and a[at + 1 :] == b[at + 1 :]
+    if size == len(b):
+        return at < size and a[at + 1 :] == b[at + 1 :]
     return a[at:] == b[at + 1 :]
 
 
-def often_enough(lists: list[list[int]], bound: int):
+def often_enough(lists: list[list[int]], bound: int) -> list[int]:
     """The numbers that are in ``bound`` or more of the ascending lists. A number that is must be in one of all but the bound - 1 longest lists, so only those are merged."""
     lists.sort(key=len)
     cut = len(lists) - bound + 1
-    longest = lists[cut:]
-    for k, run in groupby(heapq.merge(*lists[:cut]) if cut > 1 else lists[0]):
-        missing = bound - sum(1 for _ in run)
-        left = len(longest)
-        for held in longest:
-            if missing <= 0 or left < missing:
-                break
-            at = bisect_left(held, k)
-            missing -= at < len(held) and held[at] == k
-            left -= 1
+    if cut == 1:
+        counts = dict.fromkeys(lists[0], 1)
+    else:
+        counts = {}
+        for k in heapq.merge(*lists[:cut]):
+            counts[k] = counts.get(k, 0) + 1
+    if bound == 1:
+        return list(counts)
+    longest, out = lists[cut:], []
+    for k, missing in counts.items():
+        missing, left = bound - missing, bound - 1
+        if missing > 0:
+            for held in longest:
+                at = bisect_left(held, k)
+                if at < len(held) and held[at] == k:
+                    missing -= 1
+                    if not missing:
+                        break
+                left -= 1
+                if left < missing:
+                    break
         if missing <= 0:
-            yield k
+            out.append(k)
+    return out
 
 
 class Shard:
@@ -122,19 +134,37 @@ class Shard:
         position (0), so that the edit is behind it, or one earlier (1), so that it is in front."""
         if not self.members:
             return
-        at, q, lists = self.at, self.q, []
+        at, q, postings, lists = self.at, self.q, self.postings, []
         if ahead is None:
-            lists = [held for k in self.places if (held := self.postings[k].get(word[k : k + q]))]
+            missed = 0
+            for k in self.places:
+                held = postings[k].get(word[k : k + q])
+                if held is not None:
+                    lists.append(held)
+                elif missed == q:  # one edit changes no more
+                    return
+                else:
+                    missed += 1
         else:
-            for k in range(len(word) - q + 1):
+            last = len(word) - q + 1
+            # On the side of the gram without the edit each q-gram must be there.
+            for k in range(at) if ahead == 0 else range(at, last):
+                held = postings[k + ahead].get(word[k : k + q])
+                if held is None:
+                    return
+                lists.append(held)
+            for k in range(at + 1, last) if ahead == 0 else range(at - 1):
                 gram = word[k : k + q]
-                lists += [held for place in (k, k + 1) if place != at and (held := self.postings[place].get(gram))]
+                if gram in postings[k]:
+                    lists.append(postings[k][gram])
+                if gram in postings[k + 1]:
+                    lists.append(postings[k + 1][gram])
         if len(lists) < self.bound:
             return
-        head, tail = word[:at] if ahead != 1 else None, word[at + q - (ahead or 0) :] if ahead != 0 else None
+        head, tail, end = word[:at] if ahead != 1 else None, word[at + q - (ahead or 0) :] if ahead != 0 else None, at + q
         for k in often_enough(lists, self.bound):
             other = self.members[k][0]
-            if (other[:at] == head or other[at + q :] == tail) and one_edit(word, other):
+            if one_edit(word, other, end) if other[:at] == head else other[end:] == tail and one_edit(word, other):
                 yield self.members[k]
 
 
