@@ -108,7 +108,7 @@ FIT = {
 }
 
 
-def _fit(pixels: np.ndarray, height: int, width: int, scale: float, rules: EdgeRules) -> list:
+def _fit(pixels: np.ndarray, height: int, width: int, scale: float, rules: EdgeRules, cut_only: bool = False) -> list:
     found = contours(pixels, width)
     every = np.concatenate(found)
     border = lambda p: (p[:, 0] <= 0) | (p[:, 0] >= height - 1) | (p[:, 1] <= 0) | (p[:, 1] >= width - 1)
@@ -116,6 +116,8 @@ def _fit(pixels: np.ndarray, height: int, width: int, scale: float, rules: EdgeR
     at_edge = border(line)
     cut = bool(at_edge.sum() >= 3)
     known = [len(every), int(border(every).sum()), hull_pixels(every), cut]
+    if cut_only and not cut:
+        return known + [None] * 11
     seen = line[~at_edge] if cut else line
     r, c = (seen.T + 0.5) / scale - 0.5
     circle = circle_of(r, c) if len(r) >= 6 else None
@@ -143,19 +145,19 @@ def _fit(pixels: np.ndarray, height: int, width: int, scale: float, rules: EdgeR
     return [*known, kind, min(arc, 360.0), float(inside.mean()), *shape, *circle]
 
 
-def outline_fits(masks: DataFrame, keys: list[str], height: int, width: int, scale: float = 1.0, rules: EdgeRules = EdgeRules()) -> DataFrame:
+def outline_fits(masks: DataFrame, keys: list[str], height: int, width: int, scale: float = 1.0, rules: EdgeRules = EdgeRules(), cut_only: bool = False) -> DataFrame:
     """keys and ``FIT``: the outline of each mask with pixels (a grid of ``height`` x ``width``), fitted in image pixels.
 
     The longest contour counts. Where three of its points or more are at the grid's border the mask is cut: those points are left out, and a circle, or an ellipse that is
     clearly nearer to a long enough arc, is fitted to what is seen, so the centre may lie outside the image; a short arc is a sliver (``visible``), which has its circle only. Else
     it is the ellipse, or the circle if there is none. outline_points, border_points and convex_pixels (of the convex hull) are of all contours. Contours of fewer than six
-    points, or in a line, have no fit. Masks without pixels have no row.
+    points, or in a line, have no fit, nor have with ``cut_only`` masks that aren't cut. Masks without pixels have no row.
     """
     kinds = ", ".join(f"`{k}` {masks.schema[k].dataType.simpleString()}" for k in keys)
 
     def fit(frames):
         for frame in frames:
-            rows = [_fit(np.asarray(p, np.int64), height, width, scale, rules) for p in frame["pixels"]]
+            rows = [_fit(np.asarray(p, np.int64), height, width, scale, rules, cut_only) for p in frame["pixels"]]
             out = pd.DataFrame(rows, columns=list(FIT))
             for c in keys:
                 out[c] = frame[c].to_numpy()
@@ -172,7 +174,7 @@ def measure_with_edges(masks: DataFrame, keys: list[str], height: int, width: in
     of the whole object. Slivers keep the measures of their pixels and aren't reliable. area_visible_px2 and solidity are always those of the pixels.
     """
     m = measure_masks(masks, keys, width, scale)
-    f = outline_fits(masks, keys, height, width, scale, rules).withColumnsRenamed({"y": "_y", "x": "_x", "fit_kind": "_kind", "arc_deg": "_arc", "outline_visible_frac": "_seen", "edge_truncated": "_cut"})
+    f = outline_fits(masks, keys, height, width, scale, rules, cut_only=True).withColumnsRenamed({"y": "_y", "x": "_x", "fit_kind": "_kind", "arc_deg": "_arc", "outline_visible_frac": "_seen", "edge_truncated": "_cut"})
     j = m.join(f, keys)
     cut = F.col("_cut") & F.col("_kind").isNotNull()
     sliver, fitted = cut & (F.col("_kind") == "visible"), cut & (F.col("_kind") != "visible")

@@ -21,7 +21,7 @@ def _shapes(spark, sf_dir):
 
 
 def outline_points(spark, sf_dir):
-    fits = outlines.outline_fits(_masks(spark, sf_dir), KEYS, HEIGHT, WIDTH)
+    fits = outlines.outline_fits(_masks(spark, sf_dir), KEYS, HEIGHT, WIDTH, cut_only=True)
     return fits.groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), F.sum("outline_points").alias("outline_points"), F.sum("border_points").alias("border_points"))
 
 
