@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +104,37 @@ def mask_overlaps(masks: DataFrame, by: list[str], key: str, width: int, cell: f
     return met.select(*by, "a", "b", (F.col("_n") / (F.size("_a") + F.size("_b") - F.col("_n"))).alias("iou"))
 
 
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The shortest least-squares solution of each a x = b of a stack."""
+    q, upper = np.linalg.qr(a)
+    return (np.linalg.pinv(upper, rcond=a.shape[1] * np.finfo(float).eps) @ (q.transpose(0, 2, 1) @ b[:, :, None]))[:, :, 0]
+
+
+def circles_of(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """``circle_of`` for each row of a stack, all at once; NaN where there is none, also where points aren't finite."""
+    out = np.full((len(r), 3), np.nan)
+    live = np.flatnonzero(np.isfinite(r).all(1) & np.isfinite(c).all(1))
+    if r.shape[1] < 3 or not len(live):
+        return out
+    u, v = r - r.mean(1, keepdims=True), c - c.mean(1, keepdims=True)
+    design = np.stack([2 * u[live], 2 * v[live], np.ones_like(u[live])], axis=2)
+    full = np.linalg.matrix_rank(design) == 3
+    done, live = live[full], live[full]
+    x, y, k = _solved(design[full], u[live] ** 2 + v[live] ** 2).T
+    out[live] = np.column_stack([x, y, np.sqrt(np.maximum(k + x * x + y * y, 1e-12))])
+    for _ in range(50):
+        if not len(live):
+            break
+        du, dv, rad = u[live] - out[live, :1], v[live] - out[live, 1:2], out[live, 2:]
+        far = np.hypot(du, dv)
+        safe = np.maximum(far, 1e-12)
+        step = _solved(np.stack([-du / safe, -dv / safe, -np.ones_like(safe)], axis=2), rad - far)
+        out[live] += step
+        live = live[np.abs(step).max(1) >= 1e-10 * np.maximum(1.0, out[live, 2])]
+    out[done, :2] += np.column_stack([r[done].mean(1), c[done].mean(1)])
+    return out
+
+
 def circle_of(r: np.ndarray, c: np.ndarray) -> tuple[float, float, float] | None:
     """Centre and radius of the circle nearest to points: the algebraic one, then Gauss-Newton on distances. None for fewer than three points or points in a line."""
     if len(r) < 3:
@@ -125,6 +156,47 @@ def circle_of(r: np.ndarray, c: np.ndarray) -> tuple[float, float, float] | None
     return float(mr + x), float(mc + y), float(rad)
 
 
+def ellipses_through(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """``ellipse_through`` for each row of a stack, all at once; NaN where there is none."""
+    out = np.full((len(r), 5), np.nan)
+    if r.shape[1] < 6 or not len(r):
+        return out
+    try:
+        with np.errstate(all="ignore"):
+            _ellipses(r, c, out)
+    except np.linalg.LinAlgError:  # of one of them, which is found by halves
+        half = len(r) // 2
+        out[:] = np.nan
+        if half:
+            out[:half], out[half:] = ellipses_through(r[:half], c[:half]), ellipses_through(r[half:], c[half:])
+    return out
+
+
+def _ellipses(r: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
+    turned = lambda m: m.transpose(0, 2, 1)
+    size = np.maximum(np.maximum(np.std(r, axis=1), np.std(c, axis=1)), 1e-9)[:, None]
+    y, x = (r - r.mean(1, keepdims=True)) / size, (c - c.mean(1, keepdims=True)) / size
+    square, line = np.stack([x * x, x * y, y * y], axis=2), np.stack([x, y, np.ones_like(x)], axis=2)
+    drop = -np.linalg.solve(turned(line) @ line, turned(line) @ square)
+    reduced = turned(square) @ square + turned(square) @ line @ drop
+    values, vectors = np.linalg.eig(np.stack([reduced[:, 2] / 2, -reduced[:, 1], reduced[:, 0] / 2], axis=1))
+    vectors = np.real(vectors)
+    held = 4 * vectors[:, 0] * vectors[:, 2] - vectors[:, 1] ** 2 > 0
+    at = np.flatnonzero(held.any(1))
+    best = np.argmin(np.where(held, np.abs(np.real(values)), np.inf), axis=1)[at]
+    conic = vectors[at, :, best]
+    (a, b, d), (p, q, k) = conic.T, (drop[at] @ conic[:, :, None])[:, :, 0].T
+    form = np.stack([np.stack([a, b / 2], axis=1), np.stack([b / 2, d], axis=1)], axis=1)
+    x0, y0 = np.linalg.solve(2 * form, -np.stack([p, q], axis=1)[:, :, None])[:, :, 0].T
+    level = -(a * x0 * x0 + b * x0 * y0 + d * y0 * y0 + p * x0 + q * y0 + k)
+    lengths, axes = np.linalg.eigh(form / level[:, None, None])
+    real = (lengths > 0).all(1)
+    at, size = at[real], size[at[real], 0]
+    long, short = (1 / np.sqrt(lengths[real])).T
+    angle = np.degrees(np.arctan2(axes[real, 1, 0], axes[real, 0, 0]))
+    out[at] = np.column_stack([r[at].mean(1) + y0[real] * size, c[at].mean(1) + x0[real] * size, long * size, short * size, (angle + 90) % 180 - 90])
+
+
 def ellipse_through(r: np.ndarray, c: np.ndarray) -> tuple[float, float, float, float, float] | None:
     """Centre, semi-axes and angle (degrees, of the long axis from the column axis) of the least-squares ellipse of points: the conic whose discriminant is held
     negative, its quadratic part an eigenvector of a 3 x 3 problem (Halir and Flusser). None for fewer than six points or where there is no ellipse."""
@@ -157,13 +229,23 @@ def ellipse_through(r: np.ndarray, c: np.ndarray) -> tuple[float, float, float,
 
 def fitted_outlines(points: DataFrame, by: list[str], row: str, col: str) -> DataFrame:
     """by, n_points, circle and ellipse of each outline: row, col, radius; row, col, semi_major, semi_minor, angle_deg; null where points don't determine one.
-    An outline is a group; its points are some hundreds."""
+    An outline is a group; its points are some hundreds. Outlines of as many points are fitted together."""
     kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
-    circle, ellipse = ("circle_row", "circle_col", "radius"), ("row", "col", "semi_major", "semi_minor", "angle_deg")
-
-    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        r, c = frame["_r"].to_numpy(float), frame["_c"].to_numpy(float)
-        return pd.DataFrame([[*key, len(r), *(circle_of(r, c) or [None] * 3), *(ellipse_through(r, c) or [None] * 5)]], columns=[*by, "n_points", *circle, *ellipse])
+    shapes = ("circle_row", "circle_col", "radius", "row", "col", "semi_major", "semi_minor", "angle_deg")
+
+    def fit(batches):
+        for batch in batches:
+            sizes = batch.column("_r").value_lengths().to_numpy(zero_copy_only=False)
+            start, r, c = np.cumsum(sizes) - sizes, *(batch.column(k).flatten().to_numpy() for k in ("_r", "_c"))
+            found = np.full((len(sizes), len(shapes)), np.nan)
+            for n in np.unique(sizes):
+                same, most = np.flatnonzero(sizes == n), max(1, (1 << 16) // n)
+                for at in (same[k : k + most] for k in range(0, len(same), most)):
+                    own = start[at][:, None] + np.arange(n)
+                    found[at] = np.hstack([circles_of(r[own], c[own]), ellipses_through(r[own], c[own])])
+            columns = [*(batch.column(k) for k in by), pa.array(sizes, pa.int64()), *(pa.array(v, from_pandas=True) for v in found.T)]
+            yield pa.RecordBatch.from_arrays(columns, [*by, "n_points", *shapes])
 
     rows = points.select(*by, F.col(row).cast("double").alias("_r"), F.col(col).cast("double").alias("_c")).filter("_r IS NOT NULL AND _c IS NOT NULL")
-    return rows.groupBy(*by).applyInPandas(fit, f"{kinds}, n_points long, " + ", ".join(f"{c} double" for c in (*circle, *ellipse)))
+    outlines = rows.groupBy(*by).agg(F.collect_list("_r").alias("_r"), F.collect_list("_c").alias("_c"))
+    return outlines.mapInArrow(fit, f"{kinds}, n_points long, " + ", ".join(f"{c} double" for c in shapes))

@@ -56,11 +56,11 @@ def mask_overlaps(spark, sf_dir):
 
 
 def fitted_outlines(spark, sf_dir):
-    """Circles and ellipses through the outlines of ellipses, one for each size and direction, at the least row and column of those that have it: the ellipses come back."""
-    means = _discs(spark, sf_dir).groupBy("bubble", "angle").agg(*(F.min(c).alias(c) for c in ("row", "col", "a", "b")))
-    points = means.select("bubble", "angle", F.explode(geometry.outline(F.col("row"), F.col("col"), F.col("a"), F.col("b"), F.col("angle"), 24)).alias("p"))
-    out = masks.fitted_outlines(points.select("bubble", "angle", F.col("p")[0].alias("i"), F.col("p")[1].alias("j")), ["bubble", "angle"], "i", "j")
-    return rounded(out.select("bubble", "angle", "n_points", "row", "col", "semi_major", "semi_minor"), 6)
+    """Circles and ellipses through the outlines of all ellipses, a row each: the ellipses come back."""
+    keys = ["supplier", "frame", "bubble"]
+    points = _discs(spark, sf_dir).select(*keys, F.explode(geometry.outline(F.col("row"), F.col("col"), F.col("a"), F.col("b"), F.col("angle"), 24)).alias("p"))
+    out = masks.fitted_outlines(points.select(*keys, F.col("p")[0].alias("i"), F.col("p")[1].alias("j")), keys, "i", "j")
+    return rounded(out.select(*keys, "n_points", "row", "col", "semi_major", "semi_minor"), 6)
 
 
 def snapshots(spark, sf_dir):
@@ -136,5 +136,5 @@ SELECT supplier, count(*) AS n, round(avg(n), 5) AS area_px2, round(avg(x), 5) A
     "mask_overlaps": f"""WITH {SQL}, {_DISCS}, one AS (SELECT frame, bubble, min(y0) AS y0, min(x0) AS x0, min(a) AS a, min(b) AS b, min(t) AS t FROM discs GROUP BY frame, bubble), {_PIXELS.format(s=1, h=60, w=110, d="one")},
 n AS (SELECT frame, bubble, count(*) AS n FROM px GROUP BY ALL), k AS (SELECT p.frame, p.bubble AS a, q.bubble AS b, count(*) AS k FROM px p JOIN px q ON p.frame = q.frame AND p.y = q.y AND p.x = q.x AND p.bubble < q.bubble GROUP BY ALL)
 SELECT k.frame, k.a, k.b, round(k / (u.n + v.n - k), 6) AS iou FROM k JOIN n u ON u.frame = k.frame AND u.bubble = k.a JOIN n v ON v.frame = k.frame AND v.bubble = k.b""",
-    "fitted_outlines": f"""WITH {SQL}, {_DISCS} SELECT bubble, CAST(frame % 180 AS DOUBLE) AS angle, 24 AS n_points, round(min(y0), 6) AS "row", round(min(x0), 6) AS col, round(any_value(a), 6) AS semi_major, round(any_value(b), 6) AS semi_minor FROM discs GROUP BY bubble, frame % 180""",
+    "fitted_outlines": f"""WITH {SQL}, {_DISCS} SELECT supplier, frame, bubble, 24 AS n_points, round(y0, 6) AS "row", round(x0, 6) AS col, round(a, 6) AS semi_major, round(b, 6) AS semi_minor FROM discs""",
 }

@@ -353,6 +353,28 @@ def test_outlines_and_masks(spark):
     assert (row.arc, row.small, row.null, row.r, row.back) == (30, True, True, 4, 2.25)
 
 
+def test_each_outline_is_fitted(spark, tmp_path):
+    """The query fits an ellipse for each supplier, frame and number, also those of one size and direction; outlines of different lengths are fitted together."""
+    from grainflow.operators import geometry, masks
+    from grainflow.plans.catalog import QUERIES
+
+    rows = [(order, 100 * supplier + order, supplier, line, 10.0 * supplier + line) for order in (1, 181, 361) for supplier in (1, 2) for line in (1, 2, 7)] + [(1, 1, None, 1, 4.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").selectExpr("*", "l_quantity * 1000 AS l_extendedprice", "'A' AS l_returnflag", "date'1992-01-02' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.supplier, r.frame, r.bubble): (r.row, r.col, r.semi_major, r.semi_minor) for r in QUERIES["fitted_outlines"](spark, str(tmp_path)).collect()}
+    assert got == {(s, o, k): (r, r, round(k + 0.9, 6), round((k + 0.3) / 2, 6)) for o, _, s, k, r in rows}
+    kinds = spark.createDataFrame([("a", 12), ("b", 12), (None, 30), ("d", 5)], "g string, n int").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    points = kinds.withColumn("p", F.get(geometry.outline(F.lit(2.0), F.lit(3.0), F.lit(4.0), F.lit(1.0), F.lit(20.0), 30), F.col("at") * (30 / F.col("n")).cast("int"))).select("g", F.col("p")[0].alias("r"), F.col("p")[1].alias("c"))
+    points = points.unionByName(spark.createDataFrame([("line", float(k), 2.0 * k) for k in range(12)] + [("nan", float("nan") if k else 0.0, 2.0 * k) for k in range(12)], points.schema))
+    fits = {r.g: r for r in masks.fitted_outlines(points, ["g"], "r", "c").collect()}
+    assert {g: r.n_points for g, r in fits.items()} == {"a": 12, "b": 12, None: 30, "d": 5, "line": 12, "nan": 12}
+    for g in ("a", "b", None):
+        assert tuple(fits[g][k] for k in ("row", "col", "semi_major", "semi_minor", "angle_deg")) == pytest.approx((2, 3, 4, 1, 20)) and fits[g].radius > 0
+    assert fits["d"].radius > 0 and fits["d"].semi_major is None and all(fits[g][k] is None for g in ("line", "nan") for k in ("radius", "row", "semi_major"))
+    at, rng = np.linspace(0, 5, 20), np.random.default_rng(4)
+    r, c = (rng.uniform(2, 9, (15, 1)) * f(at + rng.uniform(0, 6, (15, 1))) + rng.normal(0, 0.05, (15, 20)) for f in (np.sin, np.cos))
+    assert np.allclose(masks.circles_of(r, c), [masks.circle_of(*o) for o in zip(r, c)], atol=1e-6) and np.allclose(masks.ellipses_through(r, c), [masks.ellipse_through(*o) for o in zip(r, c)], atol=1e-6)
+
+
 def test_scaling_and_percentiles(spark):
     df = spark.createDataFrame([(0, [0.0, 5.0, 10.0, None]), (1, [20.0, -3.0])], "k int, px array<double>")
     scaled = {r.k: r.s for r in df.select("k", arrays.scaled_to(F.col("px"), 0.0, 10.0, 100).alias("s")).collect()}
