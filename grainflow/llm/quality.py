@@ -9,10 +9,13 @@ and the logarithm of their number.
 from __future__ import annotations
 
 import re
+import string
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,10 @@ HIDDEN, STEPS, RATE, DECAY = 16, 600, 0.02, 1e-3
 #: Labelled rows that the network learns from at most: those whose ids' hashes are below a cut.
 MOST_LABELLED = 20_000
 _PARTS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
+_MARKS = frozenset(string.punctuation)
 _WORDS_KEPT = 100_000
+#: Counters of a term: two for each dimension, +1 and -1, and one that PAD's codes go to.
+_WIDTH = 2 * DIMS + 1
 
 
 @lru_cache(maxsize=1)
@@ -37,69 +43,77 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def index_codes() -> np.ndarray:
+    """TERMS x ONES: where the index vectors aren't 0, as twice the dimension, one more for -1."""
+    index = index_vectors()
+    out = np.full((TERMS, ONES), 2 * DIMS)
+    term, dim = np.nonzero(index)
+    out[1:] = (2 * dim + (index[term, dim] < 0)).reshape(-1, ONES)
+    return out
+
+
+def _packed(term: int) -> bytes:
+    return term.to_bytes(4, "little")
+
+
+def _hashed(part: str) -> bytes:
+    return _packed(FIRST + xxhash.xxh32_intdigest(part.lower()) % (TERMS - FIRST))
+
+
+_mark = lru_cache(maxsize=100)(_hashed)
+
+
+def _part(part: str) -> bytes:
+    return _packed(CAPITALS) + _hashed(part) if part.isupper() and part.isalpha() and len(part) > 1 else _hashed(part)
+
+
 class _Terms(dict):
-    """Word (bytes) -> its number; the terms of word k are flat[start[k] : start[k] + size[k]]."""
-
-    def __init__(self):
-        super().__init__()
-        self.start, self.size, self.flat, self.n, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0, 0
-        self.same = self._add(None, [SAME])
-
-    def _add(self, word, terms: list[int]) -> int:
-        if self.n == len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * self.n), np.resize(self.size, 2 * self.n)
-        while self.used + len(terms) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.start[self.n], self.size[self.n] = self.used, len(terms)
-        self.flat[self.used : self.used + len(terms)] = terms
-        self.used += len(terms)
-        self.n += 1
-        self[word] = self.n - 1
-        return self.n - 1
-
-    def __missing__(self, word: bytes) -> int:
-        terms = []
-        for part in _PARTS.findall(word.decode("utf-8", "replace")):
-            if part.isdigit():
-                terms.append(DIGITS)
-                continue
-            if part.isalpha() and len(part) > 1 and part.isupper():
-                terms.append(CAPITALS)
-            terms.append(FIRST + xxhash.xxh32_intdigest(part.lower()) % (TERMS - FIRST))
-        return self._add(word, terms)
-
-
-_known: list[_Terms] = []
-
-
-def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(terms of all texts, each text's followed by REACH times PAD; the number of terms of each text)."""
-    if not _known or len(_known[0]) > _WORDS_KEPT:
-        _known[:] = [_Terms()]
-    known, ids, sizes = _known[0], [], []
-    for text in texts:
-        words = text.split()
-        k = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        k[1:][k[1:] == k[:-1]] = known.same
-        size = known.size[k]
-        total = int(size.sum())
-        flat = np.repeat(known.start[k] - (np.cumsum(size) - size), size) + np.arange(total)
-        ids += [known.flat[flat], np.zeros(REACH, np.int32)]
-        sizes.append(total)
-    return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array(sizes, np.int64)
-
-
-def _batches(column, most: int = 1 << 20):
-    """Lists of texts (bytes) of about ``most`` bytes together."""
-    held, size = [], 0
-    for t in column:
-        held.append(t.as_py().encode())
-        size += len(held[-1])
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    """Word -> its terms, four bytes each (tuples would be the garbage collector's work)."""
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            terms = _part(word)
+        elif word[-1:] in _MARKS and word[:-1].isalpha():
+            terms = _part(word[:-1]) + _mark(word[-1])
+        else:
+            terms = b"".join([_packed(DIGITS) if part.isdigit() else _part(part) for part in _PARTS.findall(word)])
+        self[word] = terms
+        return terms
+
+
+_known = _Terms()
+
+
+def terms_of(texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of all texts, each text's followed by REACH times PAD; the number of terms of each text). Each different word is looked up once."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.string())
+    if len(_known) > _WORDS_KEPT:
+        _known.clear()
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+    coded = words.flatten().dictionary_encode()
+    terms = [*map(_known.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), _packed(SAME), _packed(PAD) * REACH]
+    size, flat = np.fromiter(map(len, terms), np.int64, len(terms)) // 4, np.frombuffer(b"".join(terms), "<i4")
+    last = np.cumsum(words.value_lengths().to_numpy() + 1) - 1
+    k = np.full(len(coded) + len(texts), len(terms) - 1)
+    inner = np.ones(len(k), bool)
+    inner[last] = False
+    k[inner] = coded.indices.to_numpy()
+    k[1:][(k[1:] == k[:-1]) & inner[1:]] = len(terms) - 2
+    sizes = size[k]
+    stop = np.cumsum(sizes)
+    at = np.repeat((np.cumsum(size) - size)[k] - (stop - sizes), sizes)
+    return flat[at + np.arange(len(at))], np.diff(stop[last], prepend=0) - REACH
+
+
+def _parts(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """Slices of about ``most`` bytes."""
+    size, at = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
+    while at < len(texts):
+        stop = int(np.searchsorted(size, (size[at - 1] if at else 0) + most)) + 1
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
@@ -108,18 +122,16 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     columns = [f"c{k}" for k in range(DIMS)]
 
     def gather(batches):
-        index, total = index_vectors(), np.zeros((TERMS, DIMS), np.int64)
+        codes, counts = index_codes(), np.zeros(TERMS * _WIDTH, np.int64)
         for batch in batches:
-            for part in _batches(batch.column(0)):
+            for part in _parts(batch.column(0)):
                 ids, _ = terms_of(part)
-                own = index[ids]
-                around = own.copy()
-                for k in range(1, REACH + 1):
-                    around[k:] += own[:-k]
-                    around[:-k] += own[k:]
-                order = np.argsort(ids, kind="stable")
-                at = np.flatnonzero(np.diff(ids[order], prepend=-1))
-                total[ids[order][at]] += np.add.reduceat(around[order], at, axis=0, dtype=np.int64)
+                own, n = ids.astype(np.int64)[:, None] * _WIDTH, len(ids)
+                for k in range(-REACH, REACH + 1):
+                    near = own[max(0, -k) : n - max(0, k)] + codes[ids[max(0, k) : n - max(0, -k)]]
+                    counts += np.bincount(near.ravel(), minlength=len(counts))
+        signs = counts.reshape(TERMS, _WIDTH)[:, : 2 * DIMS].reshape(TERMS, DIMS, 2)
+        total = signs[:, :, 0] - signs[:, :, 1]
         seen = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.array(total[seen, k]) for k in range(DIMS))], ["term", *columns])
 
@@ -131,13 +143,13 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def features_of(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+def features_of(texts: pa.Array | list[bytes], vectors: np.ndarray) -> np.ndarray:
     """A row for each text: the mean of its terms' vectors, and the logarithm of their number."""
-    if not texts:
-        return np.zeros((0, DIMS + 1), np.float32)
     ids, sizes = terms_of(texts)
-    at = np.cumsum(sizes + REACH) - sizes - REACH  # PAD's vector is zero, and each text ends with it
-    sums = np.add.reduceat(vectors[ids], at, axis=0, dtype=np.float64)
+    stop, wide, sums = np.cumsum(sizes + REACH) - REACH, vectors.astype(np.float64), np.zeros((len(sizes), DIMS))
+    for row, a, b in zip(sums, stop - sizes, stop):
+        for k in range(a, b, 1 << 16):
+            row += wide[ids[k : min(b, k + (1 << 16))]].sum(axis=0)
     return np.column_stack([sums / np.maximum(sizes, 1)[:, None], np.log1p(sizes)]).astype(np.float32)
 
 
@@ -146,7 +158,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 
     def pool(batches):
         for batch in batches:
-            rows = [features_of(part, vectors) for part in _batches(batch.column(1))]
+            rows = [features_of(part, vectors) for part in _parts(batch.column(1))]
             if rows:
                 features = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(rows).ravel()), DIMS + 1).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), features], ["doc_id", "features"])
@@ -235,10 +247,11 @@ class Classifier:
 
         def keep(batches):
             for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    part = batch.slice(at, 64)
-                    x = features_of([(t.as_py() or "").encode() for t in part.column(names.index("text"))], vectors)
-                    yield part.filter(pa.array(network.score(x.astype(np.float64)) >= threshold))
+                at = 0
+                for part in _parts(pc.fill_null(batch.column(names.index("text")), "")):
+                    x = features_of(part, vectors)
+                    yield batch.slice(at, len(part)).filter(pa.array(network.score(x.astype(np.float64)) >= threshold))
+                    at += len(part)
 
         return docs.mapInArrow(keep, docs.schema)
 

@@ -1,10 +1,14 @@
 """The quality classifier: held-out accuracy, features against a plain version, odd rows."""
 
+import random
+import re
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
+from grainflow.llm import quality
 from grainflow.llm.quality import DECAY, DIMS, Classifier, Network, features_of, index_vectors, quality_scores, terms_of, word_vectors
 from grainflow.llm.queries import QUERIES
 from tests.llm.helpers import SF, docs_frame
@@ -41,6 +45,38 @@ def test_word_vectors_and_features_against_loops(spark):
         assert np.allclose(row[:DIMS], got[ids].mean(axis=0) if ids else 0, atol=1e-4) and np.isclose(row[DIMS], np.log1p(len(ids)), atol=1e-5)
 
 
+def test_terms_against_a_plain_version(monkeypatch):
+    """Terms word by word, on odd texts; each different word is looked up once in a call."""
+
+    class Counting(quality._Terms):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counting.asked += 1
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(quality, "_known", Counting())
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(list("aB1_.é² \t\n\x0b\x0c\r\x1c\x85\xa0ⒶⅧ中ß٣🙂"), k=rng.randint(0, 12))) for _ in range(2000)] + ["", "  ", " \n ", "a a a", "AB AB ab.", "\xa0 \xa0 x", "x " * 5]
+    ids, sizes = terms_of([t.encode() for t in texts])
+    hashed = lambda part: quality.FIRST + xxhash.xxh32_intdigest(part.lower()) % (quality.TERMS - quality.FIRST)
+    want, different = [], set()
+    for t in texts:
+        words = [w.decode() for w in t.encode().split()]
+        different |= set(words)
+        own = []
+        for k, w in enumerate(words):
+            if k and words[k - 1] == w:
+                own.append(quality.SAME)
+                continue
+            for part in re.findall(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+", w):
+                own += [quality.DIGITS] if part.isdigit() else [quality.CAPITALS, hashed(part)] if part.isalpha() and len(part) > 1 and part.isupper() else [hashed(part)]
+        want.append(own)
+    assert sizes.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in [*w, *[quality.PAD] * quality.REACH]]
+    assert Counting.asked == len(different | {""})
+
+
 def test_odd_rows(spark):
     docs = docs_frame(spark, [(1, None), (None, "a"), (2, ""), (2, ""), (3, "word " * 50_000)]).withColumn("score", F.lit("clash")).withColumn("features", F.lit(0))
     labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (None, 1), (2, None), (2, 7)], "doc_id long, quality int")
