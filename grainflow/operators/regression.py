@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainflow.functions.storage import settled
 from grainflow.operators.comparison import spearman
 from grainflow.operators.distribution import chi2_sf, t_two_sided
 
@@ -43,18 +44,20 @@ def trends(df: DataFrame, run: str, x: str, metrics: list[str], log_metrics: lis
     metric, run, pooled, n, spearman_rho, spearman_p, slope, slope_se, slope_p, pct_per_x. ``log_metrics`` are fitted on logarithms (of 1e-12 at least) and have a
     change in percent. exclude: run and train of rows to leave out. Fewer than three rows give none. Pooled degrees of freedom count a mean for each run.
 
-    Slopes are sums: those of a run are added up for the pooled ones. Values are counted before ranks go over them.
+    Slopes are sums: those of a run are added up for the pooled ones. Values are counted before ranks go over them. Values and centred values, a row for each of df, are
+    written first: means depend on the order in which Spark adds up, and ranks are joined back by value, so each must be found once only.
     """
     logs = log_metrics or []
     rows = df if exclude is None else df.join(exclude.select(run, train).distinct(), [run, train], "left_anti")
     y = lambda m: F.ln(F.greatest(F.col(m).cast("double"), F.when(F.col(m).isNotNull(), 1e-12))) if m in logs else F.col(m).cast("double")
     values = F.array(*(F.struct(F.lit(m).alias("metric"), y(m).alias("y")) for m in metrics))
     long = rows.select(F.col(run).alias("_run"), F.col(x).cast("double").alias("x"), F.explode(values).alias("v")).select("_run", "x", "v.metric", "v.y").filter("x IS NOT NULL AND y IS NOT NULL")
+    long = settled(long, "trends")
     sums = long.groupBy("metric", "_run").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"))
     centred = long.join(sums.select("metric", "_run", "mx", "my"), ["metric", "_run"]).select("metric", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
     # Runs and the pool of all are groups of one ranking.
     one, pool = F.concat(F.lit("="), F.col("_run").cast("string")), F.lit("")
-    groups = long.select("metric", one.alias("_group"), "x", "y").unionByName(centred.select("metric", pool.alias("_group"), "x", "y"))
+    groups = settled(long.select("metric", one.alias("_group"), "x", "y").unionByName(centred.select("metric", pool.alias("_group"), "x", "y")), "trends")
     ranked = spearman(groups, ["metric", "_group"], "x", "y").drop("n")
     own = sums.withColumn("_group", one).join(ranked, ["metric", "_group"]).withColumns({"pooled": F.lit(False), "dof": F.col("n") - 2})
     added = sums.groupBy("metric").agg(*(F.sum(c).alias(c) for c in ("n", "sxx", "syy", "sxy")), F.count(F.lit(1)).alias("runs"))
