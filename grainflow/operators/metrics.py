@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainflow.operators.distribution import percentiles
 from grainflow.operators.geometry import clark_evans, nearest_neighbours
 from grainflow.operators.masks import ellipse_coverage
 
@@ -74,11 +75,17 @@ def frame_metrics(bubbles: DataFrame, frames: DataFrame, key: list[str], um_per_
 
 
 def described(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """by, column, count, mean, std, min, p25, p50, p75, max: one row for each column of each group."""
+    """by, column, count, mean, std, min, p25, p50, p75, max: one row for each column of each group. Percentiles come from ranks of counted values, so no task holds a
+    group's different values."""
     values = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))
     long = df.select(*by, F.explode(values).alias("v")).select(*by, "v.column", "v.v")
-    points = [F.percentile("v", F.lit(q / 100)).alias(f"p{q}") for q in (25, 50, 75)]
-    return long.groupBy(*by, "column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), *points, F.max("v").alias("max"))
+    keys, points = [*by, "column"], {f"p{q}": q / 100 for q in (25, 50, 75)}
+    sums = long.groupBy(*keys).agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    placed = percentiles(long, keys, "v", points).select(*(F.col(k).alias(f"_{k}") for k in keys), *points)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return sums.join(placed, same, "left").select(*keys, "count", "mean", "std", "min", *points, "max")
 
 
 def value_counts(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

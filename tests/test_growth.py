@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from grainflow.operators import regression as reg
+from grainflow.operators import metrics, regression as reg
 
 
 def test_trends_use_each_value_once(spark):
@@ -14,3 +14,13 @@ def test_trends_use_each_value_once(spark):
     got = {(r.run, r.pooled): r for r in reg.trends(df, "run", "train", ["v"]).collect()}
     assert {k: r.n for k, r in got.items()} == {("a", False): 8, ("b", False): 8, (None, True): 16}
     assert got["a", False].spearman_rho == 1 and got["b", False].spearman_rho == 1 and got[None, True].spearman_rho > 0.9
+
+
+def test_described_without_a_groups_values_in_one_buffer(spark):
+    """Percentiles of counted values; a group without values, and the group null, have rows too; no exact percentile holds a group's values."""
+    rows = [("a", float(k), 1.0) for k in range(11)] + [(None, 3.0, None), (None, 4.0, None), ("e", None, 2.0)]
+    df = metrics.described(spark.createDataFrame(rows, "g string, v double, w double"), ["g"], ["v", "w"])
+    got = {(r.g, r.column): tuple(r)[2:] for r in df.collect()}
+    assert got["a", "v"][0] == 11 and got["a", "v"][3:] == (0.0, 2.5, 5.0, 7.5, 10.0) and got[None, "v"][3:] == (3.0, 3.25, 3.5, 3.75, 4.0)
+    assert got[None, "w"] == (0, *[None] * 7) and got["e", "v"] == (0, *[None] * 7) and got["e", "w"][0] == 1 and len(got) == 6
+    assert "percentile(" not in df._jdf.queryExecution().toString()
