@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,18 +75,43 @@ def ellipse_corners(row: Column, col: Column, a: Column, b: Column, angle_deg: C
     return F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
 
 
+def seen_points(y: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, cos_t: np.ndarray, sin_t: np.ndarray, height: float, width: float, points: int = 360) -> np.ndarray:
+    """How many of ``points`` on each ellipse's outline lie in the image. Ellipses that are clearly inside or outside by their extent aren't walked; unknown ones have none."""
+    reach_y, reach_x, near = np.hypot(a * sin_t, b * cos_t), np.hypot(a * cos_t, b * sin_t), 1e-6
+    within = (y - reach_y > near - 0.5) & (y + reach_y < height - 0.5 - near) & (x - reach_x > near - 0.5) & (x + reach_x < width - 0.5 - near)
+    beyond = (y + reach_y < -0.5 - near) | (y - reach_y > height - 0.5 + near) | (x + reach_x < -0.5 - near) | (x - reach_x > width - 0.5 + near)
+    out = np.where(within, points, 0)
+    around = [(i * 2 * math.pi) / points for i in range(points)]
+    c, s = np.array([math.cos(i) for i in around]), np.array([math.sin(i) for i in around])
+    left, most = np.flatnonzero(~(within | beyond)), max(1, (1 << 16) // points)
+    for at in (left[k : k + most] for k in range(0, len(left), most)):
+        of = lambda v: v[at][:, None]  # noqa: B023, E731
+        ac, bs = of(a) * c, of(b) * s
+        py, px = of(y) + ac * of(sin_t) + bs * of(cos_t), of(x) + ac * of(cos_t) - bs * of(sin_t)
+        out[at] = ((py >= -0.5) & (py <= height - 0.5) & (px >= -0.5) & (px <= width - 0.5)).sum(axis=1)
+    return out
+
+
 def with_visibility(df: DataFrame, height: float, width: float, least_arc: float, points: int = 360) -> DataFrame:
     """Ellipses (y, x, semi_major, semi_minor, angle_deg, fit_kind) that are in the image at least in part, with what is seen of them.
 
     Adds shape_type, eccentricity, outline_visible_frac, arc_deg, edge_truncated, fit_reliable. Ellipses outside the image go: no point of the outline is in it, nor does
-    the ellipse cover its centre. Drafts of slivers are truncated and never reliable.
+    the ellipse cover its centre. Drafts of slivers are truncated and never reliable. Outlines are walked in tasks, a batch of ellipses at once.
     """
-    a, b, t = F.col("semi_major"), F.col("semi_minor"), F.radians("angle_deg")
-    seen = lambda p: F.get(p, F.lit(0)).between(-0.5, height - 0.5) & F.get(p, F.lit(1)).between(-0.5, width - 0.5)
-    share = F.size(F.filter(outline(F.col("y"), F.col("x"), a, b, F.col("angle_deg"), points), seen)) / points
+    a, b, t, names = F.col("semi_major"), F.col("semi_minor"), F.radians("angle_deg"), df.columns
+
+    def walked(batches):
+        for batch in batches:
+            shape = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns - 6, batch.num_columns)]
+            seen = seen_points(*shape, height, width, points)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-6], pa.array(seen / points)], [*names, "outline_visible_frac"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
+    shape = (*(F.col(c).cast("double").alias(f"_{c}") for c in ("y", "x", "semi_major", "semi_minor")), F.cos(t).alias("_cos"), F.sin(t).alias("_sin"))
+    drawn = df.filter(b > 0).select(*names, *shape).mapInArrow(walked, f"{kinds}outline_visible_frac double")
     dy, dx = (height - 1) / 2 - F.col("y"), (width - 1) / 2 - F.col("x")
     covers = F.pow((dx * F.cos(t) + dy * F.sin(t)) / a, F.lit(2.0)) + F.pow((dy * F.cos(t) - dx * F.sin(t)) / b, F.lit(2.0)) <= 1
-    kept = df.filter(b > 0).withColumn("outline_visible_frac", share).filter((F.col("outline_visible_frac") > 0) | covers)
+    kept = drawn.filter((F.col("outline_visible_frac") > 0) | covers)
     sliver, whole = F.coalesce(F.col("fit_kind") == "sliver", F.lit(False)), F.col("outline_visible_frac") == 1
     return kept.withColumns(
         {

@@ -1,10 +1,12 @@
 """What larger tables brought to light: values found once, no buffers that grow with a group, plain versions of what runs on whole batches."""
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from grainflow.operators import metrics, regression as reg
+from grainflow.operators import geometry, metrics, regression as reg
 
 
 def test_trends_use_each_value_once(spark):
@@ -24,3 +26,18 @@ def test_described_without_a_groups_values_in_one_buffer(spark):
     assert got["a", "v"][0] == 11 and got["a", "v"][3:] == (0.0, 2.5, 5.0, 7.5, 10.0) and got[None, "v"][3:] == (3.0, 3.25, 3.5, 3.75, 4.0)
     assert got[None, "w"] == (0, *[None] * 7) and got["e", "v"] == (0, *[None] * 7) and got["e", "w"][0] == 1 and len(got) == 6
     assert "percentile(" not in df._jdf.queryExecution().toString()
+
+
+def test_outlines_are_walked_in_batches(spark):
+    """Counts of points as one by one, for ellipses inside, across and outside the image and unknown ones; the plan has no array of points for each row."""
+    rng = np.random.default_rng(4)
+    y, x, a, t = rng.uniform(-20, 80, 400), rng.uniform(-20, 130, 400), rng.uniform(0.5, 40, 400), rng.uniform(0, math.pi, 400)
+    y[0], b = np.nan, a * rng.uniform(0.2, 1, 400)
+    i = np.arange(360) * 2 * math.pi / 360
+    py, px = y[:, None] + np.outer(a, np.cos(i)) * np.sin(t)[:, None] + np.outer(b, np.sin(i)) * np.cos(t)[:, None], x[:, None] + np.outer(a, np.cos(i)) * np.cos(t)[:, None] - np.outer(b, np.sin(i)) * np.sin(t)[:, None]
+    want = ((py >= -0.5) & (py <= 59.5) & (px >= -0.5) & (px <= 109.5)).sum(1)
+    assert 0 < (want == 360).sum() < 400 and (want == 0).sum() > 1
+    assert geometry.seen_points(y, x, a, b, np.cos(t), np.sin(t), 60, 110).tolist() == want.tolist()
+    rows = [(k, 30.0, 5.0, 10.0, 5.0, 0.0, None) for k in range(3)]
+    df = geometry.with_visibility(spark.createDataFrame(rows, "k int, y double, x double, semi_major double, semi_minor double, angle_deg double, fit_kind string"), 60, 110, 120)
+    assert [r.edge_truncated for r in df.collect()] == [True] * 3 and "lambda" not in df._jdf.queryExecution().toString()
