@@ -132,6 +132,13 @@ def outline(row: Column, col: Column, a: Column, b: Column, angle_deg: Column, n
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
 
 
+def outline_points(row: Column, col: Column, a: Column, b: Column, angle_deg: Column, n: int) -> list[Column]:
+    """The points of ``outline`` as a column each, for small n."""
+    t = F.radians(angle_deg)
+    around = [(i * 2 * math.pi) / n for i in range(n)]
+    return [F.array(row + a * math.cos(i) * F.sin(t) + b * math.sin(i) * F.cos(t), col + a * math.cos(i) * F.cos(t) - b * math.sin(i) * F.sin(t)) for i in around]
+
+
 #: Different places that a cell of the finest grid holds at most, if no grid down to ``4 ** -FINEST`` of the mean size is finer; and the number of these grids.
 CROWDED, FINEST = 64, 10
 

@@ -71,12 +71,82 @@ def ellipse_coverage(df: DataFrame, frame: list[str], row: str, col: str, a: str
     return df.select(*frame).distinct().join(covered, frame, "left").select(*frame, (F.coalesce("_pixels", F.lit(0)) / all_).alias("coverage"))
 
 
+def lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths and the numbers of an array column, one after the other."""
+    column = batch.column(name)
+    return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def types(df: DataFrame, columns: list[str]) -> str:
+    """Columns of ``df`` as the beginning of a schema."""
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+
+
+def ellipse_spans(r: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, angle_deg: np.ndarray, rows: int, cols: int, scale: float) -> tuple[np.ndarray, ...]:
+    """ellipse (its number), y, first, last: ``ellipse_rows`` of a batch. A pixel so near to an end that rounding decides is tried by the ellipse's equation itself."""
+    with np.errstate(all="ignore"):
+        cos, sin = np.cos(np.radians(angle_deg)), np.sin(np.radians(angle_deg))
+        near = np.minimum(0.25, 1e-6 * (1 + np.maximum(a, b) * scale))
+        reach = np.sqrt(a * a * sin * sin + b * b * cos * cos)
+        low, high = np.maximum(0, np.ceil((r - reach + 0.5) * scale - 0.5 - near)), np.minimum(rows - 1, np.floor((r + reach + 0.5) * scale - 0.5 + near))
+        n = np.where((a > 0) & (b > 0) & np.isfinite(c) & (low <= high), high - low + 1, 0).astype(np.int64)
+        own = np.repeat(np.arange(len(n)), n)
+        y = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + low[own].astype(np.int64)
+        d = (y + 0.5) / scale - 0.5 - r[own]
+        qa, qb, ab = cos * cos / (a * a) + sin * sin / (b * b), sin * cos * (1 / (a * a) - 1 / (b * b)), (a * b) ** 2
+        middle, half = c[own] - (qb / qa)[own] * d, np.sqrt(np.maximum(qa[own] - d * d / ab[own], 0.0)) / qa[own]
+        ends = ((middle - half + 0.5) * scale - 0.5, (middle + half + 0.5) * scale - 0.5)
+        first, last = np.ceil(ends[0] - near[own]), np.floor(ends[1] + near[own])
+        for place, end, step in ((first, ends[0], 1), (last, ends[1], -1)):
+            at = np.flatnonzero(np.abs(place - end) <= near[own])
+            k, dx, dy = own[at], (place[at] + 0.5) / scale - 0.5 - c[own[at]], d[at]
+            u, v = (dx * cos[k] + dy * sin[k]) / a[k], (dy * cos[k] - dx * sin[k]) / b[k]
+            place[at[~(u * u + v * v <= 1)]] += step
+    first, last = np.maximum(first, 0), np.minimum(last, cols - 1)
+    kept = first <= last
+    return own[kept], y[kept], first[kept].astype(np.int64), last[kept].astype(np.int64)
+
+
 def rasterised(df: DataFrame, keys: list[str], row: str, col: str, a: str, b: str, angle_deg: str, height: int, width: int, scale: float = 1.0) -> DataFrame:
-    """keys, pixels: the mask of each ellipse; those without a pixel have no row."""
-    cols = round(width * scale)
-    spans = ellipse_rows(df, keys, row, col, a, b, angle_deg, height, width, scale)
-    run = F.sequence(F.col("y") * cols + F.col("first"), F.col("y") * cols + F.col("last"))
-    return spans.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(run))).alias("pixels"))
+    """keys, pixels: the mask of each ellipse; those without a pixel have no row. Ellipses are drawn in tasks, a batch at once, where they are."""
+    rows, cols = round(height * scale), round(width * scale)
+
+    def draw(batches):
+        for batch in batches:
+            shape = [v.to_numpy(zero_copy_only=False) for v in batch.columns[-5:]]
+            own, y, first, last = ellipse_spans(*shape, rows, cols, scale)
+            long = last - first + 1
+            pixels = np.repeat(y * cols + first - (np.cumsum(long) - long), long) + np.arange(long.sum())
+            size = np.bincount(own, long, batch.num_rows).astype(np.int64)
+            held = np.flatnonzero(size)
+            drawn = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[held])).astype(np.int32)), pa.array(pixels))
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).take(pa.array(held)).columns, drawn], [*keys, "pixels"])
+
+    shape = (F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate((row, col, a, b, angle_deg)))
+    return df.select(*keys, *shape).mapInArrow(draw, types(df, keys) + "pixels array<long>")
+
+
+#: What is summed up of a mask's pixels: their number, mean row and column, variances and covariance.
+MOMENTS = ("n", "mi", "mj", "vi", "vj", "cij")
+
+
+def moments(sizes: np.ndarray, pixels: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """``MOMENTS`` of masks with pixels, which follow each other."""
+    start, (i, j) = np.cumsum(sizes) - sizes, np.divmod(pixels, width)
+    mean = lambda v: np.add.reduceat(v, start) / sizes if len(sizes) else np.zeros(0)
+    mi, mj = mean(i.astype(float)), mean(j.astype(float))
+    di, dj = i - np.repeat(mi, sizes), j - np.repeat(mj, sizes)
+    return dict(zip(MOMENTS, (sizes.astype(np.int64), mi, mj, mean(di * di), mean(dj * dj), mean(di * dj))))
+
+
+def measures(scale: float) -> dict[str, Column]:
+    """What ``measure_masks`` says of a mask, from its ``MOMENTS``."""
+    half, root = (F.col("vi") + F.col("vj")) / 2, F.sqrt(F.pow((F.col("vi") - F.col("vj")) / 2, 2) + F.col("cij") * F.col("cij"))
+    long, short = half + root, F.greatest(F.lit(0.0), half - root)
+    return {
+        "area_px2": F.col("n") / scale**2, "x": to_image(F.col("mj"), scale), "y": to_image(F.col("mi"), scale), "r_eq": F.sqrt(F.col("n") / math.pi / scale**2), "major_axis": F.sqrt(long) * 4 / scale, "minor_axis": F.sqrt(short) * 4 / scale,
+        "orientation_deg": F.degrees(F.atan2(F.col("cij") * 2, F.col("vi") - F.col("vj")) / 2), "eccentricity": F.when(long > 0, F.sqrt(1 - short / long)).otherwise(0.0),
+    }
 
 
 def measure_masks(masks: DataFrame, keys: list[str], width: int, scale: float = 1.0) -> DataFrame:
@@ -84,14 +154,13 @@ def measure_masks(masks: DataFrame, keys: list[str], width: int, scale: float =
 
     orientation_deg is the angle of the long axis from the row axis. axis lengths are four standard deviations along the axes.
     """
-    px = masks.select(*keys, F.explode("pixels").alias("p")).select(*keys, F.floor(F.col("p") / width).cast("double").alias("i"), F.pmod("p", F.lit(width)).cast("double").alias("j"))
-    m = px.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("i").alias("mi"), F.avg("j").alias("mj"), F.var_pop("i").alias("vi"), F.var_pop("j").alias("vj"), F.covar_pop("i", "j").alias("cij"))
-    half, root = (F.col("vi") + F.col("vj")) / 2, F.sqrt(F.pow((F.col("vi") - F.col("vj")) / 2, 2) + F.col("cij") * F.col("cij"))
-    long, short = half + root, F.greatest(F.lit(0.0), half - root)
-    return m.select(
-        *keys, (F.col("n") / scale**2).alias("area_px2"), to_image(F.col("mj"), scale).alias("x"), to_image(F.col("mi"), scale).alias("y"), F.sqrt(F.col("n") / math.pi / scale**2).alias("r_eq"), (F.sqrt(long) * 4 / scale).alias("major_axis"), (F.sqrt(short) * 4 / scale).alias("minor_axis"),
-        F.degrees(F.atan2(F.col("cij") * 2, F.col("vi") - F.col("vj")) / 2).alias("orientation_deg"), F.when(long > 0, F.sqrt(1 - short / long)).otherwise(0.0).alias("eccentricity"),
-    )
+
+    def summed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, moments(*lists(batch, "pixels"), width).values())], [*keys, *MOMENTS])
+
+    m = masks.select(*keys, "pixels").filter(F.size("pixels") > 0).mapInArrow(summed, types(masks, keys) + "n long, mi double, mj double, vi double, vj double, cij double")
+    return m.select(*keys, *(v.alias(c) for c, v in measures(scale).items()))
 
 
 def mask_overlaps(masks: DataFrame, by: list[str], key: str, width: int, cell: float = 32.0) -> DataFrame:
@@ -197,6 +266,101 @@ def _ellipses(r: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
     out[at] = np.column_stack([r[at].mean(1) + y0[real] * size, c[at].mean(1) + x0[real] * size, long * size, short * size, (angle + 90) % 180 - 90])
 
 
+def _conics(ll: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> np.ndarray:
+    """Centre (x, y), semi-axes and angle of the ellipse of each stack of moment matrices (line by line, line by square, square by square); NaN where there is none."""
+    out, turned = np.full((len(ll), 5), np.nan), lambda m: m.transpose(0, 2, 1)
+    drop = -np.linalg.solve(ll, ls)
+    reduced = ss + turned(ls) @ drop
+    values, vectors = np.linalg.eig(np.stack([reduced[:, 2] / 2, -reduced[:, 1], reduced[:, 0] / 2], axis=1))
+    vectors = np.real(vectors)
+    held = 4 * vectors[:, 0] * vectors[:, 2] - vectors[:, 1] ** 2 > 0
+    at = np.flatnonzero(held.any(1))
+    best = np.argmin(np.where(held, np.abs(np.real(values)), np.inf), axis=1)[at]
+    conic = vectors[at, :, best]
+    (a, b, d), (p, q, k) = conic.T, (drop[at] @ conic[:, :, None])[:, :, 0].T
+    form = np.stack([np.stack([a, b / 2], axis=1), np.stack([b / 2, d], axis=1)], axis=1)
+    x0, y0 = np.linalg.solve(2 * form, -np.stack([p, q], axis=1)[:, :, None])[:, :, 0].T
+    level = -(a * x0 * x0 + b * x0 * y0 + d * y0 * y0 + p * x0 + q * y0 + k)
+    lengths, axes = np.linalg.eigh(form / level[:, None, None])
+    real = (lengths > 0).all(1)
+    long, short = (1 / np.sqrt(lengths[real])).T
+    angle = np.degrees(np.arctan2(axes[real, 1, 0], axes[real, 0, 0]))
+    out[at[real]] = np.column_stack([x0[real], y0[real], long, short, (angle + 90) % 180 - 90])
+    return out
+
+
+def _halved(f, *stacks: np.ndarray) -> np.ndarray:
+    """f of stacks; where one of them has no solution it is found by halves and has NaN."""
+    try:
+        with np.errstate(all="ignore"):
+            return f(*stacks)
+    except np.linalg.LinAlgError:
+        half = len(stacks[0]) // 2
+        if not half:
+            return np.full((1, 5), np.nan)
+        return np.vstack([_halved(f, *(v[:half] for v in stacks)), _halved(f, *(v[half:] for v in stacks))])
+
+
+def circles_along(r: np.ndarray, c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``circle_of`` for outlines of three points or more that follow each other: row, col, radius from sums over each outline; NaN for points in a line."""
+    out, n = np.full((len(sizes), 3), np.nan), sizes.astype(float)
+    if not len(sizes):
+        return out
+    total = lambda v, size: np.add.reduceat(v, np.cumsum(size) - size)
+    mr, mc = total(r, sizes) / n, total(c, sizes) / n
+    u, v = r - np.repeat(mr, sizes), c - np.repeat(mc, sizes)
+    z, uu, vv, uv = u * u + v * v, total(u * u, sizes), total(v * v, sizes), total(u * v, sizes)
+    det, uz, vz = uu * vv - uv * uv, total(u * z, sizes) / 2, total(v * z, sizes) / 2
+    live = np.flatnonzero(det > 1e-12 * uu * vv)
+    done, in_ = live, np.zeros(len(sizes), bool)
+    with np.errstate(all="ignore"):
+        x, y = (vv * uz - uv * vz) / det, (uu * vz - uv * uz) / det
+    rad = np.sqrt(np.maximum((uu + vv) / n + x * x + y * y, 1e-12))
+    in_[live] = True
+    keep = np.repeat(in_, sizes)
+    u, v = u[keep], v[keep]
+    for _ in range(50):
+        if not len(live):
+            break
+        size = sizes[live]
+        wide = lambda w: np.repeat(w[live], size)  # noqa: B023, E731
+        du, dv = u - wide(x), v - wide(y)
+        far = np.hypot(du, dv)
+        safe = np.maximum(far, 1e-12)
+        e, f, off, m = du / safe, dv / safe, far - wide(rad), size.astype(float)
+        # Steps of the centre from sums around the means; that of the radius from the means.
+        me, mf, mo = total(e, size) / m, total(f, size) / m, total(off, size) / m
+        e, f, off = e - np.repeat(me, size), f - np.repeat(mf, size), off - np.repeat(mo, size)
+        ee, ff, ef, eo, fo = (total(w, size) for w in (e * e, f * f, e * f, e * off, f * off))
+        d = ee * ff - ef * ef
+        d = np.where(d > 0, d, np.inf)
+        sx, sy = (ff * eo - ef * fo) / d, (ee * fo - ef * eo) / d
+        sr = mo - me * sx - mf * sy
+        x[live], y[live], rad[live] = x[live] + sx, y[live] + sy, rad[live] + sr
+        go = np.maximum(np.maximum(np.abs(sx), np.abs(sy)), np.abs(sr)) >= 1e-10 * np.maximum(1.0, rad[live])
+        keep = np.repeat(go, size)
+        u, v, live = u[keep], v[keep], live[go]
+    out[done] = np.column_stack([mr + x, mc + y, rad])[done]
+    return out
+
+
+def ellipses_along(r: np.ndarray, c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``ellipse_through`` for outlines of six points or more that follow each other; NaN where there is none."""
+    if not len(sizes):
+        return np.zeros((0, 5))
+    n = sizes.astype(float)
+    total = lambda v: np.add.reduceat(v, np.cumsum(sizes) - sizes)
+    mr, mc = total(r) / n, total(c) / n
+    y, x = r - np.repeat(mr, sizes), c - np.repeat(mc, sizes)
+    size = np.maximum(np.sqrt(np.maximum(total(y * y), total(x * x)) / n), 1e-9)
+    y, x = y / np.repeat(size, sizes), x / np.repeat(size, sizes)
+    s, li = (x * x, x * y, y * y), (x, y, None)
+    times = lambda p, q: n if p is None and q is None else total(p if q is None else q if p is None else p * q)
+    matrix = lambda left, right: np.stack([np.stack([times(p, q) for q in right], axis=1) for p in left], axis=1)
+    found = _halved(_conics, matrix(li, li), matrix(li, s), matrix(s, s))
+    return np.column_stack([mr + found[:, 1] * size, mc + found[:, 0] * size, found[:, 2] * size, found[:, 3] * size, found[:, 4]])
+
+
 def ellipse_through(r: np.ndarray, c: np.ndarray) -> tuple[float, float, float, float, float] | None:
     """Centre, semi-axes and angle (degrees, of the long axis from the column axis) of the least-squares ellipse of points: the conic whose discriminant is held
     negative, its quadratic part an eigenvector of a 3 x 3 problem (Halir and Flusser). None for fewer than six points or where there is no ellipse."""

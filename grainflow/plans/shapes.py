@@ -35,17 +35,17 @@ def mask_shapes(spark, sf_dir):
 
 def row_overlaps(spark, sf_dir):
     """How far each mask and the circle of its ellipse's area overlap."""
-    d = _discs(spark, sf_dir).withColumn("r", masks.equal_area_radius(F.col("a"), F.col("b"))).withColumn("shape", F.lit("circle"))
-    circles = masks.ellipse_rows(d, [*KEYS, "shape"], "row", "col", "r", "r", "angle", HEIGHT, WIDTH)
-    found = outlines.row_overlaps(outlines.mask_rows(_masks(spark, sf_dir), KEYS, WIDTH), circles, KEYS, "shape")
+    d = _discs(spark, sf_dir).withColumn("r", masks.equal_area_radius(F.col("a"), F.col("b")))
+    drawn = masks.rasterised(d, [*KEYS, "row", "col", "r"], "row", "col", "a", "b", "angle", HEIGHT, WIDTH)
+    found = outlines.shape_overlaps(drawn, KEYS, {"iou": ("row", "col", "r", "r", F.lit(0.0))}, HEIGHT, WIDTH).filter("iou IS NOT NULL")
     return rounded(found.groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), F.avg("iou").alias("iou"), F.min("iou").alias("least")))
 
 
 def polygon_fill(spark, sf_dir):
     """Stars of five points, whose middle the even-odd rule leaves out, on a grid twice as fine."""
-    five = geometry.outline(F.col("row"), F.col("col"), F.col("a") * 2, F.col("b") * 3, F.col("angle"), 5)
-    stars = _discs(spark, sf_dir).select(*KEYS, F.transform(F.array(*map(F.lit, (0, 2, 4, 1, 3))), lambda k: F.get(five, k)).alias("points"))
-    area = outlines.rows_area(outlines.polygon_rows(stars, KEYS, "points", HEIGHT, WIDTH, 2.0), KEYS, 2.0)
+    corners = geometry.outline_points(F.col("row"), F.col("col"), F.col("a") * 2, F.col("b") * 3, F.col("angle"), 5)
+    stars = _discs(spark, sf_dir).select(*KEYS, F.array(*(corners[k] for k in (0, 2, 4, 1, 3))).alias("points"))
+    area = outlines.polygon_areas(stars, KEYS, "points", HEIGHT, WIDTH, 2.0)
     return rounded(area.groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), F.sum("area_visible_px2").alias("area")))
 
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from grainflow.operators import geometry, metrics, regression as reg
+from grainflow.operators import geometry, masks, metrics, outlines, regression as reg
 
 
 def test_trends_use_each_value_once(spark):
@@ -41,3 +41,49 @@ def test_outlines_are_walked_in_batches(spark):
     rows = [(k, 30.0, 5.0, 10.0, 5.0, 0.0, None) for k in range(3)]
     df = geometry.with_visibility(spark.createDataFrame(rows, "k int, y double, x double, semi_major double, semi_minor double, angle_deg double, fit_kind string"), 60, 110, 120)
     assert [r.edge_truncated for r in df.collect()] == [True] * 3 and "lambda" not in df._jdf.queryExecution().toString()
+
+
+def _inside(cy, cx, a, b, t, height=60, width=110):
+    y, x = np.mgrid[:height, :width]
+    dy, dx = y - cy, x - cx
+    return np.flatnonzero((((dx * np.cos(t) + dy * np.sin(t)) / a) ** 2 + ((dy * np.cos(t) - dx * np.sin(t)) / b) ** 2 <= 1).ravel()).tolist()
+
+
+def test_pixels_on_an_ellipses_edge(spark):
+    """Where an ellipse ends at a pixel's centre its equation decides, whatever the place of the pixel."""
+    discs = [(angle, k, n, float(20 + n), (k * 1000 + n * 1000 + 900) / 1000, n + 0.9, (n + 0.3) / 2) for angle in (0, 90) for k in range(90) for n in range(1, 8)]
+    df = spark.createDataFrame(discs, "angle int, k int, n int, row double, col double, a double, b double")
+    got = {(r.angle, r.k, r.n): r.pixels for r in masks.rasterised(df, ["angle", "k", "n"], "row", "col", "a", "b", "angle", 60, 110).collect()}
+    wrong = [d for d in discs if got.get(d[:3], []) != _inside(*d[3:7], math.radians(d[0]))]
+    assert not wrong, (len(wrong), wrong[:2])
+
+
+def test_batches_of_masks_against_one_by_one(spark):
+    """Numbers of edges, border and hull of many masks at once, with holes, gaps and corners that touch, are those of the contours of each; no shuffle is needed."""
+    rng = np.random.default_rng(7)
+    shapes = [_inside(*rng.uniform((-5, -5, 0.6, 0.6, 0), (65, 115, 16, 9, 3.1))) for _ in range(200)]
+    shapes = [np.array(p)[rng.random(len(p)) < (0.7 if k % 3 == 0 else 1.1)] for k, p in enumerate(shapes)] + [np.array([7]), np.array([0, 109, 59 * 110]), np.array([115, 226, 337])]
+    shapes = {k: p for k, p in enumerate(shapes) if len(p)}
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in shapes.items()], "k int, pixels array<long>")
+    fits = outlines.outline_fits(df, ["k"], 60, 110)
+    for r in fits.collect():
+        found = outlines.contours(shapes[r.k], 110)
+        every = np.concatenate(found)
+        border = lambda p: ((p[:, 0] <= 0) | (p[:, 0] >= 59) | (p[:, 1] <= 0) | (p[:, 1] >= 109)).sum()
+        assert (r.outline_points, r.border_points, r.convex_pixels, r.edge_truncated) == (len(every), border(every), outlines.hull_pixels(every), border(found[0]) >= 3)
+        seen = found[0] if not r.edge_truncated else found[0][~((found[0][:, 0] <= 0) | (found[0][:, 0] >= 59) | (found[0][:, 1] <= 0) | (found[0][:, 1] >= 109))]
+        circle = masks.circle_of(*seen.T) if len(seen) >= 6 else None
+        assert (circle is None) == (r.radius is None) and (circle is None or circle[2] > 1e3 or np.allclose(circle, (r.circle_y, r.circle_x, r.radius), atol=1e-6))
+    for out in (fits, outlines.measure_with_edges(df, ["k"], 60, 110), outlines.shapes_of_masks(df, ["k"], 60, 110), outlines.shape_overlaps(df, ["k"], {"iou": tuple(map(F.lit, (30.0, 50.0, 9.0, 5.0, 10.0)))}, 60, 110)):
+        assert out.count() > 0 and "Exchange" not in out._jdf.queryExecution().toString()
+
+
+def test_areas_without_a_shuffle(spark):
+    """Polygons and ellipses are added up where they are filled."""
+    stars = spark.createDataFrame([(1, [[9.5, 9.5], [9.5, 19.5], [19.5, 19.5], [19.5, 9.5]]), (2, [[-9.0, -9.0], [-8.0, -5.0], [-5.0, -5.0]])], "k int, points array<array<double>>")
+    areas = outlines.polygon_areas(stars, ["k"], "points", 60, 110, 2.0)
+    ellipses = spark.createDataFrame([(1, 30.0, 50.0, 9.0, 5.0, 10.0, None), (2, 300.0, 50.0, 9.0, 5.0, 10.0, None)], "k int, y double, x double, semi_major double, semi_minor double, angle_deg double, fit_kind string")
+    shapes = outlines.measure_shapes(ellipses, ["k"], 60, 110)
+    assert [(r.k, r.area_visible_px2) for r in areas.collect()] == [(1, 100.0)]
+    assert [(r.k, r.area_visible_px2) for r in shapes.collect()] == [(1, len(_inside(30, 50, 9, 5, math.radians(10))))]
+    assert all("Exchange" not in out._jdf.queryExecution().toString() for out in (areas, shapes))
