@@ -141,45 +141,60 @@ def outline_points(row: Column, col: Column, a: Column, b: Column, angle_deg: Co
 
 #: Different places that a cell of the finest grid holds at most, if no grid down to ``4 ** -FINEST`` of the mean size is finer; and the number of these grids.
 CROWDED, FINEST = 64, 10
+#: Cells along a block's side, and rows of group keys or places that are broadcast at most.
+BLOCK, FEW = 8, 500_000
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else df
 
 
 def nearest_neighbours(df: DataFrame, by: list[str], key: str, x: str, y: str, cell: float | None = None) -> DataFrame:
     """Each point's distance to the nearest other point of its group (nn); a point alone in its group has no row.
 
-    Points at the same place are at distance 0 and done. The other places meet in square cells and their neighbours, an equi-join, so a frame of any size is dealt out. A group's
-    cells have a size of ``cell``, or one at which they hold two points on average; where points lie in clusters the grid begins so fine that no cell is crowded. Points without
-    a neighbour in reach go to a grid four times as coarse, until none is left or a grid has one cell; what is left is written after each round.
+    Points at the same place are at distance 0 and done. The other places meet in blocks of square cells, which also hold the places in the cells around: an equi-join, so a
+    frame of any size is dealt out, and only places at a block's edge are shuffled more than once. A group's cells have a size of ``cell``, or one at which they hold two points
+    on average; where points lie in clusters the grid begins so fine that no cell is crowded. Points without a neighbour in reach go to a grid four times as coarse, until none
+    is left or a grid has one cell; what is left is written after each round, and if it is little only the blocks concerned are shuffled again.
     """
     points = df.select(*by, F.col(key).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
     width, height = F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")
     spans = points.groupBy(*by).agg(F.greatest(width, height).alias("_span"), F.greatest(F.sqrt(width * height * 2 / F.count(F.lit(1))), F.greatest(width, height) / F.count(F.lit(1)), F.lit(1e-9)).alias("_own"))
     size = F.lit(float(cell)) if cell else F.col("_own")
+    spans = settled(spans.select(*by, "_span", size.alias("_size")), "neighbours")
     places = points.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_k"))
-    places = settled(places.join(spans.select(*by, "_span", size.alias("_size")), by), "neighbours")
+    places = settled(places.join(_few(spans, spans.count()), by), "neighbours")
     at = lambda c, scale: F.floor(F.col(c) / (F.col("_size") * scale))
-    grids = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), at("_x", 4.0**-k).alias("i"), at("_y", 4.0**-k).alias("j")) for k in range(FINEST + 1))))
-    held = places.select(*by, grids.alias("_g")).groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("n")).groupBy("_g.k").agg(F.max("n").alias("most"))
-    free = [r.k for r in held.filter(F.col("most") <= CROWDED).collect()]  # FINEST + 1 rows at most
-    scale = 4.0 ** -min(free, default=FINEST)
+    scale = 1.0
+    for k in range(FINEST + 1):
+        scale = 4.0**-k
+        most = places.select(*by, at("_x", scale).alias("_i"), at("_y", scale).alias("_j")).groupBy(*by, "_i", "_j").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if (most or 0) <= CROWDED:
+            break
     same = places.filter("_n > 1").select(*by, "_x", "_y")
-    out = points.join(same, [*by, "_x", "_y"], "left_semi").select(*by, F.col("_k").alias(key), F.lit(0.0).alias("nn"))
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    out = points.join(_few(same, same.count()), [*by, "_x", "_y"], "left_semi").select(*by, F.col("_k").alias(key), F.lit(0.0).alias("nn"))
     left = places.filter("_n = 1").drop("_n")
+    carried = [c for c in left.columns if c not in by and c != "_k"]
+    block, blocks = lambda c: F.floor(c / BLOCK), [*by, "_bi", "_bj"]
+    first = True
     while True:
-        cells = lambda d: d.withColumns({"_i": at("_x", scale), "_j": at("_y", scale)})  # noqa: B023, E731
-        asked = cells(left).withColumn("_d", around).withColumns({"_i": F.col("_i") + F.col("_d.i"), "_j": F.col("_j") + F.col("_d.j")}).drop("_d")
-        others = cells(places).select(*by, "_i", "_j", F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
+        asked = left.withColumns({"_bi": block(at("_x", scale)), "_bj": block(at("_y", scale))})
+        around = lambda c: F.explode(F.sequence(block(at(c, scale) - 1), block(at(c, scale) + 1)))  # noqa: B023, E731
+        others = places.withColumn("_bi", around("_x")).withColumn("_bj", around("_y")).select(*blocks, F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
+        if not first:
+            concerned = asked.select(*blocks).distinct()
+            n = concerned.count()
+            others = others.join(F.broadcast(concerned), blocks, "left_semi") if n <= FEW else others
         far = F.when((F.col("_x") != F.col("_ox")) | (F.col("_y") != F.col("_oy")), F.hypot(F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")))
-        columns = [c for c in left.columns if c not in by and c != "_k"]
-        near = asked.join(others, [*by, "_i", "_j"], "left").groupBy(*by, "_k").agg(F.min(far).alias("nn"), *(F.first(c).alias(c) for c in columns))
-        near = settled(near, "neighbours")
+        near = asked.join(others, blocks, "left").groupBy(*blocks, "_k").agg(F.min(far).alias("nn"), *(F.first(c).alias(c) for c in carried))
         here = F.col("_size") * scale
-        found = near.filter(F.col("nn") <= here)
-        out = out.unionByName(found.select(*by, F.col("_k").alias(key), "nn"))
-        left = near.filter((F.col("nn").isNull() | (F.col("nn") > here)) & (here <= F.col("_span"))).drop("nn")
+        done = F.coalesce(F.col("nn") <= here, F.lit(False))
+        near = settled(near.select(*by, "_k", F.when(done, F.col("nn")).alias("nn"), *(F.when(~done, F.col(c)).alias(c) for c in carried)), "neighbours")
+        out = out.unionByName(near.filter("nn IS NOT NULL").select(*by, F.col("_k").alias(key), "nn"))
+        left = near.filter(F.col("nn").isNull() & (here <= F.col("_span"))).drop("nn")
         if left.isEmpty():
             return out
-        scale *= 4
+        scale, first = scale * 4, False
 
 
 def nearest_on_curve(points: DataFrame, curves: DataFrame, by: list[str], x: str, y: str, curve: str) -> DataFrame:

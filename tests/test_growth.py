@@ -6,6 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from grainflow.functions.storage import settled
 from grainflow.operators import geometry, masks, metrics, outlines, regression as reg
 
 
@@ -87,3 +88,16 @@ def test_areas_without_a_shuffle(spark):
     assert [(r.k, r.area_visible_px2) for r in areas.collect()] == [(1, 100.0)]
     assert [(r.k, r.area_visible_px2) for r in shapes.collect()] == [(1, len(_inside(30, 50, 9, 5, math.radians(10))))]
     assert all("Exchange" not in out._jdf.queryExecution().toString() for out in (areas, shapes))
+
+
+def test_neighbours_shuffle_few_copies(spark, monkeypatch):
+    """A place is asked for once and offered to the blocks that it is near to, not to nine cells; distances are those of all pairs, also across blocks and after coarser grids."""
+    rng, plans = np.random.default_rng(5), []
+    monkeypatch.setattr(geometry, "settled", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or settled(df, name))
+    points = [(g, k, *map(float, p)) for g, n in (("a", 1500), ("b", 3), ("c", 1)) for k, p in enumerate(rng.uniform(0, 100, (n, 2)))] + [("a", 5000, 900.0, -900.0), ("d", 1, 2.0, 2.0), ("d", 2, 2.0, 2.0), ("d", 3, 2.0, 3.0)]
+    got = {(r.g, r.k): r.nn for r in geometry.nearest_neighbours(spark.createDataFrame(points, "g string, k int, x double, y double"), ["g"], "k", "x", "y").collect()}
+    for g in "abd":
+        own = np.array([p[2:] for p in points if p[0] == g])
+        d = np.hypot(*(own[:, None] - own[None]).transpose(2, 0, 1)) + np.diag(np.full(len(own), np.inf))
+        assert np.allclose([got[g, p[1]] for p in points if p[0] == g], d.min(axis=1))
+    assert len(got) == len(points) - 1 and not any("explode(array(" in p for p in plans)
