@@ -20,6 +20,8 @@ from grainflow.functions.storage import settled
 from grainflow.operators.distribution import percentiles
 
 BINS = 256
+#: Pixels, halos included, of the tiles that a function gets at once; larger tiles come one by one.
+TOGETHER = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ def reach(sigma: float) -> int:
 
 
 def gaussian(x: np.ndarray, sigma: float, order: tuple[int, int] = (0, 0)) -> np.ndarray:
-    """``x`` convolved with a Gaussian, or its derivative of ``order`` along rows and columns; beyond the edge the edge's pixels go on."""
+    """``x`` (an image or a stack of them) convolved with a Gaussian, or its derivative of ``order`` along rows and columns; beyond the edge the edge's pixels go on."""
     r = reach(sigma)
     at = np.arange(-r, r + 1)
     bell = np.exp(-0.5 * (at / sigma) ** 2)
@@ -51,8 +53,8 @@ def gaussian(x: np.ndarray, sigma: float, order: tuple[int, int] = (0, 0)) -> np
     bend -= bell * bend.sum()
     # Cut off kernels are scaled so that a slope's derivative is right, and a parabola's second one.
     kernels = [bell, slope / (slope @ -at), bend / (bend @ (at * at)) * 2]
-    for axis, k in enumerate(order):
-        wide = np.pad(x, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+    for axis, k in zip((x.ndim - 2, x.ndim - 1), order):
+        wide = np.pad(x, [(r, r) if a == axis else (0, 0) for a in range(x.ndim)], mode="edge")
         windows = np.lib.stride_tricks.sliding_window_view(wide, 2 * r + 1, axis=axis)
         x = windows @ kernels[k][::-1]
     return x
@@ -119,8 +121,10 @@ def images_of(tiles: DataFrame, keys: list[str], names: list[str], width: int, t
     return ordered.select(*keys, *map(whole, names))
 
 
-def with_halo(tiles: DataFrame, keys: list[str], names: list[str], height: int, width: int, tile: int, halo: int, use: Callable[[list[np.ndarray]], list[np.ndarray]], out: list[str]) -> DataFrame:
-    """keys, ty, tx and ``out``: what ``use`` makes of each tile's arrays ``names`` with ``halo`` pixels around them (beyond the image its edge's pixels), without the halo."""
+def with_halo(tiles: DataFrame, keys: list[str], names: list[str], height: int, width: int, tile: int, halo: int, use: Callable[[list[np.ndarray]], list[np.ndarray]], out: list[str], stacks: bool = False) -> DataFrame:
+    """keys, ty, tx and ``out``: what ``use`` makes of each tile's arrays ``names`` with ``halo`` pixels around them (beyond the image its edge's pixels), without the halo.
+
+    With ``stacks`` small tiles go to tasks' functions many at once, as many as have ``TOGETHER`` pixels, and ``use`` gets those at the same place of their images as one array."""
     far = -(-halo // tile)
     steps = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in range(-far, far + 1) for b in range(-far, far + 1)))
     sent = tiles.withColumn("to", F.explode(steps)).select(*keys, "ty", "tx", *names, (F.col("ty") + F.col("to.dy")).alias("oy"), (F.col("tx") + F.col("to.dx")).alias("ox"))
@@ -134,23 +138,30 @@ def with_halo(tiles: DataFrame, keys: list[str], names: list[str], height: int,
     strips = sent.select(*keys, "oy", "ox", "y0", "y1", "x0", "x1", *(strip(c).alias(f"_{c}") for c in names))
     strips = strips.withColumnsRenamed({"oy": "ty", "ox": "tx"} | {f"_{c}": c for c in names})
 
-    def assembled(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = key[-2:]
-        y0, x0 = ty * tile - halo, tx * tile - halo
-        h, w = min(tile, height - ty * tile), min(tile, width - tx * tile)
-        arrays = []
-        for c in names:
-            wide = np.full((h + 2 * halo, w + 2 * halo), np.nan)
-            for p, a, b, d, e in zip(frame[c], frame["y0"], frame["y1"], frame["x0"], frame["x1"]):
-                wide[a - y0 : b - y0, d - x0 : e - x0] = np.asarray(p, float).reshape(b - a, e - d)
-            inner = wide[max(0, -y0) : height - y0, max(0, -x0) : width - x0]
-            around = [(max(0, -y0), max(0, y0 + h + 2 * halo - height)), (max(0, -x0), max(0, x0 + w + 2 * halo - width))]
-            arrays.append(np.pad(inner, around, mode="edge"))
-        made = [a[halo : halo + h, halo : halo + w].ravel().tolist() for a in use(arrays)]
-        return pd.DataFrame([[*key, *made]], columns=[*keys, "ty", "tx", *out])
+    def assembled(frame: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for (ty, tx), tiles_ in frame.groupby(["ty", "tx"]):
+            y0, x0 = ty * tile - halo, tx * tile - halo
+            h, w = min(tile, height - ty * tile), min(tile, width - tx * tile)
+            image = tiles_.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            whose = tiles_[[*keys, "ty", "tx"]].iloc[np.unique(image, return_index=True)[1]]
+            wide = {c: np.full((len(whose), h + 2 * halo, w + 2 * halo), np.nan) for c in names}
+            for (a, b, d, e), at in tiles_.reset_index(drop=True).groupby(["y0", "y1", "x0", "x1"]).indices.items():
+                for c in names:
+                    wide[c][image[at], a - y0 : b - y0, d - x0 : e - x0] = np.stack(tiles_[c].to_numpy()[at]).astype(float).reshape(-1, b - a, e - d)
+            around = [(0, 0), (max(0, -y0), max(0, y0 + h + 2 * halo - height)), (max(0, -x0), max(0, x0 + w + 2 * halo - width))]
+            arrays = [np.pad(v[:, max(0, -y0) : height - y0, max(0, -x0) : width - x0], around, mode="edge") for v in wide.values()]
+            used = use(arrays) if stacks else [np.stack(v) for v in zip(*(use([a[k] for a in arrays]) for k in range(len(whose))))]
+            found = (a[:, halo : halo + h, halo : halo + w].reshape(len(whose), -1) for a in used)
+            made.append(whose.assign(**{c: list(v) for c, v in zip(out, found)}))
+        return pd.concat(made)[[*keys, "ty", "tx", *out]]
 
     kinds = ", ".join(f"`{k}` {tiles.schema[k].dataType.simpleString()}" for k in (*keys, "ty", "tx"))
-    return strips.groupBy(*keys, "ty", "tx").applyInPandas(assembled, f"{kinds}, " + ", ".join(f"{c} array<double>" for c in out))
+    schema, together = f"{kinds}, " + ", ".join(f"{c} array<double>" for c in out), TOGETHER // (tile + 2 * halo) ** 2
+    if together < 2 or not stacks:
+        return strips.groupBy(*keys, "ty", "tx").applyInPandas(assembled, schema)
+    groups = F.pmod(F.xxhash64(*keys, "ty", "tx"), F.lit(-(-tiles.count() // together) or 1))
+    return strips.withColumn("_group", groups).groupBy("_group").applyInPandas(assembled, schema)
 
 
 def _of_valid(tiles: DataFrame, keys: list[str], name: str, points: dict[str, float]) -> DataFrame:
@@ -194,14 +205,14 @@ def prepared(images: DataFrame, keys: list[str], pixels: str, valid: str, height
         below = background(x, ok > 0, how.background)
         return [x, ok, x / np.maximum(below, 1e-6) if divide else x - below]
 
-    t = settled(with_halo(tiles, keys, ["work", "valid"], *size, reach(how.background), flat, ["work", "valid", "flat"]), "flat")
+    t = settled(with_halo(tiles, keys, ["work", "valid"], *size, reach(how.background), flat, ["work", "valid", "flat"], stacks=True), "flat")
     if not divide:
         t = t.join(_of_valid(t, keys, "work", {"level": 0.5}), keys).withColumn("flat", F.transform("flat", lambda v: v + F.col("level"))).drop("level")
     t = t.join(_of_valid(t, keys, "flat", {"level": 0.5}), keys)
     t = t.withColumn("flat", F.zip_with("flat", "valid", lambda v, ok: F.when(ok > 0, v).otherwise(F.col("level")))).drop("level")
     if how.denoise > 0:
         smooth = lambda arrays: [*arrays, gaussian(arrays[2], how.denoise)]
-        t = with_halo(t, keys, ["work", "valid", "flat"], *size, reach(how.denoise), smooth, ["work", "valid", "flat", "norm"])
+        t = with_halo(t, keys, ["work", "valid", "flat"], *size, reach(how.denoise), smooth, ["work", "valid", "flat", "norm"], stacks=True)
     else:
         t = t.withColumn("norm", F.col("flat"))
     t = settled(t, "denoised")
@@ -209,7 +220,7 @@ def prepared(images: DataFrame, keys: list[str], pixels: str, valid: str, height
     t = t.join(ends, keys).withColumn("norm", F.transform("norm", lambda v: F.least(F.greatest((v - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-12), F.lit(0.0)), F.lit(1.0)))).drop("lo", "hi")
     names = ["work", "valid", "flat", "norm"]
     dark = lambda arrays: [*arrays, ridges(arrays[3], how.ridges)]
-    t = settled(with_halo(t, keys, names, *size, max(reach(s) for s in how.ridges), dark, [*names, "ridge"]), "ridges")
+    t = settled(with_halo(t, keys, names, *size, max(reach(s) for s in how.ridges), dark, [*names, "ridge"], stacks=True), "ridges")
     middle = _of_valid(t, keys, "ridge", {"middle": 0.5})
     away = t.join(middle, keys).withColumn("away", F.transform("ridge", lambda v: F.abs(v - F.col("middle"))))
     spread = middle.join(_of_valid(away, keys, "away", {"spread": 0.5}), keys)

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from grainflow.functions.storage import settled
-from grainflow.operators import geometry, masks, metrics, outlines, regression as reg
+from grainflow.operators import filters, geometry, masks, metrics, outlines, regression as reg
 
 
 def test_trends_use_each_value_once(spark):
@@ -101,3 +101,21 @@ def test_neighbours_shuffle_few_copies(spark, monkeypatch):
         d = np.hypot(*(own[:, None] - own[None]).transpose(2, 0, 1)) + np.diag(np.full(len(own), np.inf))
         assert np.allclose([got[g, p[1]] for p in points if p[0] == g], d.min(axis=1))
     assert len(got) == len(points) - 1 and not any("explode(array(" in p for p in plans)
+
+
+def test_small_tiles_go_to_tasks_together(spark):
+    """Tiles of many images in one call, each with its own halo, images alike in nothing but size; null is a key too."""
+    rng = np.random.default_rng(3)
+    images = {k: rng.random((8, 8)) for k in [*range(60), None]}
+    df = spark.createDataFrame([(k, v.ravel().tolist()) for k, v in images.items()], "k int, px array<double>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def smooth(arrays):
+        seen.add(1)
+        return [filters.gaussian(arrays[0], 0.6)]
+
+    tiles = filters.with_halo(filters.tiles_of(df, ["k"], {"px": "px"}, 8, 8, 4), ["k"], ["px"], 8, 8, 4, 2, smooth, ["px"], stacks=True)
+    got = {(r.k, r.ty, r.tx): np.reshape(r.px, (4, 4)) for r in tiles.collect()}
+    assert len(got) == 4 * len(images) and 4 <= seen.value < len(got)
+    for (k, ty, tx), v in got.items():
+        assert np.allclose(v, filters.gaussian(images[k], 0.6)[4 * ty : 4 * ty + 4, 4 * tx : 4 * tx + 4])
